@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
 
 def queries() -> dict:
     return {
+        "op4_bpe": bpe.op4_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
