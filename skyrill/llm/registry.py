@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, minhash, quality
 
 
 def queries() -> dict:
     return {
         "op4_bpe": bpe.op4_bpe,
+        "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
