@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, quality
+from . import bpe, linededup, minhash, quality
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": linededup.op2_line_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
