@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, minhash, quality
+from . import bpe, decontaminate, linededup, minhash, quality
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": linededup.op2_line_dedup,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
