@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, linededup, minhash, quality
+from . import bpe, decontaminate, langid, linededup, minhash, quality
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op2_line_dedup": linededup.op2_line_dedup,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_bpe": bpe.op4_bpe,
