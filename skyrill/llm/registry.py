@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, minhash, quality
+from . import bpe, decontaminate, langid, linededup, minhash, quality, warc
 
 
 def queries() -> dict:
@@ -12,11 +12,13 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
+        "op7_warc": warc.op7_warc,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc": warc.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
