@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, minhash, quality, warc
+from . import bpe, decontaminate, langid, linededup, minhash, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_warc": warc.op7_warc,
         "op10_quality_rules": quality.op10_quality_rules,
     }
