@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, minhash, quality, toxicity, warc
+from . import bpe, decontaminate, langid, linededup, minhash, quality, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_warc": warc.op7_warc,
+        "op8_token_counts": tokencount.op8_token_counts,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
