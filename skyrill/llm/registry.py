@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, minhash, quality, tokencount, toxicity, warc
+from . import bpe, chat, decontaminate, langid, linededup, minhash, quality, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_warc": warc.op7_warc,
         "op8_token_counts": tokencount.op8_token_counts,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
