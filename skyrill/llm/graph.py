@@ -45,12 +45,21 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("v", "v"))
 
 
-def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one label."""
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(mixed, "bucket")
+
+
+def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, may_link: str = "true") -> DataFrame:
     """(node, label) of all nodes with a link, given buckets that hold both ends of every link.
 
     ``shared`` (bucket, node, c) has the distinct members of each bucket of two
     nodes or more, with its smallest node c. ``verify`` turns candidates (a, b)
-    into the links among them.
+    into the links among them. ``bound``, if given, turns open nodes (node) into
+    facts (node, n, m) about those of them that can still have a link, from which the SQL condition ``may_link``
+    (over n, m of one and nx, mx of the other) rules out pairs that cannot be
+    links; it must hold for every link.
 
     First every bucket is a star: c against the other members. A bucket whose
     other members then lie in one component can add nothing. In the rest,
@@ -66,15 +75,20 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     rest, centres = members.where("node <> c").select("bucket", "node"), 2
     while True:
         labelled = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = labelled.join(mixed, "bucket")
+        open_ = _mixed(labelled)
+        if bound:
+            open_ = stage(open_, "open")
+            facts = bound(open_.select("node").distinct())
+            open_ = _mixed(open_.join(facts, "node"))
+        else:
+            open_ = open_.withColumns({"n": F.lit(0), "m": F.lit(0)})
         size = Window.partitionBy("bucket", "label")
-        order = Window.partitionBy("bucket").orderBy("n", "label", "node")
-        ranked = stage(open_.withColumn("n", F.count(F.lit(1)).over(size)).withColumn("k", F.row_number().over(order)).drop("n"), "open")
+        order = Window.partitionBy("bucket").orderBy("size", "label", "node")
+        ranked = stage(open_.withColumn("size", F.count(F.lit(1)).over(size)).withColumn("k", F.row_number().over(order)).drop("size"), "open")
         if ranked.isEmpty():
             return labels
-        near = ranked.where(F.col("k") <= centres).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("k").alias("kx"))
-        far = ranked.join(near, "bucket").where("k > kx and label <> lx")
+        near = ranked.where(F.col("k") <= centres).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("k").alias("kx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+        far = ranked.join(near, "bucket").where(f"k > kx and label <> lx and ({may_link})")
         pairs = far.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         fresh = stage(pairs.join(checked, ["a", "b"], "left_anti"), "checked")
         found = stage(verify(fresh), "links")

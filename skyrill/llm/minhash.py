@@ -153,7 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         return both.where(100 * F.col("i") >= THRESHOLD_PERCENT * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
-    labels = resolve(members, verify)
+    def bound(nodes: DataFrame) -> DataFrame:
+        """Set size n of open nodes and how many of their shingles m another open node has too: no intersection is larger."""
+        own = sets.join(nodes, "node", "left_semi")
+        rows = own.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
+        common = rows.groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("item")
+        return rows.join(common, "item").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= THRESHOLD_PERCENT * F.col("n"))
+
+    # i / (n + nx - i) >= threshold needs i >= threshold / (1 + threshold) * (n + nx), and i <= m, i <= mx.
+    fits = f"{100 + THRESHOLD_PERCENT} * least(m, mx) >= {THRESHOLD_PERCENT} * (n + nx)"
+    labels = resolve(members, verify, bound, f"({fits}) and 100 * least(n, nx) >= {THRESHOLD_PERCENT} * greatest(n, nx)")
     component = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     return (
         sketch.select("doc_id", "n_shingles", "digest")
