@@ -78,12 +78,22 @@ def _edit_links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
         .join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         .where(F.abs(F.length("x") - F.length("y")) <= edits)
     )
-    # Shared ends cost no edits: find them by halving steps and cut them off.
-    steps = "sequence(20, 0, -1)"
-    ahead = f"aggregate({steps}, 0, (p, e) -> if(p + shiftleft(1, e) <= least(length(x), length(y)) and substring(x, p + 1, shiftleft(1, e)) = substring(y, p + 1, shiftleft(1, e)), p + shiftleft(1, e), p))"
-    cut = both.withColumn("p", F.expr(ahead)).selectExpr("a", "b", "reverse(substring(x, p + 1)) as x", "reverse(substring(y, p + 1)) as y")
-    cut = cut.withColumn("p", F.expr(ahead)).selectExpr("a", "b", "substring(x, p + 1) as x", "substring(y, p + 1) as y")
-    return cut.where(F.expr(banded_distance("x", "y", edits)) <= edits).select("a", "b").distinct()
+    # Each step is bound to a name once; as columns the optimiser would copy them into every use.
+    cut = "named_struct('x', reverse(substring({0}.x, {0}.p + 1)), 'y', reverse(substring({0}.y, {0}.p + 1)))"
+    distance = _let("named_struct('x', x, 'y', y)", "s0", _let(_shared_start("s0"), "s1", _let(cut.format("s1"), "s2", _let(_shared_start("s2"), "s3", _let(cut.format("s3"), "s4", banded_distance("s4.x", "s4.y", edits))))))
+    return both.where(F.expr(distance) <= edits).select("a", "b").distinct()
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` in which ``name`` is ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _shared_start(s: str) -> str:
+    """SQL of the struct ``s`` with p, the length of the longest common prefix of its x and y, found by halving steps."""
+    step = "if(p + shiftleft(1, e) <= n and substring({0}.x, p + 1, shiftleft(1, e)) = substring({0}.y, p + 1, shiftleft(1, e)), p + shiftleft(1, e), p)".format(s)
+    found = _let(f"least(length({s}.x), length({s}.y))", "n", f"aggregate(sequence(cast(floor(log2(n + 1)) as int), 0, -1), 0, (p, e) -> {step})")
+    return f"named_struct('x', {s}.x, 'y', {s}.y, 'p', {found})"
 
 
 def banded_distance(x: str, y: str, edits: int) -> str:
