@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 
+#: Centres of a bucket in the first round after its star, and their growth from round to round.
+FIRST_CENTRES, GROWTH = 16, 8
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -63,8 +67,8 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
 
     First every bucket is a star: c against the other members. A bucket whose
     other members then lie in one component can add nothing. In the rest,
-    members of the rarest components become the next centres, twice as many
-    each round, and meet only members of other components. When no bucket is
+    members of the rarest components become the next centres, ``GROWTH`` times as
+    many each round, and meet only members of other components. When no bucket is
     left, every pair that could still join two components has been verified,
     so the components are exact although most pairs were never formed.
     """
@@ -72,16 +76,16 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
     checked = stage(members.where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "checked")
     links = stage(verify(checked), "links")
     labels = stage(components(links), "labels")
-    rest, centres = members.where("node <> c").select("bucket", "node"), 2
+    rest = members.where("node <> c").select("bucket", "node", F.lit(0).alias("n"), F.lit(0).cast("long").alias("m"))
+    centres, first = FIRST_CENTRES, True
     while True:
-        labelled = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        labelled = rest.join(labels, "node", "left").select("bucket", "node", "n", "m", F.coalesce("label", "node").alias("label"))
         open_ = _mixed(labelled)
-        if bound:
+        if bound and first:
+            # Later rounds hold fewer nodes, for which the facts remain bounds.
             open_ = stage(open_, "open")
-            facts = bound(open_.select("node").distinct())
-            open_ = _mixed(open_.join(facts, "node"))
-        else:
-            open_ = open_.withColumns({"n": F.lit(0), "m": F.lit(0)})
+            open_ = _mixed(open_.drop("n", "m").join(bound(open_.select("node").distinct()), "node"))
+        first = False
         size = Window.partitionBy("bucket", "label")
         order = Window.partitionBy("bucket").orderBy("size", "label", "node")
         ranked = stage(open_.withColumn("size", F.count(F.lit(1)).over(size)).withColumn("k", F.row_number().over(order)).drop("size"), "open")
@@ -95,4 +99,4 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
         checked, links = checked.union(fresh), links.union(found)
         if not found.isEmpty():
             labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found.select("a", "b"))), "labels")
-        rest, centres = ranked.where(F.col("k") > centres).select("bucket", "node"), centres * 2
+        rest, centres = ranked.where(F.col("k") > centres).select("bucket", "node", "n", "m"), centres * GROWTH
