@@ -123,7 +123,7 @@ def borrowed_offsets(rows: DataFrame, reference: DataFrame) -> DataFrame:
     w = Window.partitionBy("object", "band")
     sparse = rows.withColumn("n_points", F.count(F.lit(1)).over(w)).where("n_points < 5")
     ref = interpolate(reference, sparse.select("object", F.col("mjd").alias("q")).distinct())
-    joined = sparse.join(ref, (sparse["object"] == ref["object"]) & (sparse["mjd"] == ref["q"])).select(sparse["object"], "band", (F.col("mag") - F.col("value")).alias("d"))
+    joined = sparse.join(ref.withColumnRenamed("q", "mjd"), ["object", "mjd"]).select("object", "band", (F.col("mag") - F.col("value")).alias("d"))
     return joined.groupBy("object", "band").agg(F.median("d").alias("offset"), F.count(F.lit(1)).alias("n_points"))
 
 

@@ -21,7 +21,7 @@ ORDER = [m.name for m in M.CLOSED_FORM]
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, missing ones null."""
-    return df.select(*[F.round(F.when(~F.isnan(c), F.col(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.when(~F.isnan(c), F.col(c)), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _theta(model: M.Model) -> tuple[float, ...]:
@@ -125,7 +125,7 @@ def min_lengthscale(spark, sf_dir):
 def log_cdf(spark, sf_dir):
     e = v.table(spark, sf_dir, "events")
     x = (F.col("value") - 100) / 10
-    return _round(e.select("event_id", log_normal_cdf(x).alias("log_cdf"))).withColumn("log_cdf", F.col("log_cdf") + 0.0)
+    return _round(e.select("event_id", log_normal_cdf(x).alias("log_cdf")))
 
 
 def pso_cost_grid(spark, sf_dir):
@@ -158,16 +158,16 @@ def grid_timescales(spark, sf_dir):
 
 
 def grid_shape(spark, sf_dir):
-    return _round(feat.shape(v.daily_curve(spark, sf_dir)), 5)
+    return _round(feat.shape(v.daily_curve(spark, sf_dir)))
 
 
 def interp_at(spark, sf_dir):
     last = v.events_mags(spark, sf_dir).groupBy("object").agg(F.round(F.max("mjd"), 6).alias("t_last"))
-    return _round(feat.local_derivatives(v.daily_curve(spark, sf_dir), last), 5)
+    return _round(feat.local_derivatives(v.daily_curve(spark, sf_dir), last))
 
 
 def borrowed_offset(spark, sf_dir):
-    return _round(feat.borrowed_offsets(v.events_mags(spark, sf_dir), v.daily_curve(spark, sf_dir)), 5)
+    return _round(feat.borrowed_offsets(v.events_mags(spark, sf_dir), v.daily_curve(spark, sf_dir)))
 
 
 def temperature_curve(spark, sf_dir):

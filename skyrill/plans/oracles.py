@@ -12,7 +12,7 @@ from .catalog import CANDIDATES, ORDER
 
 
 def _r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits})"
+    return f"(round({expr}, {digits}) + 0.0)"
 
 
 def _log_cdf(x: str) -> str:
@@ -81,7 +81,7 @@ ORACLES = {
     "reference_band": f"WITH {v.EV}, c AS (SELECT object, band, count(*) AS n_points FROM ev GROUP BY ALL HAVING count(*) >= 5) SELECT *, row_number() OVER (PARTITION BY object ORDER BY n_points DESC, band) AS rank FROM c",
     "subsample25": f"WITH {v.IT}, r AS (SELECT *, count(*) OVER (PARTITION BY object, band) AS n, row_number() OVER (PARTITION BY object, band ORDER BY mjd, p1, p2) - 1 AS k FROM it) SELECT object, band, p1 AS l_orderkey, p2 AS l_linenumber, {_r('mjd')} AS mjd FROM r WHERE n <= 30 OR k IN (SELECT floor((i + 0.5) * n / 25.0)::BIGINT FROM range(25) g(i))",
     "min_lengthscale": f"WITH {v.EV}, s AS (SELECT object, band, mjd - lag(mjd) OVER (PARTITION BY object, band ORDER BY mjd, pos) AS step FROM ev), g AS (SELECT object, band, list_sort(list(step)) AS x FROM s WHERE step IS NOT NULL GROUP BY ALL) SELECT object, band, {_r('greatest(2 * x[len(x) // 2 + 1], 0.1)')} AS min_lengthscale, len(x) AS n_steps FROM g",
-    "log_normal_cdf": f"SELECT event_id, {_r(_log_cdf('(value - 100) / 10'))} + 0.0 AS log_cdf FROM events",
+    "log_normal_cdf": f"SELECT event_id, {_r(_log_cdf('(value - 100) / 10'))} AS log_cdf FROM events",
     "pso_cost_grid": f"WITH {v.REL}, {COSTS} SELECT object, band, model, {_r('cost', 3)} AS cost FROM costs",
     "model_select": f"WITH {v.REL}, c0 AS (SELECT 1), {COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {_r('cost', 3)} AS cost FROM raw), {BEST} SELECT * FROM best",
     "mag_chi2": f"WITH {v.REL}, p AS (SELECT *, {_flux(M.MODELS['Bazin'])} AS p FROM rel), q AS (SELECT object, band, CASE WHEN p > 0 AND y > 0 THEN (-2.5 * log10(CASE WHEN y > 0 THEN y ELSE 1 END) + 2.5 * log10(CASE WHEN p > 0 THEN p ELSE 1 END)) / (1.0857 * s / y) END AS r FROM p) SELECT object, band, {_r('avg(r * r)', 4)} AS mag_chi2, count(r) AS n_used FROM q GROUP BY ALL",
@@ -134,14 +134,14 @@ _E1, _E2 = 1 - math.exp(-1), math.exp(-1)
 ORACLES["grid_timescales"] = f"""WITH {v.DAILY},
 p AS (SELECT object, first(k ORDER BY m, k) AS pk, min(m) AS pm, first(t ORDER BY m, k) AS pt, any_value(n) AS n FROM ix GROUP BY object),
 b AS (SELECT p.object, pk, pm, pt, p.n, CASE WHEN pk > 1 THEN avg(m) FILTER (k < least(pk, 3)) ELSE pm + 0.5 END AS rb,
-  sum(m) FILTER (k > pk AND k <= least((pk + p.n) // 2, p.n - 1)) / greatest(least((pk + p.n) // 2, p.n - 1) - pk, 1) AS fb FROM ix JOIN p USING (object) GROUP BY ALL)
+  sum(m) FILTER (k > pk AND k <= least((pk + p.n) // 2, p.n - 1)) / greatest(least((pk + p.n) // 2, p.n - 1) - pk, 1) AS fb FROM ix JOIN p USING (object) GROUP BY p.object, pk, pm, pt, p.n)
 SELECT object, {_r('pt')} AS t_peak, {_r('pm')} AS peak,
  {_r(f'pt - first(t ORDER BY abs(m - (rb + (pm - rb) * {_E1!r})), k) FILTER (k < pk)')} AS rise_time,
  {_r(f'first(t ORDER BY abs(m - (fb + (pm - fb) * {_E2!r})), k) FILTER (k > pk) - pt')} AS decay_time,
  {_r('min(t) FILTER (k > pk AND m >= pm + 0.75) - max(t) FILTER (k < pk AND m >= pm + 0.75)')} AS fwhm,
  {_r('regr_slope(m, t) FILTER (k < least(greatest(ceil(b.n * 0.25), 2), b.n - 1))')} AS rise_rate,
  {_r('regr_slope(m, t) FILTER (k >= b.n - least(greatest(ceil(b.n * 0.25), 2), b.n))')} AS decay_rate
-FROM ix JOIN b USING (object) GROUP BY object, pt, pm"""
+FROM ix JOIN b USING (object) GROUP BY object, pt, pm, pk, rb, fb, b.n"""
 
 ORACLES["grid_shape"] = f"""WITH {v.DAILY},
 a AS (SELECT *, max(CASE WHEN k = 1 THEN t END) OVER o - max(CASE WHEN k = 0 THEN t END) OVER o AS dt, avg(m) OVER o AS mean FROM ix WINDOW o AS (PARTITION BY object)),
@@ -149,20 +149,20 @@ d AS (SELECT *, (lead(m) OVER w - m) / dt AS d1, (lead(m) OVER w - 2 * m + lag(m
 e AS (SELECT *, lead(d2) OVER (PARTITION BY object ORDER BY k) AS nx FROM d),
 g AS (SELECT object, count(*) AS n, stddev_pop(m) AS sd, max(m) - min(m) AS pp, avg(pow(m - mean, 3)) AS m3, avg(pow(m - mean, 4)) AS m4, max(d1) AS dmax, min(d1) AS dmin,
  max(m) FILTER (k = n - 1) / min(m) AS frac, count(*) FILTER (abs(d2) > 1e-6 AND abs(nx) > 1e-6 AND sign(d2) <> sign(nx)) AS turns FROM e GROUP BY object)
-SELECT object, {_r('sd', 5)} AS sigma_f, {_r('pp', 5)} AS peak_to_peak, CASE WHEN n > 3 AND sd > 1e-10 THEN {_r('m3 / pow(sd, 3)', 5)} END AS skew,
- CASE WHEN n > 3 AND sd > 1e-10 THEN {_r('m4 / pow(sd, 4) - 3', 5)} END AS kurt, {_r('dmax', 5)} AS dfdt_max, {_r('dmin', 5)} AS dfdt_min, {_r('frac', 5)} AS frac_of_peak,
+SELECT object, {_r('sd', 6)} AS sigma_f, {_r('pp', 6)} AS peak_to_peak, CASE WHEN n > 3 AND sd > 1e-10 THEN {_r('m3 / pow(sd, 3)', 6)} END AS skew,
+ CASE WHEN n > 3 AND sd > 1e-10 THEN {_r('m4 / pow(sd, 4) - 3', 6)} END AS kurt, {_r('dmax', 6)} AS dfdt_max, {_r('dmin', 6)} AS dfdt_min, {_r('frac', 6)} AS frac_of_peak,
  CASE WHEN n > 2 THEN turns END AS n_inflections FROM g"""
 
 _LERP = """br AS (SELECT object, t, m, k, n, lead(t) OVER w AS t1, lead(m) OVER w AS m1 FROM ix WINDOW w AS (PARTITION BY object ORDER BY k)),
-at AS (SELECT q.*, CASE WHEN (k = 0 AND q < t) OR k = n - 1 THEN m ELSE m + (m1 - m) * (q - t) / (t1 - t) END AS value FROM wanted q JOIN br USING (object)
+hit AS (SELECT q.*, CASE WHEN (k = 0 AND q < t) OR k = n - 1 THEN m ELSE m + (m1 - m) * (q - t) / (t1 - t) END AS value FROM wanted q JOIN br USING (object)
   WHERE (k = 0 AND q < t) OR (k = n - 1 AND q >= t) OR (q >= t AND q < t1))"""
 _AT = lambda s: f"max(value) FILTER (step = {s})"
 ORACLES["interp_at"] = f"""WITH {v.DAILY}, la AS (SELECT object, round(max(mjd), 6) AS t_last FROM mg GROUP BY object),
 wanted AS (SELECT object, step, t_last + step AS q FROM la, (SELECT unnest([-1, 0, 1, 2, 3]) AS step)), {_LERP}
-SELECT object, {_r(f'{_AT(0)} - {_AT(-1)}', 5)} AS dfdt_now, {_r(f'{_AT(1)} - {_AT(0)}', 5)} AS dfdt_next, {_r(f'{_AT(1)} - 2 * {_AT(0)} + {_AT(-1)}', 5)} AS d2fdt2_now,
- {_r(_AT(1), 5)} AS mag_1d, {_r(_AT(2), 5)} AS mag_2d, {_r(f'{_AT(3)} - {_AT(2)}', 5)} AS extrap_slope FROM at GROUP BY object"""
+SELECT object, {_r(f'{_AT(0)} - {_AT(-1)}', 6)} AS dfdt_now, {_r(f'{_AT(1)} - {_AT(0)}', 6)} AS dfdt_next, {_r(f'{_AT(1)} - 2 * {_AT(0)} + {_AT(-1)}', 6)} AS d2fdt2_now,
+ {_r(_AT(1), 6)} AS mag_1d, {_r(_AT(2), 6)} AS mag_2d, {_r(f'{_AT(3)} - {_AT(2)}', 6)} AS extrap_slope FROM hit GROUP BY object"""
 ORACLES["borrowed_offset"] = f"""WITH {v.DAILY}, sp AS (SELECT *, count(*) OVER (PARTITION BY object, band) AS np FROM mg), wanted AS (SELECT object, band, mag, mjd AS q FROM sp WHERE np < 5), {_LERP}
-SELECT object, band, {_r('median(mag - value)', 5)} AS "offset", count(*) AS n_points FROM at GROUP BY ALL"""
+SELECT object, band, {_r('median(mag - value)', 6)} AS "offset", count(*) AS n_points FROM hit GROUP BY ALL"""
 ORACLES["temperature_features"] = f"""WITH {v.DAILY}, tc AS (SELECT object, t, k, n, round(least(greatest(15000.0 * pow(10.0, (18.0 - m) / 5), 3000.0), 50000.0), 3) AS x FROM ix),
 w AS (SELECT *, lag(x) OVER o AS b, lead(x) OVER o AS a, lag(t) OVER o AS tb FROM tc WINDOW o AS (PARTITION BY object ORDER BY k))
 SELECT object, {_r('max(x)', 4)} AS t_peak, {_r('max(x) FILTER (k = n - 1)', 4)} AS t_now,
