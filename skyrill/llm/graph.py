@@ -55,15 +55,16 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
-def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, may_link: str = "true") -> DataFrame:
+def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, facts: tuple[str, ...] = (), may_link: str = "true") -> DataFrame:
     """(node, label) of all nodes with a link, given buckets that hold both ends of every link.
 
     ``shared`` (bucket, node, c) has the distinct members of each bucket of two
     nodes or more, with its smallest node c. ``verify`` turns candidates (a, b)
     into the links among them. ``bound``, if given, turns open nodes (node) into
-    facts (node, n, m) about those of them that can still have a link, from which the SQL condition ``may_link``
-    (over n, m of one and nx, mx of the other) rules out pairs that cannot be
-    links; it must hold for every link.
+    ``facts`` about those of them that can still have a link, from which the SQL
+    condition ``may_link`` (over the facts of one node and, with an x after the
+    name, of the other) rules out pairs that cannot be links; it must hold for
+    every link.
 
     First every bucket is a star: c against the other members. A bucket whose
     other members then lie in one component can add nothing. In the rest,
@@ -76,22 +77,22 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
     checked = stage(members.where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "checked")
     links = stage(verify(checked), "links")
     labels = stage(components(links), "labels")
-    rest = members.where("node <> c").select("bucket", "node", F.lit(0).alias("n"), F.lit(0).cast("long").alias("m"))
+    rest = members.where("node <> c").select("bucket", "node")
     centres, first = FIRST_CENTRES, True
     while True:
-        labelled = rest.join(labels, "node", "left").select("bucket", "node", "n", "m", F.coalesce("label", "node").alias("label"))
+        labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = _mixed(labelled)
         if bound and first:
             # Later rounds hold fewer nodes, for which the facts remain bounds.
             open_ = stage(open_, "open")
-            open_ = _mixed(open_.drop("n", "m").join(bound(open_.select("node").distinct()), "node"))
+            open_ = _mixed(open_.join(bound(open_.select("node").distinct()), "node"))
         first = False
         size = Window.partitionBy("bucket", "label")
         order = Window.partitionBy("bucket").orderBy("size", "label", "node")
         ranked = stage(open_.withColumn("size", F.count(F.lit(1)).over(size)).withColumn("k", F.row_number().over(order)).drop("size"), "open")
         if ranked.isEmpty():
             return labels
-        near = ranked.where(F.col("k") <= centres).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("k").alias("kx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+        near = ranked.where(F.col("k") <= centres).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("k").alias("kx"), *[F.col(f).alias(f"{f}x") for f in facts if bound])
         far = ranked.join(near, "bucket").where(f"k > kx and label <> lx and ({may_link})")
         pairs = far.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         fresh = stage(pairs.join(checked, ["a", "b"], "left_anti"), "checked")
@@ -99,4 +100,4 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
         checked, links = checked.union(fresh), links.union(found)
         if not found.isEmpty():
             labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found.select("a", "b"))), "labels")
-        rest, centres = ranked.where(F.col("k") > centres).select("bucket", "node", "n", "m"), centres * GROWTH
+        rest, centres = ranked.where(F.col("k") > centres).drop("label", "k"), centres * GROWTH

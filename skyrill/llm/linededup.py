@@ -11,8 +11,8 @@ of the band of 2 * edits + 1 diagonals finds at most ``edits`` edits. Linked
 lines form groups; of each group the first occurrence (by doc_id, then by
 place) stays and every other occurrence is removed.
 
-Lines are known by a 64-bit hash in the join: among n distinct lines about
-n**2 / 2**65 pairs share one, and only such a pair could be confused.
+Lines are known by a 64-bit hash: among n distinct lines about n**2 / 2**65
+pairs share one, and only such a pair could be confused.
 
 Defined results: a null text stays null and has no lines; blank and short lines
 stay; rows that repeat a doc_id and text count as one occurrence, and each is
@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import resolve
-from .shared import stage, table
+from .shared import stage, stage_bucketed, table
 
 EDITS = 2
 MIN_CHARS = 24
+#: Disjoint groups of characters: one edit changes their counts by two in all at most.
+GROUPS = ("ae", "io", "nr", "st", "hl", "du", "cm", " .,")
+FACTS = ("n", *(f"c{k}" for k in range(len(GROUPS))))
 
 
 def _line_list(text: Column) -> Column:
@@ -36,9 +39,9 @@ def _line_list(text: Column) -> Column:
 
 
 def occurrences(texts: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, h, g): every long line with its place and two hashes."""
+    """(doc_id, pos, line, h): every long line with its place and hash."""
     lines = texts.select("doc_id", F.posexplode(_line_list(F.col("text"))).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars).select("doc_id", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
+    return lines.where(F.length("line") >= min_chars).select("doc_id", "pos", "line", F.xxhash64("line").alias("h"))
 
 
 def segments(edits: int) -> list[tuple[str, str]]:
@@ -71,13 +74,23 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
     return probes
 
 
+def may_link(edits: int) -> str:
+    """SQL over ``FACTS`` of two lines that holds whenever they are within ``edits`` edits."""
+    bags = " + ".join(f"abs({f} - {f}x)" for f in FACTS[1:])
+    return f"abs(n - nx) <= {edits} and {bags} <= {2 * edits}"
+
+
+def describe(lines: DataFrame) -> DataFrame:
+    """(node, line) with ``FACTS``: length and counts of each group of characters."""
+    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"c{k}") for k, g in enumerate(GROUPS)]
+    return lines.select("node", "line", F.length("line").alias("n"), *counts)
+
+
 def _edit_links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose lines differ by at most ``edits`` edits."""
-    both = (
-        pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-        .join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        .where(F.abs(F.length("x") - F.length("y")) <= edits)
-    )
+    """The pairs (a, b) of ``pairs`` whose described lines differ by at most ``edits`` edits."""
+    x = lines.select(F.col("node").alias("a"), F.col("line").alias("x"), *FACTS)
+    y = lines.select(F.col("node").alias("b"), F.col("line").alias("y"), *[F.col(f).alias(f"{f}x") for f in FACTS])
+    both = pairs.join(x, "a").join(y, "b").where(may_link(edits))
     # Each step is bound to a name once; as columns the optimiser would copy them into every use.
     cut = "named_struct('x', reverse(substring({0}.x, {0}.p + 1)), 'y', reverse(substring({0}.y, {0}.p + 1)))"
     distance = _let("named_struct('x', x, 'y', y)", "s0", _let(_shared_start("s0"), "s1", _let(cut.format("s1"), "s2", _let(_shared_start("s2"), "s3", _let(cut.format("s3"), "s4", banded_distance("s4.x", "s4.y", edits))))))
@@ -130,13 +143,17 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occ = occurrences(texts, min_chars)
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    distinct = occ.groupBy("h", "g").agg(first, F.max(F.struct("doc_id", "pos")).alias("last"), F.min("line").alias("line"))
-    lines = stage(distinct, "lines")
-    members = keys(lines, edits)
-    # The bucket's smallest and largest node in one sort; equal lines have met already.
+    last = F.max(F.struct("doc_id", "pos")).alias("last")
+    lines = stage_bucketed(occ.groupBy("h").agg(first, last, F.min("line").alias("line")), "lines", "h")
+    # The smallest and largest node of each bucket in one sort; equal lines have met already.
     w = Window.partitionBy("bucket")
-    shared = members.withColumn("c", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("c <> top").select("bucket", "node", "c").distinct()
-    labels = resolve(shared, lambda pairs: _edit_links(pairs, lines, edits))
+    shared = keys(lines, edits).withColumn("c", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("c <> top")
+    shared = stage(shared.select("bucket", "node", "c").distinct(), "shared")
+    # Only lines that share a key are read again; the bucketed table is not shuffled for it.
+    wanted = shared.select(F.col("node").alias("h")).distinct()
+    known = stage(describe(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("node"), "line")), "candidates")
+    facts = known.select("node", *FACTS)
+    labels = resolve(shared, lambda pairs: _edit_links(pairs, known, edits), lambda nodes: facts.join(nodes, "node", "left_semi"), FACTS, may_link(edits))
     grouped = lines.select("h", "first", "last").join(labels.withColumnRenamed("node", "h"), "h", "left")
     heads = grouped.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
     repeated = (

@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # i / (n + nx - i) >= threshold needs i >= threshold / (1 + threshold) * (n + nx), and i <= m, i <= mx.
     fits = f"{100 + THRESHOLD_PERCENT} * least(m, mx) >= {THRESHOLD_PERCENT} * (n + nx)"
-    labels = resolve(members, verify, bound, f"({fits}) and 100 * least(n, nx) >= {THRESHOLD_PERCENT} * greatest(n, nx)")
+    labels = resolve(members, verify, bound, ("n", "m"), f"({fits}) and 100 * least(n, nx) >= {THRESHOLD_PERCENT} * greatest(n, nx)")
     component = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     return (
         sketch.select("doc_id", "n_shingles", "digest")
