@@ -12,7 +12,7 @@ from .catalog import CANDIDATES, ORDER
 
 
 def _r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr}, {digits}) + 0::DOUBLE)"
 
 
 def _log_cdf(x: str) -> str:
