@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,17 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (flat.mix(h) >> _U(64 - BUCKET_BITS)).astype(np.int32)
+
+
 def word_grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every n-gram of words given as byte ranges, borders marked by 60 and 62; a word is its own n-gram too."""
     size = end - start + 2
     stop = np.cumsum(size)
     begin = stop - size
     place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(begin, size)
-    word = np.repeat(np.arange(len(start)), size)
+    word = np.repeat(np.arange(len(start), dtype=np.int32), size)
     source = np.clip(np.repeat(start, size) + place - 1, 0, max(len(buf) - 1, 0))
     wide = np.where(place == 0, 60, buf[source]).astype(np.uint8) if len(buf) else np.zeros(0, np.uint8)
     wide[stop - 1] = 62
@@ -73,10 +78,10 @@ def word_grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
             code = code * _U(0x9E3779B97F4A7C15) + (wide[k : k + len(code)].astype(_U) + _U(n))
         ok = place[: len(code)] + n <= size[word[: len(code)]]
         words.append(word[: len(code)][ok])
-        hashes.append(code[ok])
-    words.append(np.arange(len(start)))
-    hashes.append(flat.span_hash(wide, begin, stop))
-    return np.concatenate(words), (flat.mix(np.concatenate(hashes)) >> _U(64 - BUCKET_BITS)).astype(np.int64)
+        hashes.append(_bucket(code[ok]))
+    words.append(np.arange(len(start), dtype=np.int32))
+    hashes.append(_bucket(flat.span_hash(wide, begin, stop)))
+    return np.concatenate(words), np.concatenate(hashes)
 
 
 class Tokens:
@@ -240,8 +245,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
-    sample = sorted((r.doc_id, r.text or "", r.toxic) for r in texts.join(picked, "doc_id").collect())
-    return train([x[1] for x in sample], [x[2] for x in sample])
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "text"])
+        model = train(frame["text"].fillna("").tolist(), frame["toxic"].tolist())
+        return pd.DataFrame({"gram_score": [model.gram_score.tolist()], "bias": [model.bias]})
+
+    # The sample is bounded, so one task holds it; the driver receives the model only.
+    rows_ = texts.join(picked, "doc_id").groupBy(F.lit(0).alias("all")).applyInPandas(learn, "gram_score array<float>, bias double").collect()
+    if not rows_:
+        return Model(np.zeros(1 << BUCKET_BITS), 0.0)
+    return Model(np.array(rows_[0].gram_score), rows_[0].bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
