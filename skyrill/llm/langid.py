@@ -158,7 +158,7 @@ def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host:
     confusion = said.select("declared", F.array(*[(F.col(f"n{k}") + 0.5) / F.lit(heard[k] + 0.5 * (len(names) + 1)) for k in range(len(names))]).alias("says"))
     joined = scored.join(prior, "host", "left").join(confusion, "declared", "left")
     log = [F.log(F.col("prior")[k]) + F.coalesce(F.log(F.col("says")[k]), F.lit(0.0)) + F.col("ll")[k] for k in range(len(names))]
-    fused = joined.select("doc_id", "best", "declared", F.array(*log).alias("log"), (F.exists("ll", lambda x: x != 0) | (F.col("declared") != "")).alias("any"))
+    fused = joined.select("doc_id", "best", F.array(*log).alias("log"), (F.exists("ll", lambda x: x != 0) | (F.col("declared") != "") | (F.col("host") != "")).alias("any"))
     fused = fused.withColumn("top", F.array_max("log")).withColumn("at", F.expr("array_position(log, top)").cast("int"))
     name = F.array(*map(F.lit, names))
     confidence = F.lit(1.0) / F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))

@@ -2,8 +2,9 @@
 
 Writing goes through Spark's text sink with the end of a record as the line
 separator, so committed files are whole even when tasks are retried and any
-file system that Spark writes will do. Files stay uncompressed, which keeps
-them splittable.
+file system that Spark writes will do. Files are gzip streams of bounded record
+counts, each read by one task; with compression ``none`` they are splittable,
+and large files of others are read block by block.
 
 Reading never trusts the magic ``WARC/1.0`` alone, since a payload may hold it.
 Spark splits every file at that mark; each piece is a candidate record whose
@@ -65,7 +66,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Write one record for each row of ``plan_records``; a revisit has no body and names its response."""
     revisit = F.col("refers_to").isNotNull()
     clean_url = F.regexp_replace("url", r"[\r\n]+", " ")
@@ -82,7 +83,7 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = RECORD
         F.lit(END),
         F.when(revisit, "").otherwise(F.col("payload")),
     )
-    records.select(header.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(header.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def _length(header: bytes) -> int:
