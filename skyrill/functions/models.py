@@ -275,26 +275,27 @@ def kilonova(theta: np.ndarray, t: np.ndarray) -> np.ndarray:
         last = np.maximum(phase.max(1, initial=0.01), 0.01)
         span = np.log(last * 1.05) - np.log(0.01)
         grid = np.exp(np.log(0.01) + span[:, None] * np.linspace(0, 1, STEPS)[None, :])
+        # All that depends on time alone is computed for the whole grid; the loop carries energies, speed and radius.
+        sec = grid * DAY
+        q = 0.34 * grid**0.74
+        thermal = 0.36 * (np.exp(-0.56 * grid) + np.where(q > 1e-10, np.log1p(q) / np.where(q > 0, q, 1), 1.0))
+        free = NEUTRONS * np.exp(-sec / 900.0)
+        r_process = 2e18 * thermal * np.maximum(0.5 - np.arctan((sec - 1.3) / 0.11) / np.pi, 1e-30) ** 1.3
+        heating = (mass[:, None] * (3.2e14 * free + r_process) / SCALE).T
+        delay = (3 * (0.4 * (NEUTRONS - free) + kappa[:, None] * (1.0 - NEUTRONS)) * mass[:, None] / (4 * np.pi * LIGHT * sec)).T
+        steps = np.diff(sec, axis=1).T
         heat_e = kin_e = 0.5 * mass * speed**2 / SCALE
-        radius, light = grid[:, 0] * DAY * speed, []
+        radius, light = sec[:, 0] * speed, []
         for k in range(STEPS):
-            day, sec = grid[:, k], grid[:, k] * DAY
-            q = 0.34 * day**0.74
-            thermal = 0.36 * (np.exp(-0.56 * day) + np.where(q > 1e-10, np.log1p(q) / np.where(q > 0, q, 1), 1.0))
-            free = NEUTRONS * np.exp(-sec / 900.0)
-            r_process = 2e18 * thermal * np.maximum(0.5 - np.arctan((sec - 1.3) / 0.11) / np.pi, 1e-30) ** 1.3
-            heating = mass * (3.2e14 * free + r_process) / SCALE
-            opacity = 0.4 * (NEUTRONS - free) + kappa * (1.0 - NEUTRONS)
-            escape = 3 * opacity * mass / (4 * np.pi * LIGHT * speed * sec) + radius / LIGHT
+            escape = delay[k] / speed + radius / LIGHT
             lost = np.where((heat_e > 0) & (escape > 0), heat_e / escape, 0.0)
             light.append(lost)
-            work = np.where(radius > 0, heat_e * speed / radius, 0.0)
             if k + 1 < STEPS:
-                dt = (grid[:, k + 1] - day) * DAY
-                heat_e = np.abs(heat_e + (heating - work - lost) * dt)
-                kin_e = kin_e + work * dt
+                work = np.where(radius > 0, heat_e * speed / radius, 0.0)
+                heat_e = np.abs(heat_e + (heating[k] - work - lost) * steps[k])
+                kin_e = kin_e + work * steps[k]
                 speed = np.minimum(np.sqrt(2 * kin_e * SCALE / mass), LIGHT)
-                radius = radius + speed * dt
+                radius = radius + speed * steps[k]
         light = np.stack(light, 1)
         peak = light.max(1)
         out = np.stack([np.interp(x, g, c / p) for x, g, c, p in zip(phase, grid, light, peak)])
@@ -313,11 +314,10 @@ def flux_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
 def gradient_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
     """(P, n, k) derivatives; forward differences of 1e-5 for the integrated model."""
     if model.flux is None:
-        base, out = kilonova(theta, t), np.zeros((len(theta), len(t), 5))
-        for k in range(4):
-            moved = theta.copy()
-            moved[:, k] += 1e-5
-            out[:, :, k] = (kilonova(moved, t) - base) / 1e-5
+        moved = np.concatenate([theta, *(theta + 1e-5 * np.eye(5)[k] for k in range(4))])
+        f = kilonova(moved, t).reshape(5, len(theta), len(t))
+        out = np.zeros((len(theta), len(t), 5))
+        out[:, :, :4] = np.moveaxis((f[1:] - f[0]) / 1e-5, 0, 2)
         return out
     with np.errstate(all="ignore"):
         d = model.gradient(NumpyOps, [theta[:, [k]] for k in range(theta.shape[1])], t[None, :])

@@ -151,7 +151,7 @@ def variational(model: Model, band: Band, start: np.ndarray, rng: np.random.Gene
         elbo = float(np.where(counts, ll - 0.5 * (pull**2).sum(1), 0).sum() / samples + log_s.sum() + 0.5 * k * math.log(2 * math.pi * math.e))
         g = -np.concatenate([g_mu, g_log])
         ok = np.isfinite(g)
-        g = np.where(ok, g, 0.0)
+        g = np.clip(np.where(ok, g, 0.0), -1e100, 1e100)
         first, second = np.where(ok, 0.9 * first + 0.1 * g, first), np.where(ok, 0.999 * second + 0.001 * g * g, second)
         x = x - np.where(ok, rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), 0.0)
         x[k:] = np.clip(x[k:], -6.0, 2.0)
@@ -209,6 +209,8 @@ def refine_onset(model: Model, mu: np.ndarray, band: Band, points: int = 50) ->
 def posterior_bands(model: Model, mu: np.ndarray, sigma: np.ndarray, times: np.ndarray, peak: float, zero_point: float, rng: np.random.Generator, draws: int = 200) -> np.ndarray:
     """(3, n) magnitudes at the 16th, 50th and 84th percentile of posterior draws."""
     theta = mu + sigma * rng.standard_normal((draws, len(mu)))
-    flux = np.maximum(np.nan_to_num(flux_numpy(model, theta, times) * peak, nan=1e-12, posinf=1e-12, neginf=1e-12), 1e-12)
+    with np.errstate(all="ignore"):
+        flux = flux_numpy(model, theta, times) * peak
+    flux = np.maximum(np.nan_to_num(flux, nan=1e-12, posinf=1e-12, neginf=1e-12), 1e-12)
     mags = np.sort(-2.5 * np.log10(flux) + zero_point, axis=0)
     return mags[[int(draws * 0.16), draws // 2, int(draws * 0.84)]]
