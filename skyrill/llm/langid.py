@@ -5,8 +5,8 @@ For each document the posterior over languages (and ``UNKNOWN``) is
     P(l | all) ~ P_host(l) * P(declared | l) * P(text | l)
 
 * ``P(text | l)``: a multinomial over hashed byte trigrams, learned from a
-  bounded sample (``SAMPLE_ROWS`` rows, those of smallest hash) of rows that
-  declare a language, tempered to ``EVIDENCE`` trigrams so that long texts are
+  bounded sample (about ``SAMPLE_ROWS`` rows, by a threshold on a hash) of rows
+  that declare a language, tempered to ``EVIDENCE`` trigrams so that long texts are
   not overconfident; ``UNKNOWN`` is the flat distribution over seen trigrams;
 * ``P(declared | l)``: how often documents whose text says l declare each
   language, counted over all rows and smoothed; nothing declared is no evidence;
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import stage, table
+from .shared import bounded_sample, stage, table
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 4000
@@ -93,11 +93,11 @@ class TextModel:
         return out / np.maximum(n, 1)[:, None] * (EVIDENCE * n / (n + FULL_TEXT))[:, None]
 
 
-def fit_text(docs: DataFrame, text: Column, declared: Column, rows: int = SAMPLE_ROWS) -> TextModel:
-    """Learn from at most ``rows`` rows that declare a language, of at most 20,000 bytes each."""
-    sample = docs.select(declared.alias("lang"), F.lower(text).alias("text")).where("lang is not null and length(text) between 20 and 20000")
-    sample = sample.orderBy(F.xxhash64("text", "lang")).limit(rows)
-    return TextModel([(r.lang, r.text) for r in sample.collect()])
+def fit_text(docs: DataFrame, id_col: str, text: Column, declared: Column, rows: int = SAMPLE_ROWS) -> TextModel:
+    """Learn from about ``rows`` rows that declare a language and hold 20 to 20,000 characters."""
+    known = docs.select(F.col(id_col).alias("id"), declared.alias("lang"), text.alias("text")).where("lang is not null and length(text) between 20 and 20000")
+    sample = bounded_sample(known, rows, "id", "lang").select("lang", F.lower("text").alias("text"))
+    return TextModel(sorted((r.lang, r.text) for r in sample.collect()))
 
 
 def suffix_of(host: Column) -> Column:
@@ -118,7 +118,7 @@ def markup_language(html: Column) -> Column:
 def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host: Column, model: TextModel | None = None) -> DataFrame:
     """(doc_id, language, confidence, text_language, kept) for every row."""
     spark = docs.sparkSession
-    model = model or fit_text(docs, text, declared)
+    model = model or fit_text(docs, id_col, text, declared)
     names = [*model.langs, UNKNOWN]
     held = spark.sparkContext.broadcast(model)
 

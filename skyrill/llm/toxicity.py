@@ -9,8 +9,8 @@ the classes, then embeddings and softmax are trained jointly (Adam) on each
 document's highest window until a fifth of the training rows, set apart, no
 longer gains.
 
-Training rows: labelled rows that are not held out, at most ``SAMPLE_ROWS`` of
-each class, those of smallest hash. Only the text is an input of a score.
+Training rows: labelled rows that are not held out, about ``SAMPLE_ROWS`` of
+each class at most, by a threshold on a hash. Only the text is an input of a score.
 
 Defined results: a null or empty text has the score of a window without
 evidence; held out are rows whose crc32 of the doc_id as text leaves 1 modulo
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import table
+from .shared import bounded_sample, table
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 60_000
@@ -238,11 +238,11 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` labelled rows of each class that are not held out."""
+    """Train on about ``rows`` labelled rows at most of each class that are not held out."""
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The bounded choice is made on narrow rows; its ids then pick the texts.
-    chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    chosen = [bounded_sample(known.where(F.col("toxic") == k), rows, "doc_id") for k in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
 
