@@ -18,7 +18,7 @@ def write_parameters(params: DataFrame, path: str) -> None:
 def write_features(features: DataFrame, path: str) -> None:
     """Feature table as CSV with fixed decimals; missing values are written as NaN."""
     numbers = [c for c, t in features.dtypes if t == "double"]
-    cells = {c: F.coalesce(F.when(~F.isnan(c), F.format_string(f"%.{DECIMALS.get(c, 3)}f", F.col(c))), F.lit("NaN")) for c in numbers}
+    cells = {c: F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string(f"%.{DECIMALS.get(c, 3)}f", F.col(c))), F.lit("NaN")) for c in numbers}
     features.withColumns(cells).write.mode("overwrite").option("header", True).csv(path)
 
 
