@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-
 #: Centres of a bucket in the first round after its star, and their growth from round to round.
-FIRST_CENTRES, GROWTH = 16, 8
+FIRST_CENTRES, GROWTH = 64, 16
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads a node of one edge to a root: then v is the label of u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per_node.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,19 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stage(e, "edges")
-    seen = _fingerprint(e)
-    while seen[0]:
+    while not _is_forest_of_stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        turned = large.join(low, "u")
-        small = turned.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(low.select("u", F.col("m").alias("v")).union(small).distinct(), "edges")
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("v", "v"))
 
@@ -55,10 +51,20 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only the labels that the links join are worked on."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    moved = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    moved = stage(moved, "moved")
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return old.union(moved.join(labels, "node", "left_anti").select("node", "label"))
+
+
 def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, facts: tuple[str, ...] = (), may_link: str = "true") -> DataFrame:
     """(node, label) of all nodes with a link, given buckets that hold both ends of every link.
 
-    ``shared`` (bucket, node, c) has the distinct members of each bucket of two
+    ``shared`` (bucket, node, c), a staged table, has the distinct members of each bucket of two
     nodes or more, with its smallest node c. ``verify`` turns candidates (a, b)
     into the links among them. ``bound``, if given, turns open nodes (node) into
     ``facts`` about those of them that can still have a link, from which the SQL
@@ -73,7 +79,7 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
     left, every pair that could still join two components has been verified,
     so the components are exact although most pairs were never formed.
     """
-    members = stage(shared, "members")
+    members = shared
     checked = stage(members.where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "checked")
     links = stage(verify(checked), "links")
     labels = stage(components(links), "labels")
@@ -99,5 +105,5 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound:
         found = stage(verify(fresh), "links")
         checked, links = checked.union(fresh), links.union(found)
         if not found.isEmpty():
-            labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found.select("a", "b"))), "labels")
+            labels = stage(_merge(labels, found), "labels")
         rest, centres = ranked.where(F.col("k") > centres).drop("label", "k"), centres * GROWTH

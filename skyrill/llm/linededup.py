@@ -30,7 +30,7 @@ from .shared import stage, stage_bucketed, table
 EDITS = 2
 MIN_CHARS = 24
 #: Disjoint groups of characters: one edit changes their counts by two in all at most.
-GROUPS = ("ae", "io", "nr", "st", "hl", "du", "cm", " .,")
+GROUPS = tuple("abcdefghiklmnoprstuvwyz ")
 FACTS = ("n", *(f"c{k}" for k in range(len(GROUPS))))
 
 
@@ -172,7 +172,8 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and n_lines and n_dropped."""
     gone = stage(duplicates(docs, edits, min_chars), "dropped").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    # One plan at every size: a broadcast of the removals would turn into a shuffle of the texts as they grow.
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), dropped))")
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col("__lines")[i]), "\n"))
     out = joined.withColumn("__lines", _line_list(F.col("text").cast("string"))).withColumn("text", text)
