@@ -76,3 +76,14 @@ def min_lengthscale(rows: DataFrame) -> DataFrame:
     steps = rows.withColumn("step", F.col("mjd") - F.lag("mjd").over(w)).where("step is not null")
     g = steps.groupBy("object", "band").agg(upper_median(F.collect_list("step")).alias("step"), F.count(F.lit(1)).alias("n_steps"))
     return g.select("object", "band", F.greatest(2 * F.col("step"), F.lit(0.1)).alias("min_lengthscale"), "n_steps")
+
+
+def noise_fraction(rows: DataFrame) -> DataFrame:
+    """Median of error over flux of each band's positive fluxes."""
+    ratio = F.when(F.col("flux") > 0, F.col("err") / F.col("flux"))
+    return rows.groupBy("object", "band").agg(F.median(ratio).alias("noise_fraction"))
+
+
+def display_error(rows: DataFrame, default: float = 0.1) -> DataFrame:
+    """Magnitude error of each flux; ``default`` where the flux is not positive."""
+    return rows.withColumn("mag_err", F.coalesce(flux_to_mag_err(F.col("flux"), F.col("err")), F.lit(default)))

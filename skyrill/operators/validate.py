@@ -68,6 +68,13 @@ def accuracy(models: DataFrame, natural: dict[str, list[str]]) -> DataFrame:
     return models.withColumn("right", right.cast("double")).rollup("class").agg(F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy"))
 
 
+def compare_parameters(params: DataFrame) -> DataFrame:
+    """Swarm value against posterior mean of each parameter: count, correlation and median difference over finite triples."""
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("pso_value", "svi_mean", "svi_std")]
+    g = params.where(ok[0] & ok[1] & ok[2]).groupBy("param")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.corr("pso_value", "svi_mean").alias("r"), F.median(F.col("svi_mean") - F.col("pso_value")).alias("median_difference"), F.median("svi_std").alias("median_std"))
+
+
 def throughput(results: DataFrame, wall_seconds: float) -> DataFrame:
     """Objects and bands a second from results (object, band, fit_seconds)."""
     n, m = F.count_distinct("object"), F.count(F.lit(1))

@@ -12,6 +12,7 @@ from ..operators import features as feat
 from ..operators import fitters, ml, photometry, prep, selection, validate
 from ..operators.flags import alert_flags
 from ..sources.readers import explode_bundle, sanitize
+from ..sources.writers import report
 from . import views as v
 
 #: Fixed candidates of the deterministic model selection.
@@ -122,6 +123,24 @@ def min_lengthscale(spark, sf_dir):
     return _round(prep.min_lengthscale(v.events_curve(spark, sf_dir)))
 
 
+def noise_fraction(spark, sf_dir):
+    return _round(prep.noise_fraction(v.events_curve(spark, sf_dir)))
+
+
+def display_error(spark, sf_dir):
+    e = v.events_curve(spark, sf_dir).withColumn("flux", F.when(F.col("pos") % 4 == 0, -F.col("flux")).otherwise(F.col("flux")))
+    return _round(prep.display_error(e).select("pos", "mag_err"))
+
+
+def rate_report(spark, sf_dir):
+    return report(photometry.band_rates(v.events_mags(spark, sf_dir)))
+
+
+def compare_parameters(spark, sf_dir):
+    e = v.events_mags(spark, sf_dir)
+    return _round(validate.compare_parameters(e.select(F.col("band").alias("param"), F.col("mag").alias("pso_value"), (F.col("mag") + F.col("mag_err")).alias("svi_mean"), F.col("mag_err").alias("svi_std"))))
+
+
 def log_cdf(spark, sf_dir):
     e = v.table(spark, sf_dir, "events")
     x = (F.col("value") - 100) / 10
@@ -314,7 +333,7 @@ def outliers(spark, sf_dir):
 def queries() -> dict:
     q = [
         alert_band_peaks, alert_all_bands, alert_rates, alert_pivot, merge_dedup, njy_value_choice, prepare_obs, prepare_obs_flux, normalize_upper_limits, reference_band,
-        subsample25, min_lengthscale, pso_cost_grid, model_select, t0_profile_refine, mag_chi2, baseline_chi2, grid_points, grid_timescales, grid_shape, interp_at,
+        subsample25, min_lengthscale, noise_fraction, display_error, rate_report, compare_parameters, pso_cost_grid, model_select, t0_profile_refine, mag_chi2, baseline_chi2, grid_points, grid_timescales, grid_shape, interp_at,
         borrowed_offset, temperature_curve, temperature_features, percentile_band, impute_median, variance_importance, class_stats, label_encode, feature_summary, feature_pivot,
         join_classes, method_compare, ratio_hist, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve,
         simulate, train_classifier, classification_report, outliers,

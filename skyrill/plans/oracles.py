@@ -81,6 +81,9 @@ ORACLES = {
     "reference_band": f"WITH {v.EV}, c AS (SELECT object, band, count(*) AS n_points FROM ev GROUP BY ALL HAVING count(*) >= 5) SELECT *, row_number() OVER (PARTITION BY object ORDER BY n_points DESC, band) AS rank FROM c",
     "subsample25": f"WITH {v.IT}, r AS (SELECT *, count(*) OVER (PARTITION BY object, band) AS n, row_number() OVER (PARTITION BY object, band ORDER BY mjd, p1, p2) - 1 AS k FROM it) SELECT object, band, p1 AS l_orderkey, p2 AS l_linenumber, {_r('mjd')} AS mjd FROM r WHERE n <= 30 OR k IN (SELECT floor((i + 0.5) * n / 25.0)::BIGINT FROM range(25) g(i))",
     "min_lengthscale": f"WITH {v.EV}, s AS (SELECT object, band, mjd - lag(mjd) OVER (PARTITION BY object, band ORDER BY mjd, pos) AS step FROM ev), g AS (SELECT object, band, list_sort(list(step)) AS x FROM s WHERE step IS NOT NULL GROUP BY ALL) SELECT object, band, {_r('greatest(2 * x[len(x) // 2 + 1], 0.1)')} AS min_lengthscale, len(x) AS n_steps FROM g",
+    "noise_fraction": f"WITH {v.EV} SELECT object, band, {_r('median(err / flux) FILTER (flux > 0)')} AS noise_fraction FROM ev GROUP BY ALL",
+    "display_error": f"WITH {v.EV} SELECT pos, {_r('CASE WHEN pos % 4 <> 0 AND flux > 0 THEN 1.0857 * err / flux ELSE 0.1 END')} AS mag_err FROM ev",
+    "compare_parameters": f"WITH {v.MG} SELECT band AS param, count(*) AS n, {_r('corr(mag, mag + mag_err)')} AS r, {_r('median((mag + mag_err) - mag)')} AS median_difference, {_r('median(mag_err)')} AS median_std FROM mg GROUP BY band",
     "log_normal_cdf": f"SELECT event_id, {_r(_log_cdf('(value - 100) / 10'))} AS log_cdf FROM events",
     "pso_cost_grid": f"WITH {v.REL}, {COSTS} SELECT object, band, model, {_r('cost', 3)} AS cost FROM costs",
     "model_select": f"WITH {v.REL}, c0 AS (SELECT 1), {COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {_r('cost', 3)} AS cost FROM raw), {BEST} SELECT * FROM best",
