@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import resolve
-from .shared import stage, stage_bucketed, table
+from .shared import scratch, stage, stage_bucketed, table
 
 EDITS = 2
 MIN_CHARS = 24
@@ -171,7 +171,8 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and n_lines and n_dropped."""
-    gone = stage(duplicates(docs, edits, min_chars), "dropped").withColumnRenamed("doc_id", "__id")
+    with scratch(docs.sparkSession):
+        gone = stage(duplicates(docs, edits, min_chars), "dropped", keep=True).withColumnRenamed("doc_id", "__id")
     # One plan at every size: a broadcast of the removals would turn into a shuffle of the texts as they grow.
     joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), dropped))")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .graph import resolve
-from .shared import stage, table
+from .shared import scratch, stage, table
 
 SHINGLE_WORDS = 5
 BANDS = 64
@@ -133,6 +133,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
+    with scratch(docs.sparkSession):
+        return stage(_near_duplicates(docs, id_col, text_col), "near", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stage(texts.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
     classes = stage(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
