@@ -16,7 +16,9 @@ pairs share one, and only such a pair could be confused.
 
 Defined results: a null text stays null and has no lines; blank and short lines
 stay; rows that repeat a doc_id and text count as one occurrence, and each is
-cleaned alike; an empty table gives an empty table; other columns pass through.
+cleaned alike; an empty table gives an empty table; other columns pass through, but
+``n_lines`` and ``n_dropped``, which are replaced; rows of a null doc_id are first
+occurrences and lose nothing.
 """
 
 from __future__ import annotations
@@ -172,14 +174,14 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and n_lines and n_dropped."""
     with scratch(docs.sparkSession):
-        gone = stage(duplicates(docs, edits, min_chars), "dropped", keep=True).withColumnRenamed("doc_id", "__id")
+        gone = stage(duplicates(docs, edits, min_chars), "dropped", keep=True).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     # One plan at every size: a broadcast of the removals would turn into a shuffle of the texts as they grow.
     joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), dropped))")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col("__lines")[i]), "\n"))
+    keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), __dropped))")
+    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col("__lines")[i]), "\n"))
     out = joined.withColumn("__lines", _line_list(F.col("text").cast("string"))).withColumn("text", text)
-    out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-    return out.drop("__lines", "dropped", "__id")
+    out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
+    return out.drop("__lines", "__dropped", "__id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

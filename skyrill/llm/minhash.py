@@ -172,7 +172,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (
         sketch.select("doc_id", "n_shingles", "digest")
         .join(component, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), (F.coalesce("label", "doc_id") == F.col("doc_id")).alias("kept"))
+        .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("label", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
     )
 
 

@@ -84,3 +84,11 @@ def test_empty_and_repeated_rows(spark, docs_of):
     line = "a line of more than twenty-four characters"
     rows = linededup.dedup_lines(docs_of([f"{line}\n{line}\nend"]).union(docs_of([f"{line}\n{line}\nend"]))).collect()
     assert [r.text for r in rows] == [f"{line}\nend"] * 2
+
+
+def test_clashing_columns_and_null_ids(spark):
+    line = "a line of more than twenty-four characters"
+    rows = [(1, line, 1, 2, 3, 4), (2, f"{line}!\nx", 1, 2, 3, 4), (None, "another line of more than 24 characters", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped int, node int, label int, pos int")
+    got = {r.doc_id: (r.text, r.dropped, r.pos) for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: (line, 1, 4), 2: ("x", 1, 4), None: (rows[2][1], 1, 4)}

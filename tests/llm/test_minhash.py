@@ -73,3 +73,10 @@ def test_signature_estimates_similarity():
     j = len(set(h[doc == 0]) & set(h[doc == 1])) / len(set(h[doc <= 1]))
     assert abs(np.mean(s[0] == s[1]) - j) < 0.1
     assert len(set(s[2].tolist())) == 1  # one shingle fills every bin
+
+
+def test_null_ids(spark):
+    text = "some words that are said by two documents"
+    df = spark.createDataFrame([(None, text, 0), (3, text, 0), (None, "words of only one document without an id", 0)], "doc_id long, text string, bucket int")
+    got = sorted((r.component_id or -1, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(-1, True), (3, False), (3, True)]
