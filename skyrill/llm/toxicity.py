@@ -9,7 +9,8 @@ the classes, then embeddings and softmax are trained jointly (Adam) on each
 document's highest window until a fifth of the training rows, set apart, no
 longer gains.
 
-Training rows: labelled rows that are not held out, about ``SAMPLE_ROWS`` of
+Training rows: labelled rows that are not held out and hold at most
+``SAMPLE_CHARS`` characters (whole texts), about ``SAMPLE_ROWS`` of
 each class at most, by a threshold on a hash. Only the text is an input of a score.
 
 Defined results: a null or empty text has the score of a window without
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # The bounded choice is made on narrow rows; its ids then pick the texts.
     chosen = [bounded_sample(known.where(F.col("toxic") == k), rows, "doc_id") for k in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
