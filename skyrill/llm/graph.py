@@ -47,8 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one label."""
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(mixed, "bucket")
+    w = Window.partitionBy("bucket")
+    spread = rows.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+    return spread.where("lo <> hi").drop("lo", "hi")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
