@@ -15,8 +15,8 @@ from skyrill.llm.shared import stage, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; the planner broadcasts ``ids`` only if it is small."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    """``docs`` without the rows whose doc_id is in ``ids``; a sort-merge join at every size, as ``ids`` grow with the documents."""
+    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Only declarations that the evidence overrules are looked up again.
     changed = verdict.where("kept").join(docs.select("doc_id", "lang"), "doc_id").where(~F.col("language").eqNullSafe(F.col("lang")))
     changed = changed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("language").alias("__language"))
-    out = kept.join(changed, F.col("doc_id") == F.col("__id"), "left").withColumn("lang", F.coalesce("__language", "lang"))
+    out = kept.join(changed.hint("merge"), F.col("doc_id") == F.col("__id"), "left").withColumn("lang", F.coalesce("__language", "lang"))
     return out.select(docs.columns)
 
 

@@ -147,7 +147,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("node").alias("c"), F.max("node").alias("top")).where("c <> top").select("bucket", "c")
     members = stage(rows.join(shared, "bucket").select("bucket", "node", "c").distinct(), "shared")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "sets")
+    sets = stage(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = (
