@@ -1,7 +1,8 @@
 """Line dedup: a segment-partition edit join in DataFrame operations only.
 
-Lines of at least ``MIN_CHARS`` characters take part. Equal lines form one
-class. A line within ``edits`` edits of a line cut into ``edits + 1`` segments
+Lines of at least ``MIN_CHARS`` characters take part, and with ``exact_short``
+every shorter line that is not blank. Equal lines form one class; shorter lines
+have no other links, as two edits would join unlike ones. A line within ``edits`` edits of a line cut into ``edits + 1`` segments
 contains one of the segments unchanged, at a place the number of edits bounds.
 Each distinct line therefore publishes its segments and probes, for each line
 length it could match, the substrings at those places; keys carry the length
@@ -14,8 +15,8 @@ place) stays and every other occurrence is removed.
 Lines are known by a 64-bit hash: among n distinct lines about n**2 / 2**65
 pairs share one, and only such a pair could be confused.
 
-Defined results: a null text stays null and has no lines; blank and short lines
-stay; rows that repeat a doc_id and text count as one occurrence, and each is
+Defined results: a null text stays null and has no lines; blank lines stay, and
+without ``exact_short`` all short ones; rows that repeat a doc_id and text count as one occurrence, and each is
 cleaned alike; an empty table gives an empty table; other columns pass through, but
 ``n_lines`` and ``n_dropped``, which are replaced; rows of a null doc_id are first
 occurrences and lose nothing.
@@ -40,10 +41,13 @@ def _line_list(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def occurrences(texts: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, h): every long line with its place and hash."""
+def occurrences(texts: DataFrame, min_chars: int, exact_short: bool = False) -> DataFrame:
+    """(doc_id, pos, line, h): every line that takes part, with its place and hash."""
     lines = texts.select("doc_id", F.posexplode(_line_list(F.col("text"))).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars).select("doc_id", "pos", "line", F.xxhash64("line").alias("h"))
+    takes_part = F.length("line") >= min_chars
+    if exact_short:
+        takes_part |= F.col("line").rlike(r"[^\s\p{Z}]")
+    return lines.where(takes_part).select("doc_id", "pos", "line", F.xxhash64("line").alias("h"))
 
 
 def segments(edits: int) -> list[tuple[str, str]]:
@@ -140,16 +144,16 @@ def banded_distance(x: str, y: str, edits: int) -> str:
         st -> st.d - cast(bit_count(st.vp & {below}) as int) + cast(bit_count(st.vn & {below}) as int)))"""
 
 
-def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """(doc_id, dropped): places of the lines to remove, for documents that have some."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occ = occurrences(texts, min_chars)
+    occ = occurrences(texts, min_chars, exact_short)
     first = F.min(F.struct("doc_id", "pos")).alias("first")
     last = F.max(F.struct("doc_id", "pos")).alias("last")
     lines = stage_bucketed(occ.groupBy("h").agg(first, last, F.min("line").alias("line")), "lines", "h")
     # The smallest and largest node of each bucket in one sort; equal lines have met already.
     w = Window.partitionBy("bucket")
-    shared = keys(lines, edits).withColumn("c", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("c <> top")
+    shared = keys(lines.where(F.length("line") >= min_chars), edits).withColumn("c", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("c <> top")
     shared = stage(shared.select("bucket", "node", "c").distinct(), "shared")
     # Only lines that share a key are read again; the bucketed table is not shuffled for it.
     wanted = shared.select(F.col("node").alias("h")).distinct()
@@ -165,16 +169,15 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         .select("h", "head")
         .distinct()
     )
-    places = texts.select("doc_id", F.posexplode(_line_list(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
-    places = places.select("doc_id", "pos", F.xxhash64("line").alias("h"))
+    places = occurrences(texts, min_chars, exact_short).select("doc_id", "pos", "h")
     gone = places.join(repeated, "h").where(F.struct("doc_id", "pos") != F.col("head"))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and n_lines and n_dropped."""
     with scratch(docs.sparkSession):
-        gone = stage(duplicates(docs, edits, min_chars), "dropped", keep=True).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+        gone = stage(duplicates(docs, edits, min_chars, exact_short), "dropped", keep=True).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     # One plan at every size: a broadcast of the removals would turn into a shuffle of the texts as they grow.
     joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), __dropped))")
@@ -185,4 +188,4 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents"), exact_short=True).select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

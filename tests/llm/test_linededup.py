@@ -92,3 +92,18 @@ def test_clashing_columns_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, dropped int, node int, label int, pos int")
     got = {r.doc_id: (r.text, r.dropped, r.pos) for r in linededup.dedup_lines(df).collect()}
     assert got == {1: (line, 1, 4), 2: ("x", 1, 4), None: (rows[2][1], 1, 4)}
+
+
+def test_queries_drop_equal_short_lines(spark, docs_of, tmp_path):
+    """Short lines that are not blank go by equality alone, in op2 and in the pipeline's stage."""
+    import corpus_pipeline
+
+    line = "a line of more than twenty-four characters"
+    texts = [f"short\n\n{line}\nshort", f" \nshort\n\nshore\n{line}!", "\t\n\u00a0\nshort", "\t\n\u00a0\né\né"]
+    want = [f"short\n\n{line}", " \n\nshore", "\t\n\u00a0", "\t\n\u00a0\né"]
+    docs = docs_of(texts)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs, exact_short=True).collect()} == dict(enumerate(want))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_dropped for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 1, 1: 2, 2: 1, 3: 1}
+    # A document of blank lines only goes as a whole.
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: v for k, v in enumerate(want) if v.strip(" ")}
