@@ -5,9 +5,10 @@ For each document the posterior over languages (and ``UNKNOWN``) is
     P(l | all) ~ P_host(l) * P(declared | l) * P(text | l)
 
 * ``P(text | l)``: a multinomial over hashed byte trigrams, learned from a
-  bounded sample (about ``SAMPLE_ROWS`` rows, by a threshold on a hash) of rows
-  that declare a language, tempered to ``EVIDENCE`` trigrams so that long texts are
-  not overconfident; ``UNKNOWN`` is the flat distribution over seen trigrams;
+  bounded sample of rows that declare a language, tempered to ``EVIDENCE`` trigrams so that long texts are
+  not overconfident. Every language that a row with text declares is learned, by a
+  grouped count over all rows: each has an equal share of ``SAMPLE_ROWS`` rows, or
+  ``LANGUAGE_ROWS`` if that is more, chosen by a threshold on a hash. ``UNKNOWN`` is the flat distribution over seen trigrams;
 * ``P(declared | l)``: how often documents whose text says l declare each
   language, counted over all rows and smoothed; nothing declared is no evidence;
 * ``P_host(l)``: a hierarchical prior. Counts of the text's languages over all
@@ -38,10 +39,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import bounded_sample, stage, table
+from .shared import stage, table
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 4000
+LANGUAGE_ROWS = 200
 TABLE_BITS = 15
 EVIDENCE = 40.0
 FULL_TEXT = 200.0
@@ -94,10 +96,24 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, id_col: str, text: Column, declared: Column, rows: int = SAMPLE_ROWS) -> TextModel:
-    """Learn from about ``rows`` rows that declare a language and hold 20 to 20,000 characters."""
-    known = docs.select(F.col(id_col).alias("id"), declared.alias("lang"), text.alias("text")).where("lang is not null and length(text) between 20 and 20000")
-    sample = bounded_sample(known, rows, "id", "lang").select("lang", F.lower("text").alias("text"))
-    return TextModel(sorted((r.lang, r.text) for r in sample.collect()))
+    """Learn every declared language, from all rows if they are at most ``rows``, else from an equal share for each.
+
+    Rows of 20 to 20,000 characters serve; a language that has none is learned from the start of its other texts.
+    """
+    spark = docs.sparkSession
+    known = docs.select(F.col(id_col).alias("id"), declared.alias("lang"), text.cast("string").alias("text")).where("lang is not null and text <> ''")
+    known = known.withColumn("fair", F.length("text").between(20, 20000))
+    found = known.groupBy("lang").agg(F.count_if("fair").alias("fair"), F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r.lang: (r.fair > 0, r.fair or r.n) for r in found}
+    if not sizes:
+        return TextModel([])
+    share = max(rows // len(sizes), LANGUAGE_ROWS) if sum(n for _, n in sizes.values()) > rows else rows
+    cuts = [(lang, fair, min(int(share / n * 2**64) - 2**63, 2**63 - 1)) for lang, (fair, n) in sizes.items()]
+    cuts = spark.createDataFrame(cuts, "lang string, only_fair boolean, cut long")
+    chosen = known.join(F.broadcast(cuts), "lang").where(F.col("fair") | ~F.col("only_fair"))
+    # Rows that repeat share a hash: they count once.
+    chosen = chosen.where(F.xxhash64("id", "lang", "text") <= F.col("cut")).select("id", "lang", F.lower(F.substring("text", 1, 20000)).alias("text")).distinct()
+    return TextModel(sorted((r.lang, r.text) for r in chosen.collect()))
 
 
 def suffix_of(host: Column) -> Column:

@@ -51,3 +51,15 @@ def test_address_and_markup(spark):
 
 def test_empty_table(spark, rows):
     assert langid.identify_documents(rows.limit(0)).count() == 0
+
+
+def test_rare_language_is_known(spark):
+    """A language of few rows is learned whatever the size of the sample."""
+    rng = random.Random(3)
+    out = [(i, text("aa", rng), "aa", "h") for i in range(600)] + [(700 + i, text("bb", rng), "bb", "h") for i in range(3)] + [(800, "ver", "cc", "h")]
+    docs = spark.createDataFrame(out, "doc_id long, text string, lang string, source string")
+    model = langid.fit_text(docs, "doc_id", F.col("text"), F.col("lang"), rows=30)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {r.doc_id: r for r in langid.identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"), model).collect()}
+    assert all(got[700 + i].language == "bb" and got[700 + i].kept for i in range(3))
+    assert sum(got[i].language == "aa" for i in range(600)) >= 598
