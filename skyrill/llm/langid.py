@@ -197,3 +197,8 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op1_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over raw pages, which alone have markup and address suffixes."""
+    return identify_pages(table(spark, sf_dir, "pages")).withColumnRenamed("doc_id", "page_id")

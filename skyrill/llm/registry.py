@@ -8,6 +8,7 @@ from . import bpe, chat, decontaminate, langid, linededup, minhash, quality, tok
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op1_page_language": langid.op1_page_language,
         "op2_line_dedup": linededup.op2_line_dedup,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_bpe": bpe.op4_bpe,

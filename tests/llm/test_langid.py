@@ -63,3 +63,17 @@ def test_rare_language_is_known(spark):
     got = {r.doc_id: r for r in langid.identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"), model).collect()}
     assert all(got[700 + i].language == "bb" and got[700 + i].kept for i in range(3))
     assert sum(got[i].language == "aa" for i in range(600)) >= 598
+
+
+def test_suffix_and_markup_decide_pages(spark, tmp_path):
+    """Pages of one text: hosts seen nowhere else are told apart by suffix, pages of one host by markup."""
+    from skyrill.llm import registry
+
+    rng = random.Random(4)
+    page = lambda words, lang=None: f"<html{f' lang={lang}' if lang else ''}><body><p>{words}</p></body></html>"
+    out = [(i, f"http://h{i}.example.{x}/", page(text(x, rng), x)) for i in range(300) for x in [list(SYLLABLES)[i % 3]]]
+    out += [(900, "http://new.example.bb/", page("zz")), (901, "http://new.example.cc/", page("zz"))]
+    out += [(902, "http://new.example.zz/", page("zz", "bb")), (903, "http://new.example.zz/", page("zz", "cc"))]
+    spark.createDataFrame(out, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.language for r in registry.queries()["op1_page_language"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(900, 904)] == ["bb", "cc", "bb", "cc"]
