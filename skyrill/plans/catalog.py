@@ -298,13 +298,13 @@ def gp_features(backend: str):
 
 
 def svi_fit(spark, sf_dir):
-    return fitters.fit_parametric(v.events_relative(spark, sf_dir), steps=200)
+    return fitters.fit_parametric(v.events_relative(spark, sf_dir))
 
 
 def posterior_band(spark, sf_dir):
     rows = v.events_relative(spark, sf_dir)
     spans = rows.groupBy("object", "band").agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.first("peak").alias("peak"))
-    return fitters.posterior_curves(fitters.fit_parametric(rows, steps=100, only="Bazin"), spans)
+    return fitters.posterior_curves(fitters.fit_parametric(rows), spans)
 
 
 def kilonova_curve(spark, sf_dir):
