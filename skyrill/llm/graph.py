@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
 
-#: Centres of a bucket in the first round after its star, and their growth from round to round.
-FIRST_CENTRES, GROWTH = 64, 16
+#: Rounds of further stars before the rest is met block by block; they merge dense groups whose first centre lay outside.
+STAR_ROUNDS = 3
+#: Parts into which the members of one centre are dealt for joins with facts about the centre.
+SALTS = 16
+#: Members in one block of a group.
+BLOCK = 512
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -45,13 +49,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("v", "v"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one label."""
-    w = Window.partitionBy("bucket")
-    spread = rows.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
-    return spread.where("lo <> hi").drop("lo", "hi")
-
-
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after more links: only the labels that the links join are worked on."""
     side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
@@ -62,49 +59,81 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return old.union(moved.join(labels, "node", "left_anti").select("node", "label"))
 
 
-def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, facts: tuple[str, ...] = (), may_link: str = "true") -> DataFrame:
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row of their c in ``groups``; a large c is dealt to ``SALTS`` tasks."""
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["c", "salt"]).drop("salt")
+
+
+def _open(group: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, node, label, main, n_out, n_all): members of the groups that hold more than one label.
+
+    ``main`` is the most frequent label of a group and ``n_out`` counts the members outside it.
+    """
+    labelled = group.join(labels, "node", "left").select("c", "node", F.coalesce("label", "node").alias("label"))
+    per_label = labelled.groupBy("c", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "label")).alias("most")
+    per_group = per_label.groupBy("c").agg(most, F.sum("n").alias("n_all")).where("most.n < n_all")
+    return _with_group(labelled, per_group.select("c", F.col("most.label").alias("main"), (F.col("n_all") - F.col("most.n")).alias("n_out"), "n_all"))
+
+
+def _as_x(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` as the other side of a pair: node x, label lx, and an x after each of ``names``."""
+    return rows.withColumnsRenamed({"node": "x", "label": "lx"} | {f: f"{f}x" for f in names})
+
+
+def _block_pairs(rows: DataFrame, names: list[str], may_link: str) -> DataFrame:
+    """Pairs (a, b) of different labels in one group that may be links, each with a member outside the main label.
+
+    Both sides are cut into blocks of about ``BLOCK`` members, so a large group is many small joins.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    outside = _as_x(rows.where("label <> main").withColumn("i", place("n_out")).withColumn("j", every("n_all")).drop("main", "n_out", "n_all"), *names)
+    inside = rows.withColumn("j", place("n_all")).withColumn("i", every("n_out"))
+    met = inside.join(outside, ["c", "i", "j"]).where(f"label <> lx and (label = main or x < node) and ({may_link})")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, may_link: str = "true") -> DataFrame:
     """(node, label) of all nodes with a link, given buckets that hold both ends of every link.
 
     ``shared`` (bucket, node, c), a staged table, has the distinct members of each bucket of two
     nodes or more, with its smallest node c. ``verify`` turns candidates (a, b)
-    into the links among them. ``bound``, if given, turns open nodes (node) into
-    ``facts`` about those of them that can still have a link, from which the SQL
-    condition ``may_link`` (over the facts of one node and, with an x after the
-    name, of the other) rules out pairs that cannot be links; it must hold for
-    every link.
-
-    First every bucket is a star: c against the other members. A bucket whose
-    other members then lie in one component can add nothing. In the rest,
-    members of the rarest components become the next centres, ``GROWTH`` times as
-    many each round, and meet only members of other components. When no bucket is
-    left, every pair that could still join two components has been verified,
-    so the components are exact although most pairs were never formed.
+    into the links among them. ``facts`` (node and other columns) describes nodes;
+    from it the SQL condition ``may_link`` (over the facts of one node and, with
+    an x after the name, of the other) rules out pairs that cannot be links; it
+    must hold for every link.
+
+    Every bucket is a star: c against the other members, who form the group of c
+    (buckets of one c are one group). A group whose members then lie in one
+    component can add nothing. In the rest a random member outside the most
+    frequent component becomes a further centre, for some rounds. At last the
+    members outside that component meet, block by block, the group's members
+    of other components; only pairs that ``may_link`` admits are formed and
+    verified. Every pair of a bucket is then verified, ruled out or within one
+    component, so the components are those of all links that share a bucket.
     """
-    members = shared
-    checked = stage(members.where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "checked")
-    links = stage(verify(checked), "links")
+    names = [c for c in facts.columns if c != "node"] if facts is not None else []
+    group = stage(shared.where("node <> c").select("c", "node").distinct(), "group")
+    links = stage(verify(group.select(F.col("c").alias("a"), F.col("node").alias("b"))), "links")
     labels = stage(components(links), "labels")
-    rest = members.where("node <> c").select("bucket", "node")
-    centres, first = FIRST_CENTRES, True
-    while True:
-        labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = _mixed(labelled)
-        if bound and first:
-            # Later rounds hold fewer nodes, for which the facts remain bounds.
-            open_ = stage(open_, "open")
-            open_ = _mixed(open_.join(bound(open_.select("node").distinct()), "node"))
-        first = False
-        size = Window.partitionBy("bucket", "label")
-        order = Window.partitionBy("bucket").orderBy("size", "label", "node")
-        ranked = stage(open_.withColumn("size", F.count(F.lit(1)).over(size)).withColumn("k", F.row_number().over(order)).drop("size"), "open")
-        if ranked.isEmpty():
+    for turn in range(STAR_ROUNDS + 1):
+        rows = _open(group, labels)
+        rows = stage(rows.join(facts, "node") if names else rows, "open")
+        if rows.isEmpty():
             return labels
-        near = ranked.where(F.col("k") <= centres).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("k").alias("kx"), *[F.col(f).alias(f"{f}x") for f in facts if bound])
-        far = ranked.join(near, "bucket").where(f"k > kx and label <> lx and ({may_link})")
-        pairs = far.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        fresh = stage(pairs.join(checked, ["a", "b"], "left_anti"), "checked")
-        found = stage(verify(fresh), "links")
-        checked, links = checked.union(fresh), links.union(found)
+        # Later turns hold fewer components, so their groups are among these.
+        group = rows.select("c", "node").distinct()
+        if turn < STAR_ROUNDS:
+            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", *names)).alias("one")
+            centre = rows.where("label <> main").groupBy("c").agg(one).select("c", "one.node", "one.label", *[f"one.{f}" for f in names])
+            met = _with_group(rows, _as_x(centre, *names)).where(f"label <> lx and ({may_link})")
+            pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        else:
+            pairs = _block_pairs(rows, names, may_link)
+        found = stage(verify(stage(pairs, "pairs")), "links")
         if not found.isEmpty():
             labels = stage(_merge(labels, found), "labels")
-        rest, centres = ranked.where(F.col("k") > centres).drop("label", "k"), centres * GROWTH
+    return labels

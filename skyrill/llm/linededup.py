@@ -159,7 +159,7 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     wanted = shared.select(F.col("node").alias("h")).distinct()
     known = stage(describe(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("node"), "line")), "candidates")
     facts = known.select("node", *FACTS)
-    labels = resolve(shared, lambda pairs: _edit_links(pairs, known, edits), lambda nodes: facts.join(nodes, "node", "left_semi"), FACTS, may_link(edits))
+    labels = resolve(shared, lambda pairs: _edit_links(pairs, known, edits), facts, may_link(edits))
     grouped = lines.select("h", "first", "last").join(labels.withColumnRenamed("node", "h"), "h", "left")
     heads = grouped.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
     repeated = (

@@ -36,6 +36,9 @@ BANDS = 64
 ROWS = 6
 BINS = BANDS * ROWS
 THRESHOLD_PERCENT = 75
+#: Longs of parity bits that describe a set: bit k tells whether an odd number of its shingles hash to k.
+PARITY_LONGS = 16
+PARITY = tuple(f"p{k}" for k in range(PARITY_LONGS))
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -99,6 +102,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return flat.mix(key ^ _BAND_KEY)
 
 
+def parity(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, PARITY_LONGS) parity bits: two sets differ in at least as many shingles as their bits differ."""
+    place = (flat.mix(h ^ _U(0x8CB92BA72F3D8DD7)) >> _U(32)) * _U(64 * PARITY_LONGS) >> _U(32)
+    out = np.zeros((n_docs, PARITY_LONGS), _U)
+    np.bitwise_xor.at(out, (doc, (place >> _U(6)).astype(np.int64)), _U(1) << (place & _U(63)))
+    return out.view(np.int64)
+
+
+def may_link() -> str:
+    """SQL over size and parity bits of two sets that holds for every link.
+
+    A link has 100 * i >= T * u; with the sizes n, nx and the difference
+    d = u - i that is d * (100 + T) <= (100 - T) * (n + nx), and bits differ in d places at most.
+    """
+    differ = " + ".join(f"bit_count({p} ^ {p}x)" for p in PARITY)
+    t = THRESHOLD_PERCENT
+    return f"100 * least(n, nx) >= {t} * greatest(n, nx) and {100 + t} * ({differ}) <= {100 - t} * (n + nx)"
+
+
 def _lists(values: np.ndarray, border: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -128,7 +150,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in flat.chunks(batch.column(1)):
             doc, h = shingles(chunk)
             border = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=chunk.n_docs))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n_docs), _lists(h, border)], ["node", "items"])
+            facts = [pa.array(x) for x in parity(doc, h, chunk.n_docs).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n_docs), _lists(h, border), *facts], ["node", "items", *PARITY])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +170,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("node").alias("c"), F.max("node").alias("top")).where("c <> top").select("bucket", "c")
     members = stage(rows.join(shared, "bucket").select("bucket", "node", "c").distinct(), "shared")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stage(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "sets")
+    sets = stage(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, f"node long, items array<long>, {', '.join(f'{p} long' for p in PARITY)}"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = (
@@ -158,16 +181,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
         return both.where(100 * F.col("i") >= THRESHOLD_PERCENT * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
-    def bound(nodes: DataFrame) -> DataFrame:
-        """Set size n of open nodes and how many of their shingles m another open node has too: no intersection is larger."""
-        own = sets.join(nodes, "node", "left_semi")
-        rows = own.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
-        common = rows.groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("item")
-        return rows.join(common, "item").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= THRESHOLD_PERCENT * F.col("n"))
-
-    # i / (n + nx - i) >= threshold needs i >= threshold / (1 + threshold) * (n + nx), and i <= m, i <= mx.
-    fits = f"{100 + THRESHOLD_PERCENT} * least(m, mx) >= {THRESHOLD_PERCENT} * (n + nx)"
-    labels = resolve(members, verify, bound, ("n", "m"), f"({fits}) and 100 * least(n, nx) >= {THRESHOLD_PERCENT} * greatest(n, nx)")
+    facts = sets.select("node", F.size("items").alias("n"), *PARITY)
+    labels = resolve(members, verify, facts, may_link())
     component = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     return (
         sketch.select("doc_id", "n_shingles", "digest")

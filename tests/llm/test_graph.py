@@ -31,7 +31,7 @@ def test_components_of_random_graphs_and_a_path(spark):
         assert got == want
 
 
-def test_resolve_is_exact_where_stars_miss_links(spark):
+def test_resolve_is_exact_where_stars_miss_links(spark, monkeypatch):
     """Links are given; buckets are large and their smallest node is mostly linked with nothing."""
     rng = random.Random(3)
     links = {tuple(sorted(rng.sample(range(1, 120), 2))) for _ in range(60)}
@@ -39,13 +39,16 @@ def test_resolve_is_exact_where_stars_miss_links(spark):
     rows = [(k, n, min(m)) for k, m in buckets for n in m]
     shared = stage(spark.createDataFrame(rows, "bucket long, node long, c long"), "test-members")
     known = spark.createDataFrame(sorted(links), "a long, b long")
-    old = graph.FIRST_CENTRES, graph.GROWTH
-    try:
-        for graph.FIRST_CENTRES, graph.GROWTH in ((1, 2), (64, 16)):
-            got = {r.node: r.label for r in graph.resolve(shared, lambda p: p.join(known, ["a", "b"])).collect()}
-            assert got == union_find(links)
-    finally:
-        graph.FIRST_CENTRES, graph.GROWTH = old
+    size = spark.createDataFrame([(n, n % 5) for n in range(120)], "node long, five int")
+    far = [e for e in links if abs(e[0] % 5 - e[1] % 5) < 4]
+    for graph_rounds, block in ((0, 3), (3, 512)):
+        monkeypatch.setattr(graph, "STAR_ROUNDS", graph_rounds)
+        monkeypatch.setattr(graph, "BLOCK", block)
+        got = {r.node: r.label for r in graph.resolve(shared, lambda p: p.join(known, ["a", "b"])).collect()}
+        assert got == union_find(links)
+        some = spark.createDataFrame(far, "a long, b long")
+        got = {r.node: r.label for r in graph.resolve(shared, lambda p: p.join(some, ["a", "b"]), size, "abs(five - fivex) < 4").collect()}
+        assert got == union_find(far)
 
 
 def test_bounded_sample(spark):

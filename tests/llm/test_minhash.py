@@ -80,3 +80,27 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, text, 0), (3, text, 0), (None, "words of only one document without an id", 0)], "doc_id long, text string, bucket int")
     got = sorted((r.component_id or -1, r.kept) for r in minhash.near_duplicates(df).collect())
     assert got == [(-1, True), (3, False), (3, True)]
+
+
+def test_parity_bits_rule_out_no_link(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(260)]
+    texts = []
+    for _ in range(60):
+        copy = list(base[: rng.choice([40, 200, 260])])
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    (c,) = flat.chunks(pa.array(texts))
+    doc, h = minhash.shingles(c)
+    bits = minhash.parity(doc, h, c.n_docs)
+    sets = [set(h[doc == k].tolist()) for k in range(len(texts))]
+    rows = [(len(s), *b) for s, b in zip(sets, bits.tolist())]
+    both = [(a, b, *rows[a], *rows[b]) for a in range(len(texts)) for b in range(a)]
+    names = ["n", *minhash.PARITY]
+    df = spark.createDataFrame(both, ", ".join(f"{x} long" for x in ["a", "b", *names, *[f"{x}x" for x in names]]))
+    admitted = {(r.a, r.b) for r in df.where(minhash.may_link()).collect()}
+    linked = {(a, b) for a, b, *_ in both if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked and linked <= admitted and len(admitted) < len(both)
+    for a, b, *_ in both:
+        assert sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(bits[a].tolist(), bits[b].tolist())) <= len(sets[a] ^ sets[b])
