@@ -17,9 +17,12 @@ question (all sentences but the last) and its answer (the last sentence) must
 each have at least ``OVERLAP_PERCENT`` of their runs of five words (one run of
 all its words where it has fewer) in the document.
 
-An index holds at most ``INDEX_BYTES`` of item text, and indexes of at most
-``SHARD_BYTES`` together are broadcast, which that size bounds; a larger
-benchmark takes more passes over the documents, one for each shard.
+Document frequencies, the number of parts and their mean length are counted
+over the whole benchmark by grouped aggregation, so a score does not depend on
+the items that share an index. An index holds at most ``INDEX_BYTES`` of item
+text, and indexes of at most ``SHARD_BYTES`` together are broadcast, which that
+size bounds; a larger benchmark takes more passes over the documents, one for
+each shard, each pass written before the next broadcast.
 
 Defined results: a null or empty text or item matches nothing; repeated rows
 repeat; equal items match alike; empty tables give an empty table; other
@@ -28,8 +31,8 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import table
+from .shared import scratch, stage, table
 
 PART_WORDS = 64
 THRESHOLD = 0.6
@@ -79,37 +82,46 @@ def runs(h: np.ndarray) -> tuple[int, np.ndarray]:
     return width, np.unique(flat.window_hash(h, width)) if width else h
 
 
+def _cut_parts(h: np.ndarray) -> list[np.ndarray]:
+    return [h[at : at + PART_WORDS] for at in range(0, len(h), PART_WORDS)]
+
+
+@dataclass
+class Item:
+    """A test item with its terms and the number of parts of the whole benchmark that hold each."""
+
+    id: int
+    text: str
+    terms: np.ndarray
+    held_by: np.ndarray
+
+
 class Index:
-    """Inverted index of one shard of items with per-term and per-block largest impacts."""
+    """Inverted index of some items with per-term and per-block largest impacts; ``n_parts`` and ``mean_words`` are those of the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [i for i, _ in items]
-        halves = [_question_answer(t) for _, t in items]
-        words = _hashes([t for _, t in items])
+    def __init__(self, items: list[Item], n_parts: int, mean_words: float):
+        self.items = [x.id for x in items]
+        halves = [_question_answer(x.text) for x in items]
+        words = _hashes([x.text for x in items])
         # Parts of like length share a block: short ones have large impacts, which would loosen other bounds.
         self.question, self.answer = ([runs(h) for h in _hashes([x[k] for x in halves])] for k in (0, 1))
         parts: list[np.ndarray] = []
         self.part_item: list[int] = []
         for k, h in enumerate(words):
-            for at in range(0, len(h), PART_WORDS):
-                parts.append(h[at : at + PART_WORDS])
-                self.part_item.append(k)
+            cut = _cut_parts(h)
+            parts += cut
+            self.part_item += [k] * len(cut)
         by_length = sorted(range(len(parts)), key=lambda k: len(parts[k]))
         parts = [parts[k] for k in by_length]
         self.part_item = np.array([self.part_item[k] for k in by_length], np.int64)
-        df: dict[int, int] = defaultdict(int)
-        for p in parts:
-            for t in np.unique(p).tolist():
-                df[t] += 1
-        self.terms = np.array(sorted(df), _U)
-        count = np.array([df[t] for t in self.terms.tolist()], float)
-        idf = np.log1p((len(parts) - count + 0.5) / (count + 0.5))
-        mean = np.mean([len(p) for p in parts]) if parts else 1.0
+        self.terms, first = np.unique(np.concatenate([x.terms for x in items]), return_index=True)
+        held_by = np.concatenate([x.held_by for x in items])[first].astype(float)
+        idf = np.log1p((n_parts - held_by + 0.5) / (held_by + 0.5))
         posting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, p in enumerate(parts):
             t, tf = np.unique(p, return_counts=True)
             t = np.searchsorted(self.terms, t)
-            impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / mean))
+            impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / mean_words))
             posting.append((t, np.full(len(t), k), impact / impact.sum()))
         term, part, impact = (np.concatenate([x[i] for x in posting]) if posting else np.zeros(0) for i in range(3))
         order = np.lexsort((part, term))
@@ -125,8 +137,6 @@ class Index:
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that some item has, and their term numbers."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.filter[(h >> _U(46)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
         hit = self.terms[slot] == h[at]
@@ -212,11 +222,11 @@ def _question_answer(text: str | None) -> tuple[str, str]:
     return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
 
 
-def _cut(items: Iterator[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
+def _cut(items: Iterator[Item], limit: int) -> Iterator[list[Item]]:
     """Items in lists of at most ``limit`` bytes of text (a longer item is alone)."""
     held, size = [], 0
     for item in items:
-        n = len(item[1].encode())
+        n = len(item.text.encode())
         if held and size + n > limit:
             yield held
             held, size = [], 0
@@ -226,11 +236,33 @@ def _cut(items: Iterator[tuple[int, str]], limit: int) -> Iterator[list[tuple[in
         yield held
 
 
+def _item_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part of a text: the text's key, the part's number of words and its distinct terms."""
+    for batch in batches:
+        rows = [(key, len(p), np.unique(p).view(np.int64)) for key, h in zip(batch.column(0).to_pylist(), _hashes(batch.column(1).to_pylist())) for p in _cut_parts(h)]
+        if rows:
+            key, n, terms = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["key", "words", "terms"])
+
+
 def _shards(items: DataFrame) -> Iterator[list[Index]]:
     """Indexes in shards of bounded size; the driver holds one shard at a time."""
-    rows = ((r.item_id, r.text or "") for r in items.toLocalIterator())
-    for shard in _cut(rows, SHARD_BYTES):
-        yield [Index(part) for part in _cut(iter(shard), INDEX_BYTES)]
+    keyed = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    parts = stage(keyed.select("key", "text").mapInArrow(_item_parts, "key long, words long, terms array<long>"), "parts")
+    total = parts.agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("mean")).first()
+    terms = parts.select("key", F.explode("terms").alias("term"))
+    # Equal items share a key and count as often as they occur.
+    held_by = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    by_text = terms.distinct().join(held_by, "term").groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
+    rows = stage(keyed.join(by_text, "key").select("item_id", "text", "terms"), "items")
+
+    def read() -> Iterator[Item]:
+        for r in rows.toLocalIterator():
+            term = np.array([x.term for x in r.terms], np.int64).view(_U)
+            yield Item(r.item_id, r.text, term, np.array([x.n for x in r.terms], np.int64))
+
+    for shard in _cut(read(), SHARD_BYTES):
+        yield [Index(part, total.n, total.mean) for part in _cut(iter(shard), INDEX_BYTES)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,22 +271,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     found = spark.createDataFrame([], OUT)
-    for shard in _shards(items):
-        held = spark.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk in flat.chunks(batch.column(1)):
-                    words = word_spans(chunk)
-                    rows = [x for index in held.value for x in index.scan(chunk, words)]
-                    if rows:
-                        d, item, *rest = zip(*rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array([chunk.first + x for x in d])), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)],
-                            ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
-                        )
-
-        found = found.union(texts.mapInArrow(run, OUT))
+    with scratch(spark):
+        for shard in _shards(items):
+            held = spark.sparkContext.broadcast(shard)
+
+            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for chunk in flat.chunks(batch.column(1)):
+                        words = word_spans(chunk)
+                        rows = [x for index in held.value for x in index.scan(chunk, words)]
+                        if rows:
+                            d, item, *rest = zip(*rows)
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column(0).take(pa.array([chunk.first + x for x in d])), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)],
+                                ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                            )
+
+            found = found.union(stage(texts.mapInArrow(run, OUT), "matches", keep=True))
+            held.destroy()
     return found
 
 

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
+
+import numpy as np
 
 from skyrill.llm import decontaminate as D
 
@@ -43,11 +48,66 @@ def test_empty_tables_and_many_shards(spark, docs_of, monkeypatch):
     assert {r.item_id for r in rows} == {1, 2}
 
 
+def brute(texts, items):
+    """{(doc, item): (score, question overlap, answer overlap)} by plain loops over every passage and part."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    parts = [(i, w[k : k + D.PART_WORDS]) for i, t in items for w in [words(t)] for k in range(0, len(w), D.PART_WORDS)]
+    n, mean = len(parts), sum(len(p) for _, p in parts) / max(len(parts), 1)
+    df = Counter(x for _, p in parts for x in set(p))
+    weight = lambda x, p: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * p.count(x) * (D.K1 + 1) / (p.count(x) + D.K1 * (1 - D.B + D.B * len(p) / mean))
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    def overlap(part, w):
+        k = min(D.RUN_WORDS, len(part))
+        return 1.0 if not k else len(runs(part, k) & runs(w, k)) / len(runs(part, k))
+
+    out = {}
+    for d, t in enumerate(texts):
+        w = words(t)
+        passages = [set(w[k : k + 2 * D.PART_WORDS]) for k in range(0, max(len(w) - D.PART_WORDS, 1), D.PART_WORDS)]
+        for i, p in parts:
+            total = sum(weight(x, p) for x in set(p))
+            score = max(sum(weight(x, p) for x in set(p) & s) / total for s in passages)
+            if score >= D.THRESHOLD - 1e-9:
+                out[d, i] = max(score, out.get((d, i), 0))
+    verified = {}
+    for (d, i), score in out.items():
+        q, a = (overlap(words(x), words(texts[d])) for x in D._question_answer((dict(items)[i] or "").lower()))
+        if 100 * q >= D.OVERLAP_PERCENT and 100 * a >= D.OVERLAP_PERCENT:
+            verified[d, i] = (round(score, 9), round(q, 9), round(a, 9))
+    return verified
+
+
+def test_equals_brute_force_for_every_size_of_an_index(spark, docs_of, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"t{min(int(rng.expovariate(0.004)), 2000)}"
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    items = [(i, f"{sentence(rng.randint(4, 150))} {sentence(rng.randint(2, 20))}") for i in range(70)]
+    items += [(70, items[0][1]), (71, None), (72, ""), (73, "One"), (74, "Ünïcode wörds, ÉCOLE. Été!")]
+    texts = [None, "", "one", "x ünïcode wörds, école. été! y"]
+    for i in range(70):
+        said = items[i][1].split()
+        for k in range(len(said)):
+            if rng.random() < (0, 0.04, 0.1, 0.3)[i % 4]:
+                said[k] = word()
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 200))), *said, *(word() for _ in range(rng.randint(0, 200)))]))
+    texts.append(" ".join(items[k][1] for k in range(70)) * 20)  # a long text that holds every item many times
+    want = brute(texts, items)
+    assert len(want) > 100 and {i for _, i in want} >= {0, 70, 73, 74} and min(x[0] for x in want.values()) < 0.95
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size, shard in ((1 << 10, 8 << 10), (64 << 10, 4 << 20), (4 << 20, 4 << 20)):
+        monkeypatch.setattr(D, "INDEX_BYTES", size)
+        monkeypatch.setattr(D, "SHARD_BYTES", shard)
+        got = {(r.doc_id, r.item_id): (round(r.score, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in D.matches(docs_of(texts), bench).collect()}
+        assert got == want
+
+
 def test_bounds_never_cut_a_score(monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice([f"t{j}" for j in range(40)]) for _ in range(rng.randint(5, 40)))) for i in range(50)]
-    index = D.Index(items)
-    import numpy as np
+    terms = [np.unique(h) for h in D._hashes([t for _, t in items])]
+    df = Counter(t for x in terms for t in x.tolist())
+    index = D.Index([D.Item(i, t, x, np.array([df[y] for y in x.tolist()])) for (i, t), x in zip(items, terms)], 50, 20.0)
 
     for _ in range(30):
         terms = np.unique([rng.randrange(len(index.terms)) for _ in range(60)])
