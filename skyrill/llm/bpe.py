@@ -5,11 +5,15 @@ library: NFC, lower case, a pattern that picks pieces and drops white space,
 byte symbols, and merges with an end-of-word suffix. Distinct pieces of a batch
 are merged together: the symbols of all of them lie in one flat array, each
 round looks up the rank of every neighbouring pair by binary search over the
-sorted pair keys, and every piece merges its pair of lowest rank.
+sorted pair keys, and every piece merges its pair of lowest rank. Long pieces
+(scripts without blanks, runs of letters) merge in all places at once where a
+pair has the lowest rank within the reach of a token, and only the pairs beside
+a merge are looked up again, so a piece's length costs in proportion.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; the strings of special tokens inside a text are those tokens; repeated
-rows repeat; other columns are not read. The vocabulary is a parameter.
+rows repeat; other columns are not read; a text of any length is taken whole,
+in memory of some 100 bytes a byte. The vocabulary is a parameter.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ CACHE_PIECES = 500_000
 #: Characters whose class is the same in every Unicode version; a text with
 #: others is cut into pieces by the library's own normaliser and splitter.
 _SETTLED = regex.compile(r"[\u0000-\u024F\u2010-\u2027\u2030-\u205E\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]*")
+#: Bytes from which a piece counts as long.
+LONG_BYTES = 128
+_NO_RANK = np.int32(2**31 - 1)
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -60,6 +67,7 @@ class Bpe:
         for token, i in [*vocab.items(), *special.items()]:
             self.tokens[i] = token
         self.size = size
+        self.reach = max(map(len, vocab))
         symbols = byte_symbols()
         self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.inner = np.array([vocab.get(c, -1) for c in symbols], np.int64)
@@ -106,17 +114,29 @@ class Bpe:
         ends = np.cumsum(lengths)
         ids[ends - 1] = self.final[flat[ends - 1]]
         word = np.repeat(np.arange(len(pieces)), lengths)
+        far = (lengths >= LONG_BYTES)[word]
+        near, rest = self._merge_short(ids[~far], word[~far], len(pieces)), self._merge_long(ids[far], word[far])
+        all_ids, all_word = (np.concatenate(x) for x in zip(near, rest))
+        order = np.argsort(all_word, kind="stable")
+        return all_ids[order], np.searchsorted(all_word[order], np.arange(len(pieces) + 1))
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of ids the place of their merge in the sorted keys, and whether they have one."""
+        key = left * self.size + right
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return slot, self.keys[slot] == key
+
+    def _merge_short(self, ids: np.ndarray, word: np.ndarray, n_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids and their pieces: in each round every piece merges its pairs of lowest rank."""
         live = np.ones(len(ids), bool)
         done_ids, done_word = [], []
         while len(ids) > 1:
-            same = word[1:] == word[:-1]
-            key = ids[:-1] * self.size + ids[1:]
-            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = same & (self.keys[slot] == key)
+            slot, found = self._look_up(ids[:-1], ids[1:])
+            found &= word[1:] == word[:-1]
             if not found.any():
                 break
             rank = np.where(found, self.ranks[slot], len(self.ranks))
-            lowest = np.full(len(pieces), len(self.ranks), np.int64)
+            lowest = np.full(n_pieces, len(self.ranks), np.int64)
             np.minimum.at(lowest, word[:-1][found], rank[found])
             take = found & (rank == lowest[word[:-1]])
             at = np.flatnonzero(take)
@@ -132,11 +152,40 @@ class Bpe:
                 done_ids.append(ids[~open_])
                 done_word.append(word[~open_])
                 ids, word = ids[open_], word[open_]
-        done_ids.append(ids)
-        done_word.append(word)
-        all_word = np.concatenate(done_word)
-        order = np.argsort(all_word, kind="stable")
-        return np.concatenate(done_ids)[order], np.searchsorted(all_word[order], np.arange(len(pieces) + 1))
+        return np.concatenate([*done_ids, ids]), np.concatenate([*done_word, word])
+
+    def _merge_long(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids and their pieces: in each round all pairs merge whose rank is the lowest within ``reach`` symbols.
+
+        A pair of higher rank than another becomes later than it, and a token spans at most ``reach`` symbols, so
+        what lies farther off cannot change a pair before its turn. Of a run of equal overlapping pairs, which merge
+        from the left, only the part settled from the run's start is taken.
+        """
+        n = len(ids)
+        slot, rank = np.zeros(n, np.int64), np.full(n, _NO_RANK)
+        fresh = np.arange(n - 1)
+        while len(fresh):
+            slot[fresh], found = self._look_up(ids[fresh], ids[fresh + 1])
+            rank[fresh] = np.where(found & (word[fresh] == word[fresh + 1]), self.ranks[slot[fresh]], _NO_RANK)
+            known = rank < _NO_RANK
+            wait = known & (rank != _lowest_within(rank, self.reach))
+            follows = np.zeros(len(rank), bool)
+            follows[1:] = known[1:] & (rank[1:] == rank[:-1])
+            # Pairs that wait, counted from the start of the run of equal neighbours.
+            waits = np.cumsum(wait)
+            first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(rank))))
+            at = np.flatnonzero(known & (waits - (waits - wait)[first] == 0))
+            at = at[_alternate(at, first[at])]
+            ids[at] = self.made[slot[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            place = (np.cumsum(keep) - 1)[at]
+            ids, word, slot, rank = ids[keep], word[keep], slot[keep], rank[keep]
+            if len(rank):
+                rank[-1] = _NO_RANK
+            fresh = np.unique(np.concatenate([place - 1, place]))
+            fresh = fresh[(fresh >= 0) & (fresh < len(ids) - 1)]
+        return ids, word
 
     def learn(self, pieces: set[str]) -> None:
         """Add the merges of unknown pieces to the cache."""
@@ -172,15 +221,25 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if 0 <= i < self.size and self.tokens[i])
 
 
-def _alternate(at: np.ndarray) -> np.ndarray:
+def _alternate(at: np.ndarray, run_of: np.ndarray | None = None) -> np.ndarray:
     """Of chosen left positions, those that remain when overlapping pairs (a run of neighbours) merge from the left."""
     if len(at) < 2:
         return np.ones(len(at), bool)
-    run = np.concatenate([[True], np.diff(at) > 1])
+    run = np.concatenate([[True], np.diff(at) > 1 if run_of is None else np.diff(run_of) > 0])
     first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
     return (np.arange(len(at)) - first) % 2 == 0
 
 
+def _lowest_within(rank: np.ndarray, reach: int) -> np.ndarray:
+    """The lowest rank at most ``reach`` places to either side of each place, by doubled windows."""
+    wide = np.concatenate([np.full(reach, _NO_RANK), rank, np.full(reach, _NO_RANK)])
+    width = 1
+    while 2 * width <= 2 * reach + 1:
+        wide = np.minimum(wide[:-width], wide[width:])
+        width *= 2
+    return np.minimum(wide[: len(rank)], wide[2 * reach + 1 - width :][: len(rank)])
+
+
 @lru_cache(maxsize=2)
 def _load(path: str) -> Bpe:
     return Bpe(path)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -34,6 +35,22 @@ def test_equals_library(pair):
         assert (n, ids, decoded) == (len(e), " ".join(map(str, e)), lib.decode(e, skip_special_tokens=False)), text
 
 
+def test_long_pieces_equal_library(pair):
+    own, lib = pair
+    rng = random.Random(6)
+    alphabets = ["a", "ab", "aaaab", "etaoinshrdlu", "漢字仮名交文日本語中国", "가나다라마바사", "=-", "!", "😂❤️😍"]
+    long = []
+    for k in range(200):
+        n, letters = rng.choice([120, 128, 129, 300, 1500]), alphabets[k % len(alphabets)]
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        long.append("".join(rng.choice(letters) for _ in range(n)) if k % 3 else word * (n // len(word)) + letters * (k % 5))
+    long.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)))
+    began = time.time()
+    got = own.encode(long)
+    assert time.time() - began < 60
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in long]
+
+
 def test_cache_may_start_anew(pair, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     own = bpe.Bpe(PATH)
