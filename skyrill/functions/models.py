@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kilonova import kilonova
+
 
 class ColumnOps:
     """Spark column expressions."""
@@ -258,51 +260,6 @@ MODELS = {
 }
 CLOSED_FORM = [m for m in MODELS.values() if m.flux]
 
-# Fixed values of the one-zone kilonova: masses and speeds in cgs, grid, composition and heating.
-SUN, LIGHT, DAY, STEPS = 1.989e33, 2.998e10, 86400.0, 200
-NEUTRONS, SCALE = 0.8, 1e40
-
-
-def kilonova(theta: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """(P, n) normalised luminosity for P parameter rows (mass, speed, opacity as log10, onset) at n times.
-
-    Internal energy is integrated by Euler steps on a logarithmic grid, all rows at once.
-    """
-    theta = np.atleast_2d(theta)
-    with np.errstate(all="ignore"):
-        mass, speed, kappa = 10.0 ** theta[:, 0] * SUN, 10.0 ** theta[:, 1] * LIGHT, 10.0 ** theta[:, 2]
-        phase = t[None, :] - theta[:, 3:4]
-        last = np.maximum(phase.max(1, initial=0.01), 0.01)
-        span = np.log(last * 1.05) - np.log(0.01)
-        grid = np.exp(np.log(0.01) + span[:, None] * np.linspace(0, 1, STEPS)[None, :])
-        # All that depends on time alone is computed for the whole grid; the loop carries energies, speed and radius.
-        sec = grid * DAY
-        q = 0.34 * grid**0.74
-        thermal = 0.36 * (np.exp(-0.56 * grid) + np.where(q > 1e-10, np.log1p(q) / np.where(q > 0, q, 1), 1.0))
-        free = NEUTRONS * np.exp(-sec / 900.0)
-        r_process = 2e18 * thermal * np.maximum(0.5 - np.arctan((sec - 1.3) / 0.11) / np.pi, 1e-30) ** 1.3
-        heating = (mass[:, None] * (3.2e14 * free + r_process) / SCALE).T
-        delay = (3 * (0.4 * (NEUTRONS - free) + kappa[:, None] * (1.0 - NEUTRONS)) * mass[:, None] / (4 * np.pi * LIGHT * sec)).T
-        steps = np.diff(sec, axis=1).T
-        heat_e = kin_e = 0.5 * mass * speed**2 / SCALE
-        radius, light = sec[:, 0] * speed, []
-        for k in range(STEPS):
-            escape = delay[k] / speed + radius / LIGHT
-            lost = np.where((heat_e > 0) & (escape > 0), heat_e / escape, 0.0)
-            light.append(lost)
-            if k + 1 < STEPS:
-                work = np.where(radius > 0, heat_e * speed / radius, 0.0)
-                heat_e = np.abs(heat_e + (heating[k] - work - lost) * steps[k])
-                kin_e = kin_e + work * steps[k]
-                speed = np.minimum(np.sqrt(2 * kin_e * SCALE / mass), LIGHT)
-                radius = radius + speed * steps[k]
-        light = np.stack(light, 1)
-        peak = light.max(1)
-        out = np.stack([np.interp(x, g, c / p) for x, g, c, p in zip(phase, grid, light, peak)])
-        alive = (last > 0.01) & (peak > 0) & np.isfinite(peak)
-        return np.where(alive[:, None] & (phase > 0), out, 0.0)
-
-
 def flux_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
     """(P, n) fluxes of P parameter rows at n times."""
     if model.flux is None:

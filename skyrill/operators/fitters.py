@@ -101,8 +101,8 @@ def kilonova_curves(spans: DataFrame, theta: tuple[float, ...], points: int = 50
 
     def run(batches):
         for b in batches:
-            for o, lo, hi in zip(b["object"], b["t_min"], b["t_max"]):
-                t = np.linspace(lo, hi, points)
-                yield pd.DataFrame({"object": o, "t": t, "flux": flux_numpy(MODELS["MetzgerKN"], np.array([theta]), t)[0]})
+            t = np.linspace(b["t_min"].to_numpy(float), b["t_max"].to_numpy(float), points, axis=1)
+            light = flux_numpy(MODELS["MetzgerKN"], np.tile(theta, (len(b), 1)), t)
+            yield pd.DataFrame({"object": np.repeat(b["object"].to_numpy(), points), "t": t.ravel(), "flux": light.ravel()})
 
     return spans.select(F.col("object").cast("string").alias("object"), "t_min", "t_max").mapInPandas(run, "object string, t double, flux double")
