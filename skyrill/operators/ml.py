@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from .quantile import quantile_by
 
 SEED = 42
 
@@ -18,9 +19,10 @@ SEED = 42
 def impute_median(rows: DataFrame, features: list[str], fill: float | None = None) -> DataFrame:
     """Non-finite features replaced by the exact median of finite ones (``fill`` if a column has none).
 
-    One aggregate gives all medians in one row, which a broadcast of one row brings back.
+    The medians of all features are one row, which is broadcast.
     """
-    medians = rows.agg(*[F.median(finite(F.col(c))).alias(f"__{c}") for c in features])
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("x")) for c in features])).alias("e")).select("e.*")
+    medians = quantile_by(long, ["feature"], "x", "m").agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"__{c}") for c in features])
     joined = rows.crossJoin(F.broadcast(medians))
     values = {c: F.coalesce(finite(F.col(c)), F.col(f"__{c}"), *([F.lit(fill)] if fill is not None else [])) for c in features}
     return joined.withColumns(values).drop(*[f"__{c}" for c in features])
@@ -75,10 +77,12 @@ def assemble(rows: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, train: float = 0.75) -> DataFrame:
-    """Add ``train``: the first share of each class in the order of a hash of the key."""
-    w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key))
-    return rows.withColumn("train", k <= F.ceil(F.lit(train) * F.count(F.lit(1)).over(w)))
+    """Add ``train``: by a hash of the key about ``train`` of each class, without a sort; a class's row of least hash is always in it."""
+    h = F.xxhash64(F.col(key), F.lit(SEED))
+    least = rows.groupBy(label).agg(F.min(h).alias("__least")).withColumnRenamed(label, "__label")
+    joined = rows.join(least, F.col(label).eqNullSafe(F.col("__label")))
+    share = F.pmod(h, F.lit(10_000)) < int(train * 10_000)
+    return joined.withColumn("train", share | (h == F.col("__least"))).drop("__label", "__least")
 
 
 def train_classifier(rows: DataFrame, key: str, features: list[str], label: str, search: bool = False) -> DataFrame:
@@ -114,9 +118,9 @@ def project(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 def outliers(points: DataFrame, key: str, columns: list[str], share: float = 0.02) -> DataFrame:
     """Rows whose largest robust distance (deviation over median absolute deviation) is among the top ``share``."""
-    med = points.agg(*[F.median(c).alias(f"m_{c}") for c in columns])
-    dev = points.crossJoin(F.broadcast(med)).withColumns({f"d_{c}": F.abs(F.col(c) - F.col(f"m_{c}")) for c in columns})
-    mad = dev.agg(*[F.median(f"d_{c}").alias(f"s_{c}") for c in columns])
-    scored = dev.crossJoin(F.broadcast(mad)).select(key, F.greatest(F.lit(0.0), *[F.col(f"d_{c}") / F.nullif(f"s_{c}", F.lit(0.0)) for c in columns]).alias("distance"))
-    cut = scored.agg(F.percentile("distance", F.lit(1 - share)).alias("cut"))
+    long = points.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns])).alias("e")).select(key, "e.*")
+    dev = long.join(F.broadcast(quantile_by(long, ["column"], "x", "m")), "column").select(key, "column", F.abs(F.col("x") - F.col("m")).alias("d"))
+    mad = F.broadcast(quantile_by(dev, ["column"], "d", "s"))
+    scored = dev.join(mad, "column").groupBy(key).agg(F.greatest(F.lit(0.0), F.max(F.col("d") / F.nullif("s", F.lit(0.0)))).alias("distance"))
+    cut = quantile_by(scored, [], "distance", "cut", 1 - share)
     return scored.crossJoin(F.broadcast(cut)).where("distance >= cut").select(key, "distance")

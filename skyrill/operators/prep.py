@@ -39,7 +39,9 @@ def prepare(rows: DataFrame, to_mag: bool = True) -> DataFrame:
     valid = start.where("err > 0" + (" and flux > 0" if to_mag else ""))
     key = F.greatest(F.lit(0), F.round(F.col("mjd") * 1e6)).cast("long")
     best = valid.groupBy("object", "band", key.alias("key")).agg(F.min(F.struct("err", "pos", "mjd", "flux", "start")).alias("b")).select("object", "band", "b.*")
-    epochs = best.withColumn("middle", upper_median(F.collect_list("mjd").over(per_object)))
+    # The upper median is the epoch of rank n div 2 from 0: ranks, not arrays, so an object's rows may spill.
+    ranked = best.withColumn("k", F.row_number().over(per_object.orderBy("mjd")) - 1).withColumn("n", F.count(F.lit(1)).over(per_object))
+    epochs = ranked.withColumn("middle", F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("mjd"))).over(per_object))
     kept = epochs.where(F.col("mjd") >= F.col("middle") - BULK_DAYS)
     value, error = (flux_to_mag(F.col("flux")), flux_to_mag_err(F.col("flux"), F.col("err"))) if to_mag else (F.col("flux"), F.col("err"))
     return kept.select("object", "band", (F.col("mjd") - F.col("start")).alias("t"), "mjd", value.alias("value"), error.alias("value_err"))

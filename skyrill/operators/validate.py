@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import MODELS, flux_numpy
+from .quantile import quantile_by
 
 #: Which models are natural for each simulated class.
 NATURAL = {
@@ -27,7 +28,17 @@ def compare_methods(a: DataFrame, b: DataFrame, value: str, least: int = 3) -> D
     x = a.select("object", "band", F.col(value).alias("x"))
     y = b.select("object", "band", F.col(value).alias("y"))
     pairs = x.join(y, ["object", "band"]).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    return pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("x", "y")).alias("r"), F.median(F.col("y") - F.col("x")).alias("median_difference"))
+    pairs = pairs.withColumn("d", F.col("y") - F.col("x"))
+    stats = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("x", "y")).alias("r"))
+    return _with_medians(stats, pairs, "band", {"median_difference": "d"})
+
+
+def _with_medians(stats: DataFrame, rows: DataFrame, key: str, medians: dict[str, str]) -> DataFrame:
+    """``stats`` by ``key`` (nulls alike) with the exact median of each column of ``rows``."""
+    for out, column in medians.items():
+        m = quantile_by(rows, [key], column, out).withColumnRenamed(key, "__key")
+        stats = stats.join(m, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return stats
 
 
 def histogram(rows: DataFrame, x: Column, lo: float, hi: float, bins: int) -> DataFrame:
@@ -39,21 +50,22 @@ def histogram(rows: DataFrame, x: Column, lo: float, hi: float, bins: int) -> Da
 
 def class_validation(rows: DataFrame) -> DataFrame:
     """Count, median, mean and shares below 1 and 5 of chi2 by class, with a total (class null)."""
-    return rows.rollup("class").agg(
+    both = rows.select("class", "chi2").union(rows.select(F.lit(None).cast("string"), "chi2"))
+    stats = both.groupBy("class").agg(
         F.count(F.lit(1)).alias("n"),
-        F.median("chi2").alias("median_chi2"),
         F.avg("chi2").alias("mean_chi2"),
         (100 * F.avg((F.col("chi2") < 1).cast("double"))).alias("below_1"),
         (100 * F.avg((F.col("chi2") < 5).cast("double"))).alias("below_5"),
     )
+    return _with_medians(stats, both, "class", {"median_chi2": "chi2"})
 
 
 def object_model(fits: DataFrame) -> DataFrame:
     """Model of each object: that of its band of least finite chi2 (first band of equals), else its most common model (first name of equals)."""
     ok = F.col("chi2").isNotNull() & ~F.isnan("chi2") & (F.abs("chi2") != float("inf"))
-    best = fits.groupBy("object", "class").agg(F.min(F.when(ok, F.struct("chi2", "band", "model"))).alias("b"))
-    common = fits.groupBy("object", "model").count().groupBy("object").agg(F.min(F.struct((-F.col("count")).alias("c"), "model")).alias("m"))
-    return best.join(common, "object").select("object", "class", F.coalesce("b.model", "m.model").alias("model"))
+    per_model = fits.groupBy("object", "class", "model").agg(F.min(F.when(ok, F.struct("chi2", "band", "model"))).alias("b"), F.count(F.lit(1)).alias("n"))
+    both = per_model.groupBy("object", "class").agg(F.min("b").alias("b"), F.min(F.struct((-F.col("n")).alias("c"), "model")).alias("m"))
+    return both.select("object", "class", F.coalesce("b.model", "m.model").alias("model"))
 
 
 def confusion(models: DataFrame, names: list[str]) -> DataFrame:
@@ -71,8 +83,9 @@ def accuracy(models: DataFrame, natural: dict[str, list[str]]) -> DataFrame:
 def compare_parameters(params: DataFrame) -> DataFrame:
     """Swarm value against posterior mean of each parameter: count, correlation and median difference over finite triples."""
     ok = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("pso_value", "svi_mean", "svi_std")]
-    g = params.where(ok[0] & ok[1] & ok[2]).groupBy("param")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.corr("pso_value", "svi_mean").alias("r"), F.median(F.col("svi_mean") - F.col("pso_value")).alias("median_difference"), F.median("svi_std").alias("median_std"))
+    rows = params.where(ok[0] & ok[1] & ok[2]).withColumn("d", F.col("svi_mean") - F.col("pso_value"))
+    stats = rows.groupBy("param").agg(F.count(F.lit(1)).alias("n"), F.corr("pso_value", "svi_mean").alias("r"))
+    return _with_medians(stats, rows, "param", {"median_difference": "d", "median_std": "svi_std"})
 
 
 def throughput(results: DataFrame, wall_seconds: float) -> DataFrame:
