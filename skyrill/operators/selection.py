@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import VAR_FLOOR, cost_term, log_normal_cdf
@@ -57,32 +57,28 @@ def baseline_chi2(rows: DataFrame) -> DataFrame:
     return r.groupBy("object", "band").agg(F.avg(F.col("d") ** 2 / (F.col("mag_err") ** 2 + VAR_FLOOR)).alias("baseline_chi2"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rms"))
 
 
-def _log_likelihood(pred: Column, var: Column) -> Column:
-    d = (pred - F.col("y")) ** 2
-    return F.when(F.col("is_upper"), log_normal_cdf((F.col("ceiling") - pred) / F.sqrt(var))).otherwise(-0.5 * (d / var + F.log(2 * math.pi * var)))
-
-
 def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> DataFrame:
     """Onset time by profile likelihood on a grid of ``ONSET_STEPS`` times, with its half-width.
 
     The grid runs from 30 days before the first time to 5 days after the
-    brightest detection. At every step amplitude (and baseline, where the model has one)
-    are solved in closed form from weighted sums over detections; a group's rows
-    meet the grid by ``explode``, and one aggregate solves, a second one scores.
+    brightest detection. Detections meet the grid by ``explode`` and are summed up at once: amplitude
+    (and baseline, where the model has one) at every step come from weighted sums in closed form, and so does
+    the likelihood of the detections. Only upper limits meet the solved steps again.
     """
     w = Window.partitionBy("object", "band")
     bright = F.min(F.when(~F.col("is_upper"), F.struct((-F.col("y")).alias("y"), "t"))).over(w)
-    bounded = rows.withColumns({"lo": F.min("t").over(w) - 30.0, "hi": F.coalesce(bright["t"], F.min("t").over(w)) + 5.0})
+    bounded = rows.withColumns({"lo": F.min("t").over(w) - 30.0, "hi": F.coalesce(bright["t"], F.min("t").over(w)) + 5.0, "var": F.col("s") ** 2 + F.lit(VAR_FLOOR + math.exp(2 * theta[-1]))})
     step = F.explode(F.sequence(F.lit(0), F.lit(ONSET_STEPS - 1)))
-    grid = bounded.withColumn("k", step).withColumn("onset", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (ONSET_STEPS - 1))
-    free = {"log_a": F.lit(0.0), "t0": F.col("onset")} | ({"b": F.lit(0.0)} if "b" in model.params else {})
-    shape = model.evaluate(ColumnOps, [free.get(p, v) for p, v in zip(model.params, theta)], F.col("t"))
-    var = F.col("s") ** 2 + F.lit(VAR_FLOOR + math.exp(2 * theta[-1]))
-    g = grid.withColumns({"f": finite(shape), "var": var})
+
+    free = {"log_a": F.lit(0.0), "t0": F.col("onset"), "b": F.lit(0.0)}
+    shape = finite(model.evaluate(ColumnOps, [free.get(p, v) for p, v in zip(model.params, theta)], F.col("t")))
+    onset = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (ONSET_STEPS - 1)
+    g = bounded.withColumn("k", step).withColumn("onset", onset).withColumn("f", shape)
     use = ~F.col("is_upper") & F.col("f").isNotNull()
-    per_step = Window.partitionBy("object", "band", "k")
-    sums = {"w1": F.lit(1.0), "wf": F.col("f"), "wff": F.col("f") ** 2, "wy": F.col("y"), "wfy": F.col("f") * F.col("y")}
-    solved = g.withColumns({n: F.coalesce(F.sum(F.when(use, x / F.col("var"))).over(per_step), F.lit(0.0)) for n, x in sums.items()})
+    total = lambda x: F.coalesce(F.sum(F.when(use, x)), F.lit(0.0))
+    f, y, var = F.col("f"), F.col("y"), F.col("var")
+    sums = {"w1": 1 / var, "wf": f / var, "wff": f * f / var, "wy": y / var, "wfy": f * y / var, "wyy": y * y / var, "wln": F.log(2 * math.pi * var)}
+    solved = g.groupBy("object", "band", "k").agg(F.first("onset").alias("onset"), F.count(f).alias("n"), *[total(x).alias(n) for n, x in sums.items()]).where("n > 0")
     a0, b0 = math.exp(theta[0]), theta[model.params.index("b")] if "b" in model.params else 0.0
     if "b" in model.params:
         det = F.col("wff") * F.col("w1") - F.col("wf") ** 2
@@ -93,8 +89,15 @@ def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> Da
     else:
         a = F.col("wfy") / F.when(F.col("wff") > 1e-20, F.col("wff"))
         amp, base = F.when(F.coalesce(a > 1e-10, F.lit(False)), a).otherwise(a0), F.lit(0.0)
-    scored = solved.withColumn("ll", F.when(F.col("f").isNotNull(), _log_likelihood(amp * F.col("f") + base, F.col("var"))))
-    ll = scored.groupBy("object", "band", "k").agg(F.sum("ll").alias("ll"), F.first("onset").alias("onset")).where("ll is not null")
+    solved = solved.withColumns({"a": amp, "b": base})
+    square = F.col("wyy") - 2 * F.col("a") * F.col("wfy") - 2 * F.col("b") * F.col("wy") + F.col("a") ** 2 * F.col("wff") + 2 * F.col("a") * F.col("b") * F.col("wf") + F.col("b") ** 2 * F.col("w1")
+    # A band's solved steps and its limits are two arrays of one row, so neither side is computed twice.
+    steps = solved.groupBy("object", "band").agg(F.collect_list(F.struct("k", "onset", "a", "b", (-0.5 * (square + F.col("wln"))).alias("ll"))).alias("steps"))
+    limits = bounded.where("is_upper").groupBy("object", "band").agg(F.collect_list(F.struct("t", "ceiling", "var")).alias("limits"))
+    each = steps.join(limits, ["object", "band"], "left").select("object", "band", F.explode("steps").alias("e"), "limits").select("object", "band", "e.*", F.explode_outer("limits").alias("u"))
+    each = each.select("object", "band", "k", "onset", "a", "b", "ll", "u.*").withColumn("f", shape)
+    term = F.when(F.col("f").isNotNull(), log_normal_cdf((F.col("ceiling") - (F.col("a") * F.col("f") + F.col("b"))) / F.sqrt("var")))
+    ll = each.groupBy("object", "band", "k").agg((F.first("ll") + F.coalesce(F.sum(term), F.lit(0.0))).alias("ll"), F.first("onset").alias("onset"))
     top = ll.withColumn("best", F.max("ll").over(w))
     near = F.when(F.col("ll") >= F.col("best") - 0.5, F.col("onset"))
     out = top.groupBy("object", "band").agg(F.min(F.struct((-F.col("ll")).alias("x"), "k", "onset")).alias("b"), F.min(near).alias("t_lo"), F.max(near).alias("t_hi"))

@@ -83,7 +83,7 @@ def alert_flags_query(spark, sf_dir):
 
 def merge_dedup(spark, sf_dir):
     m = v.events_mags(spark, sf_dir).select("object", "band", "mjd", "mag", "mag_err", "pos")
-    return _round(photometry.merge_curves(m.where("pos % 3 <> 0"), m.where("pos % 2 = 0")))
+    return _round(photometry.merge_curves(m, m))
 
 
 def flux_to_mag_query(spark, sf_dir):
@@ -309,7 +309,7 @@ def posterior_band(spark, sf_dir):
 
 def kilonova_curve(spark, sf_dir):
     spans = v.events_relative(spark, sf_dir).groupBy("object").agg(F.lit(-1.0).alias("t_min"), F.max("t").alias("t_max"))
-    return fitters.kilonova_curves(spans, (-2.0, -0.7, 0.5, 0.0))
+    return _round(fitters.kilonova_curves(spans, (-2.0, -0.7, 0.5, 0.0)))
 
 
 def simulate(spark, sf_dir):

@@ -74,7 +74,7 @@ ORACLES = {
     "alert_all_bands": f"WITH {v.MG} SELECT object, {_points(LOW, 'peak', 'band')}, {_points(HIGH, 'faint', 'band')}, {_r('min(mjd)')} AS first_mjd, {_r('max(mjd)')} AS last_mjd, max(mjd) - min(mjd) > 0.01 AS stationary FROM mg GROUP BY object",
     "alert_rates": f"WITH {v.MG}, p AS (SELECT *, first(mjd) OVER w AS pm, first(pos) OVER w AS pp, first(mag) OVER w AS pmag FROM mg WINDOW w AS (PARTITION BY object, band ORDER BY mag, mjd, pos)) SELECT object, band, {_r('any_value(pm)')} AS peak_mjd, {_r('any_value(pmag)')} AS peak_mag, {_segment('rise', '<=')}, {_segment('fade', '>=')} FROM p GROUP BY object, band",
     "alert_pivot": f"WITH {v.MG}, p AS (SELECT object, band, {_r(f'first(mag ORDER BY {LOW})')} AS pmag, {_r(f'first(mjd ORDER BY {LOW})')} AS pmjd FROM mg GROUP BY object, band) SELECT object, {_PIVOT} FROM p GROUP BY object",
-    "merge_dedup": f"WITH {v.MG}, b AS (SELECT object, band, mjd, mag, mag_err, pos, 0 AS origin FROM mg WHERE pos % 3 <> 0 UNION ALL SELECT object, band, mjd, mag, mag_err, pos, 1 FROM mg WHERE pos % 2 = 0), l AS (SELECT *, lag(mjd) OVER w AS pm, lag(band) OVER w AS pb FROM b WINDOW w AS (PARTITION BY object ORDER BY mjd, origin, pos)) SELECT object, band, {_r('mjd')} AS mjd, {_r('mag')} AS mag, {_r('mag_err')} AS mag_err, pos, origin FROM l WHERE NOT coalesce(pm = mjd AND pb = band, false)",
+    "merge_dedup": f"WITH {v.MG}, b AS (SELECT object, band, mjd, mag, mag_err, pos, 0 AS origin FROM mg UNION ALL SELECT object, band, mjd, mag, mag_err, pos, 1 FROM mg), l AS (SELECT *, lag(mjd) OVER w AS pm, lag(band) OVER w AS pb FROM b WINDOW w AS (PARTITION BY object ORDER BY mjd, origin, pos)) SELECT object, band, {_r('mjd')} AS mjd, {_r('mag')} AS mag, {_r('mag_err')} AS mag_err, pos, origin FROM l WHERE NOT coalesce(pm = mjd AND pb = band, false)",
     "flux_to_mag": f"WITH {v.EV} SELECT pos, CASE WHEN flux > 0 THEN {_r('-2.5 * log10(flux) + 23.9')} END AS mag, CASE WHEN flux > 0 THEN {_r('-2.5 * log10(flux) + 31.4')} END AS mag_nano, CASE WHEN flux > 0 THEN {_r('1.0857 * err / flux')} END AS mag_err FROM ev",
     "njy_value_choice": f"WITH {v.EV}, n AS (SELECT pos, err, CASE WHEN pos % 5 <> 0 THEN 20 + flux / 100 END AS mag, CASE WHEN pos % 3 = 0 THEN -1.0 ELSE err / 100 END AS magerr, CASE WHEN pos % 4 = 0 THEN -flux ELSE flux END AS flux FROM ev), c AS (SELECT *, CASE WHEN magerr > 0 AND mag IS NOT NULL THEN 'mag' WHEN flux > 0 AND err > 0 THEN 'flux' END AS origin FROM n) SELECT pos, {_r("CASE origin WHEN 'mag' THEN mag ELSE -2.5 * log10(CASE WHEN flux > 0 THEN flux ELSE 1 END) + 31.4 END")} AS value, {_r("CASE origin WHEN 'mag' THEN magerr ELSE 1.0857 * err / flux END")} AS value_err, origin FROM c WHERE origin IS NOT NULL",
     "normalize_upper_limits": f"WITH {v.REL} SELECT pos, {_r('y', 8)} AS y, {_r('s', 8)} AS s, is_upper, {_r('ceiling', 8)} AS ceiling, {_r('t', 8)} AS t FROM rel",
@@ -193,3 +193,20 @@ for _m in M.CLOSED_FORM:
     ORACLES[f"model_flux_{_m.name.lower()}"] = f"WITH {v.REL} SELECT pos, {_r(_flux(_m), 8)} AS flux FROM rel"
     _d = _m.gradient(M.SqlOps, [M.Sql(repr(float(x))) for x in CANDIDATES[_m.name]], M.Sql("t"))
     ORACLES[f"model_grad_{_m.name.lower()}"] = f"WITH {v.REL} SELECT pos, {', '.join(_r(str(_d[p]), 7) + f' AS d_{p}' for p in _m.params)} FROM rel"
+
+# Written from the equations in functions/kilonova.py, step by step in cgs units: mass 10**-2 suns, speed 10**-0.7 c, opacity 10**0.5, onset 0.
+_MASS, _V0, _KAPPA, _C = f"{10**-2.0 * 1.989e33!r}", f"{10**-0.7 * 2.998e10!r}", f"{10**0.5!r}", "2.998e10"
+ORACLES["kilonova_curve"] = f"""WITH RECURSIVE {v.REL},
+sp AS (SELECT object, max(t) AS hi FROM rel GROUP BY object),
+gr AS (SELECT object, k, 0.01 * exp(ln(hi * 1.05 / 0.01) * k / 199) AS d FROM sp, range(200) r(k) WHERE hi > 0.01),
+src AS (SELECT *, d * 86400 AS s, (lead(d) OVER (PARTITION BY object ORDER BY k) - d) * 86400 AS ds, 0.8 * exp(-d * 86400 / 900) AS xn FROM gr),
+ht AS (SELECT *, {_MASS} * (3.2e14 * xn + 2e18 * 0.36 * (exp(-0.56 * d) + ln(1 + 0.34 * pow(d, 0.74)) / (0.34 * pow(d, 0.74))) * pow(greatest(0.5 - atan((s - 1.3) / 0.11) / pi(), 1e-30), 1.3)) / 1e40 AS heat,
+ 3 * (0.4 * (0.8 - xn) + {_KAPPA} * 0.2) * {_MASS} / (4 * pi() * {_C} * s) AS delay FROM src),
+st AS (SELECT object, k, 0.5 * {_MASS} * {_V0} * {_V0} / 1e40 AS e, 0.5 * {_MASS} * {_V0} * {_V0} / 1e40 AS kin, {_V0} AS v, s * {_V0} AS r FROM ht WHERE k = 0
+ UNION ALL SELECT object, k + 1, abs(e + (heat - e * v / r - e / (delay / v + r / {_C})) * ds), kin + e * v / r * ds,
+  least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / {_MASS}), {_C}), r + least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / {_MASS}), {_C}) * ds FROM st JOIN ht USING (object, k) WHERE k < 199),
+lt AS (SELECT object, k, d, e / (delay / v + r / {_C}) AS light FROM st JOIN ht USING (object, k)),
+nm AS (SELECT object, k, d, light / max(light) OVER (PARTITION BY object) AS l, lead(d) OVER w AS d1, lead(light) OVER w / max(light) OVER (PARTITION BY object) AS l1 FROM lt WINDOW w AS (PARTITION BY object ORDER BY k)),
+q AS (SELECT object, -1 + (hi + 1) * j / 49 AS t FROM sp, range(50) r(j))
+SELECT q.object::VARCHAR AS object, {_r('t')} AS t, {_r('coalesce(CASE WHEN t < d THEN l ELSE l + (l1 - l) * (t - d) / (d1 - d) END, 0)')} AS flux
+FROM q LEFT JOIN nm ON nm.object = q.object AND t > 0 AND ((t >= d AND t < d1) OR (k = 0 AND t < d))"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import flux_to_mag, flux_to_mag_err, time_to_mjd
 
 BAND_OF = {"click": "g", "view": "r", "purchase": "i", "signup": "z", "error": "y"}
-N_FEATURES = 16
+#: All elements of an embedding.
+N_FEATURES = 64
 #: Modular recipe of alert columns from a part key: factor, modulus, scale, shift.
 FLAG_RECIPE = {
     "sgscore1": (7, 101, 0.01, 0.0),
