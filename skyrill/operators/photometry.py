@@ -107,3 +107,58 @@ def pivot_bands(extremes: DataFrame) -> DataFrame:
 def with_current(candidate: Column, history: Column) -> Column:
     """The current detection in front of its history (arrays of points)."""
     return F.when(history.isNull(), F.array(candidate)).otherwise(F.concat(F.array(candidate), history))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def clean_curve(curve: Column) -> Column:
+    """Points (time, k, mag, mag_err, band) of an array in time order, k their place; repeats of time and band and points without time, magnitude or band go."""
+    given = F.filter(curve, lambda p: p["time"].isNotNull() & p["mag"].isNotNull() & p["band"].isNotNull())
+    ordered = F.array_sort(F.transform(given, lambda p, i: F.struct(p["time"].alias("time"), i.alias("i"), p["mag"].cast("double").alias("mag"), p["mag_err"].cast("double").alias("mag_err"), p["band"].alias("band"))))
+    fresh = _let(ordered, lambda a: F.filter(a, lambda p, i: (i == 0) | (F.get(a, i - 1)["time"] != p["time"]) | (F.get(a, i - 1)["band"] != p["band"])))
+    return F.transform(fresh, lambda p, i: F.struct(p["time"].alias("time"), i.alias("k"), p["mag"].alias("mag"), p["mag_err"].alias("mag_err"), p["band"].alias("band")))
+
+
+def _line(points: Column) -> Column:
+    """(rate, r2, n) of a straight line through the points of a segment, null where its gates are not met (see ``band_rates``)."""
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("x", "y", "xx", "xy", "yy")])
+
+    def fit(a: Column) -> Column:
+        low = F.array_min(F.transform(a, lambda p: F.struct(p["mag"].alias("mag"), p["k"].alias("k"), p["mag_err"].alias("e"))))
+        high = F.array_max(F.transform(a, lambda p: F.struct(p["mag"].alias("mag"), (-p["k"]).alias("k"), p["mag_err"].alias("e"))))
+        n, first = F.size(a).cast("double"), F.get(a, F.lit(0))
+
+        def add(s: Column, p: Column) -> Column:
+            x, y = p["time"] - first["time"], p["mag"] - first["mag"]
+            return F.struct((s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + x * x).alias("xx"), (s["xy"] + x * y).alias("xy"), (s["yy"] + y * y).alias("yy"))
+
+        def solve(s: Column) -> Column:
+            xx, xy, yy = n * s["xx"] - s["x"] * s["x"], n * s["xy"] - s["x"] * s["y"], n * s["yy"] - s["y"] * s["y"]
+            return F.struct((xy / xx).alias("rate"), F.when(yy == 0, F.lit(1.0)).otherwise(xy * xy / (xx * yy)).alias("r2"), F.size(a).cast("long").alias("n"))
+
+        wide = (F.size(a) > 1) & (F.get(a, F.size(a) - 1)["time"] - first["time"] > MIN_SPAN)
+        return F.when(wide & ~(low["mag"] + low["e"] >= high["mag"] - high["e"]), _let(F.aggregate(a, zero, add), solve))
+
+    return _let(points, fit)
+
+
+def curve_bands(curve: Column) -> Column:
+    """Map from band to its extremes and its rise and fade lines, from a clean curve held in one row.
+
+    The row-wise twin of ``band_extremes`` and ``band_rates``, for alerts that carry their history.
+    """
+
+    def point(p: Column) -> Column:
+        return F.struct(p["time"].alias("time"), p["mag"].alias("mag"), p["mag_err"].alias("mag_err"))
+
+    def summary(a: Column) -> Column:
+        at = F.array_min(F.transform(a, lambda p, i: F.struct(p["mag"].alias("mag"), i.alias("i"))))["i"]
+        low = F.array_max(F.transform(a, lambda p, i: F.struct(p["mag"].alias("mag"), (-i).alias("i"))))["i"]
+        rise, fade = F.slice(a, F.lit(1), at + 1), F.slice(a, at + 1, F.size(a) - at)
+        return F.struct(point(F.get(a, at)).alias("peak"), point(F.get(a, -low)).alias("faint"), F.size(a).cast("long").alias("n_points"), _line(rise).alias("rise"), _line(fade).alias("fade"))
+
+    bands = F.array_sort(F.array_distinct(F.transform(curve, lambda p: p["band"])))
+    return F.map_from_entries(F.transform(bands, lambda b: F.struct(b.alias("band"), _let(F.filter(curve, lambda p: p["band"] == b), summary).alias("of"))))

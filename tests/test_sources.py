@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyrill.operators.flags import alert_flags
+from skyrill.operators import photometry
 from skyrill.plans import views
 from skyrill.sources import readers, writers
 from skyrill.streaming import enrich
@@ -82,3 +83,21 @@ def test_missing_values_are_written_as_nan(spark, tmp_path):
 def test_sanitize_keeps_present_nulls(spark):
     df = spark.createDataFrame([('[{"magpsf":null,"jd":1},{"jd":2}]',)], "h string")
     assert json.loads(readers.sanitize(df, "h", "magpsf").first()[0])[0]["jd"] == "1"
+
+
+def test_curves_in_a_row_equal_grouped_ones(spark):
+    e = views.events_mags(spark, "/root/testdata/sf0.001").select("object", "band", F.col("mjd").alias("time"), "mag", "mag_err")
+    rows = e.groupBy("object").agg(F.collect_list(F.struct("time", "mag", "mag_err", "band")).alias("curve")).withColumn("curve", photometry.clean_curve(F.col("curve"))).cache()
+    points = rows.select("object", F.explode("curve").alias("p")).select("object", "p.band", F.col("p.time").alias("mjd"), "p.mag", "p.mag_err", F.col("p.k").alias("pos"))
+    got = rows.select("object", F.explode(photometry.curve_bands(F.col("curve"))).alias("band", "of"))
+    key = lambda r: (r.object, r.band)
+    same = lambda x, y: x == y or x is not None and y is not None and abs(x - y) <= 1e-6 * max(abs(x), 1)
+    rates = {key(r): r for r in photometry.band_rates(points).collect()}
+    extremes = {key(r): r for r in photometry.band_extremes(points).collect()}
+    of = {key(r): r.of for r in got.collect()}
+    assert set(of) == set(rates) == set(extremes) and any(x.rise for x in of.values()) and any(x.fade for x in of.values())
+    for k, x in of.items():
+        assert (x.peak.time, x.peak.mag, x.faint.time, x.faint.mag, x.n_points) == (extremes[k].peak_mjd, extremes[k].peak_mag, extremes[k].faint_mjd, extremes[k].faint_mag, extremes[k].n_points)
+        for name in ("rise", "fade"):
+            line = x[name] or {"rate": None, "r2": None, "n": None}
+            assert all(same(line[f], rates[k][f"{name}_{f}"]) for f in ("rate", "r2", "n")), (k, name)
