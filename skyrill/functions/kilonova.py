@@ -48,22 +48,19 @@ def opacity(s: np.ndarray, process: np.ndarray) -> np.ndarray:
     return NEUTRON_OPACITY * (NEUTRONS - neutrons(s)) + process * (1.0 - NEUTRONS)
 
 
-def _speed(kinetic: np.ndarray) -> np.ndarray:
-    return np.minimum(np.sqrt(2.0 * kinetic), 1.0)
-
-
-def _escaping(state: tuple, depth: np.ndarray) -> np.ndarray:
-    thermal, kinetic, radius = state
-    return thermal / (depth / _speed(kinetic) + radius)
+def _escaping(thermal: np.ndarray, radius: np.ndarray, speed: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    return thermal / (depth / speed + radius)
 
 
 def _step(state: tuple, drive: tuple) -> tuple:
-    """The state after ``ds`` seconds of ``heat`` at ``depth`` (escape time at the speed of light, without the crossing)."""
-    thermal, kinetic, radius = state
+    """(thermal, kinetic, radius, speed) after ``ds`` seconds of ``heat`` at ``depth`` (escape time at the speed of light, without the crossing)."""
+    thermal, kinetic, radius, speed = state
     heat, depth, ds = drive
-    work = thermal * _speed(kinetic) / radius
+    work = thermal * speed / radius
+    thermal = np.abs(thermal + (heat - work - _escaping(thermal, radius, speed, depth)) * ds)
     kinetic = kinetic + work * ds
-    return np.abs(thermal + (heat - work - _escaping(state, depth)) * ds), kinetic, radius + _speed(kinetic) * ds
+    speed = np.minimum(np.sqrt(2.0 * kinetic), 1.0)
+    return thermal, kinetic, radius + speed * ds, speed
 
 
 def kilonova(theta: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -81,9 +78,9 @@ def kilonova(theta: np.ndarray, t: np.ndarray) -> np.ndarray:
         span = np.log(np.maximum(last, DAWN) * BEYOND / DAWN)
         s = DAWN * DAY * np.exp(np.linspace(0.0, 1.0, STEPS)[:, None] * span)
         depth = 3.0 * opacity(s, process) * mass / (4.0 * np.pi * LIGHT**2 * s)
-        start = (speed**2 / 2.0, speed**2 / 2.0, s[0] * speed)
+        start = (speed**2 / 2.0, speed**2 / 2.0, s[0] * speed, speed)
         states = accumulate(zip(heating(s), depth, np.diff(s, axis=0)), _step, initial=start)
-        light = np.stack([_escaping(x, d) for x, d in zip(states, depth)], 1)
+        light = np.stack([_escaping(e, r, b, d) for (e, _, r, b), d in zip(states, depth)], 1)
         light = light / light.max(1, keepdims=True)
         # The grid is even in the logarithm of time, so the place of a phase is a quotient.
         place = np.clip(np.log(phase / DAWN) / span[:, None] * (STEPS - 1), 0, STEPS - 1)

@@ -261,21 +261,31 @@ MODELS = {
 CLOSED_FORM = [m for m in MODELS.values() if m.flux]
 
 def flux_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """(P, n) fluxes of P parameter rows at n times."""
+    """Fluxes of parameter rows at n times: (P, n) for (P, k) rows, or (..., n) for (k, ...) parameters whose shape meets that of ``t``."""
     if model.flux is None:
         return kilonova(theta, t)
+    values, t = _aligned(theta, t)
     with np.errstate(all="ignore"):
-        return model.evaluate(NumpyOps, [theta[:, [k]] for k in range(theta.shape[1])], t[None, :]) + np.zeros((len(theta), len(t)))
+        return model.evaluate(NumpyOps, values, t) + np.zeros(np.broadcast_shapes(values[0].shape, t.shape))
 
 
-def gradient_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """(P, n, k) derivatives; forward differences of 1e-5 for the integrated model."""
+def _aligned(theta: np.ndarray, t: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    if theta.ndim == 2:
+        return [theta[:, [k]] for k in range(theta.shape[1])], np.atleast_2d(t)
+    return [x[..., None] for x in theta], t
+
+
+def gradient_numpy(model: Model, theta: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flux_numpy`` and its derivatives on a last axis; forward differences of 1e-5 for the integrated model."""
     if model.flux is None:
         moved = np.concatenate([theta, *(theta + 1e-5 * np.eye(5)[k] for k in range(4))])
-        f = kilonova(moved, t).reshape(5, len(theta), len(t))
-        out = np.zeros((len(theta), len(t), 5))
+        f = kilonova(moved, np.tile(np.broadcast_to(t, (len(theta), np.shape(t)[-1])), (5, 1))).reshape(5, len(theta), -1)
+        out = np.zeros((*f.shape[1:], 5))
         out[:, :, :4] = np.moveaxis((f[1:] - f[0]) / 1e-5, 0, 2)
-        return out
+        return f[0], out
+    values, t = _aligned(theta, t)
+    shape = np.broadcast_shapes(values[0].shape, t.shape)
     with np.errstate(all="ignore"):
-        d = model.gradient(NumpyOps, [theta[:, [k]] for k in range(theta.shape[1])], t[None, :])
-        return np.stack([d[k] + np.zeros((len(theta), len(t))) for k in model.params], 2)
+        p = {k: Dual(x, {k: 1.0}) for k, x in zip(model.params, values)}
+        f = model.flux(DualOps(NumpyOps), p, Dual.of(t))
+        return f.v + np.zeros(shape), np.stack([f.d.get(k, 0.0) + np.zeros(shape) for k in model.params], -1)

@@ -1,8 +1,9 @@
-"""Grouped fits over DataFrames: one (object, band) group is one task unit of ``applyInPandas``."""
+"""Fits over DataFrames: whole bands, many of them stacked in a task."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from . import gp, search
 from .prep import MIN_POINTS
 
 PARAM_SCHEMA = "object string, band string, model string, param string, pso_value double, svi_mean double, svi_std double, pso_chi2 double, svi_elbo double, mag_chi2 double"
+#: Bands that are fitted together.
+STACKED = 128
 CURVE_SCHEMA = "object string, band string, t double, p16 double, p50 double, p84 double"
 
 
@@ -40,11 +43,7 @@ def fit_parametric(rows: DataFrame, steps: int = 1000, samples: int = 4, rate: f
     Rows are normalised observations (object, band, t, y, s, is_upper, ceiling).
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "y"])
-        o, b = frame["object"].iloc[0], frame["band"].iloc[0]
-        band = _band(frame)
-        f = search.fit_band(band, seed_of(o, b, "fit"), steps, samples, rate, retry, only, onset_search)
+    def one(o: str, b: str, band: search.Band, f: dict) -> pd.DataFrame:
         model = MODELS[f["model"]]
         _, width, mu = search.refine_onset(model, f["mu"], band)
         sigma = f["sigma"].copy()
@@ -52,8 +51,31 @@ def fit_parametric(rows: DataFrame, steps: int = 1000, samples: int = 4, rate: f
         chi2 = _mag_chi2(model, mu, band)
         return pd.DataFrame({"object": o, "band": b, "model": model.name, "param": model.params, "pso_value": f["theta"], "svi_mean": mu, "svi_std": sigma, "pso_chi2": f["cost"], "svi_elbo": f["elbo"], "mag_chi2": chi2})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frames in _some_bands(batches):
+            names = [(f["object"].iloc[0], f["band"].iloc[0]) for f in frames]
+            bands = [_band(f) for f in frames]
+            fits = search.fit_bands(bands, [seed_of(*n, "fit") for n in names], steps, samples, rate, retry, only, onset_search)
+            yield pd.concat([one(*names[k], bands[k], f) for k, f in fits])
+
     big = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("object", "band"))).where(F.col("__n") >= MIN_POINTS).drop("__n")
-    return big.select(F.col("object").cast("string").alias("object"), "band", "t", "y", "s", "is_upper", "ceiling").groupBy("object", "band").applyInPandas(run, PARAM_SCHEMA)
+    big = big.select(F.col("object").cast("string").alias("object"), "band", "t", "y", "s", "is_upper", "ceiling")
+    return big.repartition("object", "band").sortWithinPartitions("object", "band", "t", "y").mapInPandas(run, PARAM_SCHEMA)
+
+
+def _some_bands(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """Whole bands of rows sorted by object and band, at most ``STACKED`` at a time; a task holds these only."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        parts = [f for _, f in rows.groupby(["object", "band"], sort=False, dropna=False)]
+        if held and parts and all(held[-1][k].iloc[0] == parts[0][k].iloc[0] for k in ("object", "band")):
+            parts[0] = pd.concat([held.pop(), parts[0]], ignore_index=True)
+        held += parts
+        while len(held) > STACKED:
+            yield held[:STACKED]
+            held = held[STACKED:]
+    if held:
+        yield held
 
 
 def posterior_curves(params: DataFrame, spans: DataFrame, zero_point: float = 23.9, draws: int = 200, points: int = 50) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Stochastic fits of one band in numpy: swarm search, model cascade, onset search and variational posterior.
+"""Stochastic fits of many bands at once in numpy: swarm search, model cascade, onset search and variational posterior.
 
-Every draw comes from a generator seeded by the caller, so equal inputs give
-equal fits whatever the partitioning.
+Bands are stacked: every array has a leading axis of bands, and their points are
+padded to a length that depends on the band alone. Every draw comes from a
+generator seeded by the band and the model, so equal inputs give equal fits
+whatever the partitioning and whichever bands are stacked together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,147 +37,219 @@ class Band:
     ceiling: np.ndarray
 
 
-def rescale(model: Model, pred: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
-    """The integrated model scaled to a peak of one at detections, within 0.1 and 10; also the unlimited scale."""
-    raw = np.ones(len(pred))
-    if model.flux is None and (~band.upper).any():
-        top = pred[:, ~band.upper].max(1)
+class Stack:
+    """Bands of one padded length: (bands, points) arrays, ``real`` marks points that are not padding, and a seed for each band."""
+
+    def __init__(self, bands: list[Band], seeds: list[int]):
+        width = padded(bands[0])
+
+        def stack(name: str) -> np.ndarray:
+            # Padding repeats the first point, so no model sees a time that is not the band's.
+            return np.stack([np.concatenate([x, np.full(width - len(x), x[0])]) for x in (getattr(b, name) for b in bands)])
+
+        self.t, self.y, self.s, self.upper, self.ceiling = map(stack, ("t", "y", "s", "upper", "ceiling"))
+        self.seeds = np.array(seeds, np.uint64)
+        self.real = np.arange(width) < np.array([len(b.t) for b in bands])[:, None]
+
+    def __len__(self) -> int:
+        return len(self.t)
+
+    def take(self, which: np.ndarray) -> Stack:
+        out = object.__new__(Stack)
+        for name, x in vars(self).items():
+            setattr(out, name, x[which])
+        return out
+
+    def draws(self, purpose: str, make) -> np.ndarray:
+        """``make`` of each band's own generator for a purpose, stacked."""
+        salt = int.from_bytes(purpose.encode(), "little") % (1 << 61)
+        return np.stack([make(np.random.Generator(np.random.PCG64([int(s), salt]))) for s in self.seeds])
+
+
+def padded(band: Band) -> int:
+    return max(8, 1 << (len(band.t) - 1).bit_length())
+
+
+def flux(model: Model, theta: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """(bands, rows, points) fluxes of (bands, rows, parameters) at (bands, points) times."""
+    n, rows = theta.shape[:2]
+    if model.flux is None:
+        return flux_numpy(model, theta.reshape(n * rows, -1), np.repeat(t, rows, axis=0)).reshape(n, rows, -1)
+    return flux_numpy(model, np.moveaxis(theta, 2, 0), t[:, None, :])
+
+
+def flux_gradient(model: Model, theta: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flux`` and its (bands, rows, points, parameters) derivatives."""
+    n, rows, k = theta.shape
+    if model.flux is None:
+        f, g = gradient_numpy(model, theta.reshape(n * rows, k), np.repeat(t, rows, axis=0))
+        return f.reshape(n, rows, -1), g.reshape(n, rows, -1, k)
+    return gradient_numpy(model, np.moveaxis(theta, 2, 0), t[:, None, :])
+
+
+def rescale(model: Model, pred: np.ndarray, x: Stack) -> tuple[np.ndarray, np.ndarray]:
+    """For each band and row the factor that scales the integrated model to a peak of one at detections, within 0.1 and 10; also the unlimited one."""
+    raw = np.ones(pred.shape[:2])
+    if model.flux is None:
+        seen = x.real & ~x.upper
+        top = np.where(seen[:, None, :], pred, -np.inf).max(2)
         raw = np.where((top > 1e-10) & np.isfinite(top), 1 / np.where(top > 0, top, 1), 1.0)
     return np.clip(raw, 0.1, 10.0), raw
 
 
-def cost(model: Model, theta: np.ndarray, band: Band) -> np.ndarray:
-    """Swarm objective of each parameter row."""
-    pred = flux_numpy(model, theta, band.t)
-    scale, _ = rescale(model, pred, band)
-    pred = pred * scale[:, None]
+def cost(model: Model, theta: np.ndarray, x: Stack) -> np.ndarray:
+    """(bands, rows) swarm objective."""
+    real = x.real[:, None, :]
     with np.errstate(all="ignore"):
-        var = band.s**2 + np.exp(2 * theta[:, -1:]) + VAR_FLOOR
-        limit = -log_normal_cdf_numpy((band.ceiling - pred) / np.sqrt(var))
-        out = np.where(band.upper, limit, (pred - band.y) ** 2 / var + np.log(var)).mean(1)
-    return np.where(np.isfinite(pred).all(1), out, 1e99)
+        pred = flux(model, theta, x.t)
+        pred = pred * rescale(model, pred, x)[0][:, :, None]
+        var = x.s[:, None, :] ** 2 + np.exp(2 * theta[:, :, -1:]) + VAR_FLOOR
+        limit = -log_normal_cdf_numpy((x.ceiling[:, None, :] - pred) / np.sqrt(var))
+        each = np.where(x.upper[:, None, :], limit, (pred - x.y[:, None, :]) ** 2 / var + np.log(var))
+        out = np.where(real, each, 0.0).sum(2) / x.real.sum(1)[:, None]
+    return np.where((np.isfinite(pred) | ~real).all(2), out, 1e99)
 
 
-def start_values(model: Model, band: Band) -> np.ndarray:
-    """Heuristic parameters from the brightest point."""
-    theta = np.array(model.start, float)
-    theta[model.t0] = band.t[band.y.argmax()] - theta[model.t0]
+def start_values(model: Model, x: Stack) -> np.ndarray:
+    """(bands, parameters) heuristic values from the brightest point."""
+    theta = np.tile(np.array(model.start, float), (len(x), 1))
+    top = np.where(x.real, x.y, -np.inf).argmax(1)
+    rows = np.arange(len(x))
+    theta[:, model.t0] = x.t[rows, top] - theta[:, model.t0]
     if model.params[0] == "log_a":
-        theta[0] = math.log(max(band.y.max(), 0.01))
+        theta[:, 0] = np.log(np.maximum(x.y[rows, top], 0.01))
     return np.clip(theta, model.lower, model.upper)
 
 
-def swarm(model: Model, band: Band, rng: np.random.Generator, iterations: int = ITERATIONS, fixed_t0: float | None = None) -> tuple[np.ndarray, float]:
-    """Best parameters and cost found by ``PARTICLES`` particles within the model's bounds."""
+def swarm(model: Model, x: Stack, iterations: int = ITERATIONS, fixed_t0: np.ndarray | None = None, purpose: str = "swarm") -> tuple[np.ndarray, np.ndarray]:
+    """Best parameters and cost of each band, found by ``PARTICLES`` particles within the model's bounds."""
     lo, hi = np.array(model.lower, float), np.array(model.upper, float)
-    x = lo + rng.random((PARTICLES, len(lo))) * (hi - lo)
-    x[0] = start_values(model, band)
-    v = np.zeros_like(x)
-    pin = lambda z: z if fixed_t0 is None else np.where(np.arange(len(lo)) == model.t0, fixed_t0, z)
-    x = pin(x)
-    own, own_cost = x.copy(), cost(model, x, band)
-    for _ in range(iterations):
-        lead = own[own_cost.argmin()]
-        r1, r2 = rng.random(x.shape), rng.random(x.shape)
-        v = INERTIA * v + PULL * r1 * (own - x) + PULL * r2 * (lead - x)
-        x = pin(np.clip(x + v, lo, hi))
-        c = cost(model, x, band)
+    r = x.draws(purpose + model.name, lambda g: g.random((2 * iterations + 1, PARTICLES, len(lo))))
+    pin = lambda z: z if fixed_t0 is None else np.where(np.arange(len(lo)) == model.t0, fixed_t0[:, None, None], z)
+    at = lo + r[:, 0] * (hi - lo)
+    at[:, 0] = start_values(model, x)
+    at = pin(at)
+    v = np.zeros_like(at)
+    own, own_cost = at.copy(), cost(model, at, x)
+    bands = np.arange(len(x))
+    for k in range(iterations):
+        lead = own[bands, own_cost.argmin(1)][:, None]
+        v = INERTIA * v + PULL * r[:, 2 * k + 1] * (own - at) + PULL * r[:, 2 * k + 2] * (lead - at)
+        at = pin(np.clip(at + v, lo, hi))
+        c = cost(model, at, x)
         better = c < own_cost
-        own[better], own_cost[better] = x[better], c[better]
-    k = own_cost.argmin()
-    return own[k], float(own_cost[k])
+        own[better], own_cost[better] = at[better], c[better]
+    k = own_cost.argmin(1)
+    return own[bands, k], own_cost[bands, k]
 
 
-def select(band: Band, rng: np.random.Generator, only: str | None = None) -> tuple[Model, np.ndarray, float]:
-    """Models in their order of trial; the cheapest wins, and a cost below ``GOOD_ENOUGH`` ends the search."""
-    best = None
+def select(x: Stack, only: str | None = None) -> tuple[list[Model], list[np.ndarray], np.ndarray]:
+    """Models in their order of trial; the cheapest wins, and a cost below ``GOOD_ENOUGH`` ends a band's search."""
+    models, thetas, best = [None] * len(x), [None] * len(x), np.full(len(x), np.inf)
+    open_ = np.arange(len(x))
     for model in [MODELS[only]] if only else MODELS.values():
-        theta, c = swarm(model, band, rng)
-        if best is None or c < best[2]:
-            best = (model, theta, c)
-        if best[2] < GOOD_ENOUGH:
+        theta, c = swarm(model, x.take(open_))
+        for i, k in enumerate(open_):
+            if models[k] is None or c[i] < best[k]:
+                models[k], thetas[k], best[k] = model, theta[i], c[i]
+        open_ = open_[best[open_] >= GOOD_ENOUGH]
+        if not len(open_):
             break
-    return best
+    return models, thetas, best
 
 
-def search_onset(model: Model, theta: np.ndarray, c: float, band: Band, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+def search_onset(model: Model, theta: np.ndarray, c: np.ndarray, x: Stack) -> tuple[np.ndarray, np.ndarray]:
     """Swarm searches of all other parameters at fixed onsets: ten around the pilot, then five around the best."""
-    pilot = theta[model.t0]
-    lo, hi = max(pilot - 5, band.t.min() - 10), pilot + 5
-    best, best_cost, onset = theta, c, pilot
-    for round_ in (0, 1):
-        times = np.linspace(lo, hi, 10) if round_ == 0 else np.linspace(max(onset - 0.5, lo), min(onset + 0.5, hi), 5)
-        for t0 in times:
-            found, found_cost = swarm(model, band, rng, ONSET_ITERATIONS, float(t0))
-            if found_cost < best_cost:
-                best, best_cost, onset = found, found_cost, float(t0)
+    best, best_cost, onset = theta.copy(), c.copy(), theta[:, model.t0].copy()
+    lo, hi = np.maximum(onset - 5, x.t.min(1) - 10), onset + 5
+    for turn, n in enumerate((10, 5)):
+        a, b = (lo, hi) if turn == 0 else (np.maximum(onset - 0.5, lo), np.minimum(onset + 0.5, hi))
+        for k, t0 in enumerate(np.linspace(a, b, n)):
+            found, found_cost = swarm(model, x, ONSET_ITERATIONS, t0, f"onset{turn}.{k}")
+            better = found_cost < best_cost
+            best[better], best_cost[better], onset[better] = found[better], found_cost[better], t0[better]
     return best, best_cost
 
 
-def _score(model: Model, theta: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood and its gradient of each parameter row, and which rows count."""
-    pred, grad = flux_numpy(model, theta, band.t), gradient_numpy(model, theta, band.t)
-    scale, raw = rescale(model, pred, band)
-    counts = np.abs(raw - scale) / raw <= 0.5
-    pred, grad = pred * scale[:, None], grad * scale[:, None, None]
+def _score(model: Model, theta: np.ndarray, x: Stack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each band and row the log likelihood, its gradient, and whether the row counts."""
+    upper, y, ceiling = x.upper[:, None, :], x.y[:, None, :], x.ceiling[:, None, :]
     with np.errstate(all="ignore"):
-        extra = np.exp(2 * theta[:, -1:])
-        var = band.s**2 + VAR_FLOOR + extra
-        sd, r = np.sqrt(var), band.y - pred
-        z = (band.ceiling - pred) / sd
+        pred, grad = flux_gradient(model, theta, x.t)
+        scale, raw = rescale(model, pred, x)
+        counts = np.abs(raw - scale) / raw <= 0.5
+        pred, grad = pred * scale[:, :, None], grad * scale[:, :, None, None]
+        extra = np.exp(2 * theta[:, :, -1:])
+        var = x.s[:, None, :] ** 2 + VAR_FLOOR + extra
+        sd, r = np.sqrt(var), y - pred
+        z = (ceiling - pred) / sd
         log_cdf = log_normal_cdf_numpy(z)
         ratio = np.exp(np.clip(-0.5 * z * z - 0.5 * math.log(2 * math.pi) - log_cdf, -700, 700))
-        ll = np.where(band.upper, log_cdf, -0.5 * (r * r / var + np.log(2 * math.pi * var)))
-        d_pred = np.where(band.upper, -ratio / sd, r / var)
-        d_noise = np.where(band.upper, -ratio * z * extra / var, (r * r / var**2 - 1 / var) * extra)
-        ok = np.isfinite(pred) & np.isfinite(ll)
-        total = np.einsum("pn,pnk->pk", np.where(ok, d_pred, 0), np.nan_to_num(grad, posinf=0, neginf=0))
-        total[:, -1] += np.where(ok, d_noise, 0).sum(1)
-    return np.where(ok, ll, 0).sum(1), total, counts
-
-
-def variational(model: Model, band: Band, start: np.ndarray, rng: np.random.Generator, steps: int = 1000, samples: int = 4, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray, float]:
-    """Means and log deviations of a diagonal Gaussian posterior, and the last evidence bound."""
-    k = len(start)
+        ll = np.where(upper, log_cdf, -0.5 * (r * r / var + np.log(2 * math.pi * var)))
+        d_pred = np.where(upper, -ratio / sd, r / var)
+        d_noise = np.where(upper, -ratio * z * extra / var, (r * r / var**2 - 1 / var) * extra)
+        ok = np.isfinite(pred) & np.isfinite(ll) & x.real[:, None, :]
+        total = (np.where(ok, d_pred, 0)[..., None] * np.nan_to_num(grad, posinf=0, neginf=0)).sum(2)
+        total[:, :, -1] += np.where(ok, d_noise, 0).sum(2)
+    return np.where(ok, ll, 0).sum(2), total, counts
+
+
+def variational(model: Model, x: Stack, start: np.ndarray, steps: int = 1000, samples: int = 4, rate: np.ndarray | float = 0.01, purpose: str = "posterior") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and log deviations of a diagonal Gaussian posterior of each band, and the last evidence bound."""
+    k = start.shape[1]
     centre, width = np.array(model.priors()).T
-    x = np.concatenate([start, np.full(k, -1.0)])
-    first, second, elbo = np.zeros(2 * k), np.zeros(2 * k), -math.inf
+    at = np.concatenate([start, np.full(start.shape, -1.0)], 1)
+    first, second, elbo = np.zeros(at.shape), np.zeros(at.shape), np.full(len(x), -np.inf)
+    draws = x.draws(purpose + model.name, lambda g: g.standard_normal((steps, samples, k)))
     for step in range(1, steps + 1):
-        mu, log_s = x[:k], x[k:]
-        eps = rng.standard_normal((samples, k))
+        mu, log_s = at[:, None, :k], at[:, None, k:]
+        eps = draws[:, step - 1]
         theta = mu + np.exp(log_s) * eps
-        ll, grad, counts = _score(model, theta, band)
+        ll, grad, counts = _score(model, theta, x)
         pull = (theta - centre) / width
-        grad = np.where(counts[:, None], grad - pull / width, 0.0)
-        g_mu = grad.sum(0) / samples
-        g_log = (grad * np.exp(log_s) * eps).sum(0) / samples + 1.0
-        elbo = float(np.where(counts, ll - 0.5 * (pull**2).sum(1), 0).sum() / samples + log_s.sum() + 0.5 * k * math.log(2 * math.pi * math.e))
-        g = -np.concatenate([g_mu, g_log])
+        grad = np.where(counts[:, :, None], grad - pull / width, 0.0)
+        g_log = (grad * np.exp(log_s) * eps).sum(1) / samples + 1.0
+        elbo = np.where(counts, ll - 0.5 * (pull**2).sum(2), 0).sum(1) / samples + at[:, k:].sum(1) + 0.5 * k * math.log(2 * math.pi * math.e)
+        g = -np.concatenate([grad.sum(1) / samples, g_log], 1)
         ok = np.isfinite(g)
         g = np.clip(np.where(ok, g, 0.0), -1e100, 1e100)
         first, second = np.where(ok, 0.9 * first + 0.1 * g, first), np.where(ok, 0.999 * second + 0.001 * g * g, second)
-        x = x - np.where(ok, rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), 0.0)
-        x[k:] = np.clip(x[k:], -6.0, 2.0)
-    return x[:k], x[k:] + math.log(INFLATION), elbo
+        at = at - np.where(ok, rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), 0.0)
+        at[:, k:] = np.clip(at[:, k:], -6.0, 2.0)
+    return at[:, :k], at[:, k:] + math.log(INFLATION), elbo
+
+
+def fit_bands(bands: list[Band], seeds: list[int], steps: int = 1000, samples: int = 4, rate: float = 0.01, retry: bool = False, only: str | None = None, onset_search: bool = False) -> Iterator[tuple[int, dict]]:
+    """(place, selected model with swarm and posterior parameters) of each band, in any order."""
+    widths = np.array([padded(b) for b in bands])
+    for width in np.unique(widths):
+        place = np.flatnonzero(widths == width)
+        x = Stack([bands[k] for k in place], [seeds[k] for k in place])
+        models, thetas, costs = select(x, only)
+        for model in {m.name: m for m in models}.values():
+            own = np.flatnonzero([m is model for m in models])
+            some, theta, c = x.take(own), np.stack([thetas[k] for k in own]), costs[own]
+            if onset_search:
+                theta, c = search_onset(model, theta, c, some)
+            mu, log_s, elbo = variational(model, some, theta, steps, samples, rate)
+            poor = np.flatnonzero(elbo < RETRY_BELOW) if retry else np.zeros(0, int)
+            if len(poor):
+                again = variational(model, some.take(poor), theta[poor], steps, max(samples, 8), 0.005 if rate > 0.005 else rate * 2, "again")
+                better = again[2] > elbo[poor]
+                mu[poor[better]], log_s[poor[better]], elbo[poor[better]] = (z[better] for z in again)
+            for i, k in enumerate(own):
+                yield int(place[k]), {"model": model.name, "cost": float(c[i]), "theta": theta[i], "mu": mu[i], "sigma": np.exp(log_s[i]), "elbo": float(elbo[i])}
 
 
-def fit_band(band: Band, seed: int, steps: int = 1000, samples: int = 4, rate: float = 0.01, retry: bool = False, only: str | None = None, onset_search: bool = False) -> dict:
+def fit_band(band: Band, seed: int, **options) -> dict:
     """Selected model with swarm and posterior parameters of one band."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    model, theta, c = select(band, rng, only)
-    if onset_search:
-        theta, c = search_onset(model, theta, c, band, rng)
-    mu, log_s, elbo = variational(model, band, theta, rng, steps, samples, rate)
-    if retry and elbo < RETRY_BELOW:
-        again = variational(model, band, theta, rng, steps, max(samples, 8), 0.005 if rate > 0.005 else rate * 2)
-        if again[2] > elbo:
-            mu, log_s, elbo = again
-    return {"model": model.name, "cost": c, "theta": theta, "mu": mu, "sigma": np.exp(log_s), "elbo": elbo}
+    ((_, fit),) = fit_bands([band], [seed], **options)
+    return fit
 
 
 def refine_onset(model: Model, mu: np.ndarray, band: Band, points: int = 50) -> tuple[float, float, np.ndarray]:
     """Onset of highest profile likelihood, half the width of its half-unit interval, and the means with it."""
-    bright = band.t[np.where(band.upper, -np.inf, band.y).argmax()]
+    bright = band.t[band.y.argmax()]
     grid = np.linspace(band.t.min() - 30, bright + 5, points)
     theta = np.tile(mu, (points, 1))
     theta[:, model.t0] = grid
@@ -197,6 +272,10 @@ def refine_onset(model: Model, mu: np.ndarray, band: Band, points: int = 50) ->
                 a, b = fy / ff, np.zeros(points)
                 a = np.where((ff > 1e-20) & (a > 1e-10), a, math.exp(mu[0]))
             pred = a[:, None] * shape + b[:, None]
+        elif not band.upper.all():
+            # The integrated model is scaled to a peak of one at detections, as in the fit.
+            top = pred[:, ~band.upper].max(1)
+            pred = pred * np.where((top > 1e-10) & np.isfinite(top), np.clip(1 / np.where(top > 0, top, 1), 0.1, 10.0), 1.0)[:, None]
         z = (band.ceiling - pred) / np.sqrt(var)
         ll = np.where(band.upper, log_normal_cdf_numpy(z), -0.5 * ((band.y - pred) ** 2 / var + np.log(2 * math.pi * var)))
     ll = np.where(np.isfinite(ll), ll, 0).sum(1)

@@ -61,13 +61,13 @@ def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> Da
     """Onset time by profile likelihood on a grid of ``ONSET_STEPS`` times, with its half-width.
 
     The grid runs from 30 days before the first time to 5 days after the
-    brightest detection. Detections meet the grid by ``explode`` and are summed up at once: amplitude
+    brightest point. Detections meet the grid by ``explode`` and are summed up at once: amplitude
     (and baseline, where the model has one) at every step come from weighted sums in closed form, and so does
     the likelihood of the detections. Only upper limits meet the solved steps again.
     """
     w = Window.partitionBy("object", "band")
-    bright = F.min(F.when(~F.col("is_upper"), F.struct((-F.col("y")).alias("y"), "t"))).over(w)
-    bounded = rows.withColumns({"lo": F.min("t").over(w) - 30.0, "hi": F.coalesce(bright["t"], F.min("t").over(w)) + 5.0, "var": F.col("s") ** 2 + F.lit(VAR_FLOOR + math.exp(2 * theta[-1]))})
+    bright = F.min(F.struct((-F.col("y")).alias("y"), "t")).over(w)
+    bounded = rows.withColumns({"lo": F.min("t").over(w) - 30.0, "hi": bright["t"] + 5.0, "var": F.col("s") ** 2 + F.lit(VAR_FLOOR + math.exp(2 * theta[-1]))})
     step = F.explode(F.sequence(F.lit(0), F.lit(ONSET_STEPS - 1)))
 
     free = {"log_a": F.lit(0.0), "t0": F.col("onset"), "b": F.lit(0.0)}

@@ -176,7 +176,7 @@ _B = M.MODELS["Bazin"]
 _TH = CANDIDATES["Bazin"]
 _SHAPE = _flux(_B, ["0.0", "0.0", "onset", *(repr(float(x)) for x in _TH[3:])])
 ORACLES["t0_profile_refine"] = f"""WITH {v.REL},
-bd AS (SELECT object, band, min(t) - 30.0 AS lo, coalesce(first(t ORDER BY y DESC, t) FILTER (NOT is_upper), min(t)) + 5.0 AS hi FROM rel GROUP BY ALL),
+bd AS (SELECT object, band, min(t) - 30.0 AS lo, first(t ORDER BY y DESC, t) + 5.0 AS hi FROM rel GROUP BY ALL),
 g AS (SELECT rel.*, k, lo + (hi - lo) * k / 49 AS onset, s * s + {VAR_FLOOR + math.exp(2 * _TH[-1])!r} AS var FROM rel JOIN bd USING (object, band), range(50) r(k)),
 f0 AS (SELECT *, {_SHAPE} AS fr FROM g), f AS (SELECT *, CASE WHEN NOT isnan(fr) AND NOT isinf(fr) THEN fr END AS f FROM f0),
 sm AS (SELECT object, band, k, coalesce(sum(1 / var) FILTER (NOT is_upper AND f IS NOT NULL), 0) AS w1, coalesce(sum(f / var) FILTER (NOT is_upper), 0) AS wf, coalesce(sum(f * f / var) FILTER (NOT is_upper), 0) AS wff,
