@@ -20,7 +20,9 @@ NATURAL = {
 }
 #: Duration and cadence in days of each simulated class, with the model that draws it.
 SIMULATED = {"kilonova": (15.0, 1.5, "MetzgerKN"), "supernova": (120.0, 3.0, "Arnett"), "tde": (300.0, 4.0, "Tde"), "bazin_phenom": (150.0, 3.0, "Bazin"), "afterglow": (120.0, 3.0, "Afterglow")}
-BANDS, BAND_SHARE, GAP, PER_NIGHT = ("g", "r", "i"), (0.35, 0.45, 0.20), 0.3, (0.4, 0.4, 0.2)
+# Bands and their shares, share of lost nights, exposures a night, drift of a night in days, sky noise by band and share of calibration noise.
+BANDS, BAND_SHARE, GAP, PER_NIGHT, JITTER = ("g", "r", "i"), (0.35, 0.45, 0.20), 0.3, (0.4, 0.4, 0.2), 0.5
+FLOOR, CALIBRATION = {"g": 3.0, "r": 3.5, "i": 5.0}, 0.05
 
 
 def compare_methods(a: DataFrame, b: DataFrame, value: str, least: int = 3) -> DataFrame:
@@ -60,6 +62,18 @@ def class_validation(rows: DataFrame) -> DataFrame:
     return _with_medians(stats, both, "class", {"median_chi2": "chi2"})
 
 
+def model_histogram(fits: DataFrame) -> DataFrame:
+    """Bands by class and selected model."""
+    return fits.groupBy("class", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Results (object, band, param, value) beside the true value of the parameter; objects without a truth row go, a parameter that the truth lacks is null."""
+    t = truth.select("object", "class", F.col("params").alias("__params"))
+    joined = results.join(t, "object").withColumn("true_value", F.try_element_at("__params", F.col("param")))
+    return joined.withColumn("error", F.col("value") - F.col("true_value")).drop("__params")
+
+
 def object_model(fits: DataFrame) -> DataFrame:
     """Model of each object: that of its band of least finite chi2 (first band of equals), else its most common model (first name of equals)."""
     ok = F.col("chi2").isNotNull() & ~F.isnan("chi2") & (F.abs("chi2") != float("inf"))
@@ -94,36 +108,61 @@ def throughput(results: DataFrame, wall_seconds: float) -> DataFrame:
     return results.agg(n.alias("objects"), m.alias("bands"), (n / wall_seconds).alias("objects_per_s"), (m / wall_seconds).alias("bands_per_s"), F.avg("fit_seconds").alias("mean_fit_s"))
 
 
-def _simulate(name: str, kind: str, seed: int) -> pd.DataFrame:
-    rng = np.random.Generator(np.random.PCG64(seed))
+def _draw(kind: str, rng: np.random.Generator) -> np.ndarray:
+    """True parameters of one simulated object: the start values of its class's model, spread, with its onset inside the curve."""
+    model = MODELS[SIMULATED[kind][2]]
+    theta = np.array(model.start) + rng.normal(0, 0.1, len(model.start))
+    theta[model.t0] = SIMULATED[kind][0] * 0.2 if model.flux else 0.5
+    return theta
+
+
+def _cadence(duration: float, cadence: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Times and bands: nights that drift by a jitter each, some lost, with up to three exposures within half an hour."""
+    steps = cadence + rng.normal(0, JITTER, int(3 * duration / cadence) + 10)
+    nights = rng.uniform(0.1, 1.0) + np.concatenate([[0.0], np.cumsum(steps)])
+    nights = nights[: np.argmax(nights >= duration)] if (nights >= duration).any() else nights
+    nights = nights[rng.random(len(nights)) > GAP]
+    t = np.repeat(nights, rng.choice([1, 2, 3], len(nights), p=PER_NIGHT))
+    return t + rng.uniform(0, 0.02, len(t)), rng.choice(BANDS, len(t), p=BAND_SHARE)
+
+
+def _simulate(i: int, per_class: int) -> tuple[str, str, np.ndarray, pd.DataFrame]:
+    """Name, class, true parameters and curve of object i."""
+    kind = list(SIMULATED)[i // per_class]
+    rng = np.random.Generator(np.random.PCG64(1000 + i))
     duration, cadence, model = SIMULATED[kind]
-    m = MODELS[model]
-    start = np.array(m.start)
-    theta = start + rng.normal(0, 0.1, len(start))
-    t0 = duration * 0.2 if model != "MetzgerKN" else 0.5
-    theta[m.t0] = t0
-    nights = np.arange(0.0, duration, cadence)
-    nights = nights[rng.random(len(nights)) >= GAP]
-    per = rng.choice([1, 2, 3], len(nights), p=PER_NIGHT)
-    t = np.repeat(nights, per) + rng.normal(0, 0.5, per.sum())
-    band = rng.choice(BANDS, len(t), p=BAND_SHARE)
-    flux = 200.0 * flux_numpy(m, theta[None], t)[0]
-    err = np.sqrt((0.05 * flux) ** 2 + (2.0 * rng.uniform(0.8, 1.5, len(t))) ** 2)
+    theta = _draw(kind, rng)
+    t, band = _cadence(duration, cadence, rng)
+    flux = 200.0 * flux_numpy(MODELS[model], theta[None], t)[0]
+    sky = np.array([FLOOR[b] for b in band]) * rng.uniform(0.8, 1.5, len(t))
+    err = np.hypot(CALIBRATION * flux, sky)
     seen = flux + rng.normal(0, 1, len(t)) * err
-    out = pd.DataFrame({"object": name, "class": kind, "band": band, "mjd": 60000.0 + t, "flux": seen, "err": err})
+    name = f"sim_{kind}_{i % per_class:03d}"
+    out = pd.DataFrame({"object": name, "class": kind, "band": band, "mjd": 60700.0 + t, "flux": seen, "err": err})
     out = out[np.isfinite(out["flux"]) & (out["flux"] > 0)].sort_values(["mjd", "band"])
-    return out if len(out) >= 5 else out.iloc[:0]
+    return name, kind, theta, out if len(out) >= 5 else out.iloc[:0]
 
 
 def simulate(spark, per_class: int = 50) -> DataFrame:
     """Noisy curves of every simulated class; each object draws from its own seed, so the rows do not depend on partitions."""
-    kinds = list(SIMULATED)
-    ids = spark.range(per_class * len(kinds))
 
     def run(batches):
         for b in batches:
             for i in b["id"]:
-                kind = kinds[int(i) // per_class]
-                yield _simulate(f"sim_{kind}_{int(i) % per_class:03d}", kind, 1000 + int(i))
+                yield _simulate(int(i), per_class)[3]
+
+    return spark.range(per_class * len(SIMULATED)).mapInPandas(run, "object string, class string, band string, mjd double, flux double, err double")
+
+
+def simulated_truth(spark, per_class: int = 50) -> DataFrame:
+    """(object, class, model, params, n_obs) of the objects that ``simulate`` draws; those whose curve is too short are left out."""
+
+    def run(batches):
+        for b in batches:
+            rows = [_simulate(int(i), per_class) for i in b["id"]]
+            models = [MODELS[SIMULATED[kind][2]] for _, kind, _, _ in rows]
+            params = [dict(zip(m.params[:-1], theta.tolist())) for m, (_, _, theta, _) in zip(models, rows)]
+            out = pd.DataFrame({"object": [r[0] for r in rows], "class": [r[1] for r in rows], "model": [m.name for m in models], "params": params, "n_obs": [len(r[3]) for r in rows]})
+            yield out[out["n_obs"] > 0]
 
-    return ids.mapInPandas(run, "object string, class string, band string, mjd double, flux double, err double")
+    return spark.range(per_class * len(SIMULATED)).mapInPandas(run, "object string, class string, model string, params map<string,double>, n_obs long")

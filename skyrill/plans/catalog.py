@@ -316,6 +316,10 @@ def simulate(spark, sf_dir):
     return validate.simulate(spark)
 
 
+def simulated_truth(spark, sf_dir):
+    return validate.simulated_truth(spark)
+
+
 def train_classifier(spark, sf_dir):
     cols = [f"f{i}" for i in range(v.N_FEATURES)]
     return ml.train_classifier(ml.impute_median(v.features(spark, sf_dir), cols, 0.0), "vec_id", cols, "class")
@@ -336,16 +340,19 @@ def queries() -> dict:
         subsample25, min_lengthscale, noise_fraction, display_error, rate_report, compare_parameters, pso_cost_grid, model_select, t0_profile_refine, mag_chi2, baseline_chi2, grid_points, grid_timescales, grid_shape, interp_at,
         borrowed_offset, temperature_curve, temperature_features, percentile_band, impute_median, variance_importance, class_stats, label_encode, feature_summary, feature_pivot,
         join_classes, method_compare, ratio_hist, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve,
-        simulate, train_classifier, classification_report, outliers,
+        simulate, simulated_truth, train_classifier, classification_report, outliers,
     ]
     out = {f.__name__: f for f in q}
     out |= {"alert_flags": alert_flags_query, "flux_to_mag": flux_to_mag_query, "log_normal_cdf": log_cdf, "explode_bundle": explode_bundle_query, "gp_features_a": gp_features("A"), "gp_features_b": gp_features("B")}
     for m in M.CLOSED_FORM:
         out |= {f"model_flux_{m.name.lower()}": model_flux(m), f"model_grad_{m.name.lower()}": model_grad(m)}
-    return out
+    from . import formats
+
+    return out | formats.queries()
 
 
 def oracle_sql() -> dict:
+    from . import formats
     from .oracles import ORACLES
 
-    return ORACLES
+    return ORACLES | formats.oracle_sql()

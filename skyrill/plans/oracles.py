@@ -210,3 +210,7 @@ nm AS (SELECT object, k, d, light / max(light) OVER (PARTITION BY object) AS l,
 q AS (SELECT object, -1 + (hi + 1) * j / 49 AS t FROM sp, range(50) r(j))
 SELECT q.object::VARCHAR AS object, {_r('t')} AS t, {_r('coalesce(CASE WHEN t < d THEN l ELSE l + (l1 - l) * (t - d) / (d1 - d) END, 0)')} AS flux
 FROM q LEFT JOIN nm ON nm.object = q.object AND t > 0 AND ((t >= d AND t < d1) OR (k = 0 AND t < d))"""
+
+_LINE = "printf('%s %s: peak %.3f at %.5f, rise %s, fade %s', object::VARCHAR, band, peak_mag, peak_mjd, CASE WHEN rise_rate IS NULL THEN '-' ELSE printf('%.4f', rise_rate) END, CASE WHEN fade_rate IS NULL THEN '-' ELSE printf('%.4f', fade_rate) END)"
+_RATES = ORACLES["alert_rates"].replace(", 6) + 0::DOUBLE)", ", 15) + 0::DOUBLE)")
+ORACLES["rate_report"] = f"SELECT {_LINE} AS line FROM ({_RATES})"

@@ -30,5 +30,5 @@ def write_table(rows: DataFrame, path: str, kind: str = "csv") -> None:
 def report(rates: DataFrame) -> DataFrame:
     """One line of text for each object and band, bands in the order g, r, i, z, y, u."""
     order = F.array_position(F.array(*map(F.lit, "grizyu")), F.col("band"))
-    line = F.format_string("%s %s: peak %.3f at %.5f, rise %s, fade %s", F.col("object").cast("string"), "band", "peak_mag", "peak_mjd", F.coalesce(F.round("rise_rate", 4).cast("string"), F.lit("-")), F.coalesce(F.round("fade_rate", 4).cast("string"), F.lit("-")))
+    line = F.format_string("%s %s: peak %.3f at %.5f, rise %s, fade %s", F.col("object").cast("string"), "band", "peak_mag", "peak_mjd", *[F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).otherwise("-") for c in ("rise_rate", "fade_rate")])
     return rates.select("object", order.alias("k"), line.alias("line")).orderBy("object", "k").select("line")
