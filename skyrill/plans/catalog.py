@@ -12,6 +12,7 @@ from ..operators import features as feat
 from ..operators import fitters, ml, photometry, prep, selection, validate
 from ..operators.flags import alert_flags
 from ..sources.readers import explode_bundle, sanitize
+from ..sources.scratch import staged
 from ..sources.writers import report
 from . import views as v
 
@@ -250,7 +251,7 @@ def ratio_hist(spark, sf_dir):
 
 
 def class_validation(spark, sf_dir):
-    c = _round(_costs(spark, sf_dir), 3).withColumnsRenamed({"model": "class", "cost": "chi2"})
+    c = staged(_round(_costs(spark, sf_dir), 3).withColumnsRenamed({"model": "class", "cost": "chi2"}), "costs")
     return _round(validate.class_validation(c), 3)
 
 
@@ -322,7 +323,7 @@ def simulated_truth(spark, sf_dir):
 
 def train_classifier(spark, sf_dir):
     cols = [f"f{i}" for i in range(v.N_FEATURES)]
-    return ml.train_classifier(ml.impute_median(v.features(spark, sf_dir), cols, 0.0), "vec_id", cols, "class")
+    return ml.train_classifier(staged(ml.impute_median(v.features(spark, sf_dir), cols, 0.0), "imputed"), "vec_id", cols, "class", search=True)
 
 
 def classification_report(spark, sf_dir):
@@ -331,7 +332,8 @@ def classification_report(spark, sf_dir):
 
 def outliers(spark, sf_dir):
     cols = [f"f{i}" for i in range(v.N_FEATURES)]
-    return ml.outliers(ml.project(ml.impute_median(v.features(spark, sf_dir), cols, 0.0), "vec_id", cols), "vec_id", ["p1", "p2"])
+    points = ml.project(staged(ml.impute_median(v.features(spark, sf_dir), cols, 0.0), "imputed"), "vec_id", cols)
+    return ml.outliers(staged(points, "points"), "vec_id", ["p1", "p2"])
 
 
 def queries() -> dict:

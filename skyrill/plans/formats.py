@@ -93,7 +93,7 @@ def scan_parameters(spark, sf_dir):
     path = scratch_path(spark, "parameters")
     writers.write_parameters(one("t0", "m").union(one("b", "n")), path)
     p = readers.read_parameters(spark, path)
-    return _round(p.select("object", "band", "model", "chi2", F.explode("params").alias("param", "x")).select("object", "band", "model", "param", F.col("x.mean").alias("mean"), F.col("x.std").alias("std"), "chi2"), 5)
+    return _round(p.select("object", "band", "model", "chi2", F.explode("params").alias("param", "x")).select("object", "band", "model", "param", F.col("x.mean").alias("mean"), F.col("x.std").alias("std"), "chi2"))
 
 
 def class_report_fixed(spark, sf_dir):
@@ -160,7 +160,7 @@ def oracle_sql() -> dict:
         "detect_formats": "SELECT 'micro' AS dialect, 23.9::DOUBLE AS zero_point UNION ALL SELECT 'nano', 31.4::DOUBLE",
         "scan_classes": "SELECT (doc_id % 200)::VARCHAR AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL",
         "scan_features": f"WITH {v.FEAT} SELECT 'v' || vec_id AS object, class AS classification, {r('f0', 3)} AS f0, {r('f1', 3)} AS f1, {r('f2', 3)} AS f2 FROM ft",
-        "scan_parameters": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS m, min(mag) AS n FROM mg GROUP BY ALL) SELECT 'sim_' || object AS object, band, 'Bazin' AS model, param, {r('CASE param WHEN $$t0$$ THEN m ELSE n END', 5)} AS mean, {r('n', 5)} AS std, {r('m', 5)} AS chi2 FROM a, (SELECT unnest(['t0', 'b']) AS param)",
+        "scan_parameters": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS m, min(mag) AS n FROM mg GROUP BY ALL) SELECT 'sim_' || object AS object, band, 'Bazin' AS model, param, {r('CASE param WHEN $$t0$$ THEN m ELSE n END')} AS mean, {r('n')} AS std, {r('m')} AS chi2 FROM a, (SELECT unnest(['t0', 'b']) AS param)",
         "class_report_fixed": f"WITH p AS (SELECT label::DOUBLE AS y, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE label::DOUBLE END AS q FROM embeddings), c AS (SELECT y AS c FROM p UNION SELECT q FROM p) SELECT c, {r('tp / nullif(said, 0)')} AS precision, {r('tp / nullif(support, 0)')} AS recall, {r('2.0 * tp / nullif(CASE WHEN tp > 0 THEN said + support END, 0)')} AS f1, support FROM (SELECT c, (SELECT count(*) FROM p WHERE y = c AND q = c) AS tp, (SELECT count(*) FROM p WHERE q = c) AS said, (SELECT count(*) FROM p WHERE y = c) AS support FROM c)",
         "join_pivot_classes": f"WITH {v.MG}, a AS (SELECT object, band, min(mag) AS peak FROM mg GROUP BY ALL), pv AS (SELECT object, {', '.join(r(f'max(CASE WHEN band = $${b}$$ THEN peak END)') + f' AS peak_{b}' for b in 'grizy')} FROM a GROUP BY object), c AS (SELECT doc_id % 200 AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL) SELECT pv.*, classification FROM pv JOIN c USING (object)",
         "join_truth": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS value, CASE WHEN band IN ('g', 'r') THEN 't0' ELSE 'b' END AS param FROM mg GROUP BY ALL), j AS (SELECT a.*, s_nationkey::VARCHAR AS class, CASE WHEN param = 't0' THEN s_acctbal / 100 END AS tv FROM a JOIN supplier ON s_suppkey = object) SELECT object, band, {r('value', 5)} AS value, param, class, {r('tv', 5)} AS true_value, {r('value - tv', 5)} AS error FROM j",
