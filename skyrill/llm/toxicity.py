@@ -1,21 +1,25 @@
-"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained in numpy.
-
-A word is the mean of the embeddings of its byte n-grams (with its borders), a
-window of ``WINDOW`` words the mean of its words, and a softmax over two classes
-reads the window; a misspelling shares most n-grams with the word it hides, so
-it lies near it. A document scores as its most toxic window, so length does not
-dilute it. Embeddings start along the softmax as far as their n-gram separates
-the classes, then embeddings and softmax are trained jointly (Adam) on each
-document's highest window until a fifth of the training rows, set apart, no
-longer gains.
-
-Training rows: labelled rows that are not held out and hold at most
-``SAMPLE_CHARS`` characters (whole texts), about ``SAMPLE_ROWS`` of
-each class at most, by a threshold on a hash. Only the text is an input of a score.
-
-Defined results: a null or empty text has the score of a window without
-evidence; held out are rows whose crc32 of the doc_id as text leaves 1 modulo
-3; rows repeat as given; with no labelled rows of both classes the scores are
+"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
+
+A word is the mean of the embeddings of its byte n-grams (with its borders, and
+the word itself), a document the mean of its words, and a softmax over two
+classes reads the document; a misspelling or another ending shares most n-grams
+with the word it hides, so it lies near it. In the mean a word counts by the
+logarithm of its occurrences, words repeated at once count as one, and ``PAD``
+words without a meaning are added, so that neither spam nor a few words decide.
+
+Training rows: labelled rows that are not held out, about ``SAMPLE_ROWS`` of each
+class at most and fewer where their whole texts are over ``SAMPLE_BYTES``, by a
+threshold on a hash of the id and never by length. Only n-grams whose mean
+density differs between the classes by some standard errors get an embedding
+(``SCREENS``, ``FEATURES`` at most); embeddings and softmax are trained together
+(Adam) until a fifth of the training rows, set apart, no longer gains, and the
+screen that does best on that fifth is kept. The bias is moved from the sample's
+share of toxic rows to that of all training rows. Only the text is an input of a score.
+
+Defined results: a null or empty text has the score of a mean without evidence;
+texts of any length are read whole; held out are rows whose crc32 of the doc_id
+as text leaves 1 modulo 3; rows repeat as given; labels that disagree on a
+doc_id count as toxic; with no labelled rows of both classes the scores are
 0.5; other columns are not read.
 """
 
@@ -31,22 +35,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import bounded_sample, table
+from .shared import bounded_sample, scratch, stage, table
 
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 60_000
+SAMPLE_BYTES = 64 << 20
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
-#: Documents of the sample that must hold a feature's words; rarer features would only learn their documents by heart.
-MIN_DOCUMENTS = 6
+BUCKETS = 1 << BUCKET_BITS
+PAD = 60.0
+#: Documents of the sample that must hold an n-gram.
+MIN_DOCUMENTS = 4
+#: Standard errors of a difference of means from which an n-gram gets an embedding, tried in turn.
+SCREENS = (4.0, 2.5)
+FEATURES = 4096
 DIMENSIONS = 8
-WINDOW = 3
-STEPS = 60
-PATIENCE = 10
+STEPS = 250
+PATIENCE = 20
 LEARNING_RATE = 0.02
-DECAY = 1e-3
-#: Standard errors by which a bucket's odds must differ from even before it starts with an embedding.
-SURE = 3.0
+DECAY = 1e-2
 PREDICT_AT = 0.7
 SEED = 7
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -85,56 +91,60 @@ def word_grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return np.concatenate(words), np.concatenate(hashes)
 
 
-class Tokens:
-    """Words of a chunk: a number for each distinct word, its n-grams, and each token's word."""
-
-    def __init__(self, chunk: flat.Chunk):
-        w = flat.words(chunk)
-        # A word said again at once adds nothing to a bag.
-        fresh = np.flatnonzero((np.diff(w.hash, prepend=_U(0)) != 0) | (np.diff(w.doc, prepend=-1) != 0))
-        self.doc = w.doc[fresh]
-        w.start, w.end = w.start[fresh], w.end[fresh]
-        _, first, self.word = np.unique(w.hash[fresh], return_index=True, return_inverse=True)
-        self.n_words = len(first)
-        self.gram_word, self.gram = word_grams(chunk.buf, w.start[first], w.end[first])
-        self.gram_count = np.bincount(self.gram_word, minlength=self.n_words)
-
-    def drop(self, buckets: np.ndarray) -> None:
-        """Let some buckets score nothing; they still count in the mean, as unseen features do later."""
-        keep = ~buckets[self.gram]
-        self.gram_word, self.gram = self.gram_word[keep], self.gram[keep]
-
-    def word_score(self, gram_score: np.ndarray) -> np.ndarray:
-        return np.bincount(self.gram_word, weights=gram_score[self.gram], minlength=self.n_words) / np.maximum(self.gram_count, 1)
-
-
-def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the first token of the window that it ends, and whether that window counts: full ones do, and whole shorter documents."""
-    first = np.searchsorted(doc, np.arange(n_docs + 1))
-    place = np.arange(len(doc)) - first[doc]
-    begin = first[doc] + np.maximum(place - WINDOW + 1, 0)
-    last = np.arange(len(doc)) == first[doc + 1] - 1
-    return begin, (place >= WINDOW - 1) | last
-
-
-def highest(score: np.ndarray, doc: np.ndarray, n_docs: int, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's highest window: its logit, and its first and last token (-1 without words)."""
-    begin, counts = windows(doc, n_docs)
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    end = np.flatnonzero(counts)
-    value = (total[end + 1] - total[begin[end]]) / WINDOW
-    first = np.flatnonzero(np.diff(doc[end], prepend=-1))
-    if len(first):
-        best = np.maximum.reduceat(value, first)
-        top = np.flatnonzero(value == np.repeat(best, np.diff(first, append=len(end))))
-        chosen = top[np.flatnonzero(np.diff(doc[end[top]], prepend=-1))]
-    else:
-        chosen = first
-    logit, lo, hi = np.full(n_docs, bias), np.full(n_docs, -1), np.full(n_docs, -1)
-    at = doc[end[chosen]]
-    logit[at] += value[chosen]
-    lo[at], hi[at] = begin[end[chosen]], end[chosen]
-    return logit, lo, hi
+class Bag:
+    """Words of some documents: a number for each distinct word, its n-grams, and the weight of each word in each document's mean."""
+
+    def __init__(self, chunks: Iterator[flat.Chunk]):
+        numbers: dict[int, int] = {}
+        doc, word, weight, gram_word, gram = [], [], [], [], []
+        self.n_docs = 0
+        for chunk in chunks:
+            w = flat.words(chunk)
+            fresh = np.flatnonzero((np.diff(w.hash, prepend=_U(0)) != 0) | (np.diff(w.doc, prepend=-1) != 0))
+            h, d = w.hash[fresh], w.doc[fresh]
+            order = np.lexsort((h, d))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
+            first = np.flatnonzero(new)
+            count = np.log2(1.0 + np.diff(first, append=len(order)))
+            at = order[first]
+            total = np.bincount(d[at], weights=count, minlength=chunk.n_docs) + PAD
+            distinct, where, number = np.unique(h[at], return_index=True, return_inverse=True)
+            unknown = np.array([x not in numbers for x in distinct.tolist()], bool)
+            for x in distinct[unknown].tolist():
+                numbers[x] = len(numbers)
+            place = fresh[at[where[unknown]]]
+            g_word, g = word_grams(chunk.buf, w.start[place], w.end[place])
+            gram_word.append(g_word + (len(numbers) - len(place)))
+            gram.append(g)
+            doc.append(d[at] + self.n_docs)
+            word.append(np.array([numbers[x] for x in distinct.tolist()], np.int64)[number])
+            weight.append(count / total[d[at]])
+            self.n_docs += chunk.n_docs
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.doc, self.word, self.weight = join(doc, np.int64), join(word, np.int64), join(weight, float)
+        self.gram_word, self.gram, self.n_words = join(gram_word, np.int64), join(gram, np.int64), len(numbers)
+        order = np.argsort(self.gram_word, kind="stable")
+        self.gram_word, self.gram = self.gram_word[order], self.gram[order]
+        self.gram_count = np.maximum(np.bincount(self.gram_word, minlength=self.n_words), 1)
+
+    def mean(self, gram_score: np.ndarray) -> np.ndarray:
+        """Each document's mean of a score of buckets."""
+        by_word = np.bincount(self.gram_word, weights=gram_score[self.gram], minlength=self.n_words) / self.gram_count
+        return np.bincount(self.doc, weights=self.weight * by_word[self.word], minlength=self.n_docs)
+
+    def densities(self, wanted: np.ndarray, docs: int = 50) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, bucket, weight of the bucket in the document's mean) of wanted buckets, some documents at a time."""
+        keep = wanted[self.gram]
+        word, gram = self.gram_word[keep], self.gram[keep]
+        border = np.searchsorted(word, np.arange(self.n_words + 1))
+        edge = np.searchsorted(self.doc, np.arange(0, self.n_docs + docs, docs))
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            w = self.word[lo:hi]
+            n = border[w + 1] - border[w]
+            place = np.repeat(border[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key, at = np.unique(np.repeat(self.doc[lo:hi], n) * BUCKETS + gram[place], return_inverse=True)
+            yield key // BUCKETS, key % BUCKETS, np.bincount(at, weights=np.repeat(self.weight[lo:hi] / self.gram_count[w], n), minlength=len(key))
 
 
 class Model:
@@ -144,118 +154,112 @@ class Model:
         self.gram_score, self.bias = gram_score.astype(np.float32), float(bias)
 
     def score(self, chunk: flat.Chunk) -> np.ndarray:
-        t = Tokens(chunk)
-        logit, _, _ = highest(t.word_score(self.gram_score)[t.word], t.doc, chunk.n_docs, self.bias)
-        return 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-
-
-def separation(t: Tokens, y: np.ndarray, fitted: np.ndarray) -> np.ndarray:
-    """For each bucket how surely documents that hold it are toxic: the z-value of its smoothed log odds above ``SURE``, else 0."""
-    pair = np.unique(t.doc * t.n_words + t.word)
-    pair = pair[fitted[pair // t.n_words]]
-    order = np.argsort(t.gram_word, kind="stable")
-    gram, first = t.gram[order], np.searchsorted(t.gram_word[order], np.arange(t.n_words + 1))
-    size = 1 << BUCKET_BITS
-    held = np.zeros((2, size))
-    for part in np.array_split(pair, max(1, len(pair) // 100_000)):
-        if not len(part):
-            continue
-        # Whole documents at a time would be exact too; a document cut in two counts a shared bucket twice at most.
-        doc, word = np.divmod(part, t.n_words)
-        n = first[word + 1] - first[word]
-        place = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        seen = np.unique(np.repeat(doc, n) * size + gram[place])
+        return _sigmoid(self.bias + Bag(iter([chunk])).mean(self.gram_score))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def separation(bag: Bag, y: np.ndarray, fitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket by how many standard errors its mean density is higher in toxic documents, and its deviation over all."""
+    n = np.array([(fitted & (y == k)).sum() for k in (0, 1)], float)[:, None]
+    held, total, square = np.zeros((3, 2, BUCKETS))
+    for doc, bucket, value in bag.densities(np.ones(BUCKETS, bool)):
         for k in (0, 1):
-            held[k] += np.bincount((seen % size)[y[seen // size] == k], minlength=size)
-    n = np.array([(y[fitted] == k).sum() for k in (0, 1)], float)
-    held = np.minimum(held, n[:, None])
-    prior = held.sum(0) / n.sum()
-    yes, no = held[1] + 2 * prior + 0.05, held[0] + 2 * prior + 0.05
-    odds = np.log(yes / (n[1] - held[1] + 2)) - np.log(no / (n[0] - held[0] + 2))
-    return np.maximum(odds / np.sqrt(1 / yes + 1 / no) - SURE, 0.0)
-
-
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Fit embeddings and softmax jointly on labelled texts; a fifth of them decides when to stop."""
-    size = 1 << BUCKET_BITS
+            of = fitted[doc] & (y[doc] == k)
+            held[k] += np.bincount(bucket[of], minlength=BUCKETS)
+            total[k] += np.bincount(bucket[of], weights=value[of], minlength=BUCKETS)
+            square[k] += np.bincount(bucket[of], weights=value[of] ** 2, minlength=BUCKETS)
+    mean, spread = total / n, np.maximum(square / n - (total / n) ** 2, 0)
+    pooled = np.maximum(square.sum(0) / n.sum() - (total.sum(0) / n.sum()) ** 2, 0)
+    error = np.sqrt(np.maximum(spread[1], pooled) / n[1] + spread[0] / n[0] + 1e-18)
+    return np.where(held.sum(0) >= MIN_DOCUMENTS, (mean[1] - mean[0]) / error, 0.0), np.sqrt(pooled)
+
+
+def train(texts: list[str], labels: list[int], share: float | None = None) -> Model:
+    """Fit embeddings and softmax jointly on labelled texts; ``share`` is that of toxic rows where the model will be used."""
     if len(set(labels)) < 2:
-        return Model(np.zeros(size), 0.0)
-    (chunk,) = flat.chunks(pa.array(texts, pa.string()), 1 << 62)
-    t, n_docs, y = Tokens(chunk), chunk.n_docs, np.array(labels, float)
-    holders = np.bincount(np.unique(t.doc * t.n_words + t.word) % t.n_words, minlength=t.n_words)
-    common = np.bincount(t.gram, weights=holders[t.gram_word], minlength=size) >= MIN_DOCUMENTS
-    t.drop(~common)
+        return Model(np.zeros(BUCKETS), 0.0)
+    bag, y = Bag(flat.chunks(pa.array(texts, pa.large_string()))), np.array(labels, float)
     rng = np.random.Generator(np.random.PCG64(SEED))
-    fitted = rng.random(n_docs) >= 0.2
-    start = separation(t, y, fitted)
+    fitted = rng.random(len(y)) >= 0.2
+    for k in (0, 1):  # a class of few rows is in both parts where it can be
+        of = np.flatnonzero(y == k)
+        fitted[of[0]], fitted[of[1:2]] = True, False
     out = rng.normal(0, 0.5, (DIMENSIONS, 2))
-    u = out[:, 1] - out[:, 0]
-    # The first embeddings point along the softmax as far as their bucket separates; scale and bias are fitted first.
-    raw, _, _ = highest(t.word_score(start)[t.word], t.doc, n_docs, 0.0)
-    scale, bias = _line(raw[fitted], y[fitted])
-    params = [scale * np.outer(start, u) / (u @ u), out, np.array([0.0, bias])]
-    best, kept, stale = np.inf, None, 0
+    apart, deviation = separation(bag, y, fitted)
+    best, kept = np.inf, Model(np.zeros(BUCKETS), 0.0)
+    for screen in SCREENS:
+        chosen = np.flatnonzero(apart >= screen)
+        chosen = np.sort(chosen[np.argsort(-apart[chosen], kind="stable")[:FEATURES]])
+        column = np.full(BUCKETS, -1)
+        column[chosen] = np.arange(len(chosen))
+        x = np.zeros((bag.n_docs, len(chosen)), np.float32)
+        for doc, bucket, value in bag.densities(column >= 0):
+            x[doc, column[bucket]] = value / deviation[bucket]
+        loss, score, bias = _fit(x, y, fitted, out)
+        if loss < best:
+            best, kept = loss, Model(np.zeros(BUCKETS), bias)
+            kept.gram_score[chosen] = score / deviation[chosen]
+    if share is not None and 0 < share < 1:
+        kept.bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return kept
+
+
+def _fit(x: np.ndarray, y: np.ndarray, fitted: np.ndarray, out: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Least loss on the rows set apart, with each feature's logit and the bias there, for embeddings that start at zero."""
+    rate = y[fitted].mean()
+    params = [np.zeros((x.shape[1], DIMENSIONS)), out, np.array([0.0, np.log(rate / (1 - rate))])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, STEPS + 2):
+    best, stale = (np.inf, np.zeros(x.shape[1]), 0.0), 0
+    apart = ~fitted if not fitted.all() else fitted
+    for step in range(1, STEPS + 1):
         table_, out, b2 = params
-        u, b = out[:, 1] - out[:, 0], b2[1] - b2[0]
-        gram = table_ @ u
-        logit, lo, hi = highest(t.word_score(gram)[t.word], t.doc, n_docs, b)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        loss = -np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))[~fitted]) if not fitted.all() else step
-        if loss < best - 1e-4:
-            best, kept, stale = loss, Model(gram, b), 0
-        else:
-            stale += 1
+        u, b = out[:, 1] - out[:, 0], float(b2[1] - b2[0])
+        score = table_ @ u
+        p = _sigmoid(b + x @ score.astype(np.float32))
+        loss = -np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1))[apart])
+        stale += 1
+        if loss < best[0] - 1e-4:
+            best, stale = (loss, score, b), 0
         if stale >= PATIENCE:
             break
         error = fitted * (p - y) / fitted.sum()
-        edge = np.zeros(len(t.doc) + 1)
-        has = lo >= 0
-        np.add.at(edge, lo[has], error[has] / WINDOW)
-        np.add.at(edge, hi[has] + 1, -error[has] / WINDOW)
-        by_word = np.bincount(t.word, weights=np.cumsum(edge[:-1]), minlength=t.n_words)
-        by_gram = np.bincount(t.gram, weights=(by_word / np.maximum(t.gram_count, 1))[t.gram_word], minlength=size)
-        du, db = table_.T @ by_gram, error.sum()
-        grads = [np.outer(by_gram, u) + DECAY / size * table_, np.stack([-du, du], 1) + DECAY * out, np.array([-db, db])]
+        by_feature = (error.astype(np.float32) @ x).astype(float)
+        du, db = table_.T @ by_feature, error.sum()
+        grads = [np.outer(by_feature, u) + DECAY * table_, np.stack([-du, du], 1) + DECAY * out, np.array([-db, db])]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             params[k] = params[k] - LEARNING_RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return kept
-
-
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and bias of a logistic fit of y on x (Newton steps with a slight ridge)."""
-    w = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], 1)
-    spread = max(float(np.abs(x).max()), 1e-9)
-    design[:, 0] /= spread
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        w = w + np.linalg.solve(hess, design.T @ (y - p) - 1e-2 * w)
-    return float(max(w[0], 1e-3) / spread), float(w[1])
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on about ``rows`` labelled rows at most of each class that are not held out."""
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = known.agg(F.avg("toxic")).first()[0]
     # The bounded choice is made on narrow rows; its ids then pick the texts.
     chosen = [bounded_sample(known.where(F.col("toxic") == k), rows, "doc_id") for k in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
-        model = train(frame["text"].fillna("").tolist(), frame["toxic"].tolist())
+        model = train(frame["text"].fillna("").tolist(), frame["toxic"].tolist(), share)
         return pd.DataFrame({"gram_score": [model.gram_score.tolist()], "bias": [model.bias]})
 
-    # The sample is bounded, so one task holds it; the driver receives the model only.
-    rows_ = texts.join(picked, "doc_id").groupBy(F.lit(0).alias("all")).applyInPandas(learn, "gram_score array<float>, bias double").collect()
+    with scratch(docs.sparkSession):
+        sample = stage(texts.join(picked, "doc_id"), "labelled")
+        size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > SAMPLE_BYTES:
+            sample = sample.where(F.xxhash64("doc_id", F.lit(1)) < int(SAMPLE_BYTES / size * 2**64) - 2**63)
+        # The sample is bounded, so one task holds it; the driver receives the model only.
+        rows_ = sample.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "gram_score array<float>, bias double").collect()
     if not rows_:
-        return Model(np.zeros(1 << BUCKET_BITS), 0.0)
+        return Model(np.zeros(BUCKETS), 0.0)
     return Model(np.array(rows_[0].gram_score), rows_[0].bias)
 
 
