@@ -25,7 +25,7 @@ A document is kept when its language is known and its posterior is at least
 Defined results: a null or empty text carries no text evidence and is decided by
 the rest; with no evidence at all the language is ``UNKNOWN`` and not kept;
 ties go to the first language in alphabetical order; unknown or null hosts and
-declarations are values of their own; repeated rows repeat; an empty table
+declarations are values of their own; a text of any length is read whole; repeated rows repeat; an empty table
 gives an empty table; other columns are not read.
 """
 
@@ -47,6 +47,8 @@ LANGUAGE_ROWS = 200
 TABLE_BITS = 15
 EVIDENCE = 40.0
 FULL_TEXT = 200.0
+#: Trigrams from which a text of the sample gains little more weight.
+FAIR = 2000.0
 STRENGTH = 20.0
 UNKNOWN_PRIOR = 0.002
 MIN_POSTERIOR = 0.6
@@ -74,12 +76,9 @@ def _trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class TextModel:
     """Log likelihood of trigram slots by language; the last row is ``UNKNOWN``."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.langs = sorted({lang for lang, _ in rows})
-        counts = np.full((len(self.langs), 1 << TABLE_BITS), 0.5)
-        for k, lang in enumerate(self.langs):
-            for chunk in flat.chunks(pa.array([t for x, t in rows if x == lang], pa.string())):
-                counts[k] += np.bincount(_trigrams(chunk.buf, chunk.offsets)[1], minlength=1 << TABLE_BITS)
+    def __init__(self, langs: list[str], counts: np.ndarray):
+        self.langs = langs
+        counts = counts + 0.5
         p = counts / counts.sum(1, keepdims=True) if len(counts) else counts
         mean = p.mean(0, keepdims=True) if len(p) else np.full((1, 1 << TABLE_BITS), 2.0**-TABLE_BITS)
         # A text in none of the languages shows trigrams that all of them avoid.
@@ -95,25 +94,39 @@ class TextModel:
         return out / np.maximum(n, 1)[:, None] * (EVIDENCE * n / (n + FULL_TEXT))[:, None]
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, n): trigrams of each language in the texts of a batch; a text of n trigrams weighs like n FAIR / (n + FAIR)."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.to_numpy(zero_copy_only=False)
+        total = np.zeros((len(langs.dictionary), 1 << TABLE_BITS))
+        for chunk in flat.chunks(batch.column(1)):
+            doc, slot = _trigrams(chunk.buf, chunk.offsets)
+            weight = FAIR / (FAIR + np.bincount(doc, minlength=chunk.n_docs))
+            np.add.at(total, (code[chunk.first + doc], slot), weight[doc])
+        lang, slot = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), pa.array(slot, pa.int32()), pa.array(total[lang, slot])], ["lang", "slot", "n"])
+
+
 def fit_text(docs: DataFrame, id_col: str, text: Column, declared: Column, rows: int = SAMPLE_ROWS) -> TextModel:
     """Learn every declared language, from all rows if they are at most ``rows``, else from an equal share for each.
 
-    Rows of 20 to 20,000 characters serve; a language that has none is learned from the start of its other texts.
+    Whole texts are counted where they lie; the driver receives one number for each language and trigram slot.
     """
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).alias("id"), declared.alias("lang"), text.cast("string").alias("text")).where("lang is not null and text <> ''")
-    known = known.withColumn("fair", F.length("text").between(20, 20000))
-    found = known.groupBy("lang").agg(F.count_if("fair").alias("fair"), F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r.lang: (r.fair > 0, r.fair or r.n) for r in found}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return TextModel([])
-    share = max(rows // len(sizes), LANGUAGE_ROWS) if sum(n for _, n in sizes.values()) > rows else rows
-    cuts = [(lang, fair, min(int(share / n * 2**64) - 2**63, 2**63 - 1)) for lang, (fair, n) in sizes.items()]
-    cuts = spark.createDataFrame(cuts, "lang string, only_fair boolean, cut long")
-    chosen = known.join(F.broadcast(cuts), "lang").where(F.col("fair") | ~F.col("only_fair"))
+        return TextModel([], np.zeros((0, 1 << TABLE_BITS)))
+    share = max(rows // len(sizes), LANGUAGE_ROWS) if sum(sizes.values()) > rows else rows
+    cuts = spark.createDataFrame([(lang, min(int(share / n * 2**64) - 2**63, 2**63 - 1)) for lang, n in sizes.items()], "lang string, cut long")
     # Rows that repeat share a hash: they count once.
-    chosen = chosen.where(F.xxhash64("id", "lang", "text") <= F.col("cut")).select("id", "lang", F.lower(F.substring("text", 1, 20000)).alias("text")).distinct()
-    return TextModel(sorted((r.lang, r.text) for r in chosen.collect()))
+    chosen = known.join(F.broadcast(cuts), "lang").where(F.xxhash64("id", "lang", "text") <= F.col("cut")).select("id", "lang", F.lower("text").alias("text")).distinct()
+    counted = chosen.select("lang", "text").mapInArrow(_slot_counts, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(sizes)
+    counts = np.zeros((len(langs), 1 << TABLE_BITS))
+    counts[np.searchsorted(langs, counted["lang"].to_numpy(str)), counted["slot"].to_numpy()] = counted["n"]
+    return TextModel(langs, counts)
 
 
 def suffix_of(host: Column) -> Column:
