@@ -2,21 +2,25 @@
 
 A transcript is lines in order. The hidden state of a line is its speaker's
 role and whether it begins a turn; what is seen is a speaker marker, a length
-class and a question mark at the end. Emissions are counted over all labelled
-lines (one grouped aggregate with at most ``6 * 4 * 4 * 2`` rows), transitions
-combine the share of lines that begin a turn with ``FOLLOWS``.
-
-Viterbi's recursion is a product of matrices over (max, +), so a conversation
-is cut into blocks of ``BLOCK_TURNS`` input rows: blocks reduce to 7 x 6
-matrices independently, a pass over the few block matrices of a conversation
-fixes the state at each border, and blocks then find their own best paths. No
-task holds more lines than a block or a rank of sorted rows, however long one
-conversation is.
-
-Defined results: a null or empty text is one blank line; a null conversation id
-is a conversation of its own; rows with equal (conv_id, turn) keep both texts,
-ordered by text; roles other than the three are not learned from; an
-empty table gives an empty table; other columns are not read.
+class and a question mark at the end. Emissions, who speaks after whom and who
+speaks first are counted by grouped aggregates over labelled lines (at most
+``6 * 4 * 4 * 2``, 9 and 3 rows); the query learns from two thirds of the
+conversations, by a hash of their id, and labels all.
+
+Viterbi's recursion is a product of matrices over (max, +). Lines are dealt to
+tasks by ranges of (conversation, place), so that a long conversation is many
+tasks' work, and each task cuts its lines by their running number into blocks of
+``BLOCK_LINES`` at most: blocks reduce to 7 x 6 matrices independently, a pass
+over the few block matrices of a conversation fixes the state at each border,
+and blocks then find their own best paths. No task holds more lines than a
+batch and a block, however long a conversation or a turn is and whatever its
+numbers of turns are.
+
+Defined results: a null or empty text is one blank line; rows without a
+conversation id form one conversation; rows with equal (conv_id, turn), or
+without a turn, keep all their lines, ordered by place and text; roles other
+than the three are not learned from; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +30,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stage, table
 
 ROLES = ("system", "user", "assistant")
-BLOCK_TURNS = 64
-#: Who speaks after whom: rows and columns in the order of ROLES.
-FOLLOWS = np.array([[0.02, 0.90, 0.08], [0.01, 0.09, 0.90], [0.01, 0.90, 0.09]])
-STARTS = np.array([0.2, 0.7, 0.1])
+BLOCK_LINES = 512
 #: Names of speakers in raw transcripts.
 SPEAKERS = {
     "system": ("system", "sys", "system prompt"),
@@ -99,32 +101,48 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 class Hmm:
     """Log probabilities: ``step`` from each state (and START) to each state, ``emit`` of each observation."""
 
-    def __init__(self, counts: dict[tuple[int, int], int]):
+    def __init__(self, counts: dict[tuple[int, int], int], follows: dict[tuple[int, int], int], starts: dict[int, int]):
         emit = np.full((N_STATES, N_SEEN), 0.1)
         for (state, seen), n in counts.items():
             emit[state, seen] += n
+        after = np.full((len(ROLES), len(ROLES)), 0.5)
+        for pair, n in follows.items():
+            after[pair] += n
+        after /= after.sum(1, keepdims=True)
         begin = emit[0::2].sum(1) / (emit[0::2].sum(1) + emit[1::2].sum(1))
         step = np.full((N_STATES + 1, N_STATES), 1e-9)
         for r in range(len(ROLES)):
             for own in (2 * r, 2 * r + 1):
                 step[own, 2 * r + 1] = 1 - begin[r]
-                step[own, 0::2] = begin[r] * FOLLOWS[r]
-        step[START, 0::2] = STARTS
+                step[own, 0::2] = begin[r] * after[r]
+        step[START, 0::2] = [0.5 + starts.get(k, 0) for k in range(len(ROLES))]
+        step[START, 0::2] /= step[START, 0::2].sum()
         self.step = np.log(step)
         self.emit = np.log(emit / emit.sum(1, keepdims=True))
 
 
 def fit(lines: DataFrame) -> Hmm:
-    """Count states and observations over all labelled lines."""
+    """Count states, observations, successions of roles and first roles over all labelled lines."""
 
     def observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             state = 2 * b["role"].map({r: k for k, r in enumerate(ROLES)}) + (b["place"] > 0)
             yield pd.DataFrame({"state": state, "seen": features(b["line"].tolist())[0]})
 
-    known = lines.where(F.col("role").isin(*ROLES)).select("role", "place", "line")
-    counts = known.mapInPandas(observed, "state int, seen int").groupBy("state", "seen").count().collect()
-    return Hmm({(r["state"], r["seen"]): r["count"] for r in counts})
+    known = lines.where(F.col("role").isin(*ROLES))
+    counts = known.select("role", "place", "line").mapInPandas(observed, "state int, seen int").groupBy("state", "seen").count().collect()
+    # One role for each turn, so that the join of a turn with the next one cannot multiply rows.
+    number = (F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1).cast("int")
+    turns = known.where("turn is not null").groupBy("conv_id", "turn").agg(F.min(number).alias("r"))
+    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("s"))
+    follows = turns.join(later, ["conv_id", "turn"]).groupBy("r", "s").count().collect()
+    starts = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "r")).alias("x")).groupBy("x.r").count().collect()
+    return Hmm({(r["state"], r["seen"]): r["count"] for r in counts}, {(r["r"], r["s"]): r["count"] for r in follows}, {r["r"]: r["count"] for r in starts})
+
+
+def learned_from(lines: DataFrame) -> DataFrame:
+    """Lines of the conversations that the query learns from: two thirds, by a hash of the id."""
+    return lines.where(F.crc32(F.col("conv_id").cast("string")) % 3 != 1)
 
 
 def best_paths(emit: list[np.ndarray], step: np.ndarray, entry: list[int], leave: list[int]) -> list[np.ndarray]:
@@ -185,22 +203,41 @@ def _cuts(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(b))
 
 
-def parse(lines: DataFrame, hmm: Hmm | Callable[[], Hmm], block_turns: int = BLOCK_TURNS) -> DataFrame:
+def parse(lines: DataFrame, hmm: Hmm | Callable[[], Hmm], block_lines: int = BLOCK_LINES) -> DataFrame:
     """(conv_id, turn, role, n_lines, rendered) of the turns found in transcript lines (conv_id, turn, place, line).
 
     ``turn`` and ``place`` only order the lines of a conversation.
     """
     model = hmm() if callable(hmm) else hmm
     held = lines.sparkSession.sparkContext.broadcast(model)
-    keys = ["conv_id", "block"]
-    rows = lines.select("conv_id", F.floor(F.col("turn") / block_turns).cast("long").alias("block"), "turn", "place", "line")
-    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "place", "line")
+    order = ["conv_id", "turn", "place", "line"]
+
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines in order, with a block number that grows along a conversation, a place in the block, and what is seen."""
+        block, last, size = TaskContext.get().partitionId() << 40, None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            seen, bare = features(b["line"].tolist())
+            cut = _cuts(b, ["conv_id"])
+            number, pos = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            for x, y in zip(cut, cut[1:]):
+                conv = b["conv_id"].iloc[x]
+                if size and not (conv == last or pd.isna(conv) and pd.isna(last)):
+                    block, size = block + 1, 0
+                at = size + np.arange(y - x)
+                number[x:y], pos[x:y] = block + at // block_lines, at % block_lines
+                block, size, last = int(number[y - 1]), int(pos[y - 1]) + 1, conv
+            yield pd.DataFrame({"conv_id": b["conv_id"], "block": number, "pos": pos, "seen": seen, "line": bare})
+
+    rows = lines.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stage(rows.mapInPandas(observe, "conv_id long, block long, pos long, seen long, line string"), "transcript")
+    keys = ["block"]
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = held.value
         for b in whole_keys(batches, keys):
-            seen, _ = features(b["line"].tolist())
-            cut = _cuts(b, keys)
+            seen, cut = b["seen"].to_numpy(), _cuts(b, keys)
             yield pd.DataFrame({"conv_id": b["conv_id"].to_numpy()[cut[:-1]], "block": b["block"].to_numpy()[cut[:-1]], "m": [block_matrix(h.emit.T[seen[x:y]], h.step).reshape(-1).tolist() for x, y in zip(cut, cut[1:])]})
 
     def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,32 +258,27 @@ def parse(lines: DataFrame, hmm: Hmm | Callable[[], Hmm], block_turns: int = BLO
                     entry[x + k] = state
             yield pd.DataFrame({"conv_id": b["conv_id"], "block": b["block"], "entry": entry, "leave": leave})
 
-    dealt = stage(dealt, "transcript")
-    again = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "place", "line")
+    again = dealt.select("conv_id", "block", "pos", "seen").repartition("block").sortWithinPartitions("block", "pos")
     summary = again.mapInPandas(matrices, "conv_id long, block long, m array<double>")
     ends = stage(summary.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInPandas(borders, "conv_id long, block long, entry int, leave int"), "borders")
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = held.value
         for b in whole_keys(batches, keys):
-            seen, bare = features(b["line"].tolist())
-            cut = _cuts(b, keys)
+            seen, cut = b["seen"].to_numpy(), _cuts(b, keys)
             paths = best_paths([h.emit.T[seen[x:y]] for x, y in zip(cut, cut[1:])], h.step, b["entry"].to_numpy()[cut[:-1]].tolist(), b["leave"].to_numpy()[cut[:-1]].tolist())
             state = np.concatenate(paths)
             begins = np.cumsum(state % 2 == 0)
             own = begins - np.repeat(np.append(0, begins)[cut[:-1]], np.diff(cut))
-            yield pd.DataFrame({"conv_id": b["conv_id"], "block": b["block"], "turn": b["turn"], "place": b["place"], "line": bare, "role": [ROLES[s // 2] for s in state], "own": own})
+            yield pd.DataFrame({"conv_id": b["conv_id"], "block": b["block"], "pos": b["pos"], "line": b["line"], "role": [ROLES[s // 2] for s in state], "own": own})
 
-    cond = F.col("l.conv_id").eqNullSafe(F.col("e.conv_id")) & F.col("l.block").eqNullSafe(F.col("e.block"))
-    joined = dealt.alias("l").join(ends.alias("e"), cond).select("l.*", "entry", "leave")
-    sorted_ = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "place", "line")
-    labelled = stage(sorted_.mapInPandas(label, "conv_id long, block long, turn long, place int, line string, role string, own long"), "labelled")
+    joined = dealt.join(ends.drop("conv_id"), "block").repartition("block").sortWithinPartitions("block", "pos")
+    labelled = stage(joined.select("conv_id", "block", "pos", "seen", "line", "entry", "leave").mapInPandas(label, "conv_id long, block long, pos long, line string, role string, own long"), "labelled")
     # Turns of earlier blocks, by a running sum over block counts.
     counts = labelled.groupBy("conv_id", "block").agg(F.max("own").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    cond = F.col("l.conv_id").eqNullSafe(F.col("o.conv_id")) & F.col("l.block").eqNullSafe(F.col("o.block"))
-    numbered = labelled.alias("l").join(offsets.alias("o"), cond).select("l.conv_id", (F.col("base") + F.col("own") - 1).alias("number"), F.struct("l.turn", "l.place", "l.line", "l.role").alias("x"))
+    offsets = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("block", "base")
+    numbered = labelled.join(offsets, "block").select("conv_id", (F.col("base") + F.col("own") - 1).alias("number"), F.struct("block", "pos", "line", "role").alias("x"))
     turns = numbered.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return turns.select("conv_id", F.col("number").alias("turn"), F.col("x")[0]["role"].alias("role"), F.size("x").cast("long").alias("n_lines"), render(F.col("x")[0]["role"], F.array_join(F.col("x.line"), "\n")).alias("rendered"))
 
@@ -258,4 +290,4 @@ def render(role: Column, content: Column) -> Column:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = stage(transcripts(table(spark, sf_dir, "conversations")), "lines")
-    return parse(lines.drop("role"), fit(lines))
+    return parse(lines.drop("role"), fit(learned_from(lines)))
