@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-#: Rounds of further stars before the rest is met block by block; they merge dense groups whose first centre lay outside.
+#: Rounds of further stars at most before the rest is met block by block; they merge dense groups whose first centre lay outside.
 STAR_ROUNDS = 3
 #: Parts into which the members of one centre are dealt for joins with facts about the centre.
 SALTS = 16
@@ -119,13 +119,15 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
     group = stage(shared.where("node <> c").select("c", "node").distinct(), "group")
     links = stage(verify(group.select(F.col("c").alias("a"), F.col("node").alias("b"))), "links")
     labels = stage(components(links), "labels")
-    for turn in range(STAR_ROUNDS + 1):
-        rows = _open(group, labels)
-        rows = stage(rows.join(facts, "node") if names else rows, "open")
-        if rows.isEmpty():
-            return labels
-        # Later turns hold fewer components, so their groups are among these.
-        group = rows.select("c", "node").distinct()
+    turn, rows = 0, None
+    while True:
+        if rows is None:
+            rows = _open(group, labels)
+            rows = stage(rows.join(facts, "node") if names else rows, "open")
+            if rows.isEmpty():
+                return labels
+            # Later turns hold fewer components, so their groups are among these.
+            group = rows.select("c", "node").distinct()
         if turn < STAR_ROUNDS:
             one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", *names)).alias("one")
             centre = rows.where("label <> main").groupBy("c").agg(one).select("c", "one.node", "one.label", *[f"one.{f}" for f in names])
@@ -134,6 +136,10 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
         else:
             pairs = _block_pairs(rows, names, may_link)
         found = stage(verify(stage(pairs, "pairs")), "links")
-        if not found.isEmpty():
-            labels = stage(_merge(labels, found), "labels")
-    return labels
+        more = not found.isEmpty()
+        if more:
+            labels, rows = stage(_merge(labels, found), "labels"), None
+        if turn == STAR_ROUNDS:
+            return labels
+        # A star that finds nothing ends the stars.
+        turn = turn + 1 if more else STAR_ROUNDS
