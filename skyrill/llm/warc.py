@@ -66,6 +66,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))).drop("head")
 
 
+#: Fixed value: the profile of revisits known by their payload's digest.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
 def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Write one record for each row of ``plan_records``; a revisit has no body and names its response."""
     revisit = F.col("refers_to").isNotNull()
@@ -73,11 +77,12 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = RECORD
     header = F.concat(
         F.lit(MAGIC + "WARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
-        F.when(F.col("page_id").isNotNull(), F.concat(F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(F.col("page_id").isNotNull(), F.concat(F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">")))
+        .otherwise(F.concat(F.lit("\r\nWARC-Record-ID: <urn:page-without-id:"), F.col("payload_digest"), F.lit(":"), F.hex(F.xxhash64("url")), F.lit(">"))),
         F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), clean_url)).otherwise(""),
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: text/html; charset=utf-8\r\nWARC-Payload-Digest: sha1:"),
         F.col("payload_digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"))).otherwise(""),
         F.lit("\r\nContent-Length: "),
         F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string")),
         F.lit(END),
