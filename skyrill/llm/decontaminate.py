@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import scratch, stage, table
+from .shared import free_name, scratch, stage, table
 
 PART_WORDS = 64
 THRESHOLD = 0.6
@@ -294,8 +294,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    key = free_name("id", docs)
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

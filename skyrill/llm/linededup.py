@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import resolve
-from .shared import scratch, stage, stage_bucketed, table
+from .shared import free_name, scratch, stage, stage_bucketed, table
 
 EDITS = 2
 MIN_CHARS = 24
@@ -176,15 +176,16 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and n_lines and n_dropped."""
+    id_, dropped, lines = (free_name(x, docs) for x in ("id", "dropped", "lines"))
     with scratch(docs.sparkSession):
-        gone = stage(duplicates(docs, edits, min_chars, exact_short), "dropped", keep=True).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+        gone = stage(duplicates(docs, edits, min_chars, exact_short), "dropped", keep=True).select(F.col("doc_id").alias(id_), F.col("dropped").alias(dropped))
     # One plan at every size: a broadcast of the removals would turn into a shuffle of the texts as they grow.
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    keep = F.expr("array_sort(array_except(sequence(0, size(__lines) - 1), __dropped))")
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col("__lines")[i]), "\n"))
-    out = joined.withColumn("__lines", _line_list(F.col("text").cast("string"))).withColumn("text", text)
-    out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
-    return out.drop("__lines", "__dropped", "__id")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(id_), "left")
+    keep = F.expr(f"array_sort(array_except(sequence(0, size({lines}) - 1), {dropped}))")
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.col(lines)[i]), "\n"))
+    out = joined.withColumn(lines, _line_list(F.col("text").cast("string"))).withColumn("text", text)
+    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+    return out.drop(lines, dropped, id_)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,25 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_scratch: list[list[str]] = []
+class _Scratch(threading.local):
+    """Paths and named tables of the open ``scratch`` blocks of a thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[tuple[str, str | None]]] = []
+
+
+_scratch = _Scratch()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Within it, staged tables are temporary: they are deleted at its end, but for those staged with ``keep``."""
-    _scratch.append([])
+    """Within it, staged tables are temporary: they are dropped and deleted at its end, but for those staged with ``keep``."""
+    _scratch.open.append([])
     try:
         yield
     finally:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _scratch.pop():
+        for path, title in _scratch.open.pop():
+            if title:
+                spark.sql(f"DROP TABLE IF EXISTS {title}")
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
 
-def _record(path: str) -> None:
-    if _scratch:
-        _scratch[-1].append(path)
+def _record(path: str, title: str | None = None) -> None:
+    if _scratch.open:
+        _scratch.open[-1].append((path, title))
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no frame has such a column in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -86,8 +104,8 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    _record(path)
     title = f"{name}_{uuid.uuid4().hex}"
+    _record(path, title)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(title)
     return spark.table(title)

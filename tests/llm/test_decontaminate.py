@@ -1,14 +1,14 @@
 from __future__ import annotations
 
-import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
 
 from skyrill.llm import decontaminate as D
 
+from .brute_force import leaks as brute
+
 
 def test_finds_planted_items_and_nothing_else(spark, docs_of):
     rng = random.Random(2)
@@ -48,36 +48,6 @@ def test_empty_tables_and_many_shards(spark, docs_of, monkeypatch):
     assert {r.item_id for r in rows} == {1, 2}
 
 
-def brute(texts, items):
-    """{(doc, item): (score, question overlap, answer overlap)} by plain loops over every passage and part."""
-    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
-    parts = [(i, w[k : k + D.PART_WORDS]) for i, t in items for w in [words(t)] for k in range(0, len(w), D.PART_WORDS)]
-    n, mean = len(parts), sum(len(p) for _, p in parts) / max(len(parts), 1)
-    df = Counter(x for _, p in parts for x in set(p))
-    weight = lambda x, p: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * p.count(x) * (D.K1 + 1) / (p.count(x) + D.K1 * (1 - D.B + D.B * len(p) / mean))
-    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-
-    def overlap(part, w):
-        k = min(D.RUN_WORDS, len(part))
-        return 1.0 if not k else len(runs(part, k) & runs(w, k)) / len(runs(part, k))
-
-    out = {}
-    for d, t in enumerate(texts):
-        w = words(t)
-        passages = [set(w[k : k + 2 * D.PART_WORDS]) for k in range(0, max(len(w) - D.PART_WORDS, 1), D.PART_WORDS)]
-        for i, p in parts:
-            total = sum(weight(x, p) for x in set(p))
-            score = max(sum(weight(x, p) for x in set(p) & s) / total for s in passages)
-            if score >= D.THRESHOLD - 1e-9:
-                out[d, i] = max(score, out.get((d, i), 0))
-    verified = {}
-    for (d, i), score in out.items():
-        q, a = (overlap(words(x), words(texts[d])) for x in D._question_answer((dict(items)[i] or "").lower()))
-        if 100 * q >= D.OVERLAP_PERCENT and 100 * a >= D.OVERLAP_PERCENT:
-            verified[d, i] = (round(score, 9), round(q, 9), round(a, 9))
-    return verified
-
-
 def test_equals_brute_force_for_every_size_of_an_index(spark, docs_of, monkeypatch):
     rng = random.Random(5)
     word = lambda: f"t{min(int(rng.expovariate(0.004)), 2000)}"

@@ -7,26 +7,7 @@ import pyarrow as pa
 
 from skyrill.llm import flat, minhash
 
-
-def brute(texts):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append(set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            i = len(sets[a] & sets[b])
-            if i and 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+from .brute_force import near as brute
 
 
 def corpus(seed=1):
