@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyrill.llm import bpe, decontaminate, langid, linededup, minhash
-from skyrill.llm.shared import stage, table
+from skyrill.llm.shared import free_name, stage, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids``; a sort-merge join at every size, as ``ids`` grow with the documents."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
+    key = free_name("id", docs)
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct().hint("merge"), F.col("doc_id") == F.col(key), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = _without(docs, verdict.where(~F.col("kept")))
     # Only declarations that the evidence overrules are looked up again.
     changed = verdict.where("kept").join(docs.select("doc_id", "lang"), "doc_id").where(~F.col("language").eqNullSafe(F.col("lang")))
-    changed = changed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("language").alias("__language"))
-    out = kept.join(changed.hint("merge"), F.col("doc_id") == F.col("__id"), "left").withColumn("lang", F.coalesce("__language", "lang"))
+    key, found = free_name("id", docs), free_name("found", docs)
+    changed = changed.groupBy(F.col("doc_id").alias(key)).agg(F.min("language").alias(found))
+    out = kept.join(changed.hint("merge"), F.col("doc_id") == F.col(key), "left").withColumn("lang", F.coalesce(found, "lang"))
     return out.select(docs.columns)
 
 
@@ -44,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, stage(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks"))
+    return _without(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
