@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ZP_MICRO, ZP_NANO
@@ -68,21 +68,41 @@ def read_nano(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.where("mjd is not null").withColumns({"pos": F.monotonically_increasing_id(), "zero_point": F.lit(ZP_NANO)})
 
 
-def detect_formats(spark: SparkSession, path: str) -> DataFrame:
+def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, id, value) of every line of the CSV files among ``paths``, files and folders alike."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def _is_nano(header: Column) -> Column:
+    return header.startswith("night,band,") | header.contains("expMidptMJD")
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """(file, head, header): the first line of each file."""
+    return lines.groupBy("file").agg(F.min(F.struct("id", "value")).alias("x")).select("file", F.col("x.id").alias("head"), F.col("x.value").alias("header"))
+
+
+def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, dialect, zero_point) by each file's first line."""
-    w = Window.partitionBy("file").orderBy("id")
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
-    first = lines.groupBy("file").agg(F.min(F.struct("id", "value")).alias("x"))
-    nano = F.col("x.value").startswith("night,band,") | F.col("x.value").contains("expMidptMJD")
-    return first.select("file", F.when(nano, "nano").otherwise("micro").alias("dialect"), F.when(nano, ZP_NANO).otherwise(ZP_MICRO).alias("zero_point"))
-
-
-def read_curves(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Curves of a folder by dialect; the driver holds file names only."""
-    files = {"micro": [], "nano": []}
-    for r in detect_formats(spark, path).toLocalIterator():
-        files[r["dialect"]].append(r["file"])
-    return {d: read(spark, files[d]) for d, read in (("micro", read_micro), ("nano", read_nano)) if files[d]}
+    nano = _is_nano(F.col("header"))
+    return _headers(_csv_lines(spark, path)).select("file", F.when(nano, "nano").otherwise("micro").alias("dialect"), F.when(nano, ZP_NANO).otherwise(ZP_MICRO).alias("zero_point"))
+
+
+def read_curves(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+    """Curves by dialect of any mix of files and folders; each line is parsed by its own file's header, so no file name reaches the driver.
+
+    Fields hold no commas. Both dialects follow the rules of ``read_micro`` and ``read_nano``.
+    """
+    lines = _csv_lines(spark, paths)
+    rows = lines.join(_headers(lines), "file").where("id <> head")
+    rows = rows.select(F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("object"), "id", F.split("value", ",", -1).alias("f"), F.split("header", ",", -1).alias("h"), _is_nano(F.col("header")).alias("nano"))
+    micro = rows.where(~F.col("nano") & (F.size("f") >= 4)).select("object", F.col("f")[3].alias("band"), *[F.col("f")[k].cast("double").alias(n) for k, n in enumerate(("mjd", "flux", "err"))], F.col("id").alias("pos"), F.lit(ZP_MICRO).alias("zero_point"))
+    lower = F.transform("h", lambda x: F.lower(F.trim(x)))
+    cell = lambda n: F.try_element_at("f", F.nullif(F.array_position(lower, n).cast("int"), F.lit(0)))
+    number = lambda *names: F.coalesce(*[cell(n).try_cast("double") for n in names])
+    nano = rows.where("nano").select("object", cell("band").alias("band"), number("expmidptmjd").alias("mjd"), number("mag").alias("mag"), number("magerr").alias("magerr"), number("flux_corrected", "psfdiffflux").alias("flux"), number("flux_corrected_err", "psfdifffluxerr").alias("err"), F.col("id").alias("pos"), F.lit(ZP_NANO).alias("zero_point"))
+    return {"micro": micro, "nano": nano.where("mjd is not null")}
 
 
 def explode_bundle(rows: DataFrame, column: str = "bundle") -> tuple[DataFrame, DataFrame]:

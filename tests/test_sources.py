@@ -44,7 +44,12 @@ def test_stream_equals_batch(spark, alert_dir, tmp_path_factory):
 def test_curve_dialects(spark, tmp_path):
     (tmp_path / "a.csv").write_text("mjd,flux,flux_err,filter\n1.0,2.0,0.1,g\n2.0,3.0\n3.0,-1.0,0.2,r\n")
     (tmp_path / "b.csv").write_text("night,band,expMidptMJD,mag,magerr,flux_corrected,flux_corrected_err,fluxlim,magLim\n1,g,5.5,20,0.1,x,1,0,0\n1,g,bad,20,0.1,1,1,0,0\n")
+    (tmp_path / "c.txt").write_text("mjd,flux,flux_err,filter\n9.0,9.0,9.0,z\n")
     curves = readers.read_curves(spark, str(tmp_path))
+    mixed = readers.read_curves(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"])
+    assert all(curves[k].drop("pos").exceptAll(mixed[k].drop("pos")).count() == 0 and mixed[k].count() == curves[k].count() for k in curves)
+    assert readers.read_micro(spark, f"{tmp_path}/a.csv").drop("pos").exceptAll(curves["micro"].drop("pos")).count() == 0
+    assert {(r.file.rsplit("/", 1)[1], r.dialect) for r in readers.detect_formats(spark, str(tmp_path)).collect()} == {("a.csv", "micro"), ("b.csv", "nano")}
     assert {(r.object, r.band, r.flux) for r in curves["micro"].collect()} == {("a", "g", 2.0), ("a", "r", -1.0)}
     (b,) = curves["nano"].collect()
     assert (b.object, b.mjd, b.flux, b.zero_point) == ("b", 5.5, None, 31.4)
