@@ -16,7 +16,8 @@ and blocks then find their own best paths. No task holds more lines than a
 batch and a block, however long a conversation or a turn is and whatever its
 numbers of turns are.
 
-Defined results: a null or empty text is one blank line; rows without a
+Defined results: a null or empty text is one blank line; a text of any number of
+lines is many blocks; rows without a
 conversation id form one conversation; rows with equal (conv_id, turn), or
 without a turn, keep all their lines, ordered by place and text; roles other
 than the three are not learned from; an empty table gives an empty table;

@@ -24,7 +24,8 @@ text, and indexes of at most ``SHARD_BYTES`` together are broadcast, which that
 size bounds; a larger benchmark takes more passes over the documents, one for
 each shard, each pass written before the next broadcast.
 
-Defined results: a null or empty text or item matches nothing; repeated rows
+Defined results: a null or empty text or item matches nothing; a text of any
+length is read whole, passage after passage; repeated rows
 repeat; equal items match alike; empty tables give an empty table; other
 columns are not read.
 """

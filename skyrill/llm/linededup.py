@@ -15,7 +15,7 @@ place) stays and every other occurrence is removed.
 Lines are known by a 64-bit hash: among n distinct lines about n**2 / 2**65
 pairs share one, and only such a pair could be confused.
 
-Defined results: a null text stays null and has no lines; blank lines stay, and
+Defined results: a null text stays null and has no lines; a text of any length or number of lines is split whole; blank lines stay, and
 without ``exact_short`` all short ones; rows that repeat a doc_id and text count as one occurrence, and each is
 cleaned alike; an empty table gives an empty table; other columns pass through, but
 ``n_lines`` and ``n_dropped``, which are replaced; rows of a null doc_id are first
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import resolve
-from .shared import free_name, scratch, stage, stage_bucketed, table
+from .shared import free_name, release, scratch, stage, stage_bucketed, table
 
 EDITS = 2
 MIN_CHARS = 24
@@ -155,6 +155,7 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     w = Window.partitionBy("bucket")
     shared = keys(lines.where(F.length("line") >= min_chars), edits).withColumn("c", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).where("c <> top")
     shared = stage(shared.select("bucket", "node", "c").distinct(), "shared")
+    release(docs.sparkSession)
     # Only lines that share a key are read again; the bucketed table is not shuffled for it.
     wanted = shared.select(F.col("node").alias("h")).distinct()
     known = stage(describe(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("node"), "line")), "candidates")

@@ -12,7 +12,7 @@ threshold 0.75 a pair shares no bucket with probability (1 - 0.75**6)**64, below
 confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Defined results: a null or empty text, or one without words, has the empty set
-and is linked with nothing; rows with one doc_id are one document, whose
+and is linked with nothing; a text of any length gives its whole set, in one task's memory; rows with one doc_id are one document, whose
 texts' links are joined; repeated rows repeat; an empty table gives an empty
 table; columns beyond id and text are not read.
 """

@@ -12,7 +12,7 @@ short or that repeat themselves.
 * boilerplate: no phrase of ``BOILERPLATE``.
 
 Defined results: a null or empty text has zero counts, fails the base test and
-is not kept; blank lines are no loss; repeated rows give repeated results; an
+is not kept; a text of any length is judged whole; blank lines are no loss; repeated rows give repeated results; an
 empty table gives an empty table; columns beyond ``id_col`` and ``text_col``
 are not read.
 """

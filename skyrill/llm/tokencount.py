@@ -15,7 +15,8 @@ leaves nothing that is counted.
 
 Defined results: a file of no tokens has no documents; tokens after the last
 separator are one document more, open to the end; two separators in a row hold
-an empty document; a null or empty text is an empty document; repeated rows are
+an empty document; a null or empty text is an empty document; a document of any
+length may span many blocks; repeated rows are
 documents of their own; an empty table gives an empty table; other columns
 are not read. A file must hold a whole number of ids.
 """

@@ -17,7 +17,8 @@ payload, and the pieces of such a payload are put together again.
 Defined results: a null or empty payload is a record of length zero; a null
 address has no target header; line ends in addresses are blanks; equal
 payloads of one page id are responses all; a chain that breaks (a damaged or
-cut file) ends there, and what follows is not reachable; an empty table writes
+cut file) ends there, and what follows is not reachable; a payload of any length is
+one record, whole in memory when it is mended; an empty table writes
 no record and reads none; other columns are not read.
 """
 
@@ -198,7 +199,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     owned = placed.join(known, ["file", "place"], "left").withColumn("position", F.last(F.when(F.col("is_record"), F.col("place")), ignorenulls=True).over(owner))
     owned = owned.join(mark.select("file", F.col("place").alias("position")), ["file", "position"], "left_semi")
     parts = owned.join(pieces.select("file", "block", "start", "body"), ["file", "block", "start"])
-    text = F.expr(f"aggregate(array_sort(collect_list(struct(place, body))), cast('' as binary), (acc, x) -> concat(acc, cast('{MAGIC[:-2]}\\r\\n' as binary), x.body))")
+    # Joined as hex digits: a fold that appends bytes would copy a payload once for each mark in it.
+    pieces_of = F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: F.concat(F.lit(MAGIC.encode().hex()), F.hex(x["body"])))
+    text = F.unhex(F.array_join(pieces_of, ""))
     joined = parts.groupBy("file", "position").agg(text.alias("all")).join(broken, ["file", "position"])
     mended = joined.where(F.octet_length("all") >= F.lit(_STEP) + F.col("head") + F.col("length"))
     return out.union(mended.select("file", "position", "header", F.expr(f"substring(all, cast(head + {_STEP + 1} as int), cast(length as int))").alias("payload")))
