@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import threading
 import uuid
@@ -52,13 +51,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
                 spark.sql(f"DROP TABLE IF EXISTS {title}")
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Have the driver forget finished plans now: Spark deletes a shuffle's files only when its plan is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def _record(path: str, title: str | None = None) -> None:
