@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, linededup, minhash, quality, tokencount, toxicity, warc
+from . import bpe, chat, decontaminate, fim, langid, linededup, minhash, quality, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_chat_format": chat.op9_chat_format,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_warc": warc.ORACLE,
         "op10_quality_rules": quality.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE,
     }
