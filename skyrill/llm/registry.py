@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fim, langid, linededup, minhash, quality, tokencount, toxicity, variants, warc
+from . import bpe, chat, decontaminate, fim, langid, linededup, minhash, mixing, quality, tokencount, toxicity, variants, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_chat_format": chat.op9_chat_format,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_source_mix": mixing.op12_source_mix,
         "op13_spelling_variants": variants.op13_spelling_variants,
     }
 
