@@ -15,7 +15,7 @@ candidates on the chain from the file's start are records; other marks are
 payload, and the pieces of such a payload are put together again.
 
 Defined results: a null or empty payload is a record of length zero; a null
-address has no target header; line ends in addresses are blanks; equal
+address has no target header; blanks, controls and what is not ASCII in addresses are percent-encoded; equal
 payloads of one page id are responses all; a chain that breaks (a damaged or
 cut file) ends there, and what follows is not reachable; a payload of any length is
 one record, whole in memory when it is mended; an empty table writes
@@ -71,16 +71,21 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def clean_address(url: Column) -> Column:
+    """``url`` with every character but visible ASCII as percent signs and the digits of its UTF-8 bytes."""
+    encoded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"^[\x21-\x7E]$"), c).otherwise(F.regexp_replace(F.hex(c), "(..)", "%$1"))), "")
+    return F.when(url.rlike(r"[^\x21-\x7E]"), encoded).otherwise(url)
+
+
 def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Write one record for each row of ``plan_records``; a revisit has no body and names its response."""
     revisit = F.col("refers_to").isNotNull()
-    clean_url = F.regexp_replace("url", r"[\r\n]+", " ")
     header = F.concat(
         F.lit(MAGIC + "WARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">")))
         .otherwise(F.concat(F.lit("\r\nWARC-Record-ID: <urn:page-without-id:"), F.col("payload_digest"), F.lit(":"), F.hex(F.xxhash64("url")), F.lit(">"))),
-        F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), clean_url)).otherwise(""),
+        F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), clean_address(F.col("url")))).otherwise(""),
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: text/html; charset=utf-8\r\nWARC-Payload-Digest: sha1:"),
         F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"))).otherwise(""),
@@ -208,7 +213,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_value(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
+    """A field of a record's header; only CR LF ends a line, whatever else the value holds."""
+    found = F.rtrim(F.regexp_extract("header", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1))
     return F.when(found != "", found)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -39,6 +40,25 @@ def test_round_trip_with_magic_in_payloads(spark, split, compression):
     assert len(rows) == len(pages)
 
 
+def test_line_ends_of_every_kind_in_addresses_and_payloads(spark):
+    """No character of an address or payload can pass for a header line."""
+    ends = ["\n", "\r", "\r\n", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\x00", " ", "\t"]
+    fake = ["WARC-Refers-To: <urn:page:77>", "X-Payload-Length: 5", "WARC-Type: response", "WARC-Record-ID: <urn:page:88>", "Content-Length: 1"]
+    pages = []
+    for k, e in enumerate(ends):
+        for j, f in enumerate(fake):
+            for twice in (0, 1):  # each payload is a revisit once
+                pages.append((100 * k + 10 * j + twice, f"http://a/é%20{e}{f}{e}b", f"<p>{e}{f}{e}</p>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = fresh_path(spark, "test-archives")
+    warc.write_archives(warc.plan_records(df), path)
+    records = warc.read_records(spark, path)
+    rows = warc.page_table(records).collect()
+    assert {r.page_id: tuple(r)[1:] for r in rows} == expected(pages) and len(rows) == len(pages)
+    found = {r.a for r in records.select(warc.header_value("WARC-Target-URI").alias("a")).collect()}
+    assert found == {quote(u, safe="".join(map(chr, range(33, 127)))) for _, u, _ in pages}
+
+
 def test_broken_chain_ends(spark, tmp_path):
     record = lambda i, body, n: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n{body}\r\n\r\n"
     (tmp_path / "a.warc").write_bytes((record(1, "abc", 3) + record(2, "abcdef", 5) + record(3, "x", 1)).encode())
