@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and with them documents that consisted of nothing else."""
-    out = linededup.dedup_lines(docs, exact_short=True).where("n_dropped = 0 or trim(text) <> ''")
+    """Repeated lines go, and with them documents of which nothing but blanks and line ends is left."""
+    out = linededup.dedup_lines(docs, exact_short=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
