@@ -77,5 +77,14 @@ def test_queries_drop_equal_short_lines(spark, docs_of, tmp_path):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs, exact_short=True).collect()} == dict(enumerate(want))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_dropped for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()} == {0: 1, 1: 2, 2: 1, 3: 1}
-    # A document of blank lines only goes as a whole.
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: v for k, v in enumerate(want) if v.strip(" ")}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == dict(enumerate(want))
+
+
+def test_stage_drops_emptied_documents(spark, docs_of):
+    """Documents whose every line went go as a whole, blank lines between or not; those that lost nothing stay, blank ones too."""
+    import corpus_pipeline
+
+    line = "a line of more than twenty-four characters"
+    texts = [f"{line}\nshort", f"{line}\n\n{line}", f"\t\n{line}\n \n\nshort", f"{line}!\nown", "\n\n", "", None]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs_of(texts), "").collect()}
+    assert got == {0: texts[0], 3: "own", 4: "\n\n", 5: "", 6: None}
