@@ -38,6 +38,19 @@ def log_normal_cdf(x: Column) -> Column:
     return F.when(x > 8, 0.0).when(x < -30, low).otherwise(F.log(F.greatest(phi, F.lit(1e-300))))
 
 
+def log_normal_cdf_sql(x: str) -> str:
+    """``log_normal_cdf`` as SQL text, for any dialect with exp, ln, abs and greatest."""
+    z = f"(-({x}) * {math.sqrt(0.5)!r})"
+    t = f"(1.0 / (1.0 + {ERF_P} * abs{z}))"
+    poly = "0.0"
+    for a in reversed(ERF_A):
+        poly = f"(({poly} + {a}) * {t})"
+    e = f"({poly} * exp(-({z} * {z})))"
+    phi = f"(CASE WHEN {z} >= 0 THEN 0.5 * {e} ELSE 1.0 - 0.5 * {e} END)"
+    low = f"(-0.5 * ({x}) * ({x}) - 0.5 * {math.log(2 * math.pi)!r} - ln(CASE WHEN ({x}) < 0 THEN -({x}) ELSE 1.0 END))"
+    return f"(CASE WHEN ({x}) > 8 THEN 0.0 WHEN ({x}) < -30 THEN {low} ELSE ln(greatest({phi}, 1e-300)) END)"
+
+
 def log_normal_cdf_numpy(x: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
         z = x * -math.sqrt(0.5)

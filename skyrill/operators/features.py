@@ -91,16 +91,23 @@ def shape(curve: DataFrame) -> DataFrame:
 def interpolate(curve: DataFrame, wanted: DataFrame) -> DataFrame:
     """Value of each object's curve at the times (object, q) of ``wanted``: linear between points, constant outside.
 
-    Each point carries its successor, so an equi-join on the object with a range
-    condition finds the bracket.
+    Points and questions are one table in one order of time; each question looks back to the last point and
+    ahead to the next, so the rows are those that were given. Objects without points give no rows.
     """
-    w = Window.partitionBy("object").orderBy("k")
-    c = indexed(curve).select("object", "t", "m", "k", "n", F.lead("t").over(w).alias("t1"), F.lead("m").over(w).alias("m1"))
-    low = (F.col("k") == 0) & (F.col("q") < F.col("t"))
-    high = (F.col("k") == F.col("n") - 1) & (F.col("q") >= F.col("t"))
-    hit = wanted.join(c, "object").where(low | high | ((F.col("q") >= F.col("t")) & (F.col("q") < F.col("t1"))))
-    inside = F.col("m") + (F.col("m1") - F.col("m")) * (F.col("q") - F.col("t")) / (F.col("t1") - F.col("t"))
-    return hit.select("object", "q", F.when(low | high, F.col("m")).otherwise(inside).alias("value"))
+    point = F.struct("t", "m").alias("point")
+    asked = wanted.select("object", F.col("q").alias("t"), F.lit(1).alias("asks"), F.lit(None).cast("struct<t: double, m: double>").alias("point"))
+    rows = curve.select("object", F.col("t").cast("double").alias("t"), F.col("m").cast("double").alias("m")).select("object", "t", F.lit(0).alias("asks"), point).union(asked)
+    # A point at the time of a question comes before it.
+    order = "OVER (PARTITION BY object ORDER BY t, asks"
+    rows = rows.withColumns(
+        {
+            "a": F.expr(f"last_value(point) IGNORE NULLS {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+            "b": F.expr(f"lead(point, 1) IGNORE NULLS {order})"),
+        }
+    )
+    inside = F.col("a.m") + (F.col("b.m") - F.col("a.m")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    value = F.when(F.col("a").isNull(), F.col("b.m")).when(F.col("b").isNull(), F.col("a.m")).otherwise(inside)
+    return rows.where("asks = 1 and (a is not null or b is not null)").select("object", F.col("t").alias("q"), value.alias("value"))
 
 
 def local_derivatives(curve: DataFrame, last: DataFrame) -> DataFrame:
@@ -144,7 +151,12 @@ def temperature_features(curve: DataFrame) -> DataFrame:
 
 
 def index_percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Elements floor(0.16 n), floor(n / 2) and floor(0.84 n) of each group's sorted values."""
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    at = lambda p: F.element_at("v", (F.floor(F.size("v") * p) + 1).cast("int"))
-    return g.select(*keys, at(0.16).alias("p16"), at(0.5).alias("p50"), at(0.84).alias("p84"))
+    """Elements floor(0.16 n), floor(n / 2) and floor(0.84 n) of each group's sorted values; nulls do not count.
+
+    Rows are ranked and three of each group are picked; no group becomes one row.
+    """
+    w = Window.partitionBy(*keys)
+    place = F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())) - 1
+    ranked = rows.select(*keys, F.col(value).alias("__x"), place.alias("__k"), F.count(value).over(w).alias("__n"))
+    at = lambda p: F.max(F.when(F.col("__k") == F.floor(F.col("__n") * p), F.col("__x")))
+    return ranked.groupBy(*keys).agg(at(0.16).alias("p16"), at(0.5).alias("p50"), at(0.84).alias("p84"))

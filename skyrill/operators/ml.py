@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from .quantile import quantile_by
+from ..sources.scratch import staged
+from .quantile import column_quantiles
 
 SEED = 42
 
@@ -19,13 +21,11 @@ SEED = 42
 def impute_median(rows: DataFrame, features: list[str], fill: float | None = None) -> DataFrame:
     """Non-finite features replaced by the exact median of finite ones (``fill`` if a column has none).
 
-    The medians of all features are one row, which is broadcast.
+    The medians are found at once, some numbers for each feature; the result is a projection of ``rows``.
     """
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("x")) for c in features])).alias("e")).select("e.*")
-    medians = quantile_by(long, ["feature"], "x", "m").agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"__{c}") for c in features])
-    joined = rows.crossJoin(F.broadcast(medians))
-    values = {c: F.coalesce(finite(F.col(c)), F.col(f"__{c}"), *([F.lit(fill)] if fill is not None else [])) for c in features}
-    return joined.withColumns(values).drop(*[f"__{c}" for c in features])
+    medians = column_quantiles(rows.select(*[finite(F.col(c)).alias(c) for c in features]), features)
+    known = {c: fill if m is None else m for c, m in medians.items()}
+    return rows.withColumns({c: finite(F.col(c)) if known[c] is None else F.coalesce(finite(F.col(c)), F.lit(known[c])) for c in features})
 
 
 def variance_importance(rows: DataFrame, features: list[str], top: int = 20) -> DataFrame:
@@ -85,31 +85,75 @@ def stratified_split(rows: DataFrame, key: str, label: str, train: float = 0.75)
     return joined.withColumn("train", share | (h == F.col("__least"))).drop("__label", "__least")
 
 
+def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``fold``, from 0: within each class rows are dealt in turn, by order of a hash of the key, so sizes differ by one at most.
+
+    Rows are placed by ranges of (class, hash), a class of any size over many tasks, and counted on from the parts before.
+    """
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    parts = rows.withColumn("__h", digest).repartitionByRange(label, "__h", key).withColumn("__part", F.spark_partition_id())
+    parts = staged(parts, "folds")
+    before = Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(label, "__part").count()
+    base = sizes.select(F.col(label).alias("__label"), F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    joined = parts.join(base, (F.col("__part") == F.col("__p")) & F.col(label).eqNullSafe(F.col("__label")))
+    place = F.col("__base") + F.row_number().over(Window.partitionBy("__part", label).orderBy("__h", key)) - 1
+    return joined.withColumn("fold", (place % folds).cast("int")).drop("__h", "__part", "__p", "__label", "__base")
+
+
 #: Fixed values of the search: two of each of four settings, as for boosted trees, here those of a forest.
 GRID = {"maxDepth": [6, 8], "numTrees": [20, 40], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [1, 4]}
+FOLDS = 3
+
 
+def search_table(fit: DataFrame) -> DataFrame:
+    """(settings..., fold, n, correct): how each combination of the ``GRID`` does on each fold of ``fit`` (x, y, fold) when fitted on the others.
+
+    Forests of several combinations are fitted at once; what comes back is two counts for each.
+    """
+    names = list(GRID)
+    combinations = list(itertools.product(*GRID.values()))
+    folds = sorted(r.fold for r in fit.select("fold").distinct().collect())
 
-def search_forest(fit: DataFrame, folds: int) -> RandomForestClassificationModel:
-    """The forest of the ``GRID`` (16 combinations) of best accuracy in cross validation, fitted on all rows of ``fit``."""
-    forest = RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED)
-    grid = ParamGridBuilder()
-    for name, values in GRID.items():
-        grid = grid.addGrid(forest.getParam(name), values)
-    score = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    return CrossValidator(estimator=forest, estimatorParamMaps=grid.build(), evaluator=score, numFolds=folds, seed=SEED, parallelism=8).fit(fit).bestModel
+    def one(job: tuple[int, tuple]) -> tuple:
+        fold, values = job
+        forest = RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED, **dict(zip(names, values)))
+        told = forest.fit(fit.where(F.col("fold") != fold)).transform(fit.where(F.col("fold") == fold))
+        n, correct = told.agg(F.count(F.lit(1)), F.count(F.when(F.col("y") == F.col("prediction"), 1))).first()
+        return (*values, fold, n, correct)
+
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(one, itertools.product(folds, combinations)))
+    kinds = ["double" if isinstance(v[0], float) else "int" for v in GRID.values()]
+    return fit.sparkSession.createDataFrame(found, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", fold int, n long, correct long")
+
+
+def best_settings(table: DataFrame) -> dict:
+    """The combination of highest mean accuracy over the folds, the first one of equals in order of the settings."""
+    g = table.groupBy(*GRID).agg(F.avg(F.col("correct") / F.col("n")).alias("accuracy"))
+    return g.orderBy(F.desc("accuracy"), *GRID).first().asDict()
+
+
+def search_forest(fit: DataFrame, key: str) -> RandomForestClassificationModel:
+    """The forest of the ``GRID`` (16 combinations) of best accuracy over stratified folds, fitted on all rows of ``fit``.
+
+    As many folds as the smallest class has rows, ``FOLDS`` at most.
+    """
+    least = fit.groupBy("y").count().agg(F.min("count")).first()[0]
+    dealt = stratified_folds(fit, key, "y", max(2, min(FOLDS, least)))
+    best = best_settings(search_table(staged(dealt, "dealt")))
+    return RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED, **{n: best[n] for n in GRID}).fit(fit)
 
 
 def train_classifier(rows: DataFrame, key: str, features: list[str], label: str, search: bool = False, path: str | None = None) -> DataFrame:
     """Predictions (key, y, prediction, train) of a forest fitted on the training share.
 
-    ``search`` cross-validates the grid, in three folds or fewer where the smallest class has fewer rows; with
-    ``path`` the model is saved there.
+    ``search`` cross-validates the grid over stratified folds; with ``path`` the model is saved there.
     """
     data = assemble(stratified_split(rows, key, label), features, label)
     fit = data.where("train")
     if search:
-        least = fit.groupBy("y").count().agg(F.min("count")).first()[0]
-        model = search_forest(fit, max(2, min(3, least)))
+        model = search_forest(fit, key)
     else:
         model = RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED, numTrees=40, maxDepth=6).fit(fit)
     if path:
@@ -136,9 +180,9 @@ def project(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 def outliers(points: DataFrame, key: str, columns: list[str], share: float = 0.02) -> DataFrame:
     """Rows whose largest robust distance (deviation over median absolute deviation) is among the top ``share``."""
-    long = points.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns])).alias("e")).select(key, "e.*")
-    dev = long.join(F.broadcast(quantile_by(long, ["column"], "x", "m")), "column").select(key, "column", F.abs(F.col("x") - F.col("m")).alias("d"))
-    mad = F.broadcast(quantile_by(dev, ["column"], "d", "s"))
-    scored = dev.join(mad, "column").groupBy(key).agg(F.greatest(F.lit(0.0), F.max(F.col("d") / F.nullif("s", F.lit(0.0)))).alias("distance"))
-    cut = quantile_by(scored, [], "distance", "cut", 1 - share)
-    return scored.crossJoin(F.broadcast(cut)).where("distance >= cut").select(key, "distance")
+    middle = column_quantiles(points, columns)
+    away = points.select(key, *[F.abs(F.col(c) - F.lit(middle[c])).alias(c) for c in columns])
+    spread = column_quantiles(away, columns)
+    scored = away.select(key, F.greatest(F.lit(0.0), *[F.col(c) / F.lit(spread[c] or None) for c in columns]).alias("distance"))
+    cut = column_quantiles(scored, ["distance"], 1 - share)["distance"]
+    return scored.where(F.col("distance") >= F.lit(cut)).select(key, "distance")

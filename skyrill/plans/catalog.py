@@ -348,13 +348,13 @@ def queries() -> dict:
     out |= {"alert_flags": alert_flags_query, "flux_to_mag": flux_to_mag_query, "log_normal_cdf": log_cdf, "explode_bundle": explode_bundle_query, "gp_features_a": gp_features("A"), "gp_features_b": gp_features("B")}
     for m in M.CLOSED_FORM:
         out |= {f"model_flux_{m.name.lower()}": model_flux(m), f"model_grad_{m.name.lower()}": model_grad(m)}
-    from . import formats
+    from . import formats, learned
 
-    return out | formats.queries()
+    return out | formats.queries() | learned.queries()
 
 
 def oracle_sql() -> dict:
-    from . import formats
+    from . import formats, learned
     from .oracles import ORACLES
 
-    return ORACLES | formats.oracle_sql()
+    return ORACLES | formats.oracle_sql() | learned.oracle_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from ..functions import models as M
-from ..functions.likelihood import ERF_A, ERF_P, VAR_FLOOR
+from ..functions.likelihood import VAR_FLOOR, log_normal_cdf_sql
 from ..operators.validate import NATURAL
 from . import views as v
 from .catalog import CANDIDATES, ORDER
@@ -15,19 +15,6 @@ def _r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0::DOUBLE)"
 
 
-def _log_cdf(x: str) -> str:
-    """SQL of the logarithm of the normal distribution function."""
-    z = f"(-({x}) * {math.sqrt(0.5)!r})"
-    t = f"(1.0 / (1.0 + {ERF_P} * abs{z}))"
-    poly = "0.0"
-    for a in reversed(ERF_A):
-        poly = f"(({poly} + {a}) * {t})"
-    e = f"({poly} * exp(-({z} * {z})))"
-    phi = f"(CASE WHEN {z} >= 0 THEN 0.5 * {e} ELSE 1.0 - 0.5 * {e} END)"
-    low = f"(-0.5 * ({x}) * ({x}) - 0.5 * {math.log(2 * math.pi)!r} - ln(CASE WHEN ({x}) < 0 THEN -({x}) ELSE 1.0 END))"
-    return f"(CASE WHEN ({x}) > 8 THEN 0.0 WHEN ({x}) < -30 THEN {low} ELSE ln(greatest({phi}, 1e-300)) END)"
-
-
 def _flux(m: M.Model, theta=None, t: str = "t") -> str:
     values = [M.Sql(repr(float(x))) if not isinstance(x, str) else M.Sql(x) for x in (theta or CANDIDATES[m.name])]
     return str(m.evaluate(M.SqlOps, values, M.Sql(t)))
@@ -35,7 +22,7 @@ def _flux(m: M.Model, theta=None, t: str = "t") -> str:
 
 def _cost(m: M.Model) -> str:
     var = f"(s * s + {math.exp(2 * CANDIDATES[m.name][-1]) + VAR_FLOOR!r})"
-    term = f"CASE WHEN is_upper THEN -{_log_cdf(f'(ceiling - p) / sqrt({var})')} ELSE (p - y) * (p - y) / {var} + ln({var}) END"
+    term = f"CASE WHEN is_upper THEN -{log_normal_cdf_sql(f'(ceiling - p) / sqrt({var})')} ELSE (p - y) * (p - y) / {var} + ln({var}) END"
     return f"SELECT object, band, '{m.name}' AS model, avg({term}) AS cost FROM (SELECT *, {_flux(m)} AS p FROM rel) GROUP BY ALL"
 
 
@@ -84,7 +71,7 @@ ORACLES = {
     "noise_fraction": f"WITH {v.EV} SELECT object, band, {_r('median(err / flux) FILTER (flux > 0)')} AS noise_fraction FROM ev GROUP BY ALL",
     "display_error": f"WITH {v.EV} SELECT pos, {_r('CASE WHEN pos % 4 <> 0 AND flux > 0 THEN 1.0857 * err / flux ELSE 0.1 END')} AS mag_err FROM ev",
     "compare_parameters": f"WITH {v.MG} SELECT band AS param, count(*) AS n, {_r('corr(mag, mag + mag_err)')} AS r, {_r('median((mag + mag_err) - mag)')} AS median_difference, {_r('median(mag_err)')} AS median_std FROM mg GROUP BY band",
-    "log_normal_cdf": f"SELECT event_id, {_r(_log_cdf('(value - 100) / 10'))} AS log_cdf FROM events",
+    "log_normal_cdf": f"SELECT event_id, {_r(log_normal_cdf_sql('(value - 100) / 10'))} AS log_cdf FROM events",
     "pso_cost_grid": f"WITH {v.REL}, {COSTS} SELECT object, band, model, {_r('cost', 3)} AS cost FROM costs",
     "model_select": f"WITH {v.REL}, c0 AS (SELECT 1), {COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {_r('cost', 3)} AS cost FROM raw), {BEST} SELECT * FROM best",
     "mag_chi2": f"WITH {v.REL}, p AS (SELECT *, {_flux(M.MODELS['Bazin'])} AS p FROM rel), q AS (SELECT object, band, CASE WHEN p > 0 AND y > 0 THEN (-2.5 * log10(CASE WHEN y > 0 THEN y ELSE 1 END) + 2.5 * log10(CASE WHEN p > 0 THEN p ELSE 1 END)) / (1.0857 * s / y) END AS r FROM p) SELECT object, band, {_r('avg(r * r)', 4)} AS mag_chi2, count(r) AS n_used FROM q GROUP BY ALL",
@@ -184,7 +171,7 @@ sm AS (SELECT object, band, k, coalesce(sum(1 / var) FILTER (NOT is_upper AND f
 dt AS (SELECT *, CASE WHEN abs(wff * w1 - wf * wf) > 1e-20 THEN wff * w1 - wf * wf END AS det FROM sm),
 ab AS (SELECT object, band, k, coalesce((wfy * w1 - wf * wy) / det > 1e-10, false) AS ok, (wfy * w1 - wf * wy) / det AS a, (wff * wy - wf * wfy) / det AS b FROM dt),
 sc AS (SELECT f.object, f.band, f.k, onset, is_upper, y, ceiling, var, CASE WHEN ok THEN a ELSE {math.exp(_TH[0])!r} END * f + CASE WHEN ok THEN b ELSE {_TH[1]!r} END AS p FROM f JOIN ab USING (object, band, k)),
-ll AS (SELECT object, band, k, any_value(onset) AS onset, sum(CASE WHEN is_upper THEN {_log_cdf('(ceiling - p) / sqrt(var)')} ELSE -0.5 * ((p - y) * (p - y) / var + ln({2 * math.pi!r} * var)) END) AS ll FROM sc WHERE p IS NOT NULL GROUP BY ALL),
+ll AS (SELECT object, band, k, any_value(onset) AS onset, sum(CASE WHEN is_upper THEN {log_normal_cdf_sql('(ceiling - p) / sqrt(var)')} ELSE -0.5 * ((p - y) * (p - y) / var + ln({2 * math.pi!r} * var)) END) AS ll FROM sc WHERE p IS NOT NULL GROUP BY ALL),
 tp AS (SELECT *, max(ll) OVER (PARTITION BY object, band) AS best FROM ll)
 SELECT object, band, {_r('first(onset ORDER BY ll DESC, k)', 5)} AS t0, {_r('max(ll)', 5)} AS log_likelihood,
  {_r('greatest((max(onset) FILTER (ll >= best - 0.5) - min(onset) FILTER (ll >= best - 0.5)) / 2, 0.01)', 5)} AS t0_sigma FROM tp GROUP BY ALL"""

@@ -17,5 +17,11 @@ def test_search_and_saved_model(spark, tmp_path, monkeypatch):
     assert out.count() == 240 and out.where("y = prediction").count() > 120
     model = RandomForestClassificationModel.load(str(tmp_path / "model"))
     assert model.getNumTrees == 3 and model.numClasses == 3
+    dealt = ml.stratified_folds(ml.assemble(df, ["x1", "x2"], "label"), "id", "y", 3)
+    table = ml.search_table(dealt).collect()
+    assert {(r.maxDepth, r.numTrees, r.fold) for r in table} == {(d, 3, k) for d in (1, 3) for k in range(3)}
+    assert all(sum(r.n for r in table if r.maxDepth == d) == 240 and r.correct <= r.n for d in (1, 3) for r in table)
+    best = max((1, 3), key=lambda d: sum(r.correct / r.n for r in table if r.maxDepth == d))
+    assert ml.best_settings(ml.search_table(dealt))["maxDepth"] == best
     report = {r.c: r for r in ml.classification_report(out).collect()}
     assert sum(r.support for r in report.values()) == 240
