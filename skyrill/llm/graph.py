@@ -96,7 +96,7 @@ def _block_pairs(rows: DataFrame, names: list[str], may_link: str) -> DataFrame:
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, may_link: str = "true") -> DataFrame:
+def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, may_link: str = "true", refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, label) of all nodes with a link, given buckets that hold both ends of every link.
 
     ``shared`` (bucket, node, c), a staged table, has the distinct members of each bucket of two
@@ -109,23 +109,36 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
     Every bucket is a star: c against the other members, who form the group of c
     (buckets of one c are one group). A group whose members then lie in one
     component can add nothing. In the rest a random member outside the most
-    frequent component becomes a further centre, for some rounds. At last the
-    members outside that component meet, block by block, the group's members
+    frequent component becomes a further centre, for some rounds. What is still open
+    is dealt anew where there is a ``refine``, which turns (c, node) into smaller groups that also hold
+    both ends of every link of a group. At last the
+    members outside a group's most frequent component meet, block by block, its members
     of other components; only pairs that ``may_link`` admits are formed and
     verified. Every pair of a bucket is then verified, ruled out or within one
     component, so the components are those of all links that share a bucket.
     """
-    names = [c for c in facts.columns if c != "node"] if facts is not None else []
     group = stage(shared.where("node <> c").select("c", "node").distinct(), "group")
     links = stage(verify(group.select(F.col("c").alias("a"), F.col("node").alias("b"))), "links")
     labels = stage(components(links), "labels")
+    if refine is None:
+        return _settle(group, labels, verify, facts, may_link, True)[0]
+    labels, rest = _settle(group, labels, verify, facts, may_link, False)
+    if rest is None:
+        return labels
+    finer = stage(refine(rest), "finer")
+    return _settle(finer, labels, verify, facts, may_link, True)[0]
+
+
+def _settle(group: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None, may_link: str, blocks: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Labels after the stars of groups (c, node), and with ``blocks`` after all else; without, also the (c, node) that are still open, if any."""
+    names = [c for c in facts.columns if c != "node"] if facts is not None else []
     turn, rows = 0, None
     while True:
         if rows is None:
             rows = _open(group, labels)
             rows = stage(rows.join(facts, "node") if names else rows, "open")
             if rows.isEmpty():
-                return labels
+                return labels, None
             # Later turns hold fewer components, so their groups are among these.
             group = rows.select("c", "node").distinct()
         if turn < STAR_ROUNDS:
@@ -133,13 +146,15 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
             centre = rows.where("label <> main").groupBy("c").agg(one).select("c", "one.node", "one.label", *[f"one.{f}" for f in names])
             met = _with_group(rows, _as_x(centre, *names)).where(f"label <> lx and ({may_link})")
             pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        else:
+        elif blocks:
             pairs = _block_pairs(rows, names, may_link)
+        else:
+            return labels, group
         found = stage(verify(stage(pairs, "pairs")), "links")
         more = not found.isEmpty()
         if more:
             labels, rows = stage(_merge(labels, found), "labels"), None
         if turn == STAR_ROUNDS:
-            return labels
+            return labels, None
         # A star that finds nothing ends the stars.
         turn = turn + 1 if more else STAR_ROUNDS

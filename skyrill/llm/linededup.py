@@ -7,7 +7,8 @@ contains one of the segments unchanged, at a place the number of edits bounds.
 Each distinct line therefore publishes its segments and probes, for each line
 length it could match, the substrings at those places; keys carry the length
 and the segment number. Lines that share a key are candidates, resolved as
-stars (``graph.resolve``), and a candidate is a link when a bit-parallel scan
+stars (``graph.resolve``), large groups of unlike lines of one template being dealt anew by
+their rarest grams, and a candidate is a link when a bit-parallel scan
 of the band of 2 * edits + 1 diagonals finds at most ``edits`` edits. Linked
 lines form groups; of each group the first occurrence (by doc_id, then by
 place) stays and every other occurrence is removed.
@@ -33,8 +34,12 @@ from .shared import free_name, scratch, stage, stage_bucketed, table
 EDITS = 2
 MIN_CHARS = 24
 #: Disjoint groups of characters: one edit changes their counts by two in all at most.
-GROUPS = tuple("abcdefghiklmnoprstuvwyz ")
-FACTS = ("n", *(f"c{k}" for k in range(len(GROUPS))))
+GROUPS = tuple("abcdefghiklmnoprstuvwyz 0123456789")
+COUNTS = tuple(f"c{k}" for k in range(len(GROUPS)))
+#: Facts of a line: its length, its counts, and ``p``, whose bits tell of which classes (a hash of any character) it has an odd number.
+FACTS = ("n", *COUNTS, "p")
+#: Characters of the grams by which large groups are dealt anew.
+GRAM = 6
 
 
 def _line_list(text: Column) -> Column:
@@ -82,14 +87,39 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
 
 def may_link(edits: int) -> str:
     """SQL over ``FACTS`` of two lines that holds whenever they are within ``edits`` edits."""
-    bags = " + ".join(f"abs({f} - {f}x)" for f in FACTS[1:])
-    return f"abs(n - nx) <= {edits} and {bags} <= {2 * edits}"
+    bags = " + ".join(f"abs({f} - {f}x)" for f in COUNTS)
+    return f"abs(n - nx) <= {edits} and bit_count(p ^ px) <= {2 * edits} and {bags} <= {2 * edits}"
 
 
 def describe(lines: DataFrame) -> DataFrame:
-    """(node, line) with ``FACTS``: length and counts of each group of characters."""
-    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(f"c{k}") for k, g in enumerate(GROUPS)]
-    return lines.select("node", "line", F.length("line").alias("n"), *counts)
+    """(node, line) with ``FACTS``."""
+    counts = [(F.length("line") - F.length(F.translate("line", g, ""))).alias(c) for c, g in zip(COUNTS, GROUPS)]
+    odd = F.aggregate(F.split("line", ""), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    return lines.select("node", "line", F.length("line").alias("n"), *counts, odd.alias("p"))
+
+
+def rare_grams(open_lines: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(c, node): groups of ``open_lines`` (c, node) dealt anew by the rarest grams of their lines (node, line).
+
+    An edit takes at most ``GRAM`` distinct grams from a line, so of two lines within ``edits`` edits each
+    has all but ``edits * GRAM`` of its distinct grams in the other, and in any one order of grams their first
+    ``edits * GRAM + 1`` have one in common. In order of frequency those are the parts in which lines of one
+    template differ. A line of fewer distinct grams (one that repeats itself) stays in its old groups,
+    with the lines that have at most ``edits * GRAM`` more.
+    """
+    most = edits * GRAM
+    nodes = open_lines.select("node").distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.length("line") - (GRAM - 1), F.lit(1)))
+    grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(GRAM)))))
+    told = stage(lines.join(nodes, "node", "left_semi").select("node", grams.alias("grams")), "grams")
+    each = told.where(F.size("grams") > most).select("node", F.explode("grams").alias("gram"))
+    n = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = each.join(n, "gram").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, most + 1).alias("rare"))
+    dealt = rare.select("node", F.explode("rare").alias("r")).where("r.n > 1").select(F.col("r.gram").alias("c"), "node")
+    few = told.select("node", F.size("grams").alias("size")).where(F.col("size") <= 2 * most)
+    poor = open_lines.join(few, "node").select("c", "node", "size")
+    with_poor = poor.where(F.col("size") <= most).select("c").distinct()
+    return dealt.union(poor.join(with_poor, "c").select(F.xxhash64("c", F.lit("poor")).alias("c"), "node")).distinct()
 
 
 def _edit_links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -159,7 +189,7 @@ def duplicates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     wanted = shared.select(F.col("node").alias("h")).distinct()
     known = stage(describe(lines.join(wanted, "h", "left_semi").select(F.col("h").alias("node"), "line")), "candidates")
     facts = known.select("node", *FACTS)
-    labels = resolve(shared, lambda pairs: _edit_links(pairs, known, edits), facts, may_link(edits))
+    labels = resolve(shared, lambda pairs: _edit_links(pairs, known, edits), facts, may_link(edits), lambda rest: rare_grams(rest, known, edits))
     grouped = lines.select("h", "first", "last").join(labels.withColumnRenamed("node", "h"), "h", "left")
     heads = grouped.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
     repeated = (

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from skyrill.llm import linededup
+from skyrill.llm import graph, linededup
 
 from .brute_force import distance
 from .brute_force import lines as brute
@@ -80,6 +81,30 @@ def test_queries_drop_equal_short_lines(spark, docs_of, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == dict(enumerate(want))
 
 
+def _edited(rng, line, alphabet, edits):
+    for _ in range(edits):
+        k = rng.randrange(len(line))
+        line = line[:k] + rng.choice(["", rng.choice(alphabet), rng.choice(alphabet) + line[k]]) + line[k + 1 :]
+    return line
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_lines_of_one_template_equal_brute_force(spark, docs_of, monkeypatch, stars):
+    """Hot buckets of lines that differ in any kind of character, some within two edits of each other, some repeating themselves."""
+    monkeypatch.setattr(graph, "STAR_ROUNDS", stars)
+    rng = random.Random(stars)
+    lines = []
+    for alphabet in ("0123456789", "ABCXYZ", "абвгдежз", "天地玄黃宇宙", "ab"):
+        some = [f"entry of the ledger number {''.join(rng.choice(alphabet) for _ in range(rng.choice([8, 14])))}" for _ in range(30)]
+        some += [_edited(rng, rng.choice(some), alphabet, rng.randint(1, 3)) for _ in range(30)]
+        some += [rng.choice(alphabet[:2]) * rng.randint(24, 30) for _ in range(6)] + [(alphabet[0] + alphabet[1]) * 13 + rng.choice(alphabet) for _ in range(4)]
+        lines += some
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[k : k + 5]) for k in range(0, len(lines), 5)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(texts), exact_short=True).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
 def test_stage_drops_emptied_documents(spark, docs_of):
     """Documents whose every line went go as a whole, blank lines between or not; those that lost nothing stay, blank ones too."""
     import corpus_pipeline
