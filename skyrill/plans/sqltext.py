@@ -63,7 +63,7 @@ def install(spark: SparkSession, sf_dir: str) -> None:
 #: Each object's band against two models at fixed parameters: how many points, the mean magnitude of the peak, and both mean squared residuals.
 MODELS_TEXT = """
 SELECT object, band, count(*) AS n,
-  round(flux_to_mag(max(peak)), 6) AS peak_mag,
+  round(min(flux_to_mag(peak)), 6) AS peak_mag,
   round(avg(power(y - flux_bazin(t, 0, 0, 3, ln(2), ln(20), -3), 2)), 6) AS bazin,
   round(avg(power(y - flux_arnett(t, 0, 3, ln(10), 0, -3), 2)), 6) AS arnett,
   round(sum(CASE WHEN is_upper THEN log_normal_cdf((ceiling - y) / greatest(s, 1e-3D)) ELSE 0 END), 5) AS limits
