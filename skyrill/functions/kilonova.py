@@ -11,13 +11,19 @@ where h is the heating per rest energy and T the time that light needs to leave;
 the light is e / T, of which only the shape counts. Steps are explicit on a grid
 that is even in the logarithm of time; a negative e is reflected, and r moves at
 the speed after the step.
+
+``kilonova`` has the curves of many parameter rows in numpy, for the fits;
+``light`` has one curve as a column, folded over the grid by ``aggregate``.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Cgs units of mass, speed and time, the grid, the composition, opacity and heating.
 SUN, LIGHT, DAY = 1.989e33, 2.998e10, 86400.0
@@ -89,3 +95,69 @@ def kilonova(theta: np.ndarray, t: np.ndarray) -> np.ndarray:
         low, high = (np.take_along_axis(light, k + i, 1) for i in (0, 1))
         out = low + (high - low) * np.clip((phase - left) / (right - left), 0.0, 1.0)
     return np.where((phase > 0) & (last > DAWN)[:, None] & np.isfinite(out), out, 0.0)
+
+
+def _grid_day(last: Column, k: Column) -> Column:
+    """The day of grid point k, counted from the onset; the grid ends beyond ``last``."""
+    return DAWN * F.exp(F.log(F.greatest(last, F.lit(DAWN)) * (BEYOND / DAWN)) * k / (STEPS - 1))
+
+
+def light(theta: tuple[float, ...], last: Column) -> Column:
+    """Array of the light over its peak at the grid's points, for the parameters (mass, speed, opacity as log10) and the last day of interest."""
+    mass, speed, process = 10.0 ** theta[0] * SUN, 10.0 ** theta[1], 10.0 ** theta[2]
+    seconds = lambda k: _grid_day(last, k) * DAY
+    free = lambda s: NEUTRONS * F.exp(-s / NEUTRON_LIFE)
+
+    def heat(s: Column) -> Column:
+        x = THERMAL_FACTOR * F.pow(s / DAY, F.lit(THERMAL_POWER))
+        kept = THERMAL_SHARE * (F.exp(-THERMAL_RATE * s / DAY) + F.log1p(x) / x)
+        started = F.greatest(F.lit(0.5) - F.atan((s - PROCESS_START) / PROCESS_WIDTH) / math.pi, F.lit(1e-30))
+        return (NEUTRON_HEAT * free(s) + PROCESS_HEAT * kept * F.pow(started, F.lit(PROCESS_POWER))) / LIGHT**2
+
+    def depth(s: Column) -> Column:
+        return (NEUTRON_OPACITY * (NEUTRONS - free(s)) + process * (1.0 - NEUTRONS)) * (3.0 * mass / (4.0 * math.pi * LIGHT**2)) / s
+
+    # What drives each step is laid out first, so the fold reads numbers.
+    drives = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda k: F.struct(seconds(k).alias("s"), (seconds(k + 1) - seconds(k)).alias("ds")))
+    drives = F.transform(drives, lambda d: F.struct(heat(d["s"]).alias("heat"), depth(d["s"]).alias("depth"), d["ds"].alias("ds")))
+    number = lambda x: x.cast("double")
+    start = F.struct(number(F.lit(speed**2 / 2)).alias("e"), number(F.lit(speed**2 / 2)).alias("k"), number(DAWN * DAY * speed * F.lit(1.0)).alias("r"), number(F.lit(speed)).alias("b"), F.array().cast("array<double>").alias("out"))
+
+    def step(a: Column, d: Column) -> Column:
+        work = a["e"] * a["b"] / a["r"]
+        gone = a["e"] / (d["depth"] / a["b"] + a["r"])
+        kinetic = a["k"] + work * d["ds"]
+        speed_after = F.least(F.sqrt(2.0 * kinetic), F.lit(1.0))
+        return F.struct(
+            number(F.abs(a["e"] + (d["heat"] - work - gone) * d["ds"])).alias("e"),
+            number(kinetic).alias("k"),
+            number(a["r"] + speed_after * d["ds"]).alias("r"),
+            number(speed_after).alias("b"),
+            F.concat(a["out"], F.array(number(gone))).alias("out"),
+        )
+
+    raw = F.aggregate(drives, start, step, lambda a: a["out"])
+    # A column of its own for the peak would be folded again; a nested transform binds the array once.
+    return F.element_at(F.transform(F.array(raw), lambda x: F.transform(x, lambda v: v / F.array_max(x))), 1)
+
+
+def light_at(curve: Column, last: Column, phase: Column) -> Column:
+    """Value of a ``light`` at a phase in days: zero before the onset and for curves that end before the grid begins."""
+    place = F.least(F.greatest(F.log(phase / DAWN) / F.log(F.greatest(last, F.lit(DAWN)) * (BEYOND / DAWN)) * (STEPS - 1), F.lit(0.0)), F.lit(float(STEPS - 2)))
+    k = F.floor(place).cast("int")
+    left, right = _grid_day(last, k), _grid_day(last, k + 1)
+    low, high = F.get(curve, k), F.get(curve, k + 1)
+    value = low + (high - low) * F.least(F.greatest((phase - left) / (right - left), F.lit(0.0)), F.lit(1.0))
+    return F.when((phase > 0) & (last > DAWN) & ~F.isnan(value) & (F.abs(value) != float("inf")), value).otherwise(0.0)
+
+
+def with_kilonova(rows: DataFrame, keys: list[str], theta: tuple[float, ...], out: str, time: str = "t") -> DataFrame:
+    """``rows`` with ``out``, the light of each group's curve at its times; theta ends with the onset.
+
+    A group's curve is folded once and meets the group's rows by their keys.
+    """
+    ends = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg((F.max(time) - theta[3]).alias("__last"))
+    curves = ends.withColumn("__light", light(theta[:3], F.col("__last")))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = rows.join(curves, same)
+    return met.withColumn(out, light_at(F.col("__light"), F.col("__last"), F.col(time) - theta[3])).drop("__last", "__light", *[f"__{k}" for k in keys])

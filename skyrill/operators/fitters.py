@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kilonova import with_kilonova
 from ..functions.models import MODELS, flux_numpy
 from . import gp, search
+from .features import grid
 from .prep import MIN_POINTS
 
 PARAM_SCHEMA = "object string, band string, model string, param string, pso_value double, svi_mean double, svi_std double, pso_chi2 double, svi_elbo double, mag_chi2 double"
@@ -120,11 +122,16 @@ def fit_gp(rows: DataFrame, backend: str = "B") -> DataFrame:
 
 def kilonova_curves(spans: DataFrame, theta: tuple[float, ...], points: int = 50) -> DataFrame:
     """The one-zone model on a grid over each row's (object, t_min, t_max)."""
-
-    def run(batches):
-        for b in batches:
-            t = np.linspace(b["t_min"].to_numpy(float), b["t_max"].to_numpy(float), points, axis=1)
-            light = flux_numpy(MODELS["MetzgerKN"], np.tile(theta, (len(b), 1)), t)
-            yield pd.DataFrame({"object": np.repeat(b["object"].to_numpy(), points), "t": t.ravel(), "flux": light.ravel()})
-
-    return spans.select(F.col("object").cast("string").alias("object"), "t_min", "t_max").mapInPandas(run, "object string, t double, flux double")
+    rows = grid(spans, points).select("object", "t")
+    return with_kilonova(rows, ["object"], theta, "flux").select(F.col("object").cast("string").alias("object"), "t", "flux")
+
+
+def kilonova_gradients(spans: DataFrame, theta: tuple[float, ...], points: int = 50, step: float = 1e-5) -> DataFrame:
+    """``kilonova_curves`` with the forward difference of the flux by each parameter."""
+    rows = grid(spans, points).select("object", "t")
+    names = MODELS["MetzgerKN"].params[: len(theta)]
+    for k, name in enumerate(names):
+        moved = tuple(x + step * (i == k) for i, x in enumerate(theta))
+        rows = with_kilonova(rows, ["object"], moved, f"d_{name}")
+    rows = with_kilonova(rows, ["object"], theta, "flux")
+    return rows.select(F.col("object").cast("string").alias("object"), "t", "flux", *[((F.col(f"d_{n}") - F.col("flux")) / step).alias(f"d_{n}") for n in names])

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kilonova import with_kilonova
 from ..functions.likelihood import VAR_FLOOR, cost_term, log_normal_cdf
-from ..functions.models import CLOSED_FORM, ColumnOps, Model
+from ..functions.models import MODELS, ColumnOps, Model
 from ..functions.numeric import finite
 
 REJECT = 1e99
@@ -19,12 +20,14 @@ def candidate_costs(rows: DataFrame, candidates: dict[str, tuple[float, ...]]) -
     """Mean objective of each object and band under each candidate's parameters (t0 relative to the first time).
 
     Rows: object, band, t, y, s, is_upper, ceiling. The candidates become columns of one aggregate, so
-    the observations are neither joined nor repeated.
+    the observations are neither joined nor repeated; only the integrated model's curve, one for each band, meets its rows by a join.
     """
-    models = {m.name: m for m in CLOSED_FORM}
     aggs = []
     for name, theta in candidates.items():
-        pred = models[name].evaluate(ColumnOps, theta, F.col("t"))
+        model = MODELS[name]
+        if model.flux is None:
+            rows = with_kilonova(rows, ["object", "band"], theta, "__kilonova")
+        pred = model.evaluate(ColumnOps, theta, F.col("t")) if model.flux else F.col("__kilonova")
         term = cost_term(pred, F.col("y"), F.col("s"), F.col("is_upper"), F.col("ceiling"), theta[-1])
         bad = F.max(F.when(finite(pred).isNull(), 1).otherwise(0))
         aggs.append(F.when(bad == 1, F.lit(REJECT)).otherwise(F.avg(term)).alias(name))

@@ -17,8 +17,8 @@ from ..sources.writers import report
 from . import views as v
 
 #: Fixed candidates of the deterministic model selection.
-CANDIDATES = {m.name: tuple(0.0 if p == "log_a" else 3.0 if p == "t0" else m.start[i] for i, p in enumerate(m.params)) for m in M.CLOSED_FORM}
-ORDER = [m.name for m in M.CLOSED_FORM]
+CANDIDATES = {m.name: tuple(0.0 if p == "log_a" else 3.0 if p == "t0" else m.start[i] for i, p in enumerate(m.params)) for m in M.MODELS.values()}
+ORDER = list(M.MODELS)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -313,6 +313,11 @@ def kilonova_curve(spark, sf_dir):
     return _round(fitters.kilonova_curves(spans, (-2.0, -0.7, 0.5, 0.0)))
 
 
+def kilonova_gradient(spark, sf_dir):
+    spans = v.events_relative(spark, sf_dir).groupBy("object").agg(F.lit(-1.0).alias("t_min"), F.max("t").alias("t_max"))
+    return _round(fitters.kilonova_gradients(spans, (-2.0, -0.7, 0.5, 0.0)), 3)
+
+
 def simulate(spark, sf_dir):
     return validate.simulate(spark)
 
@@ -341,7 +346,7 @@ def queries() -> dict:
         alert_band_peaks, alert_all_bands, alert_rates, alert_pivot, merge_dedup, njy_value_choice, prepare_obs, prepare_obs_flux, normalize_upper_limits, reference_band,
         subsample25, min_lengthscale, noise_fraction, display_error, rate_report, compare_parameters, pso_cost_grid, model_select, t0_profile_refine, mag_chi2, baseline_chi2, grid_points, grid_timescales, grid_shape, interp_at,
         borrowed_offset, temperature_curve, temperature_features, percentile_band, impute_median, variance_importance, class_stats, label_encode, feature_summary, feature_pivot,
-        join_classes, method_compare, ratio_hist, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve,
+        join_classes, method_compare, ratio_hist, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve, kilonova_gradient,
         simulate, simulated_truth, train_classifier, classification_report, outliers,
     ]
     out = {f.__name__: f for f in q}

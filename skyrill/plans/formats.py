@@ -164,7 +164,7 @@ def oracle_sql() -> dict:
         "class_report_fixed": f"WITH p AS (SELECT label::DOUBLE AS y, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE label::DOUBLE END AS q FROM embeddings), c AS (SELECT y AS c FROM p UNION SELECT q FROM p) SELECT c, {r('tp / nullif(said, 0)')} AS precision, {r('tp / nullif(support, 0)')} AS recall, {r('2.0 * tp / nullif(CASE WHEN tp > 0 THEN said + support END, 0)')} AS f1, support FROM (SELECT c, (SELECT count(*) FROM p WHERE y = c AND q = c) AS tp, (SELECT count(*) FROM p WHERE q = c) AS said, (SELECT count(*) FROM p WHERE y = c) AS support FROM c)",
         "join_pivot_classes": f"WITH {v.MG}, a AS (SELECT object, band, min(mag) AS peak FROM mg GROUP BY ALL), pv AS (SELECT object, {', '.join(r(f'max(CASE WHEN band = $${b}$$ THEN peak END)') + f' AS peak_{b}' for b in 'grizy')} FROM a GROUP BY object), c AS (SELECT doc_id % 200 AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL) SELECT pv.*, classification FROM pv JOIN c USING (object)",
         "join_truth": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS value, CASE WHEN band IN ('g', 'r') THEN 't0' ELSE 'b' END AS param FROM mg GROUP BY ALL), j AS (SELECT a.*, s_nationkey::VARCHAR AS class, CASE WHEN param = 't0' THEN s_acctbal / 100 END AS tv FROM a JOIN supplier ON s_suppkey = object) SELECT object, band, {r('value', 5)} AS value, param, class, {r('tv', 5)} AS true_value, {r('value - tv', 5)} AS error FROM j",
-        "model_histogram": f"WITH {v.REL}, {o.COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {r('cost', 3)} AS cost FROM raw), {o.BEST} SELECT {cls} AS class, model, count(*) AS n FROM best GROUP BY ALL",
+        "model_histogram": f"WITH RECURSIVE {v.REL}, {o.COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {r('cost', 3)} AS cost FROM raw), {o.BEST} SELECT {cls} AS class, model, count(*) AS n FROM best GROUP BY ALL",
         "onset_difference_hist": f"WITH {v.MG}, x AS (SELECT round(first(mjd ORDER BY {o.LOW}) - first(mjd ORDER BY {o.HIGH}), 6) AS d FROM mg GROUP BY object, band) SELECT least(floor((d + 20.0) / (40.0 / 49)), 48)::BIGINT AS bin, count(*) AS n FROM x WHERE d BETWEEN -20.0 AND 20.0 GROUP BY bin",
     }
     return out

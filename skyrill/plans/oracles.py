@@ -26,7 +26,40 @@ def _cost(m: M.Model) -> str:
     return f"SELECT object, band, '{m.name}' AS model, avg({term}) AS cost FROM (SELECT *, {_flux(m)} AS p FROM rel) GROUP BY ALL"
 
 
-COSTS = "costs AS (" + " UNION ALL ".join(_cost(m) for m in M.CLOSED_FORM) + ")"
+def _kilonova(keys: str, spans: str, thetas: list[tuple[float, ...]]) -> str:
+    """CTEs (to follow WITH RECURSIVE) that end in nm (keys, id, t0, k, d, l, d1, l1): the light at grid point k and at the next, for each of ``thetas``.
+
+    ``spans`` selects the keys and hi, the last time. Written from the equations in functions/kilonova.py, step by step in cgs units.
+    """
+    c = "2.998e10"
+    rows = ", ".join(f"({i}, {10 ** m * 1.989e33!r}::DOUBLE, {10**x * 2.998e10!r}::DOUBLE, {10**q!r}::DOUBLE, {t0!r}::DOUBLE)" for i, (m, x, q, t0) in enumerate(thetas))
+    w = f"PARTITION BY {keys}, id ORDER BY k"
+    return f"""th(id, mass, v0, kappa, t0) AS (VALUES {rows}),
+sp AS (SELECT * REPLACE (hi - t0 AS hi) FROM ({spans}), th),
+gr AS (SELECT sp.*, k, 0.01 * exp(ln(hi * 1.05 / 0.01) * k / 199) AS d FROM sp, range(200) r(k) WHERE hi > 0.01),
+src AS (SELECT *, d * 86400 AS s, (lead(d) OVER ({w}) - d) * 86400 AS ds, 0.8 * exp(-d * 86400 / 900) AS xn FROM gr),
+ht AS (SELECT *, mass * (3.2e14 * xn + 2e18 * 0.36 * (exp(-0.56 * d) + ln(1 + 0.34 * pow(d, 0.74)) / (0.34 * pow(d, 0.74))) * pow(greatest(0.5 - atan((s - 1.3) / 0.11) / pi(), 1e-30), 1.3)) / 1e40 AS heat,
+ 3 * (0.4 * (0.8 - xn) + kappa * 0.2) * mass / (4 * pi() * {c} * s) AS delay FROM src),
+st AS (SELECT {keys}, id, k, 0.5 * mass * v0 * v0 / 1e40 AS e, 0.5 * mass * v0 * v0 / 1e40 AS kin, v0 AS v, s * v0 AS r FROM ht WHERE k = 0
+ UNION ALL SELECT {keys}, id, k + 1, abs(e + (heat - e * v / r - e / (delay / v + r / {c})) * ds), kin + e * v / r * ds,
+  least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / mass), {c}), r + least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / mass), {c}) * ds FROM st JOIN ht USING ({keys}, id, k) WHERE k < 199),
+lt AS (SELECT {keys}, id, t0, k, d, e / (delay / v + r / {c}) AS light FROM st JOIN ht USING ({keys}, id, k)),
+nm AS (SELECT {keys}, id, t0, k, d, light / max(light) OVER (PARTITION BY {keys}, id) AS l, lead(d) OVER ({w}) AS d1, lead(light) OVER ({w}) / max(light) OVER (PARTITION BY {keys}, id) AS l1 FROM lt)"""
+
+
+_KILONOVA_AT = "coalesce(CASE WHEN q.t - nm.t0 < d THEN l ELSE l + (l1 - l) * (q.t - nm.t0 - d) / (d1 - d) END, 0)"
+_KILONOVA_ON = "q.t > nm.t0 AND ((q.t - nm.t0 >= d AND q.t - nm.t0 < d1) OR (k = 0 AND q.t - nm.t0 < d))"
+
+
+def _kilonova_cost() -> str:
+    theta = CANDIDATES["MetzgerKN"]
+    var = f"(s * s + {math.exp(2 * theta[-1]) + VAR_FLOOR!r})"
+    term = f"CASE WHEN is_upper THEN -{log_normal_cdf_sql(f'(ceiling - p) / sqrt({var})')} ELSE (p - y) * (p - y) / {var} + ln({var}) END"
+    seen = f"SELECT q.*, {_KILONOVA_AT} AS p FROM rel q LEFT JOIN nm ON q.object = nm.object AND q.band = nm.band AND {_KILONOVA_ON}"
+    return f"SELECT object, band, 'MetzgerKN' AS model, avg({term}) AS cost FROM ({seen}) GROUP BY ALL"
+
+
+COSTS = _kilonova("object, band", "SELECT object, band, max(t) AS hi FROM rel GROUP BY ALL", [CANDIDATES["MetzgerKN"][:4]]) + ", costs AS (" + " UNION ALL ".join([*(_cost(m) for m in M.CLOSED_FORM), _kilonova_cost()]) + ")"
 _RANK = "list_position([" + ", ".join(f"'{n}'" for n in ORDER) + "], model)"
 BEST = f"best AS (SELECT object, band, first(model ORDER BY cost, {_RANK}) AS model, min(cost) AS cost FROM costs GROUP BY ALL)"
 _CLASS = "list_extract([" + ", ".join(f"'{c}'" for c in NATURAL) + "], (object % 5 + 1)::INT)"
@@ -72,8 +105,8 @@ ORACLES = {
     "display_error": f"WITH {v.EV} SELECT pos, {_r('CASE WHEN pos % 4 <> 0 AND flux > 0 THEN 1.0857 * err / flux ELSE 0.1 END')} AS mag_err FROM ev",
     "compare_parameters": f"WITH {v.MG} SELECT band AS param, count(*) AS n, {_r('corr(mag, mag + mag_err)')} AS r, {_r('median((mag + mag_err) - mag)')} AS median_difference, {_r('median(mag_err)')} AS median_std FROM mg GROUP BY band",
     "log_normal_cdf": f"SELECT event_id, {_r(log_normal_cdf_sql('(value - 100) / 10'))} AS log_cdf FROM events",
-    "pso_cost_grid": f"WITH {v.REL}, {COSTS} SELECT object, band, model, {_r('cost', 3)} AS cost FROM costs",
-    "model_select": f"WITH {v.REL}, c0 AS (SELECT 1), {COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {_r('cost', 3)} AS cost FROM raw), {BEST} SELECT * FROM best",
+    "pso_cost_grid": f"WITH RECURSIVE {v.REL}, {COSTS} SELECT object, band, model, {_r('cost', 3)} AS cost FROM costs",
+    "model_select": f"WITH RECURSIVE {v.REL}, c0 AS (SELECT 1), {COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {_r('cost', 3)} AS cost FROM raw), {BEST} SELECT * FROM best",
     "mag_chi2": f"WITH {v.REL}, p AS (SELECT *, {_flux(M.MODELS['Bazin'])} AS p FROM rel), q AS (SELECT object, band, CASE WHEN p > 0 AND y > 0 THEN (-2.5 * log10(CASE WHEN y > 0 THEN y ELSE 1 END) + 2.5 * log10(CASE WHEN p > 0 THEN p ELSE 1 END)) / (1.0857 * s / y) END AS r FROM p) SELECT object, band, {_r('avg(r * r)', 4)} AS mag_chi2, count(r) AS n_used FROM q GROUP BY ALL",
     "baseline_chi2": f"WITH {v.MG}, d AS (SELECT *, mag - avg(mag) OVER (PARTITION BY object, band) AS d FROM mg) SELECT object, band, {_r('avg(d * d / (mag_err * mag_err + 1e-10))', 5)} AS baseline_chi2, {_r('sqrt(avg(d * d))', 5)} AS rms FROM d GROUP BY ALL",
     "grid_points": f"WITH {v.EV}, s AS (SELECT object, min(mjd) AS lo, max(mjd) AS hi FROM ev GROUP BY ALL) SELECT object, k, {_r('lo + (hi - lo) * k / 49')} AS t FROM s, range(50) g(k)",
@@ -88,9 +121,9 @@ ORACLES = {
     "join_classes": f"WITH {v.MG}, a AS (SELECT object, band, {_r('min(mag)')} AS peak FROM mg GROUP BY ALL), c AS (SELECT doc_id % 200 AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL) SELECT a.*, classification FROM a JOIN c USING (object)",
     "method_compare": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS x, min(mag) AS y FROM mg GROUP BY ALL) SELECT band, count(*) AS n, CASE WHEN count(*) >= 3 THEN {_r('corr(x, y)', 5)} END AS r, {_r('median(y - x)', 5)} AS median_difference FROM a GROUP BY band",
     "ratio_hist": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS x, min(mag) AS z FROM mg GROUP BY ALL), r AS (SELECT round(log10(x / (z + 1e-6)), 7) AS r FROM a WHERE z > 0 AND x / (z + 1e-6) > 0) SELECT least(floor((r - 0.0) / ((0.25 - 0.0) / 25)), 24)::BIGINT AS bin, count(*) AS n FROM r WHERE r BETWEEN 0.0 AND 0.25 GROUP BY bin",
-    "class_validation": f"WITH {v.REL}, {COSTS}, c AS (SELECT model AS class, {_r('cost', 3)} AS chi2 FROM costs) SELECT class, count(*) AS n, {_r('median(chi2)', 3)} AS median_chi2, {_r('avg(chi2)', 3)} AS mean_chi2, {_r('100 * avg((chi2 < 1)::INT)', 3)} AS below_1, {_r('100 * avg((chi2 < 5)::INT)', 3)} AS below_5 FROM c GROUP BY ROLLUP (class)",
-    "confusion": f"WITH {v.REL}, {COSTS}, {BEST}, {OBJ} SELECT class, {', '.join(f'count(*) FILTER (model = {chr(39)}{n}{chr(39)}) AS {chr(34)}{n}{chr(34)}' for n in ORDER)} FROM obj GROUP BY class",
-    "accuracy": f"WITH {v.REL}, {COSTS}, {BEST}, {OBJ} SELECT class, count(*) AS n, {_r('avg(CASE WHEN ' + ' OR '.join(f'(class = {chr(39)}{c}{chr(39)} AND model IN (' + ', '.join(f'{chr(39)}{m}{chr(39)}' for m in ms) + '))' for c, ms in NATURAL.items()) + ' THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM obj GROUP BY ROLLUP (class)",
+    "class_validation": f"WITH RECURSIVE {v.REL}, {COSTS}, c AS (SELECT model AS class, {_r('cost', 3)} AS chi2 FROM costs) SELECT class, count(*) AS n, {_r('median(chi2)', 3)} AS median_chi2, {_r('avg(chi2)', 3)} AS mean_chi2, {_r('100 * avg((chi2 < 1)::INT)', 3)} AS below_1, {_r('100 * avg((chi2 < 5)::INT)', 3)} AS below_5 FROM c GROUP BY ROLLUP (class)",
+    "confusion": f"WITH RECURSIVE {v.REL}, {COSTS}, {BEST}, {OBJ} SELECT class, {', '.join(f'count(*) FILTER (model = {chr(39)}{n}{chr(39)}) AS {chr(34)}{n}{chr(34)}' for n in ORDER)} FROM obj GROUP BY class",
+    "accuracy": f"WITH RECURSIVE {v.REL}, {COSTS}, {BEST}, {OBJ} SELECT class, count(*) AS n, {_r('avg(CASE WHEN ' + ' OR '.join(f'(class = {chr(39)}{c}{chr(39)} AND model IN (' + ', '.join(f'{chr(39)}{m}{chr(39)}' for m in ms) + '))' for c, ms in NATURAL.items()) + ' THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM obj GROUP BY ROLLUP (class)",
     "key_intersection": f"WITH {v.EV} SELECT object, band FROM ev WHERE flux > 50 INTERSECT SELECT object, band FROM ev WHERE err < 5",
     "throughput": f"WITH {v.EV} SELECT count(DISTINCT object) AS objects, count(*) AS bands, count(DISTINCT object) / 10.0 AS objects_per_s, count(*) / 10.0 AS bands_per_s, {_r('avg(flux / 1000)')} AS mean_fit_s FROM ev",
     "sanitize_nested": "SELECT conv_id, count(*) FILTER (role = 'user') AS n_kept, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS total FROM conversations GROUP BY conv_id",
@@ -181,22 +214,18 @@ for _m in M.CLOSED_FORM:
     _d = _m.gradient(M.SqlOps, [M.Sql(repr(float(x))) for x in CANDIDATES[_m.name]], M.Sql("t"))
     ORACLES[f"model_grad_{_m.name.lower()}"] = f"WITH {v.REL} SELECT pos, {', '.join(_r(str(_d[p]), 7) + f' AS d_{p}' for p in _m.params)} FROM rel"
 
-# Written from the equations in functions/kilonova.py, step by step in cgs units: mass 10**-2 suns, speed 10**-0.7 c, opacity 10**0.5, onset 0.
-_MASS, _V0, _KAPPA, _C = f"{10**-2.0 * 1.989e33!r}", f"{10**-0.7 * 2.998e10!r}", f"{10**0.5!r}", "2.998e10"
-ORACLES["kilonova_curve"] = f"""WITH RECURSIVE {v.REL},
-sp AS (SELECT object, max(t) AS hi FROM rel GROUP BY object),
-gr AS (SELECT object, k, 0.01 * exp(ln(hi * 1.05 / 0.01) * k / 199) AS d FROM sp, range(200) r(k) WHERE hi > 0.01),
-src AS (SELECT *, d * 86400 AS s, (lead(d) OVER (PARTITION BY object ORDER BY k) - d) * 86400 AS ds, 0.8 * exp(-d * 86400 / 900) AS xn FROM gr),
-ht AS (SELECT *, {_MASS} * (3.2e14 * xn + 2e18 * 0.36 * (exp(-0.56 * d) + ln(1 + 0.34 * pow(d, 0.74)) / (0.34 * pow(d, 0.74))) * pow(greatest(0.5 - atan((s - 1.3) / 0.11) / pi(), 1e-30), 1.3)) / 1e40 AS heat,
- 3 * (0.4 * (0.8 - xn) + {_KAPPA} * 0.2) * {_MASS} / (4 * pi() * {_C} * s) AS delay FROM src),
-st AS (SELECT object, k, 0.5 * {_MASS} * {_V0} * {_V0} / 1e40 AS e, 0.5 * {_MASS} * {_V0} * {_V0} / 1e40 AS kin, {_V0} AS v, s * {_V0} AS r FROM ht WHERE k = 0
- UNION ALL SELECT object, k + 1, abs(e + (heat - e * v / r - e / (delay / v + r / {_C})) * ds), kin + e * v / r * ds,
-  least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / {_MASS}), {_C}), r + least(sqrt(2 * (kin + e * v / r * ds) * 1e40 / {_MASS}), {_C}) * ds FROM st JOIN ht USING (object, k) WHERE k < 199),
-lt AS (SELECT object, k, d, e / (delay / v + r / {_C}) AS light FROM st JOIN ht USING (object, k)),
-nm AS (SELECT object, k, d, light / max(light) OVER (PARTITION BY object) AS l, lead(d) OVER w AS d1, lead(light) OVER w / max(light) OVER (PARTITION BY object) AS l1 FROM lt WINDOW w AS (PARTITION BY object ORDER BY k)),
-q AS (SELECT object, -1 + (hi + 1) * j / 49 AS t FROM sp, range(50) r(j))
-SELECT q.object::VARCHAR AS object, {_r('t')} AS t, {_r('coalesce(CASE WHEN t < d THEN l ELSE l + (l1 - l) * (t - d) / (d1 - d) END, 0)')} AS flux
-FROM q LEFT JOIN nm ON nm.object = q.object AND t > 0 AND ((t >= d AND t < d1) OR (k = 0 AND t < d))"""
+def _kilonova_query(thetas: list[tuple[float, ...]], columns: str) -> str:
+    spans = "SELECT object, max(t) AS hi FROM rel GROUP BY object"
+    grid = "SELECT object, id, -1 + (hi + 1) * j / 49 AS t FROM (" + spans + "), th, range(50) r(j)"
+    seen = f"SELECT q.object::VARCHAR AS object, q.id, q.t, {_KILONOVA_AT} AS flux FROM ({grid}) q LEFT JOIN nm ON nm.object = q.object AND nm.id = q.id AND {_KILONOVA_ON}"
+    return f"WITH RECURSIVE {v.REL}, {_kilonova('object', spans, thetas)}, f AS ({seen}) SELECT object, {_r('t')} AS t, {columns} FROM f GROUP BY object, t"
+
+
+_KN = (-2.0, -0.7, 0.5, 0.0)
+ORACLES["kilonova_curve"] = _kilonova_query([_KN], f"{_r('any_value(flux)')} AS flux")
+_moved = [tuple(x + 1e-5 * (i == k) for i, x in enumerate(_KN)) for k in range(4)]
+_at = lambda i: f"max(flux) FILTER (id = {i})"
+ORACLES["kilonova_gradient"] = _kilonova_query([_KN, *_moved], ", ".join([f"{_r(_at(0), 3)} AS flux", *(f"{_r(f'({_at(k + 1)} - {_at(0)}) / 1e-5', 3)} AS d_{n}" for k, n in enumerate(M.MODELS["MetzgerKN"].params[:4]))])).replace("(round(t, 6) + 0::DOUBLE) AS t", "(round(t, 3) + 0::DOUBLE) AS t")
 
 _LINE = "printf('%s %s: peak %.3f at %.5f, rise %s, fade %s', object::VARCHAR, band, peak_mag, peak_mjd, CASE WHEN rise_rate IS NULL THEN '-' ELSE printf('%.4f', rise_rate) END, CASE WHEN fade_rate IS NULL THEN '-' ELSE printf('%.4f', fade_rate) END)"
 _RATES = ORACLES["alert_rates"].replace(", 6) + 0::DOUBLE)", ", 15) + 0::DOUBLE)")
