@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal, normal_sql
-from ..operators import boosting, isolation, ml
+from ..operators import boosting, embedding, isolation, ml
 from ..sources.scratch import staged
 from . import sqltext
 from . import views as v
@@ -41,10 +41,14 @@ def boosted_accuracy(spark, sf_dir):
     return model.probabilities(rows, "class", "train").groupBy("train").agg(n.alias("n"), correct.alias("correct"), (correct / n).alias("accuracy")).crossJoin(F.broadcast(splits))
 
 
+def neighbour_embedding(spark, sf_dir):
+    """Two coordinates of every vector by its nearest neighbours."""
+    return embedding.embed(_imputed(spark, sf_dir), "vec_id", COLUMNS)
+
+
 def isolation_outliers(spark, sf_dir):
-    """Isolation scores of every vector in its two-dimensional projection; the top two in a hundred are outliers."""
-    points = ml.project(_imputed(spark, sf_dir), "vec_id", COLUMNS)
-    return isolation.outliers(points, "vec_id", ["p1", "p2"])
+    """Isolation scores of every vector in its embedding; the top two in a hundred are outliers."""
+    return isolation.outliers(staged(neighbour_embedding(spark, sf_dir), "embedded"), "vec_id", ["u", "v"])
 
 
 def stratified_folds(spark, sf_dir):
@@ -66,7 +70,7 @@ def normal_draws(spark, sf_dir):
 
 
 def queries() -> dict:
-    q = [boosted_trees, boosted_accuracy, isolation_outliers, stratified_folds, classifier_search, normal_draws]
+    q = [boosted_trees, boosted_accuracy, neighbour_embedding, isolation_outliers, stratified_folds, classifier_search, normal_draws]
     return {f.__name__: f for f in q} | sqltext.queries()
 
 
