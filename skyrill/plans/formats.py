@@ -43,6 +43,77 @@ def alert_document_bands(spark, sf_dir):
     return _round(b.select("_id", "band", F.col("of.peak.time").alias("peak_jd"), F.col("of.peak.mag").alias("peak_mag"), F.col("of.faint.mag").alias("faint_mag"), "of.n_points", *line), 4)
 
 
+def _alert_files(spark, sf_dir) -> str:
+    """A file for each alert; every seventh one is cut short."""
+    docs = _documents(spark, sf_dir)
+    object_ = F.get_json_object("doc", "$._id").cast("long")
+    cut = F.when(object_ % 7 == 0, F.expr("left(doc, length(doc) - 9)")).otherwise(F.col("doc"))
+    path = scratch_path(spark, "alerts")
+    docs.select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def alert_files(spark, sf_dir):
+    """Alerts read from their files: the good ones enriched, the bad ones left out."""
+    good, _ = readers.route_alerts(spark, _alert_files(spark, sf_dir), "*.txt")
+    e = enrich(good).select("_id", "objectId", "programid", "rock", "stationary", "peak_mag", "peak_jd", "peak_band", "faint_mag", "first_jd", "last_jd", F.col("n_points").cast("long").alias("n_points"))
+    return _round(e, 5)
+
+
+def alert_files_bad(spark, sf_dir):
+    """The side table of bad alert files, by the name that their text still shows."""
+    _, bad = readers.route_alerts(spark, _alert_files(spark, sf_dir), "*.txt")
+    return bad.select(F.regexp_extract("text", '"objectId":"([^"]*)"', 1).alias("objectId"), F.get_json_object("text", "$._id").isNull().alias("broken"))
+
+
+def alert_current(spark, sf_dir):
+    """Curves with the current detection in front of the history: the number of points, and the first one's band and magnitude."""
+    rows = v.events_mags(spark, sf_dir).groupBy("object").agg(F.max(F.struct("pos", "mjd", "mag", "mag_err", "band")).alias("c"), F.collect_list(F.when(F.col("pos") % 2 == 0, F.struct(F.col("mjd").alias("time"), "mag", "mag_err", "band"))).alias("h"))
+    current = F.struct(F.col("c.mjd").alias("time"), F.col("c.mag").alias("mag"), F.col("c.mag_err").alias("mag_err"), F.col("c.band").alias("band"))
+    curve = photometry.with_current(current, F.when(F.col("object") % 9 != 0, F.col("h")))
+    return _round(rows.select("object", F.size(curve).cast("long").alias("n"), curve[0]["mag"].alias("mag"), curve[0]["band"].alias("band")))
+
+
+def mixed_curves(spark, sf_dir):
+    """Folders of curve files, one for each object, in both dialects: rows of each file by the object that its path names."""
+    path = scratch_path(spark, "mixed")
+    e = v.events_curve(spark, sf_dir).withColumn("o", F.col("object"))
+    micro = e.where("object % 2 = 0").select("o", "mjd", "flux", F.col("err").alias("flux_err"), F.col("band").alias("filter"))
+    nano = e.where("object % 2 = 1").select("o", F.floor("mjd").alias("night"), "band", F.col("mjd").alias("expMidptMJD"), (F.col("flux") / 10).alias("mag"), F.lit(0.5).alias("magerr"), F.col("flux").alias("psfDiffFlux"), F.col("err").alias("psfDiffFluxErr"))
+    for name, part in (("micro", micro), ("nano", nano)):
+        part.repartition("o").write.partitionBy("o").option("header", True).csv(f"{path}/{name}")
+    curves = readers.read_curves(spark, path, recursive=True, name=r"o=([^/]+)/[^/]+\.csv$")
+    g = [c.groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last_line"), F.min("mjd").alias("t_min"), F.max("mjd").alias("t_max"), F.sum("flux").alias("flux"), F.max("zero_point").alias("zero_point"), F.count_distinct("band").alias("n_bands")) for c in (curves["micro"], curves["nano"])]
+    return _round(g[0].union(g[1]), 4)
+
+
+def model_inputs(spark, sf_dir):
+    """The tables of a classifier written and read again: rows, classes and most important features."""
+    columns = [f"f{i}" for i in range(v.N_FEATURES)]
+    f = ml.encode_labels(v.features(spark, sf_dir), "class")
+    path = scratch_path(spark, "inputs")
+    writers.write_model_inputs(f, ml.variance_importance(f, columns, v.N_FEATURES), columns, "class", "class_numeric", path)
+    read = lambda name: spark.read.option("header", True).csv(f"{path}/{name}")
+    classes = read("class_stats").select(F.lit("class").alias("kind"), F.col("class").alias("name"), F.col("count").cast("double").alias("value"))
+    top = read("feature_importance").select(F.lit("feature"), "feature_index", F.col("importance").cast("double"))
+    rows = read("ml").groupBy("class_numeric").agg(F.sum(F.col("feature_3").cast("double")).alias("x")).select(F.lit("sum"), "class_numeric", "x")
+    return _round(classes.union(top).union(rows))
+
+
+def summary_files(spark, sf_dir):
+    """A summary of each band written as JSON and read again."""
+    e = v.events_mags(spark, sf_dir).groupBy("band").agg(F.count(F.lit(1)).alias("n_obs"), F.round(F.avg("mag"), 6).alias("mean_mag"), F.round(F.max("mag") - F.min("mag"), 6).alias("mag_range"), F.round(F.max("mjd") - F.min("mjd"), 6).alias("duration"))
+    path = scratch_path(spark, "summary")
+    writers.write_summary(e, ["band"], path)
+    return spark.read.json(path).select("band", "summary.*")
+
+
+def band_spans(spark, sf_dir):
+    """Number of observations, duration and range of magnitudes of each object's band."""
+    g = v.events_mags(spark, sf_dir).groupBy("object", "band")
+    return _round(g.agg(F.count(F.lit(1)).alias("n_obs"), (F.max("mjd") - F.min("mjd")).alias("duration"), (F.max("mag") - F.min("mag")).alias("mag_range")))
+
+
 def _write(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
     writers.write_table(df, path)
@@ -134,7 +205,7 @@ def onset_difference_hist(spark, sf_dir):
 
 
 def queries() -> dict:
-    q = [alert_documents, alert_document_bands, scan_micro, scan_nano, detect_formats, scan_classes, scan_features, scan_parameters, class_report_fixed, join_pivot_classes, join_truth, model_histogram, onset_difference_hist]
+    q = [alert_documents, alert_document_bands, alert_files, alert_files_bad, alert_current, mixed_curves, model_inputs, summary_files, band_spans, scan_micro, scan_nano, detect_formats, scan_classes, scan_features, scan_parameters, class_report_fixed, join_pivot_classes, join_truth, model_histogram, onset_difference_hist]
     return {f.__name__: f for f in q}
 
 
@@ -155,16 +226,24 @@ def oracle_sql() -> dict:
     out = {
         "alert_documents": f"WITH {curve} SELECT object AS _id, 'o' || object AS \"objectId\", object % 4 <> 2 AS isdiffpos, CASE WHEN object % 3 = 1 THEN ' x' END AS ssnamenr, 0.0::DOUBLE AS ra, CASE WHEN object % 5 <> 0 THEN object % 3 + 1 ELSE 0 END::INT AS programid, object % 7 * 2.0 < 12 AS rock, max(mjd) - min(mjd) > 0.01 AS stationary, {r('min(mag)', 5)} AS peak_mag, {r('first(mjd ORDER BY mag, mjd, band)', 5)} AS peak_jd, first(band ORDER BY mag, mjd, band) AS peak_band, {r('max(mag)', 5)} AS faint_mag, {r('min(mjd)', 5)} AS first_jd, {r('max(mjd)', 5)} AS last_jd, count(*) AS n_points FROM cu GROUP BY object",
         "alert_document_bands": f"WITH {curve}, p AS (SELECT *, first(i) OVER w AS pi, first(mjd) OVER w AS pt FROM cu WINDOW w AS (PARTITION BY object, band ORDER BY mag, i)) SELECT object AS _id, band, {r('any_value(pt)', 4)} AS peak_jd, {r('min(mag)', 4)} AS peak_mag, {r('max(mag)', 4)} AS faint_mag, count(*) AS n_points, {segment('rise', '<=')}, {segment('fade', '>=')} FROM p GROUP BY object, band",
+        "alert_files_bad": f"WITH {v.MG} SELECT DISTINCT 'o' || object AS \"objectId\", true AS broken FROM mg WHERE object % 7 = 0",
+        "alert_current": f"WITH {v.MG} SELECT object, 1 + CASE WHEN object % 9 <> 0 THEN count(*) FILTER (pos % 2 = 0) ELSE 0 END AS n, {r('last(mag ORDER BY pos)')} AS mag, last(band ORDER BY pos) AS band FROM mg GROUP BY object",
+        "mixed_curves": f"WITH {v.EV} SELECT object::VARCHAR AS object, count(*) AS n, count(*) AS last_line, {r('min(mjd)', 4)} AS t_min, {r('max(mjd)', 4)} AS t_max, {r('sum(flux)', 4)} AS flux, CASE WHEN object % 2 = 0 THEN 23.9 ELSE 31.4 END::DOUBLE AS zero_point, count(DISTINCT band) AS n_bands FROM ev GROUP BY object",
+        "model_inputs": f"WITH {v.FEAT}, c AS (SELECT *, dense_rank() OVER (ORDER BY class) - 1 AS k FROM ft), u AS ({' UNION ALL '.join(f'SELECT {i} AS i, var_pop(f{i}) AS x FROM ft' for i in range(v.N_FEATURES))}) SELECT 'class' AS kind, class AS name, count(*)::DOUBLE AS value FROM c GROUP BY class UNION ALL (SELECT 'feature', i::VARCHAR, {r('x')} FROM u ORDER BY x DESC, i LIMIT {writers.TOP_FEATURES}) UNION ALL SELECT 'sum', k::VARCHAR, {r('sum(f3)')} FROM c GROUP BY k",
+        "summary_files": f"WITH {v.MG} SELECT band, count(*) AS n_obs, round(avg(mag), 6) AS mean_mag, round(max(mag) - min(mag), 6) AS mag_range, round(max(mjd) - min(mjd), 6) AS duration FROM mg GROUP BY band",
+        "band_spans": f"WITH {v.MG} SELECT object, band, count(*) AS n_obs, {r('max(mjd) - min(mjd)')} AS duration, {r('max(mag) - min(mag)')} AS mag_range FROM mg GROUP BY object, band",
         "scan_micro": f"WITH {v.EV} SELECT band, {r('mjd')} AS mjd, {r('flux')} AS flux, {r('err')} AS err, 23.9::DOUBLE AS zero_point FROM ev",
         "scan_nano": f"WITH {v.EV} SELECT band, {r('mjd')} AS mjd, CASE WHEN pos % 10 <> 0 THEN {r('flux / 10')} END AS mag, 0.5::DOUBLE AS magerr, {r('flux')} AS flux, {r('err')} AS err, 31.4::DOUBLE AS zero_point FROM ev WHERE pos % 17 <> 0",
         "detect_formats": "SELECT 'micro' AS dialect, 23.9::DOUBLE AS zero_point UNION ALL SELECT 'nano', 31.4::DOUBLE",
         "scan_classes": "SELECT (doc_id % 200)::VARCHAR AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL",
         "scan_features": f"WITH {v.FEAT} SELECT 'v' || vec_id AS object, class AS classification, {r('f0', 3)} AS f0, {r('f1', 3)} AS f1, {r('f2', 3)} AS f2 FROM ft",
-        "scan_parameters": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS m, min(mag) AS n FROM mg GROUP BY ALL) SELECT 'sim_' || object AS object, band, 'Bazin' AS model, param, {r('CASE param WHEN $$t0$$ THEN m ELSE n END')} AS mean, {r('n')} AS std, {r('m')} AS chi2 FROM a, (SELECT unnest(['t0', 'b']) AS param)",
+        "scan_parameters": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS m, min(mag) AS n FROM mg GROUP BY ALL) SELECT 'sim_' || object AS object, band, 'Bazin' AS model, param, {r('CASE param WHEN $$t0$$ THEN m ELSE n END')} AS mean, {r('n')} AS std, {r('m', 4)} AS chi2 FROM a, (SELECT unnest(['t0', 'b']) AS param)",
         "class_report_fixed": f"WITH p AS (SELECT label::DOUBLE AS y, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE label::DOUBLE END AS q FROM embeddings), c AS (SELECT y AS c FROM p UNION SELECT q FROM p) SELECT c, {r('tp / nullif(said, 0)')} AS precision, {r('tp / nullif(support, 0)')} AS recall, {r('2.0 * tp / nullif(CASE WHEN tp > 0 THEN said + support END, 0)')} AS f1, support FROM (SELECT c, (SELECT count(*) FROM p WHERE y = c AND q = c) AS tp, (SELECT count(*) FROM p WHERE q = c) AS said, (SELECT count(*) FROM p WHERE y = c) AS support FROM c)",
         "join_pivot_classes": f"WITH {v.MG}, a AS (SELECT object, band, min(mag) AS peak FROM mg GROUP BY ALL), pv AS (SELECT object, {', '.join(r(f'max(CASE WHEN band = $${b}$$ THEN peak END)') + f' AS peak_{b}' for b in 'grizy')} FROM a GROUP BY object), c AS (SELECT doc_id % 200 AS object, last('q' || quality || 't' || toxic ORDER BY doc_id) AS classification FROM labels GROUP BY ALL) SELECT pv.*, classification FROM pv JOIN c USING (object)",
         "join_truth": f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS value, CASE WHEN band IN ('g', 'r') THEN 't0' ELSE 'b' END AS param FROM mg GROUP BY ALL), j AS (SELECT a.*, s_nationkey::VARCHAR AS class, CASE WHEN param = 't0' THEN s_acctbal / 100 END AS tv FROM a JOIN supplier ON s_suppkey = object) SELECT object, band, {r('value', 5)} AS value, param, class, {r('tv', 5)} AS true_value, {r('value - tv', 5)} AS error FROM j",
         "model_histogram": f"WITH RECURSIVE {v.REL}, {o.COSTS.replace('costs AS (', 'raw AS (')}, costs AS (SELECT object, band, model, {r('cost', 3)} AS cost FROM raw), {o.BEST} SELECT {cls} AS class, model, count(*) AS n FROM best GROUP BY ALL",
         "onset_difference_hist": f"WITH {v.MG}, x AS (SELECT round(first(mjd ORDER BY {o.LOW}) - first(mjd ORDER BY {o.HIGH}), 6) AS d FROM mg GROUP BY object, band) SELECT least(floor((d + 20.0) / (40.0 / 49)), 48)::BIGINT AS bin, count(*) AS n FROM x WHERE d BETWEEN -20.0 AND 20.0 GROUP BY bin",
     }
+    columns = '_id, "objectId", programid, rock, stationary, peak_mag, peak_jd, peak_band, faint_mag, first_jd, last_jd, n_points'
+    out["alert_files"] = f"SELECT {columns} FROM ({out['alert_documents']}) WHERE _id % 7 <> 0"
     return out

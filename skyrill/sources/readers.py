@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import ZP_MICRO, ZP_NANO
 from .schemas import ALERT, BUNDLE, DEFAULTED
+from .scratch import staged
 
 MICRO = "mjd double, flux double, flux_err double, filter string"
 NON_FEATURES = ("object", "band", "method", "variant", "model", "classification")
 
 
+#: The object of a curve file: its name without the ending.
+STEM = r"([^/]+)\.csv$"
+
+
 def is_positive(x: Column) -> Column:
     """The boolean behind the text of t, true or 1 in any case; null stays null."""
     return F.lower(x).isin("t", "true", "1")
@@ -41,14 +47,29 @@ def normalise_alerts(raw: DataFrame) -> DataFrame:
     return raw.select("_id", "objectId", filled.alias("candidate"), points(F.col("prv_candidates")).alias("prv_candidates"), points(F.col("fp_hists")).alias("fp_hists"))
 
 
-def read_alerts(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """One document for each ``*.json`` file; FAILFAST ends on a bad one, PERMISSIVE gives it null fields."""
-    raw = spark.read.schema(ALERT).option("multiLine", True).option("mode", mode).option("pathGlobFilter", "*.json").json(path)
+def read_alerts(spark: SparkSession, path: str, mode: str = "FAILFAST", names: str = "*.json") -> DataFrame:
+    """One document for each file of ``names``; FAILFAST ends on a bad one, PERMISSIVE gives it null fields."""
+    raw = spark.read.schema(ALERT).option("multiLine", True).option("mode", mode).option("pathGlobFilter", names).json(path)
     return normalise_alerts(raw)
 
 
+def route_alerts(spark: SparkSession, path: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Good documents as they are (for ``normalise_alerts`` or the enrichment), and (file, text) of those that are no JSON or do not fit the schema.
+
+    Files are read once. A document without an id or without a candidate is bad, too.
+    """
+    schema = T.StructType([*ALERT.fields, T.StructField("_bad", T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", names).json(path)
+    # Written once: both sides read it, and the corrupt column alone could not be asked for in the files.
+    both = staged(raw.select(F.col("_metadata.file_path").alias("file"), "*"), "alerts")
+    bad = F.col("_bad").isNotNull() | F.col("_id").isNull() | F.col("candidate").isNull()
+    names_of = [f.name for f in ALERT.fields]
+    text = F.coalesce("_bad", F.to_json(F.struct(*names_of)))
+    return both.where(~bad).select(*names_of), both.where(bad).select("file", text.alias("text"))
+
+
 def object_name() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    return F.regexp_extract(F.col("_metadata.file_path"), STEM, 1)
 
 
 def read_micro(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -68,40 +89,39 @@ def read_nano(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.where("mjd is not null").withColumns({"pos": F.monotonically_increasing_id(), "zero_point": F.lit(ZP_NANO)})
 
 
-def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, id, value) of every line of the CSV files among ``paths``, files and folders alike."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(paths)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
+def _curve_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """(file, header, text) of the CSV files among ``paths``, files and folders alike (with ``recursive`` folders in them, too).
+
+    A file is the curve of one object, so it is one row: its lines and its header need no shuffle to meet.
+    """
+    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).text(paths, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.substring_index("value", "\n", 1)).alias("header"), F.col("value").alias("text")).where("text <> ''")
 
 
 def _is_nano(header: Column) -> Column:
     return header.startswith("night,band,") | header.contains("expMidptMJD")
 
 
-def _headers(lines: DataFrame) -> DataFrame:
-    """(file, head, header): the first line of each file."""
-    return lines.groupBy("file").agg(F.min(F.struct("id", "value")).alias("x")).select("file", F.col("x.id").alias("head"), F.col("x.value").alias("header"))
-
-
 def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, dialect, zero_point) by each file's first line."""
     nano = _is_nano(F.col("header"))
-    return _headers(_csv_lines(spark, path)).select("file", F.when(nano, "nano").otherwise("micro").alias("dialect"), F.when(nano, ZP_NANO).otherwise(ZP_MICRO).alias("zero_point"))
+    return _curve_files(spark, path).select("file", F.when(nano, "nano").otherwise("micro").alias("dialect"), F.when(nano, ZP_NANO).otherwise(ZP_MICRO).alias("zero_point"))
 
 
-def read_curves(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    """Curves by dialect of any mix of files and folders; each line is parsed by its own file's header, so no file name reaches the driver.
+def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, name: str = STEM) -> dict[str, DataFrame]:
+    """Curves by dialect of any mix of files and folders; each file is parsed by its own header, in its own task, and named by the pattern ``name`` of its path.
 
-    Fields hold no commas. Both dialects follow the rules of ``read_micro`` and ``read_nano``.
+    Fields hold no commas. Both dialects follow the rules of ``read_micro`` and ``read_nano``; ``pos`` is the line's number in its file.
     """
-    lines = _csv_lines(spark, paths)
-    rows = lines.join(_headers(lines), "file").where("id <> head")
-    rows = rows.select(F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("object"), "id", F.split("value", ",", -1).alias("f"), F.split("header", ",", -1).alias("h"), _is_nano(F.col("header")).alias("nano"))
-    micro = rows.where(~F.col("nano") & (F.size("f") >= 4)).select("object", F.col("f")[3].alias("band"), *[F.col("f")[k].cast("double").alias(n) for k, n in enumerate(("mjd", "flux", "err"))], F.col("id").alias("pos"), F.lit(ZP_MICRO).alias("zero_point"))
+    lines = F.posexplode(F.split("text", "\r?\n")).alias("pos", "value")
+    rows = _curve_files(spark, paths, recursive).select("file", "header", lines).where("pos > 0 and value <> ''")
+    rows = rows.select(F.regexp_extract("file", name, 1).alias("object"), "pos", F.split("value", ",", -1).alias("f"), F.split("header", ",", -1).alias("h"), _is_nano(F.col("header")).alias("nano"))
+    micro = rows.where(~F.col("nano") & (F.size("f") >= 4)).select("object", F.col("f")[3].alias("band"), *[F.col("f")[k].cast("double").alias(n) for k, n in enumerate(("mjd", "flux", "err"))], "pos", F.lit(ZP_MICRO).alias("zero_point"))
     lower = F.transform("h", lambda x: F.lower(F.trim(x)))
     cell = lambda n: F.try_element_at("f", F.nullif(F.array_position(lower, n).cast("int"), F.lit(0)))
     number = lambda *names: F.coalesce(*[cell(n).try_cast("double") for n in names])
-    nano = rows.where("nano").select("object", cell("band").alias("band"), number("expmidptmjd").alias("mjd"), number("mag").alias("mag"), number("magerr").alias("magerr"), number("flux_corrected", "psfdiffflux").alias("flux"), number("flux_corrected_err", "psfdifffluxerr").alias("err"), F.col("id").alias("pos"), F.lit(ZP_NANO).alias("zero_point"))
+    values = {"mjd": ("expmidptmjd",), "mag": ("mag",), "magerr": ("magerr",), "flux": ("flux_corrected", "psfdiffflux"), "err": ("flux_corrected_err", "psfdifffluxerr")}
+    nano = rows.where("nano").select("object", cell("band").alias("band"), *[number(*n).alias(c) for c, n in values.items()], "pos", F.lit(ZP_NANO).alias("zero_point"))
     return {"micro": micro, "nano": nano.where("mjd is not null")}
 
 

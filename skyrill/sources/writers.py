@@ -9,10 +9,48 @@ from pyspark.sql import functions as F
 DECIMALS = {"n_obs": 0, "t0_days": 1, "gp_nugget": 6, "gp_alpha": 6, "gp_post_var_mean": 6, "gp_post_var_max": 6, "gp_n_inflections": 0}
 
 
+#: Decimals of a parameter table: six for the parameters themselves, four for costs and qualities.
+PARAMETER_DECIMALS = {"pso_value": 6, "svi_mean": 6, "svi_std": 6, "pso_chi2": 4, "svi_elbo": 4, "mag_chi2": 4}
+#: Features that an importance table lists, and columns of a model input that are no features.
+TOP_FEATURES = 20
+
+
+def _fixed(rows: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    """Numbers as text with fixed decimals; a missing one is NaN, as other readers of these tables expect."""
+    text = lambda c: F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string(f"%.{decimals[c]}f", F.col(c).cast("double"))), F.lit("NaN"))
+    return rows.withColumns({c: text(c) for c in decimals if c in rows.columns})
+
+
 def write_parameters(params: DataFrame, path: str) -> None:
-    """Long parameter table as CSV, a folder for each object; numbers with six decimals."""
-    numbers = [c for c, t in params.dtypes if t == "double"]
-    params.withColumns({c: F.round(c, 6) for c in numbers}).write.mode("overwrite").partitionBy("object").option("header", True).csv(path)
+    """Long parameter table as CSV, a folder for each object."""
+    _fixed(params, PARAMETER_DECIMALS).write.mode("overwrite").partitionBy("object").option("header", True).csv(path)
+
+
+def write_all_parameters(params: DataFrame, path: str) -> None:
+    """The parameters of all objects as one CSV table with the object in front; parts are sorted by object and band."""
+    names = ["object", *(c for c in params.columns if c != "object")]
+    rows = _fixed(params.select(names), PARAMETER_DECIMALS)
+    rows.repartitionByRange("object").sortWithinPartitions("object", "band", "param").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_model_inputs(rows: DataFrame, importance: DataFrame, features: list[str], label: str, number: str, path: str) -> None:
+    """The three tables of a classifier under ``path``: its input (class, its number, features by place), the most important features, and the classes.
+
+    ``importance`` has (feature, importance) of all features.
+    """
+    named = [F.col(f).alias(f"feature_{k}") for k, f in enumerate(features)]
+    rows.select(F.col(label).alias("classification"), F.col(number).alias("class_numeric"), *named).write.mode("overwrite").option("header", True).csv(f"{path}/ml")
+    place = F.array_position(F.array(*map(F.lit, features)), F.col("feature")) - 1
+    top = importance.select(place.alias("feature_index"), "importance").orderBy(F.desc("importance"), "feature_index").limit(TOP_FEATURES)
+    top.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/feature_importance")
+    classes = rows.groupBy(F.col(label).alias("class"), F.col(number).alias("class_numeric")).agg(F.count(F.lit(1)).alias("count"))
+    classes.write.mode("overwrite").option("header", True).csv(f"{path}/class_stats")
+
+
+def write_summary(rows: DataFrame, keys: list[str], path: str) -> None:
+    """A summary as JSON: one object for each row, its ``keys`` in front and the other columns under ``summary``; missing values are null."""
+    rest = [c for c in rows.columns if c not in keys]
+    rows.select(*keys, F.struct(*rest).alias("summary")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:

@@ -106,3 +106,37 @@ def test_curves_in_a_row_equal_grouped_ones(spark):
         for name in ("rise", "fade"):
             line = x[name] or {"rate": None, "r2": None, "n": None}
             assert all(same(line[f], rates[k][f"{name}_{f}"]) for f in ("rate", "r2", "n")), (k, name)
+
+
+def test_bad_alerts_are_routed(spark, alert_dir, tmp_path_factory):
+    d = tmp_path_factory.mktemp("routed")
+    for name in ("0", "1"):
+        (d / f"{name}.json").write_text(open(f"{alert_dir}/{name}.json").read())
+    (d / "cut.json").write_text('{"_id": 7, "objectId": "o7", "candidate": {"jd": 1.0')
+    (d / "text.json").write_text("no document")
+    (d / "empty_object.json").write_text("{}")
+    (d / "number.json").write_text('{"_id": "seven", "objectId": "o8", "candidate": {}}')
+    good, bad = readers.route_alerts(spark, str(d))
+    assert {r["_id"] for r in good.collect()} == {0, 1}
+    assert readers.normalise_alerts(good).exceptAll(readers.read_alerts(spark, alert_dir).where("_id < 2")).count() == 0
+    found = {r.file.rsplit("/", 1)[1]: r.text for r in bad.collect()}
+    assert set(found) == {"cut.json", "text.json", "empty_object.json", "number.json"} and '"o7"' in found["cut.json"]
+
+
+def test_model_input_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 1.0, 5.0), ("b", 1, 2.0, 5.5), ("b", 1, 3.0, None)], "class string, k int, x double, y double")
+    importance = spark.createDataFrame([("x", 0.5), ("y", 2.0)], "feature string, importance double")
+    writers.write_model_inputs(rows, importance, ["x", "y"], "class", "k", str(tmp_path / "m"))
+    read = lambda n: sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/m/{n}").collect()), key=str)
+    assert read("ml") == [("a", "0", "1.0", "5.0"), ("b", "1", "2.0", "5.5"), ("b", "1", "3.0", None)]
+    assert read("feature_importance") == [("0", "0.5"), ("1", "2.0")] and read("class_stats") == [("a", "0", "1"), ("b", "1", "2")]
+
+
+def test_parameter_tables(spark, tmp_path):
+    row = ("sim_1", "g", "Bazin", "t0", 1.23456789, 2.0, None, 0.123456, float("nan"), 3.0)
+    df = spark.createDataFrame([row], "object string, band string, model string, param string, pso_value double, svi_mean double, svi_std double, pso_chi2 double, svi_elbo double, mag_chi2 double")
+    writers.write_all_parameters(df, str(tmp_path / "p"))
+    (r,) = spark.read.option("header", True).csv(str(tmp_path / "p")).collect()
+    assert tuple(r) == ("sim_1", "g", "Bazin", "t0", "1.234568", "2.000000", "NaN", "0.1235", "NaN", "3.0000")
+    writers.write_summary(df.select("band", "pso_value", "svi_std"), ["band"], str(tmp_path / "s"))
+    assert json.loads(next((tmp_path / "s").glob("part*")).read_text()) == {"band": "g", "summary": {"pso_value": 1.23456789, "svi_std": None}}
