@@ -134,6 +134,12 @@ def borrowed_offsets(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.groupBy("object", "band").agg(F.median("d").alias("offset"), F.count(F.lit(1)).alias("n_points"))
 
 
+def borrowed_curves(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """(object, band, t, m): the reference curve of its object, moved by its offset, for each sparse band."""
+    offsets = borrowed_offsets(rows, reference).select("object", "band", "offset")
+    return reference.join(offsets, "object").select("object", "band", "t", (F.col("m") + F.col("offset")).alias("m"))
+
+
 def temperature(mean_mag: Column, sigma_mag: Column) -> tuple[Column, Column]:
     """Temperature of a mean magnitude and its error, each within its limits."""
     t = F.least(F.greatest(15000.0 * F.pow(F.lit(10.0), (18.0 - mean_mag) / 5), F.lit(3000.0)), F.lit(50000.0))

@@ -50,6 +50,22 @@ def histogram(rows: DataFrame, x: Column, lo: float, hi: float, bins: int) -> Da
     return inside.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_auto(rows: DataFrame, x: Column, bins: int = 25) -> DataFrame:
+    """(bin, low, high, n) of ``bins`` equal bins from the least to the largest value, empty ones included; missing values do not count.
+
+    With equal values only, the bins span half a unit to either side of it; a table without values has no bins.
+    """
+    values = rows.select(x.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    lo, hi = values.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
+        return histogram(values, F.col("x"), 0.0, 1.0, 1).select("bin", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), "n")
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    width = (hi - lo) / bins
+    every = rows.sparkSession.range(bins).select(F.col("id").alias("bin"), (F.lit(lo) + F.col("id") * width).alias("low"), (F.lit(lo) + (F.col("id") + 1) * width).alias("high"))
+    return every.join(histogram(values, F.col("x"), lo, hi, bins), "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def class_validation(rows: DataFrame) -> DataFrame:
     """Count, median, mean and shares below 1 and 5 of chi2 by class, with a total (class null)."""
     both = rows.select("class", "chi2").union(rows.select(F.lit(None).cast("string"), "chi2"))

@@ -190,6 +190,10 @@ def borrowed_offset(spark, sf_dir):
     return _round(feat.borrowed_offsets(v.events_mags(spark, sf_dir), v.daily_curve(spark, sf_dir)))
 
 
+def borrowed_curve(spark, sf_dir):
+    return _round(feat.borrowed_curves(v.events_mags(spark, sf_dir), v.daily_curve(spark, sf_dir)), 5)
+
+
 def temperature_curve(spark, sf_dir):
     d = v.daily_curve(spark, sf_dir)
     t, s = feat.temperature(F.col("m"), F.lit(0.1))
@@ -250,6 +254,12 @@ def ratio_hist(spark, sf_dir):
     return validate.histogram(j.withColumn("r", F.round(F.log10(F.col("x") / (F.col("z") + 1e-6)), 7)), F.col("r"), 0.0, 0.25, 25)
 
 
+def ratio_hist_auto(spark, sf_dir):
+    a, b = _two_feature_sets(spark, sf_dir)
+    j = a.join(b.withColumnRenamed("x", "z"), ["object", "band"]).where("z > 0 and x / (z + 1e-6) > 0")
+    return _round(validate.histogram_auto(j, F.round(F.log10(F.col("x") / (F.col("z") + 1e-6)), 7)), 9)
+
+
 def class_validation(spark, sf_dir):
     c = staged(_round(_costs(spark, sf_dir), 3).withColumnsRenamed({"model": "class", "cost": "chi2"}), "costs")
     return _round(validate.class_validation(c), 3)
@@ -345,8 +355,8 @@ def queries() -> dict:
     q = [
         alert_band_peaks, alert_all_bands, alert_rates, alert_pivot, merge_dedup, njy_value_choice, prepare_obs, prepare_obs_flux, normalize_upper_limits, reference_band,
         subsample25, min_lengthscale, noise_fraction, display_error, rate_report, compare_parameters, pso_cost_grid, model_select, t0_profile_refine, mag_chi2, baseline_chi2, grid_points, grid_timescales, grid_shape, interp_at,
-        borrowed_offset, temperature_curve, temperature_features, percentile_band, impute_median, variance_importance, class_stats, label_encode, feature_summary, feature_pivot,
-        join_classes, method_compare, ratio_hist, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve, kilonova_gradient,
+        borrowed_offset, borrowed_curve, temperature_curve, temperature_features, percentile_band, impute_median, variance_importance, class_stats, label_encode, feature_summary, feature_pivot,
+        join_classes, method_compare, ratio_hist, ratio_hist_auto, class_validation, confusion, accuracy, key_intersection, throughput, sanitize_nested, svi_fit, posterior_band, kilonova_curve, kilonova_gradient,
         simulate, simulated_truth, train_classifier, classification_report, outliers,
     ]
     out = {f.__name__: f for f in q}

@@ -184,8 +184,11 @@ ORACLES["interp_at"] = f"""WITH {v.DAILY}, la AS (SELECT object, round(max(mjd),
 wanted AS (SELECT object, step, t_last + step AS q FROM la, (SELECT unnest([-1, 0, 1, 2, 3]) AS step)), {_LERP}
 SELECT object, {_r(f'{_AT(0)} - {_AT(-1)}', 6)} AS dfdt_now, {_r(f'{_AT(1)} - {_AT(0)}', 6)} AS dfdt_next, {_r(f'{_AT(1)} - 2 * {_AT(0)} + {_AT(-1)}', 6)} AS d2fdt2_now,
  {_r(_AT(1), 6)} AS mag_1d, {_r(_AT(2), 6)} AS mag_2d, {_r(f'{_AT(3)} - {_AT(2)}', 6)} AS extrap_slope FROM hit GROUP BY object"""
-ORACLES["borrowed_offset"] = f"""WITH {v.DAILY}, sp AS (SELECT *, count(*) OVER (PARTITION BY object, band) AS np FROM mg), wanted AS (SELECT object, band, mag, mjd AS q FROM sp WHERE np < 5), {_LERP}
-SELECT object, band, {_r('median(mag - value)', 6)} AS "offset", count(*) AS n_points FROM hit GROUP BY ALL"""
+_SPARSE = f"""WITH {v.DAILY}, sp AS (SELECT *, count(*) OVER (PARTITION BY object, band) AS np FROM mg), wanted AS (SELECT object, band, mag, mjd AS q FROM sp WHERE np < 5), {_LERP},
+o AS (SELECT object, band, median(mag - value) AS "offset", count(*) AS n_points FROM hit GROUP BY ALL)"""
+ORACLES["borrowed_offset"] = f"""{_SPARSE} SELECT object, band, {_r('"offset"')} AS "offset", n_points FROM o"""
+ORACLES["borrowed_curve"] = f"""{_SPARSE} SELECT object, band, t, {_r('m + "offset"', 5)} AS m FROM daily JOIN o USING (object)"""
+ORACLES["ratio_hist_auto"] = f"WITH {v.MG}, a AS (SELECT object, band, avg(mag) AS x, min(mag) AS z FROM mg GROUP BY ALL), r AS (SELECT round(log10(x / (z + 1e-6)), 7) AS r FROM a WHERE z > 0 AND x / (z + 1e-6) > 0), e AS (SELECT min(r) AS lo, max(r) AS hi, (max(r) - min(r)) / 25 AS w FROM r), c AS (SELECT least(floor((r - lo) / w), 24)::BIGINT AS bin, count(*) AS n FROM r, e GROUP BY 1) SELECT b.bin, {_r('lo + b.bin * w', 9)} AS low, {_r('lo + (b.bin + 1) * w', 9)} AS high, coalesce(n, 0) AS n FROM range(25) b(bin) CROSS JOIN e LEFT JOIN c ON b.bin = c.bin"
 ORACLES["temperature_features"] = f"""WITH {v.DAILY}, tc AS (SELECT object, t, k, n, round(least(greatest(15000.0 * pow(10.0, (18.0 - m) / 5), 3000.0), 50000.0), 3) AS x FROM ix),
 w AS (SELECT *, lag(x) OVER o AS b, lead(x) OVER o AS a, lag(t) OVER o AS tb FROM tc WINDOW o AS (PARTITION BY object ORDER BY k))
 SELECT object, {_r('max(x)', 4)} AS t_peak, {_r('max(x) FILTER (k = n - 1)', 4)} AS t_now,

@@ -58,3 +58,16 @@ def test_folds(spark):
         n = [sum(1 for i, x in rows if x == c and first[i] == k) for k in range(3)]
         assert max(n) - min(n) <= 1
     assert ml.stratified_folds(df.limit(0), "id", "label", 3).count() == 0
+
+
+def test_automatic_bins_equal_numpy(spark):
+    from skyrill.operators.validate import histogram_auto
+
+    rng = random.Random(6)
+    for values in ([rng.gauss(0, 3) for _ in range(500)] + [float("nan"), None], [2.5] * 7):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        got = histogram_auto(df, df["x"]).orderBy("bin").collect()
+        n, edges = np.histogram([x for x in values if x is not None and x == x], bins=25)
+        assert [r.n for r in got] == list(n) and np.allclose([r.low for r in got], edges[:-1]) and np.allclose([r.high for r in got], edges[1:])
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert histogram_auto(empty, empty["x"]).count() == 0
