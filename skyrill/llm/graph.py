@@ -109,9 +109,9 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
     Every bucket is a star: c against the other members, who form the group of c
     (buckets of one c are one group). A group whose members then lie in one
     component can add nothing. In the rest a random member outside the most
-    frequent component becomes a further centre, for some rounds. What is still open
-    is dealt anew where there is a ``refine``, which turns (c, node) into smaller groups that also hold
-    both ends of every link of a group. At last the
+    frequent component becomes a further centre, for some rounds. Where there is a ``refine``, only groups of over
+    ``BLOCK`` members do so, and what is then still open is dealt anew: it turns (c, node) into smaller groups
+    that also hold both ends of every link of a group. At last the
     members outside a group's most frequent component meet, block by block, its members
     of other components; only pairs that ``may_link`` admits are formed and
     verified. Every pair of a bucket is then verified, ruled out or within one
@@ -122,15 +122,21 @@ def resolve(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
     labels = stage(components(links), "labels")
     if refine is None:
         return _settle(group, labels, verify, facts, may_link, True)[0]
-    labels, rest = _settle(group, labels, verify, facts, may_link, False)
-    if rest is None:
-        return labels
-    finer = stage(refine(rest), "finer")
-    return _settle(finer, labels, verify, facts, may_link, True)[0]
+    # Groups of a block or less need no stars: they meet at once in the end.
+    sizes = group.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    large = group.join(sizes.where(F.col("size") > BLOCK).select("c"), "c", "left_semi")
+    rest = group.join(sizes.where(F.col("size") <= BLOCK).select("c"), "c", "left_semi")
+    labels, still_open = _settle(large, labels, verify, facts, may_link, False)
+    if still_open is not None:
+        rest = rest.union(stage(refine(still_open), "finer"))
+    return _settle(rest, labels, verify, facts, may_link, True, small=True)[0]
 
 
-def _settle(group: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None, may_link: str, blocks: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Labels after the stars of groups (c, node), and with ``blocks`` after all else; without, also the (c, node) that are still open, if any."""
+def _settle(group: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None, may_link: str, blocks: bool, small: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Labels after the stars of groups (c, node), and with ``blocks`` after all else; without, also the (c, node) that are still open, if any.
+
+    With ``small`` groups that all fit in a block meet at once, without stars.
+    """
     names = [c for c in facts.columns if c != "node"] if facts is not None else []
     turn, rows = 0, None
     while True:
@@ -141,6 +147,8 @@ def _settle(group: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], D
                 return labels, None
             # Later turns hold fewer components, so their groups are among these.
             group = rows.select("c", "node").distinct()
+            if small and turn < STAR_ROUNDS and rows.where(F.col("n_all") > BLOCK).isEmpty():
+                turn = STAR_ROUNDS
         if turn < STAR_ROUNDS:
             one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", *names)).alias("one")
             centre = rows.where("label <> main").groupBy("c").agg(one).select("c", "one.node", "one.label", *[f"one.{f}" for f in names])

@@ -88,10 +88,11 @@ def _edited(rng, line, alphabet, edits):
     return line
 
 
-@pytest.mark.parametrize("stars", [0, 3])
-def test_lines_of_one_template_equal_brute_force(spark, docs_of, monkeypatch, stars):
+@pytest.mark.parametrize("stars,block", [(0, 16), (3, 16), (3, 512)])
+def test_lines_of_one_template_equal_brute_force(spark, docs_of, monkeypatch, stars, block):
     """Hot buckets of lines that differ in any kind of character, some within two edits of each other, some repeating themselves."""
     monkeypatch.setattr(graph, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(graph, "BLOCK", block)
     rng = random.Random(stars)
     lines = []
     for alphabet in ("0123456789", "ABCXYZ", "абвгдежз", "天地玄黃宇宙", "ab"):
