@@ -16,13 +16,14 @@ which is rewritten every few rounds; rounds since then are replayed by the tasks
 Defined results: a missing or infinite feature is in a bin below all others; a
 null class is not learned from but predicted; classes are numbered in
 alphabetical order; equal gains go to the first feature, then to the lowest
-bin; with one class only its probability is 1; without rows of a known class,
+bin; rounds end early when no class has a leaf to split; with one class only its probability is 1; without rows of a known class,
 and for an empty table, there is nothing to learn, which is an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +37,9 @@ from ..sources.scratch import staged
 
 #: Quantile sketches of the bin borders err by one in so many ranks.
 ACCURACY = 10_000
-#: Rounds between two rewrites of the staged scores.
+#: Rounds between two rewrites of the staged scores, and bytes of staged rows that one task reads.
 REPLAY = 10
+TASK_BYTES = 32 << 20
 #: Gains are compared at so many digits, so that the order in which sums were added decides nothing.
 DIGITS = 9
 
@@ -235,8 +237,11 @@ def best_split(sums: np.ndarray, s: Settings) -> tuple:
 SPLIT = "gain double, feature int, bin int, gl double, hl double, nl double, g double, h double, n double"
 
 
-def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Settings) -> DataFrame:
-    """(tree, node, gain, feature, ...): the best split of each node; the rows of a node meet in one task, which adds them as they come."""
+def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Settings, meet: bool = True) -> DataFrame:
+    """(tree, node, gain, feature, ...): the best split of each node; the rows of a node meet in one task, which adds them as they come.
+
+    ``meet`` is false where the histograms are of one task already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -250,7 +255,7 @@ def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Setting
 
     names = ["tree", "node", *(x.split()[0] for x in SPLIT.split(", "))]
     schema = pa.schema([(n, pa.int32() if n in ("tree", "node", "feature", "bin") else pa.float64()) for n in names])
-    return histograms.repartition("tree", "node").mapInArrow(run, f"tree int, node int, {SPLIT}")
+    return (histograms.repartition("tree", "node") if meet else histograms).mapInArrow(run, f"tree int, node int, {SPLIT}")
 
 
 def _taken(tree: Tree, leaves: int) -> list[int]:
@@ -274,9 +279,10 @@ def _grow(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_feature
     for t in trees:
         t.add((0.0, 0.0, 0))
     wanted = [[0] for _ in trees]
+    meet = state.rdd.getNumPartitions() > 1
     while any(wanted):
         sums = _histograms(state, rounds, [t.arrays() for t in trees], wanted, n_features, s.bins + 1)
-        for r in _best_splits(sums, n_features, s.bins + 1, s).collect():
+        for r in _best_splits(sums, n_features, s.bins + 1, s, meet).collect():
             t = trees[r.tree]
             t.sums[r.node] = (r.g, r.h, int(r.n))
             if r.gain > 0:
@@ -325,11 +331,16 @@ def fit(rows: DataFrame, features: list[str], label: str, settings: Settings = S
     model = Boosted(features, [sorted(set(quantiles[f] or [])) for f in features], [c for c, _ in counts], [float(np.log(n / total)) for _, n in counts])
     place = F.create_map(*[x for k, (c, _) in enumerate(counts) for x in (F.lit(c), F.lit(k))])
     first = F.lit(np.array(model.first).tobytes())
-    state = staged(model.binned(known.withColumn("y", place[F.col("label")]), "y").withColumn("scores", first), "boosting")
+    parts = math.ceil(total * (len(features) + 8 * len(counts)) / TASK_BYTES)
+    state = staged(model.binned(known.withColumn("y", place[F.col("label")]), "y").withColumn("scores", first).repartition(parts), "boosting")
     if len(counts) == 1:
         return model
     for r in range(settings.rounds):
-        model.rounds.append(_grow(state, model.rounds[r - r % REPLAY :], len(counts), len(features), settings))
+        trees = _grow(state, model.rounds[r - r % REPLAY :], len(counts), len(features), settings)
+        if all(len(t[0]) == 1 for t in trees):
+            # No class has a leaf that can still be split.
+            break
+        model.rounds.append(trees)
         if r % REPLAY == REPLAY - 1 and r + 1 < settings.rounds:
             state = staged(_with_scores(state, model.rounds[-REPLAY:], len(features)), "boosting")
     return model

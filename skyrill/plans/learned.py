@@ -19,10 +19,10 @@ def _imputed(spark, sf_dir) -> DataFrame:
     return staged(ml.impute_median(v.features(spark, sf_dir), COLUMNS, 0.0), "imputed")
 
 
-def _boosted(spark, sf_dir) -> tuple[boosting.Boosted, DataFrame]:
+def _boosted(spark, sf_dir, settings=boosting.Settings()) -> tuple[boosting.Boosted, DataFrame]:
     """The model of the training share, and all rows."""
     rows = staged(ml.stratified_split(_imputed(spark, sf_dir), "vec_id", "class"), "split")
-    return boosting.fit(rows.where("train"), COLUMNS, "class"), rows
+    return boosting.fit(rows.where("train"), COLUMNS, "class", settings), rows
 
 
 def boosted_trees(spark, sf_dir):
@@ -33,8 +33,8 @@ def boosted_trees(spark, sf_dir):
 
 
 def boosted_accuracy(spark, sf_dir):
-    """Accuracy on training rows and on the others, and the number of splits that the model uses."""
-    model, rows = _boosted(spark, sf_dir)
+    """Accuracy after twenty rounds on training rows and on the others, and the number of splits that the model uses."""
+    model, rows = _boosted(spark, sf_dir, boosting.Settings(rounds=20))
     n = F.count(F.lit(1))
     correct = F.count(F.when(F.col("prediction") == F.col("class"), 1))
     splits = model.importance(spark).agg(F.sum("splits").alias("n_splits"))

@@ -78,9 +78,12 @@ def table(spark):
 FEATURES = ["x1", "x2", "x3", "x4"]
 
 
-def test_equals_plain_loops(spark, table, monkeypatch):
+@pytest.mark.parametrize("task_bytes", [1000, 1 << 20])
+def test_equals_plain_loops(spark, table, monkeypatch, task_bytes):
+    """From one task, and from several whose histograms meet."""
     rows, df = table
     monkeypatch.setattr(B, "REPLAY", 2)
+    monkeypatch.setattr(B, "TASK_BYTES", task_bytes)
     s = B.Settings(rounds=3, rate=0.3, leaves=6, min_rows=5, bins=8)
     model = B.fit(df, FEATURES, "label", s)
     assert model.classes == ["a", "b", "c"] and [len(x) <= 7 for x in model.borders]
@@ -109,6 +112,9 @@ def test_one_class_and_none(spark):
     kind = "id long, label string, x double"
     one = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, None, 2.0)], kind)
     assert [(r.probabilities, r.prediction) for r in B.fit(one, ["x"], "label").probabilities(one, "id").collect()] == [([1.0], "a")] * 3
+    flat = spark.createDataFrame([(i, "ab"[i % 2], 1.0) for i in range(60)], kind)
+    model = B.fit(flat, ["x"], "label")
+    assert not model.rounds and {tuple(r.probabilities) for r in model.probabilities(flat, "id").collect()} == {(0.5, 0.5)}
     for rows in ([], [(1, None, 1.0)]):
         with pytest.raises(ValueError):
             B.fit(spark.createDataFrame(rows, kind), ["x"], "label")
