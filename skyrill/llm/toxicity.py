@@ -8,7 +8,7 @@ logarithm of its occurrences, words repeated at once count as one, and ``PAD``
 words without a meaning are added, so that neither spam nor a few words decide.
 
 Training rows: labelled rows that are not held out, about ``SAMPLE_ROWS`` of each
-class at most and fewer where their whole texts are over ``SAMPLE_BYTES``, by a
+class at most and fewer of a class where its whole texts are over its share of ``SAMPLE_BYTES``, by a
 threshold on a hash of the id and never by length. Only n-grams whose mean
 density differs between the classes by some standard errors get an embedding
 (``SCREENS``, ``FEATURES`` at most); embeddings and softmax are trained together
@@ -236,6 +236,25 @@ def _fit(x: np.ndarray, y: np.ndarray, fitted: np.ndarray, out: np.ndarray) -> t
     return best
 
 
+def bounded_by_bytes(sample: DataFrame) -> DataFrame:
+    """All rows (doc_id, text, toxic) if their texts are ``SAMPLE_BYTES`` at most, else the rows of small hash of each class that is over its share.
+
+    A class has half of the bytes, and what the other leaves; a class within its share stays whole, and one row of each class stays in any case.
+    """
+    h = F.xxhash64("doc_id", F.lit(1))
+    known = sample.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(h).alias("least")).collect()
+    total = sum(r.bytes or 0 for r in known)
+    if total <= SAMPLE_BYTES:
+        return sample
+    kept = F.lit(False)
+    for r in known:
+        size = r.bytes or 0
+        share = max(SAMPLE_BYTES // 2, SAMPLE_BYTES - (total - size))
+        mine = F.lit(True) if size <= share else (h < int(share / size * 2**64) - 2**63) | (h == r.least)
+        kept = kept | ((F.col("toxic") == r.toxic) & mine)
+    return sample.where(kept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on about ``rows`` labelled rows at most of each class that are not held out."""
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -252,10 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return pd.DataFrame({"gram_score": [model.gram_score.tolist()], "bias": [model.bias]})
 
     with scratch(docs.sparkSession):
-        sample = stage(texts.join(picked, "doc_id"), "labelled")
-        size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        if size > SAMPLE_BYTES:
-            sample = sample.where(F.xxhash64("doc_id", F.lit(1)) < int(SAMPLE_BYTES / size * 2**64) - 2**63)
+        sample = bounded_by_bytes(stage(texts.join(picked, "doc_id"), "labelled"))
         # The sample is bounded, so one task holds it; the driver receives the model only.
         rows_ = sample.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "gram_score array<float>, bias double").collect()
     if not rows_:

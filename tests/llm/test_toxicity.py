@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from skyrill.llm import flat, toxicity
 
@@ -76,15 +77,23 @@ def test_bag_is_the_mean_of_word_means():
         assert np.allclose(total, want)
 
 
-def test_sample_is_bounded_by_rows_not_by_length(spark, docs_of, monkeypatch):
+def test_sample_is_bounded_by_bytes_of_each_class(spark, monkeypatch):
+    """Rare toxic rows beside long clean ones all stay; a class over its share keeps some rows, and one at least."""
+    rows = [(i, "x" * (5000 if i % 10 else 50), int(i % 10 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    count = lambda: {r.toxic: (r["count"], r.bytes) for r in toxicity.bounded_by_bytes(df).groupBy("toxic").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("bytes")).collect()}
+    assert count() == {0: (360, 1_800_000), 1: (40, 2000)}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400_000)
+    n = count()
+    assert n[1] == (40, 2000) and 40 < n[0][0] < 120
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1)
+    assert {k: v[0] for k, v in count().items()} == {0: 1, 1: 1}
+
+
+def test_long_texts_are_scored_whole(spark, docs_of):
     data = corpus(200)
     docs = docs_of([t * (400 if i == 5 else 1) for i, (t, _) in enumerate(data)])
     labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(data)], "doc_id long, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1)
-    assert toxicity.fit(docs, labels).bias == 0  # no row fits
-    monkeypatch.undo()
     long = "fine words " * 200_000 + "horribleword nastything"
-    model = toxicity.fit(docs, labels)
-    seen = toxicity.score(docs_of([long, "fine words"]), model).collect()
+    seen = toxicity.score(docs_of([long, "fine words"]), toxicity.fit(docs, labels)).collect()
     assert len(seen) == 2 and all(0 <= r.score <= 1 for r in seen)
