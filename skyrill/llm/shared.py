@@ -25,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="skyrill-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
+    return qualified(spark, path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without means the default file system, to Spark and to tasks that open files alike."""
+    if ":" not in path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        path = path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path
     return path.rstrip("/")
 
 

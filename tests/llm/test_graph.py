@@ -56,3 +56,10 @@ def test_bounded_sample(spark):
     assert bounded_sample(df, 20_000, "id").count() == 10_000
     assert 800 < bounded_sample(df, 1000, "id").count() <= 2000
     assert bounded_sample(df.select(F.lit(1).alias("id")), 100, "id").count() <= 200
+
+
+def test_paths_without_a_scheme_are_qualified(spark):
+    from skyrill.llm.shared import qualified
+
+    assert qualified(spark, "/some/folder/") == "file:///some/folder"
+    assert qualified(spark, "hdfs://host/x") == "hdfs://host/x" and qualified(spark, "file:///y/") == "file:///y"
