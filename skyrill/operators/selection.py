@@ -65,8 +65,9 @@ def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> Da
 
     The grid runs from 30 days before the first time to 5 days after the
     brightest point. Detections meet the grid by ``explode`` and are summed up at once: amplitude
-    (and baseline, where the model has one) at every step come from weighted sums in closed form, and so does
-    the likelihood of the detections. Only upper limits meet the solved steps again.
+    (and baseline, where the model has one) at every step come from weighted sums in closed form. The
+    likelihood is that of the residuals, for which all points meet the solved steps again: sums of squares
+    cancel where a curve goes through its points, and their rounding would choose among equal steps.
     """
     w = Window.partitionBy("object", "band")
     bright = F.min(F.struct((-F.col("y")).alias("y"), "t")).over(w)
@@ -80,7 +81,7 @@ def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> Da
     use = ~F.col("is_upper") & F.col("f").isNotNull()
     total = lambda x: F.coalesce(F.sum(F.when(use, x)), F.lit(0.0))
     f, y, var = F.col("f"), F.col("y"), F.col("var")
-    sums = {"w1": 1 / var, "wf": f / var, "wff": f * f / var, "wy": y / var, "wfy": f * y / var, "wyy": y * y / var, "wln": F.log(2 * math.pi * var)}
+    sums = {"w1": 1 / var, "wf": f / var, "wff": f * f / var, "wy": y / var, "wfy": f * y / var}
     solved = g.groupBy("object", "band", "k").agg(F.first("onset").alias("onset"), F.count(f).alias("n"), *[total(x).alias(n) for n, x in sums.items()]).where("n > 0")
     a0, b0 = math.exp(theta[0]), theta[model.params.index("b")] if "b" in model.params else 0.0
     if "b" in model.params:
@@ -93,14 +94,15 @@ def profile_onset(rows: DataFrame, model: Model, theta: tuple[float, ...]) -> Da
         a = F.col("wfy") / F.when(F.col("wff") > 1e-20, F.col("wff"))
         amp, base = F.when(F.coalesce(a > 1e-10, F.lit(False)), a).otherwise(a0), F.lit(0.0)
     solved = solved.withColumns({"a": amp, "b": base})
-    square = F.col("wyy") - 2 * F.col("a") * F.col("wfy") - 2 * F.col("b") * F.col("wy") + F.col("a") ** 2 * F.col("wff") + 2 * F.col("a") * F.col("b") * F.col("wf") + F.col("b") ** 2 * F.col("w1")
-    # A band's solved steps and its limits are two arrays of one row, so neither side is computed twice.
-    steps = solved.groupBy("object", "band").agg(F.collect_list(F.struct("k", "onset", "a", "b", (-0.5 * (square + F.col("wln"))).alias("ll"))).alias("steps"))
-    limits = bounded.where("is_upper").groupBy("object", "band").agg(F.collect_list(F.struct("t", "ceiling", "var")).alias("limits"))
-    each = steps.join(limits, ["object", "band"], "left").select("object", "band", F.explode("steps").alias("e"), "limits").select("object", "band", "e.*", F.explode_outer("limits").alias("u"))
-    each = each.select("object", "band", "k", "onset", "a", "b", "ll", "u.*").withColumn("f", shape)
-    term = F.when(F.col("f").isNotNull(), log_normal_cdf((F.col("ceiling") - (F.col("a") * F.col("f") + F.col("b"))) / F.sqrt("var")))
-    ll = each.groupBy("object", "band", "k").agg((F.first("ll") + F.coalesce(F.sum(term), F.lit(0.0))).alias("ll"), F.first("onset").alias("onset"))
+    # A band's solved steps and its points are two arrays of one row: neither side is computed twice, and every step adds its points in one order.
+    steps = solved.groupBy("object", "band").agg(F.collect_list(F.struct("k", "onset", "a", "b")).alias("steps"))
+    points = bounded.groupBy("object", "band").agg(F.collect_list(F.struct("t", "y", "is_upper", "ceiling", "var")).alias("points"))
+    each = steps.join(points, ["object", "band"]).select("object", "band", F.explode("steps").alias("e"), "points").select("object", "band", "e.*", F.explode("points").alias("u"))
+    each = each.select("object", "band", "k", "onset", "a", "b", "u.*").withColumn("f", shape)
+    p = F.col("a") * F.col("f") + F.col("b")
+    limit = log_normal_cdf((F.col("ceiling") - p) / F.sqrt("var"))
+    term = F.when(F.col("f").isNotNull(), F.when(F.col("is_upper"), limit).otherwise(-0.5 * ((p - y) * (p - y) / var + F.log(2 * math.pi * var))))
+    ll = each.groupBy("object", "band", "k").agg(F.sum(term).alias("ll"), F.first("onset").alias("onset"))
     top = ll.withColumn("best", F.max("ll").over(w))
     near = F.when(F.col("ll") >= F.col("best") - 0.5, F.col("onset"))
     out = top.groupBy("object", "band").agg(F.min(F.struct((-F.col("ll")).alias("x"), "k", "onset")).alias("b"), F.min(near).alias("t_lo"), F.max(near).alias("t_hi"))
