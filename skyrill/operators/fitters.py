@@ -101,23 +101,25 @@ def fit_gp(rows: DataFrame, backend: str = "B") -> DataFrame:
     """Feature rows of every object and band of ``MIN_POINTS`` points or more.
 
     Rows are observations in magnitudes (object, band, t, value, value_err). The
-    object's time span comes from a window, so bands are fitted apart.
+    object's time span comes from a window, so bands are fitted apart; a table of some bands' features
+    is made at once, as one for each band costs many times the fit.
     """
     extra = ("gp_amp", "gp_lengthscale", "gp_alpha") if backend == "B" else ("gp_theta_init", "gp_nugget")
     columns = [*gp.FEATURES, *extra]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "value"])
-        row = gp.fit_band(*(frame[c].to_numpy(float) for c in ("t", "value", "value_err")), (frame["t_lo"].iloc[0], frame["t_hi"].iloc[0]), backend)
-        out = pd.DataFrame([row] if row else [], columns=columns).astype(float)
-        out.insert(0, "object", frame["object"].iloc[0])
-        out.insert(1, "band", frame["band"].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frames in _some_bands(batches):
+            fits = [(f["object"].iloc[0], f["band"].iloc[0], gp.fit_band(*(f[c].to_numpy(float) for c in ("t", "value", "value_err")), (f["t_lo"].iloc[0], f["t_hi"].iloc[0]), backend)) for f in frames]
+            solved = [(o, b, row) for o, b, row in fits if row]
+            out = pd.DataFrame([row for *_, row in solved], columns=columns).astype(float)
+            out.insert(0, "object", [o for o, *_ in solved])
+            out.insert(1, "band", [b for _, b, _ in solved])
+            yield out
 
     w = Window.partitionBy("object")
     spread = rows.withColumns({"t_lo": F.min("t").over(w), "t_hi": F.max("t").over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy("object", "band"))})
     ready = spread.where(F.col("__n") >= MIN_POINTS).select(F.col("object").cast("string").alias("object"), "band", "t", "value", "value_err", "t_lo", "t_hi")
-    return ready.groupBy("object", "band").applyInPandas(run, "object string, band string, " + ", ".join(f"{c} double" for c in columns))
+    return ready.repartition("object", "band").sortWithinPartitions("object", "band", "t", "value").mapInPandas(run, "object string, band string, " + ", ".join(f"{c} double" for c in columns))
 
 
 def kilonova_curves(spans: DataFrame, theta: tuple[float, ...], points: int = 50) -> DataFrame:

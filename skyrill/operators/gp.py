@@ -34,16 +34,20 @@ class Fits:
         z = np.broadcast_to((y - self.mean) / self.scale, (len(amp), len(y)))[..., None]
         self.weights = np.linalg.solve(np.swapaxes(self.chol, 1, 2), np.linalg.solve(self.chol, z))[..., 0]
 
-    def kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def kernel(self, a: np.ndarray, b: np.ndarray, which: slice = slice(None)) -> np.ndarray:
         d = (a[:, None] - b[None, :]) ** 2
-        return self.amp[:, None, None] * np.exp(-0.5 * d[None] / self.length[:, None, None] ** 2)
+        return self.amp[which, None, None] * np.exp(-0.5 * d[None] / self.length[which, None, None] ** 2)
 
-    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, n) means and standard deviations."""
-        k = self.kernel(at, self.t)
-        half = np.linalg.solve(self.chol, np.swapaxes(k, 1, 2))
-        var = np.maximum(self.amp[:, None] + WHITE - (half**2).sum(1), 0.0)
-        return self.mean + self.scale * (k @ self.weights[..., None])[..., 0], self.scale * np.sqrt(var)
+    def means(self, at: np.ndarray) -> np.ndarray:
+        """(candidates, n) means alone, for which nothing is solved."""
+        return self.mean + self.scale * (self.kernel(at, self.t) @ self.weights[..., None])[..., 0]
+
+    def predict(self, at: np.ndarray, which: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, n) means and standard deviations of the candidates in ``which``."""
+        k = self.kernel(at, self.t, which)
+        half = np.linalg.solve(self.chol[which], np.swapaxes(k, 1, 2))
+        var = np.maximum(self.amp[which, None] + WHITE - (half**2).sum(1), 0.0)
+        return self.mean + self.scale * (k @ self.weights[which, :, None])[..., 0], self.scale * np.sqrt(var)
 
 
 def thin(n: int, over: int = 30, to: int = 25) -> np.ndarray:
@@ -134,13 +138,12 @@ def fit_band(t: np.ndarray, mag: np.ndarray, err: np.ndarray, span: tuple[float,
         except np.linalg.LinAlgError:
             fits = None
     if fits is not None:
-        on_grid, _ = fits.predict(grid)
-        sane = np.abs(on_grid.min(1) - ms.min()) <= MAX_JUMP
-        at, dev = fits.predict(ts if backend == "B" else t)
+        sane = np.abs(fits.means(grid).min(1) - ms.min()) <= MAX_JUMP
         if backend == "B":
+            at, dev = fits.predict(ts)
             score = np.sqrt(((ms - at) ** 2).mean(1)) + STD_WEIGHT * dev.mean(1)
         else:
-            score = ((mag - at) ** 2 / (err**2 + 1e-10)).mean(1)
+            score = ((mag - fits.means(t)) ** 2 / (err**2 + 1e-10)).mean(1)
         score = np.where(sane & np.isfinite(score), score, np.inf)
         if np.isfinite(score.min()):
             best = int(score.argmin())
@@ -150,7 +153,7 @@ def fit_band(t: np.ndarray, mag: np.ndarray, err: np.ndarray, span: tuple[float,
         weighted = np.where(t <= t.min() + 0.2 * np.ptp(t), err * 0.7, err)
         tried, best = [(0.2, min(max(t.max() / 16, 0.3), 12.0), max(float((weighted**2).mean()), 1e-5))], 0
         fits = Fits(t, mag, *map(np.array, zip(*tried)), normalise=True)
-    pick = lambda at: tuple(x[best] for x in fits.predict(at))
+    pick = lambda at: tuple(x[0] for x in fits.predict(at, slice(best, best + 1)))
     pred, std = pick(grid)
     at_obs, dev_obs = pick(t)
     rms = math.sqrt(((mag - at_obs) ** 2).mean())
