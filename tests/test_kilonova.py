@@ -34,3 +34,19 @@ def test_gradient_equals_numpy(spark):
         f, g = gradient_numpy(MODELS["MetzgerKN"], np.array([[*theta, -3.0]]), np.linspace(-1.0, end, 12))
         assert np.allclose([r.flux for r in mine], f[0], rtol=1e-7, atol=1e-9)
         assert np.allclose([[r[f"d_{n}"] for n in MODELS["MetzgerKN"].params[:4]] for r in mine], g[0, :, :4], atol=1e-3)
+
+
+def test_curves_of_many_groups_meet_their_rows_in_one_join_without_a_broadcast(spark):
+    spans = spark.range(1500).selectExpr("id as object", "-1.0D as t_min", "1.0D + id / 50 as t_max")
+    theta = (-2.0, -0.7, 0.5, 0.0)
+    out = fitters.kilonova_gradients(spans, theta, 4)
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
+    curves: dict = {}
+    for r in rows:
+        curves.setdefault(int(r.object), []).append((r.t, r.flux))
+    assert len(curves) == 1500
+    for o in (0, 1023, 1024, 1499):
+        t, flux = map(np.array, zip(*sorted(curves[o])))
+        np.testing.assert_allclose(flux, kilonova(np.array([theta]), t)[0], rtol=1e-9, atol=1e-12)
