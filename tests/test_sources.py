@@ -140,3 +140,13 @@ def test_parameter_tables(spark, tmp_path):
     assert tuple(r) == ("sim_1", "g", "Bazin", "t0", "1.234568", "2.000000", "NaN", "0.1235", "NaN", "3.0000")
     writers.write_summary(df.select("band", "pso_value", "svi_std"), ["band"], str(tmp_path / "s"))
     assert json.loads(next((tmp_path / "s").glob("part*")).read_text()) == {"band": "g", "summary": {"pso_value": 1.23456789, "svi_std": None}}
+
+
+def test_parameter_files_follow_the_size_not_the_objects(spark, tmp_path):
+    rows = [(f"sim_{o}", b, "Bazin", p, 1.0, float(o), 0.5, 0.1, -1.0, 2.0) for o in range(50) for b in "gr" for p in ("t0", "b")] + [("sim_ x ", "g", "Bazin", "b", 1.0, 7.0, 0.5, 0.1, -1.0, 2.0)]
+    df = spark.createDataFrame(rows, "object string, band string, model string, param string, pso_value double, svi_mean double, svi_std double, pso_chi2 double, svi_elbo double, mag_chi2 double")
+    writers.write_parameters(df, str(tmp_path / "table"))
+    writers.write_parameters(df, str(tmp_path / "folders"), by_object=True)
+    assert len(list((tmp_path / "table").rglob("*.csv"))) <= 4 and len(list((tmp_path / "folders").rglob("*.csv"))) == 51
+    table, folders = (sorted((r.object, r.band, r.chi2, sorted((k, x.mean, x.std) for k, x in r.params.items())) for r in readers.read_parameters(spark, str(tmp_path / n)).collect()) for n in ("table", "folders"))
+    assert len(table) == 101 and table == folders and table[0][0] == "sim_ x "
