@@ -99,7 +99,7 @@ def nearest(points: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: i
         return points.sparkSession.createDataFrame([], EDGES)
     k = min(k, n - 1)
     depth = max(0, math.ceil(math.log2(n / block)))
-    split = _directions(trees * depth, len(some.x), seed).reshape(trees, depth, -1)
+    split = _directions(trees * depth, len(some.x), seed).reshape(trees, depth, len(some.x))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

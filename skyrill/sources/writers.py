@@ -56,9 +56,9 @@ def write_model_inputs(rows: DataFrame, importance: DataFrame, features: list[st
 
 
 def write_summary(rows: DataFrame, keys: list[str], path: str) -> None:
-    """A summary as JSON: one object for each row, its ``keys`` in front and the other columns under ``summary``; missing values are null."""
+    """A summary as JSON: one object for each row, its ``keys`` in front and the other columns under ``summary``; missing values are null. Rows meet by key first, so no part is empty beside full ones."""
     rest = [c for c in rows.columns if c not in keys]
-    rows.select(*keys, F.struct(*rest).alias("summary")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    rows.select(*keys, F.struct(*rest).alias("summary")).repartition(*keys).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:
