@@ -37,9 +37,13 @@ from ..sources.scratch import staged
 
 #: Quantile sketches of the bin borders err by one in so many ranks.
 ACCURACY = 10_000
-#: Rounds between two rewrites of the staged scores, and bytes of staged rows that one task reads.
-REPLAY = 10
+#: Rounds between two rewrites of the staged scores, bytes of staged rows that one task reads at most, and
+#: those from which a task is worth its start: between the two, rows are dealt to as many tasks as run at once.
+REPLAY = 3
 TASK_BYTES = 32 << 20
+LEAST_BYTES = 512 << 10
+#: Nodes whose histograms one task adds, about.
+NODES = 16
 #: Gains are compared at so many digits, so that the order in which sums were added decides nothing.
 DIGITS = 9
 
@@ -94,8 +98,12 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    """A column of equally long binaries as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+    """A column of equally long binaries as a matrix, a view of its values."""
+    if not len(column):
+        return np.zeros((0, width), kind)
+    _, offsets, values = column.buffers()
+    start = int(np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset])
+    return np.frombuffer(values, kind, len(column) * width, start).reshape(len(column), width)
 
 
 def _packed(matrix: np.ndarray) -> pa.Array:
@@ -195,13 +203,14 @@ def _histograms(state: DataFrame, rounds: list[list[tuple]], trees: list[tuple],
     factor = n_classes / max(n_classes - 1, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((3, len(nodes), n_features, n_bins)) for nodes in wanted]
+        sums = [np.zeros((3, n_features, len(nodes) * n_bins)) for nodes in wanted]
         for batch in batches:
             if not batch.num_rows:
                 continue
             y = batch.column(0).to_numpy()
             bins = _matrix(batch.column(1), np.uint8, n_features)
             p = softmax(_replayed(_matrix(batch.column(2), np.float64, n_classes), bins, rounds))
+            by_feature = np.ascontiguousarray(bins.T)
             for k, nodes in enumerate(wanted):
                 if not nodes:
                     continue
@@ -209,11 +218,16 @@ def _histograms(state: DataFrame, rounds: list[list[tuple]], trees: list[tuple],
                 to_slot[nodes] = np.arange(len(nodes))
                 slot = to_slot[descend(trees[k], bins)]
                 at = np.flatnonzero(slot >= 0)
-                cell = ((slot[at, None] * n_features + np.arange(n_features)) * n_bins + bins[at]).reshape(-1)
+                first, width = slot[at] * n_bins, len(nodes) * n_bins
                 g, h = p[at, k] - (y[at] == k), factor * p[at, k] * (1 - p[at, k])
-                for row, weight in zip(sums[k].reshape(3, -1), (g, h, np.ones(len(at)))):
-                    row += np.bincount(cell, np.repeat(weight, n_features), len(row))
-        found = [(k, node, sums[k][:, s].tobytes()) for k, nodes in enumerate(wanted) for s, node in enumerate(nodes) if sums[k][2, s].any()]
+                # A feature at a time: its cells of all nodes stay in the processor's cache.
+                for f, mine in enumerate(by_feature[:, at]):
+                    cell = first + mine
+                    sums[k][0, f] += np.bincount(cell, g, width)
+                    sums[k][1, f] += np.bincount(cell, h, width)
+                    sums[k][2, f] += np.bincount(cell, minlength=width)
+        of_node = lambda k, s: sums[k][:, :, s * n_bins : (s + 1) * n_bins]
+        found = [(k, node, of_node(k, s).tobytes()) for k, nodes in enumerate(wanted) for s, node in enumerate(nodes) if of_node(k, s)[2].any()]
         if found:
             tree, node, packed = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), pa.array(packed, pa.binary())], ["tree", "node", "sums"])
@@ -237,10 +251,10 @@ def best_split(sums: np.ndarray, s: Settings) -> tuple:
 SPLIT = "gain double, feature int, bin int, gl double, hl double, nl double, g double, h double, n double"
 
 
-def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Settings, meet: bool = True) -> DataFrame:
-    """(tree, node, gain, feature, ...): the best split of each node; the rows of a node meet in one task, which adds them as they come.
+def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Settings, tasks: int) -> DataFrame:
+    """(tree, node, gain, feature, ...): the best split of each node; the rows of a node meet in one of so many tasks, which adds them as they come.
 
-    ``meet`` is false where the histograms are of one task already.
+    With no tasks the histograms are of one task already and stay there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +269,7 @@ def _best_splits(histograms: DataFrame, n_features: int, n_bins: int, s: Setting
 
     names = ["tree", "node", *(x.split()[0] for x in SPLIT.split(", "))]
     schema = pa.schema([(n, pa.int32() if n in ("tree", "node", "feature", "bin") else pa.float64()) for n in names])
-    return (histograms.repartition("tree", "node") if meet else histograms).mapInArrow(run, f"tree int, node int, {SPLIT}")
+    return (histograms.repartition(tasks, "tree", "node") if tasks else histograms).mapInArrow(run, f"tree int, node int, {SPLIT}")
 
 
 def _taken(tree: Tree, leaves: int) -> list[int]:
@@ -279,9 +293,10 @@ def _grow(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_feature
     for t in trees:
         t.add((0.0, 0.0, 0))
     wanted = [[0] for _ in trees]
-    meet = state.rdd.getNumPartitions() > 1
+    tasks = state.rdd.getNumPartitions()
     while any(wanted):
         sums = _histograms(state, rounds, [t.arrays() for t in trees], wanted, n_features, s.bins + 1)
+        meet = 0 if tasks == 1 else min(tasks, math.ceil(sum(map(len, wanted)) / NODES))
         for r in _best_splits(sums, n_features, s.bins + 1, s, meet).collect():
             t = trees[r.tree]
             t.sums[r.node] = (r.g, r.h, int(r.n))
@@ -318,6 +333,11 @@ def _pruned(tree: Tree, split: set[int], rate: float) -> tuple[np.ndarray, ...]:
     return out.arrays()
 
 
+def _tasks(size: int, slots: int) -> int:
+    """Into how many parts rows of ``size`` bytes are dealt where ``slots`` tasks run at once: all slots are used unless parts get too small, and parts are of bounded size."""
+    return max(1, math.ceil(size / TASK_BYTES), min(slots, math.ceil(size / LEAST_BYTES)))
+
+
 def fit(rows: DataFrame, features: list[str], label: str, settings: Settings = Settings()) -> Boosted:
     """The model of the rows whose ``label`` is known."""
     known = rows.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), *features)
@@ -331,7 +351,7 @@ def fit(rows: DataFrame, features: list[str], label: str, settings: Settings = S
     model = Boosted(features, [sorted(set(quantiles[f] or [])) for f in features], [c for c, _ in counts], [float(np.log(n / total)) for _, n in counts])
     place = F.create_map(*[x for k, (c, _) in enumerate(counts) for x in (F.lit(c), F.lit(k))])
     first = F.lit(np.array(model.first).tobytes())
-    parts = math.ceil(total * (len(features) + 8 * len(counts)) / TASK_BYTES)
+    parts = _tasks(total * (len(features) + 8 * len(counts)), rows.sparkSession.sparkContext.defaultParallelism)
     state = staged(model.binned(known.withColumn("y", place[F.col("label")]), "y").withColumn("scores", first).repartition(parts), "boosting")
     if len(counts) == 1:
         return model

@@ -97,6 +97,20 @@ def test_equals_plain_loops(spark, table, monkeypatch, task_bytes):
     assert max(depths) == 11 and sum(got[i].prediction == got[i].label for i in got) > 120
 
 
+def test_rows_are_dealt_to_all_slots(spark, table, monkeypatch):
+    """A table far below the bytes of one task is not left to one task, and the trees stay the same."""
+    rows, df = table
+    s = B.Settings(rounds=2, rate=0.3, leaves=6, min_rows=5, bins=8)
+    one = B.fit(df, FEATURES, "label", s)
+    parts, grow = [], B._grow
+    monkeypatch.setattr(B, "LEAST_BYTES", 500, raising=False)
+    monkeypatch.setattr(B, "_grow", lambda state, *rest: parts.append(state.rdd.getNumPartitions()) or grow(state, *rest))
+    several = B.fit(df, FEATURES, "label", s)
+    assert parts and min(parts) > 1
+    for a, b in zip((t for trees in one.rounds for t in trees), (t for trees in several.rounds for t in trees)):
+        assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and a[3] == pytest.approx(b[3], abs=1e-12)
+
+
 def test_saved_model_predicts_alike(spark, table, tmp_path):
     _, df = table
     model = B.fit(df, FEATURES, "label", B.Settings(rounds=2, leaves=4, min_rows=8, bins=16))
