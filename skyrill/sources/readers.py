@@ -53,13 +53,14 @@ def read_alerts(spark: SparkSession, path: str, mode: str = "FAILFAST", names: s
     return normalise_alerts(raw)
 
 
-def route_alerts(spark: SparkSession, path: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
+def route_alerts(spark: SparkSession, path: str, names: str = "*.json", lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good documents as they are (for ``normalise_alerts`` or the enrichment), and (file, text) of those that are no JSON or do not fit the schema.
 
+    A document is a file, or with ``lines`` a line, so that files follow the size of the alerts and not their number.
     Files are read once. A document without an id or without a candidate is bad, too.
     """
     schema = T.StructType([*ALERT.fields, T.StructField("_bad", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", names).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", names).json(path)
     # Written once: both sides read it, and the corrupt column alone could not be asked for in the files.
     both = staged(raw.select(F.col("_metadata.file_path").alias("file"), "*"), "alerts")
     bad = F.col("_bad").isNotNull() | F.col("_id").isNull() | F.col("candidate").isNull()

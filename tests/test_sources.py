@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyrill.operators.flags import alert_flags
 from skyrill.operators import photometry
-from skyrill.plans import views
+from skyrill.plans import formats, views
 from skyrill.sources import readers, writers
 from skyrill.streaming import enrich
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def alert_dir(tmp_path):
@@ -123,6 +126,24 @@ def test_bad_alerts_are_routed(spark, alert_dir, tmp_path_factory):
     assert set(found) == {"cut.json", "text.json", "empty_object.json", "number.json"} and '"o7"' in found["cut.json"]
 
 
+def test_bad_alerts_are_routed_by_line(spark, alert_dir, tmp_path_factory):
+    """Documents as lines of one file are told apart like documents in files."""
+    whole = [json.dumps(json.loads(open(f"{alert_dir}/{n}.json").read())) for n in ("0", "1")]
+    broken = ['{"_id": 7, "objectId": "o7", "candidate": {"jd": 1.0', "no document", "{}", '{"_id": "seven", "objectId": "o8", "candidate": {}}']
+    d = tmp_path_factory.mktemp("lines")
+    (d / "lines.json").write_text("\n".join([broken[0], whole[0], *broken[1:3], whole[1], broken[3]]) + "\n")
+    good, bad = readers.route_alerts(spark, str(d), lines=True)
+    assert readers.normalise_alerts(good).exceptAll(readers.read_alerts(spark, alert_dir).where("_id < 2")).count() == 0 and good.count() == 2
+    texts = [r.text for r in bad.collect()]
+    assert len(texts) == 4 and {broken[0], broken[1]} <= set(texts)
+
+
+def test_alert_files_follow_size(spark):
+    path = formats._alert_files(spark, SF).removeprefix("file://")
+    files = list(Path(path).glob("part-*"))
+    assert sum(len(f.read_text().splitlines()) for f in files) == formats._documents(spark, SF).count() > 2 * len(files)
+
+
 def test_model_input_tables(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, 1.0, 5.0), ("b", 1, 2.0, 5.5), ("b", 1, 3.0, None)], "class string, k int, x double, y double")
     importance = spark.createDataFrame([("x", 0.5), ("y", 2.0)], "feature string, importance double")
