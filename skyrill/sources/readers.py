@@ -90,13 +90,19 @@ def read_nano(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.where("mjd is not null").withColumns({"pos": F.monotonically_increasing_id(), "zero_point": F.lit(ZP_NANO)})
 
 
-def _curve_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+def _curve_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, packed: bool = False) -> DataFrame:
     """(file, header, text) of the CSV files among ``paths``, files and folders alike (with ``recursive`` folders in them, too).
 
     A file is the curve of one object, so it is one row: its lines and its header need no shuffle to meet.
+    With ``packed`` the files lie in packs (``writers.write_curves``), and a pack's path is in front of a file's own.
     """
-    files = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).text(paths, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.substring_index("value", "\n", 1)).alias("header"), F.col("value").alias("text")).where("text <> ''")
+    found = spark.read.option("recursiveFileLookup", recursive)
+    if packed:
+        files = found.option("pathGlobFilter", "*.json").schema("path string, text string").json(paths)
+        files = files.select(F.concat("_metadata.file_path", F.lit("/"), "path").alias("file"), F.col("text").alias("value"))
+    else:
+        files = found.option("pathGlobFilter", "*.csv").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return files.select("file", F.rtrim(F.substring_index("value", "\n", 1)).alias("header"), F.col("value").alias("text")).where("text <> ''")
 
 
 def _is_nano(header: Column) -> Column:
@@ -109,13 +115,13 @@ def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _curve_files(spark, path).select("file", F.when(nano, "nano").otherwise("micro").alias("dialect"), F.when(nano, ZP_NANO).otherwise(ZP_MICRO).alias("zero_point"))
 
 
-def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, name: str = STEM) -> dict[str, DataFrame]:
+def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, name: str = STEM, packed: bool = False) -> dict[str, DataFrame]:
     """Curves by dialect of any mix of files and folders; each file is parsed by its own header, in its own task, and named by the pattern ``name`` of its path.
 
-    Fields hold no commas. Both dialects follow the rules of ``read_micro`` and ``read_nano``; ``pos`` is the line's number in its file.
+    Files may be ``packed``: some thousand small ones in one. Fields hold no commas. Both dialects follow the rules of ``read_micro`` and ``read_nano``; ``pos`` is the line's number in its file.
     """
     lines = F.posexplode(F.split("text", "\r?\n")).alias("pos", "value")
-    rows = _curve_files(spark, paths, recursive).select("file", "header", lines).where("pos > 0 and value <> ''")
+    rows = _curve_files(spark, paths, recursive, packed).select("file", "header", lines).where("pos > 0 and value <> ''")
     rows = rows.select(F.regexp_extract("file", name, 1).alias("object"), "pos", F.split("value", ",", -1).alias("f"), F.split("header", ",", -1).alias("h"), _is_nano(F.col("header")).alias("nano"))
     micro = rows.where(~F.col("nano") & (F.size("f") >= 4)).select("object", F.col("f")[3].alias("band"), *[F.col("f")[k].cast("double").alias(n) for k, n in enumerate(("mjd", "flux", "err"))], "pos", F.lit(ZP_MICRO).alias("zero_point"))
     lower = F.transform("h", lambda x: F.lower(F.trim(x)))

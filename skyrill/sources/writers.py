@@ -68,6 +68,17 @@ def write_features(features: DataFrame, path: str) -> None:
     features.withColumns(cells).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_curves(rows: DataFrame, key: str, path: str) -> None:
+    """A CSV file with a header for each value of ``key``, in packs: lines of JSON (path, text).
+
+    Packs follow the size of the table, where a file for each curve costs some milliseconds whatever it holds. A curve is one row, lines in no order.
+    """
+    names = [c for c in rows.columns if c != key]
+    text = F.concat(F.lit(",".join(names) + "\n"), F.array_join(F.collect_list(F.to_csv(F.struct(*names))), "\n"), F.lit("\n"))
+    files = rows.groupBy(key).agg(text.alias("text")).select(F.concat(F.lit(f"{key}="), F.col(key).cast("string"), F.lit("/curve.csv")).alias("path"), "text")
+    files.write.mode("overwrite").json(path)
+
+
 def write_table(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """CSV with a header, JSON or Parquet."""
     rows.write.mode("overwrite").option("header", True).format(kind).save(path)

@@ -58,6 +58,23 @@ def test_curve_dialects(spark, tmp_path):
     assert (b.object, b.mjd, b.flux, b.zero_point) == ("b", 5.5, None, 31.4)
 
 
+def test_packed_curves(spark, tmp_path):
+    """Packs give what a folder of files for each object gives, in few files."""
+    e = views.events_curve(spark, SF).select(F.col("object").alias("o"), "mjd", "flux", F.col("err").alias("flux_err"), F.col("band").alias("filter"))
+    nano = e.select("o", F.floor("mjd").alias("night"), F.col("filter").alias("band"), F.col("mjd").alias("expMidptMJD"), F.when(F.col("flux") > 50, F.col("flux")).alias("mag"), F.lit(0.5).alias("magerr"), F.col("flux").alias("psfDiffFlux"), F.col("flux_err").alias("psfDiffFluxErr"))
+    parts = {"micro": e.where("o % 2 = 0"), "nano": nano.where("o % 2 = 1")}
+    for name, part in parts.items():
+        writers.write_curves(part, "o", str(tmp_path / "packs" / name))
+        part.repartition("o").write.partitionBy("o").option("header", True).csv(str(tmp_path / "files" / name))
+    packs, files = (readers.read_curves(spark, str(tmp_path / d), recursive=True, name=r"o=([^/]+)/[^/]+\.csv$", packed=d == "packs") for d in ("packs", "files"))
+    for name, part in parts.items():
+        # Lines of a curve have no order; their numbers are a curve's own.
+        assert packs[name].drop("pos").exceptAll(files[name].drop("pos")).count() == 0 and packs[name].count() == files[name].count() == part.count() > 0
+        assert packs[name].select("object", "pos").exceptAll(files[name].select("object", "pos")).count() == 0
+    n = e.select("o").distinct().count()
+    assert len(list((tmp_path / "packs").rglob("*.json"))) < n / 2 and len(list((tmp_path / "files").rglob("*.csv"))) >= n
+
+
 def test_flags_with_missing_values(spark):
     cols = list(views.FLAG_RECIPE)
     base = dict.fromkeys(cols)
