@@ -69,8 +69,8 @@ def _top(owner: np.ndarray, other: np.ndarray, distance: np.ndarray, k: int) ->
     return owner[keep], other[keep], distance[keep]
 
 
-def _around(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """(id, other, d): the ``k`` nearest among the points of a block, for each of them."""
+def _around(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Places in ``ids`` and (other, d): the ``k`` nearest among the points of a block, for each of them."""
     square = (x**2).sum(axis=1)
     d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0.0))
     np.fill_diagonal(d, np.inf)
@@ -79,12 +79,52 @@ def _around(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     row = np.repeat(np.arange(len(ids)), k)
     # Differences once more for those that stay: products cancel for close points.
     exact = np.sqrt(((x[row] - x[near.reshape(-1)]) ** 2).sum(axis=1))
-    return pd.DataFrame({"id": ids[row], "other": ids[near.reshape(-1)], "d": exact})
+    return row, ids[near.reshape(-1)], exact
 
 
 EDGES = "id long, other long, d double"
 
 
+def _near(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(id, other, d): the ``k`` nearest of each point (keys, id, w, x) among those of equal ``keys``, without those farther away than its ``w``.
+
+    A group's rows meet in one task, in order, and are told apart there: many small groups need no table each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                *group, ids, w, x = batch.columns
+                fresh = np.stack([g.to_numpy() for g in group], 1).astype(np.int64), ids.to_numpy(), w.to_numpy(), x.flatten().to_numpy().reshape(len(ids), -1)
+                held = fresh if held is None else tuple(np.concatenate(p) for p in zip(held, fresh))
+            if held is None:
+                continue
+            group, ids, w, x = held
+            ends = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            # The last group may go on in the next batch.
+            bounds = [0, *ends] if batch is not None else [0, *ends, len(ids)]
+            held = tuple(p[bounds[-1] :] for p in held)
+            found = []
+            for a, b in zip(bounds, bounds[1:]):
+                row, other, d = _around(ids[a:b], x[a:b], k)
+                close = d <= w[a:b][row]
+                found.append((ids[a:b][row[close]], other[close], d[close]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*found)], ["id", "other", "d"])
+
+    met = rows.select(*keys, "id", "w", "x").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return met.mapInArrow(run, EDGES)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None once they have ended."""
+    yield from batches
+    yield None
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest distinct others of each id, by lists of bounded length on the map side."""
     lists = edges.distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "other"))).alias("l"))
@@ -119,29 +159,26 @@ def nearest(points: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: i
     member = member.join(F.broadcast(sizes) if trees << depth < 100_000 else sizes, ["tree", "cell"])
     member = member.withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")))
 
-    def in_block(frame: pd.DataFrame) -> pd.DataFrame:
-        return _around(frame["id"].to_numpy(), np.stack(frame["x"].to_numpy()), k)
-
-    edges = staged(_best(member.groupBy("tree", "cell", "part").applyInPandas(in_block, EDGES), k), "edges")
+    edges = staged(_best(_near(member.withColumn("w", F.lit(math.inf)), ["tree", "cell", "part"], k), k), "edges")
     for r in range(descents):
         edges = staged(_descend(points, edges, k, seed + r), "edges")
     return edges
 
 
 def _descend(points: DataFrame, edges: DataFrame, k: int, seed: int) -> DataFrame:
-    """Each point introduces those around it, and itself, to each other; the best of old and new neighbours stay."""
+    """Each point introduces those around it, and itself, to each other; the best of old and new neighbours stay.
+
+    A point that has ``k`` neighbours takes no farther ones, so those end where they are found.
+    """
     order = F.xxhash64("id", "other", F.lit(seed))
     # At most REVERSE of a hub's admirers, by least hash: minima of a few cells, so no list of all is made.
     cell = F.pmod(order, F.lit(REVERSE))
     admirers = edges.groupBy(F.col("other").alias("host"), cell.alias("cell")).agg(F.min(F.struct(order.alias("h"), F.col("id").alias("guest"))).alias("g")).select("host", "g.guest")
     guests = edges.select(F.col("id").alias("host"), F.col("other").alias("guest")).union(admirers).union(points.select("id", "id")).distinct()
-    seated = guests.join(points.select(F.col("id").alias("guest"), "x"), "guest")
-
-    def introduce(frame: pd.DataFrame) -> pd.DataFrame:
-        return _around(frame["guest"].to_numpy(), np.stack(frame["x"].to_numpy()), k // 2 + 1)
-
-    found = seated.groupBy("host").applyInPandas(introduce, EDGES)
-    return _best(edges.union(found), k)
+    worst = edges.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("w"))
+    known = points.select("id", "x").join(worst, "id", "left").withColumn("w", F.coalesce("w", F.lit(math.inf)))
+    seated = guests.withColumnRenamed("guest", "id").join(known, "id")
+    return _best(edges.union(_near(seated, ["host"], k // 2 + 1)), k)
 
 
 def recall(points: DataFrame, edges: DataFrame, k: int = NEIGHBOURS, every: int = 20) -> float:

@@ -75,3 +75,22 @@ def test_small_tables(spark):
     assert E.embed(spark.createDataFrame([(1, 1.0, None)], kind), "name", ["a", "b"]).count() == 1
     three = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0), (2, 3.0, float("nan")), (None, 5.0, 6.0)], kind)
     assert E.embed(three, "name", ["a", "b"], rounds=2).count() == 3
+
+
+def test_groups_across_batches(spark):
+    """Groups that go over several batches are whole, and points farther than a point asks for are left out."""
+    rng = np.random.default_rng(9)
+    rows = [(g, 100 * g + i, float("inf") if i % 2 else 1.0, [float(v) for v in rng.normal(size=3)]) for g in range(7) for i in range(1 + 5 * g)]
+    df = spark.createDataFrame(rows, "g long, id long, w double, x array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        near = E._near(df, ["g"], 3)
+        assert "FlatMapGroups" not in near._jdf.queryExecution().toString()
+        got = {(r.id, r.other): r.d for r in near.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g, i, w, x in rows:
+        others = sorted((math.dist(x, y), j) for h, j, _, y in rows if h == g and j != i)[:3]
+        want |= {(i, j): d for d, j in others if d <= w}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
