@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import itertools
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..sources.scratch import staged
+from ..sources.scratch import scratch_path, staged
 from .quantile import column_quantiles
 
 SEED = 42
@@ -106,26 +109,102 @@ GRID = {"maxDepth": [6, 8], "numTrees": [20, 40], "subsamplingRate": [0.7, 1.0],
 FOLDS = 3
 
 
+#: Settings that a fitted forest also holds at every lower value: its first trees are a forest, and so are its trees down to a depth.
+NESTED = ("maxDepth", "numTrees")
+
+
+@dataclass
+class Tree:
+    """Nodes by id: a row goes left if its feature is at most the threshold. Leaves have no sons (-1); ``votes`` are the shares of the classes."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    votes: np.ndarray
+
+    def down_to(self, depth: int) -> Tree:
+        """The tree as it is when grown no deeper: nodes at ``depth`` are leaves, and two leaves that say the same are one, as Spark prunes them."""
+        left, right, said = self.left.copy(), self.right.copy(), self.votes.argmax(axis=1)
+        level = np.zeros(len(left), int)
+        for k in range(len(left)):  # Sons come after their parent.
+            if left[k] >= 0:
+                level[[left[k], right[k]]] = level[k] + 1
+        left[level >= depth] = -1
+        for k in reversed(range(len(left))):
+            if left[k] >= 0 and left[left[k]] < 0 and left[right[k]] < 0 and said[left[k]] == said[right[k]]:
+                left[k] = -1
+        return Tree(self.feature, self.threshold, left, right, self.votes)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), int), np.arange(len(x))
+        while (inner := self.left[at] >= 0).any():
+            son = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            at = np.where(inner, son, at)
+        return at
+
+
+def forest_trees(model: RandomForestClassificationModel, spark: SparkSession) -> list[Tree]:
+    """The trees of a model from its saved nodes, as many as its settings allow whatever the rows."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas()
+    trees = []
+    for _, n in nodes.sort_values(["treeID", "id"]).groupby("treeID"):
+        stats = np.stack(n["impurityStats"])
+        split = list(n["split"])
+        threshold = np.array([s["leftCategoriesOrThreshold"][0] if len(s["leftCategoriesOrThreshold"]) else 0.0 for s in split])
+        votes = stats / np.maximum(stats.sum(axis=1, keepdims=True), np.finfo(float).tiny)
+        trees.append(Tree(np.array([s["featureIndex"] for s in split]), threshold, n["leftChild"].to_numpy(), n["rightChild"].to_numpy(), votes))
+    return trees
+
+
+def nested_correct(rows: DataFrame, trees: list[Tree], settings: list[dict]) -> list[tuple[int, int]]:
+    """(n, correct) over ``rows`` (x, y) of the forest within ``trees`` that each of the ``settings`` (of ``NESTED``) describes, in one scan."""
+    depths = sorted({s.get("maxDepth", 0) for s in settings})
+    grown = {d: [t.down_to(d) if d else t for t in trees] for d in depths}
+
+    def run(batches):
+        for batch in batches:
+            x, y = np.stack(batch["x"]), batch["y"].to_numpy()
+            for d in depths:
+                votes = np.zeros((len(x), trees[0].votes.shape[1]))
+                for k, t in enumerate(grown[d], 1):
+                    votes += t.votes[t.leaves(x)]
+                    for i, s in enumerate(settings):
+                        if s.get("maxDepth", 0) == d and s.get("numTrees", len(trees)) == k:
+                            yield pd.DataFrame({"i": [i], "n": [len(x)], "correct": [int((votes.argmax(axis=1) == y).sum())]})
+
+    told = rows.select(vector_to_array("x").alias("x"), "y").mapInPandas(run, "i int, n long, correct long")
+    found = {r.i: (r.n, r.correct) for r in told.groupBy("i").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct")).collect()}
+    return [found.get(i, (0, 0)) for i in range(len(settings))]
+
+
 def search_table(fit: DataFrame) -> DataFrame:
     """(settings..., fold, n, correct): how each combination of the ``GRID`` does on each fold of ``fit`` (x, y, fold) when fitted on the others.
 
-    Forests of several combinations are fitted at once; what comes back is two counts for each.
+    Combinations that differ in depth or number of trees only are one fit, of the largest: its first trees, down to a depth, are the
+    smaller forests. Several are fitted at once; what comes back is two counts for each combination.
     """
     names = list(GRID)
-    combinations = list(itertools.product(*GRID.values()))
+    nested = [n for n in names if n in NESTED]
+    other = [n for n in names if n not in NESTED]
+    largest = {n: max(GRID[n]) for n in nested}
+    settings = [dict(zip(nested, values)) for values in itertools.product(*(GRID[n] for n in nested))]
     folds = sorted(r.fold for r in fit.select("fold").distinct().collect())
+    spark = fit.sparkSession
 
-    def one(job: tuple[int, tuple]) -> tuple:
+    def one(job: tuple[int, tuple]) -> list[tuple]:
         fold, values = job
-        forest = RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED, **dict(zip(names, values)))
-        told = forest.fit(fit.where(F.col("fold") != fold)).transform(fit.where(F.col("fold") == fold))
-        n, correct = told.agg(F.count(F.lit(1)), F.count(F.when(F.col("y") == F.col("prediction"), 1))).first()
-        return (*values, fold, n, correct)
+        fixed = dict(zip(other, values))
+        model = RandomForestClassifier(featuresCol="x", labelCol="y", seed=SEED, **fixed, **largest).fit(fit.where(F.col("fold") != fold))
+        counts = nested_correct(fit.where(F.col("fold") == fold), forest_trees(model, spark), settings)
+        return [(*((fixed | s)[n] for n in names), fold, *c) for s, c in zip(settings, counts)]
 
     with ThreadPoolExecutor(8) as pool:
-        found = list(pool.map(one, itertools.product(folds, combinations)))
+        found = [r for rows in pool.map(one, itertools.product(folds, itertools.product(*(GRID[n] for n in other)))) for r in rows]
     kinds = ["double" if isinstance(v[0], float) else "int" for v in GRID.values()]
-    return fit.sparkSession.createDataFrame(found, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", fold int, n long, correct long")
+    return spark.createDataFrame(found, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", fold int, n long, correct long")
 
 
 def best_settings(table: DataFrame) -> dict:

@@ -25,3 +25,23 @@ def test_search_and_saved_model(spark, tmp_path, monkeypatch):
     assert ml.best_settings(ml.search_table(dealt))["maxDepth"] == best
     report = {r.c: r for r in ml.classification_report(out).collect()}
     assert sum(r.support for r in report.values()) == 240
+
+
+def test_one_fit_for_nested_forests(spark, monkeypatch):
+    """Depths and numbers of trees share a fit. With two features every node tries both, so a shallow forest is what Spark grows alone."""
+    rng = random.Random(2)
+    rows = [(i, k, rng.gauss(1.2 * (k == "a"), 1), rng.gauss(1.2 * (k == "b"), 1)) for i in range(600) for k in ["abc"[i % 3]]]
+    data = ml.assemble(spark.createDataFrame(rows, "id long, label string, x1 double, x2 double"), ["x1", "x2"], "label")
+    dealt = ml.stratified_folds(data, "id", "y", 2).cache()
+    fitted = []
+    fit = ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, df: fitted.append(1) or fit(self, df))
+    monkeypatch.setattr(ml, "GRID", {"maxDepth": [1, 2, 4], "numTrees": [5, 8], "minInstancesPerNode": [1, 4]})
+    table = ml.search_table(dealt).collect()
+    assert len(table) == 24 and len(fitted) == 4
+    for r in table:
+        test = dealt.where(f"fold = {r.fold}")
+        assert r.n == 300
+        if r.numTrees == 8:
+            alone = ml.RandomForestClassifier(featuresCol="x", labelCol="y", seed=ml.SEED, maxDepth=r.maxDepth, numTrees=8, minInstancesPerNode=r.minInstancesPerNode)
+            assert r.correct == fit(alone, dealt.where(f"fold <> {r.fold}")).transform(test).where("y = prediction").count(), r
