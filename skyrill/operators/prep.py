@@ -5,6 +5,8 @@ Rows are observations (object, band, mjd, flux, err) with a tie order ``pos``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ BULK_DAYS = 50.0
 SNR_LIMIT = 3.0
 MIN_POINTS = 5
 SUBSAMPLE_OVER, SUBSAMPLE_TO = 30, 25
+#: Rows that a task of ``prepare`` sorts, about.
+TASK_ROWS = 1_000_000
 
 
 def choose_value(rows: DataFrame, zero_point: float = ZP_NANO) -> DataFrame:
@@ -32,17 +36,24 @@ def prepare(rows: DataFrame, to_mag: bool = True) -> DataFrame:
 
     Time starts at the object's first row, valid or not. Of observations of one band
     within a millionth of a day the one of least error stays. Observations
-    over ``BULK_DAYS`` before the object's upper median epoch go.
+    over ``BULK_DAYS`` before the object's upper median epoch go. Objects are dealt to so many
+    tasks that none sorts much more than ``TASK_ROWS`` rows, but for those of one object.
     """
-    per_object = Window.partitionBy("object")
-    start = rows.withColumn("start", F.min("mjd").over(per_object))
-    valid = start.where("err > 0" + (" and flux > 0" if to_mag else ""))
+    parts = math.ceil(rows.count() / TASK_ROWS)
+    few = parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition("object") if few else rows.repartition(parts, "object")
+    valid = F.expr("err > 0" + (" and flux > 0" if to_mag else ""))
     key = F.greatest(F.lit(0), F.round(F.col("mjd") * 1e6)).cast("long")
-    best = valid.groupBy("object", "band", key.alias("key")).agg(F.min(F.struct("err", "pos", "mjd", "flux", "start")).alias("b")).select("object", "band", "b.*")
+    seen = F.when(valid, F.struct("err", "pos", "mjd", "flux"))
+    best = dealt.groupBy("object", "band", key.alias("key")).agg(F.min(seen).alias("b"), F.min("mjd").alias("first"))
+    # Epochs without a valid row only tell the start, and come last in the ranks.
+    epochs = best.select("object", "band", F.col("b").isNull().alias("none"), "b.err", "b.mjd", "b.flux", "first")
+    per_object = Window.partitionBy("object")
     # The upper median is the epoch of rank n div 2 from 0: ranks, not arrays, so an object's rows may spill.
-    ranked = best.withColumn("k", F.row_number().over(per_object.orderBy("mjd")) - 1).withColumn("n", F.count(F.lit(1)).over(per_object))
-    epochs = ranked.withColumn("middle", F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("mjd"))).over(per_object))
-    kept = epochs.where(F.col("mjd") >= F.col("middle") - BULK_DAYS)
+    ranked = epochs.withColumn("k", F.row_number().over(per_object.orderBy("none", "mjd")) - 1)
+    ranked = ranked.withColumns({"n": F.count(F.when(~F.col("none"), 1)).over(per_object), "start": F.min("first").over(per_object)})
+    middled = ranked.withColumn("middle", F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("mjd"))).over(per_object))
+    kept = middled.where(~F.col("none") & (F.col("mjd") >= F.col("middle") - BULK_DAYS))
     value, error = (flux_to_mag(F.col("flux")), flux_to_mag_err(F.col("flux"), F.col("err"))) if to_mag else (F.col("flux"), F.col("err"))
     return kept.select("object", "band", (F.col("mjd") - F.col("start")).alias("t"), "mjd", value.alias("value"), error.alias("value_err"))
 
