@@ -11,6 +11,8 @@ AMPLITUDES = (0.05, 0.1, 0.2, 0.4)
 LENGTH_DIVISORS = (4.0, 6.0, 8.0, 12.0, 16.0, 24.0)
 NUGGETS = (1e-6, 1e-4)
 WHITE = 1e-10
+#: Points up to which candidates are solved as dense systems, and points whose features are held at once beyond that.
+DIRECT, BLOCK = 64, 16384
 #: Magnitudes that a predicted peak may differ from the brightest point.
 MAX_JUMP = 6.0
 SHRINK, SCALE_LIMITS, STD_WEIGHT = 0.6, (0.05, 5.0), 0.6
@@ -50,8 +52,65 @@ class Fits:
         return self.mean + self.scale * (k @ self.weights[which, :, None])[..., 0], self.scale * np.sqrt(var)
 
 
+class LongFits:
+    """``Fits`` of a long band, without a matrix of points by points.
+
+    The kernel is smooth, so its values at enough Chebyshev nodes of the range give it everywhere, up to rounding: K = F F' with
+    some hundred features a point. Turned to the axes of F'F, every amplitude and noise of a length is a division. All
+    points are used, and cost and memory grow with their number (a block of features at a time).
+    """
+
+    def __init__(self, t: np.ndarray, y: np.ndarray, amp: np.ndarray, length: np.ndarray, noise: np.ndarray, reach: tuple[float, float]):
+        self.amp, self.length, self.noise = amp, length, noise + WHITE
+        self.mean, std = y.mean(), y.std()
+        self.scale = std if std > 0 else 1.0
+        self.lo, self.hi = min(reach[0], t.min()), max(reach[1], t.max())
+        z = (y - self.mean) / self.scale
+        self.axes: dict[float, tuple] = {}
+        for x in np.unique(length):
+            basis = self._basis(float(x))
+            parts = [(f.T @ f, f.T @ z[at]) for at, f in self._blocks(t, basis)]
+            g, turn = np.linalg.eigh(sum(p for p, _ in parts))
+            self.axes[float(x)] = basis @ turn, np.maximum(g, 0.0), turn.T @ sum(p for _, p in parts)
+
+    def _basis(self, length: float) -> np.ndarray:
+        """From Chebyshev polynomials to features whose products are the kernel of unit amplitude."""
+        m = math.ceil(4.5 * (self.hi - self.lo) / length) + 32
+        nodes = np.cos(np.pi * (np.arange(m) + 0.5) / m)
+        back = np.polynomial.chebyshev.chebvander(nodes, m - 1).T * (2 / m)
+        back[0] /= 2
+        w, v = np.linalg.eigh(np.exp(-0.5 * ((nodes[:, None] - nodes) * (self.hi - self.lo) / 2 / length) ** 2))
+        return back @ (v * np.sqrt(np.maximum(w, 0.0)))
+
+    def _blocks(self, at: np.ndarray, basis: np.ndarray):
+        for k in range(0, len(at), BLOCK):
+            part = slice(k, min(k + BLOCK, len(at)))
+            yield part, np.polynomial.chebyshev.chebvander((2 * at[part] - self.lo - self.hi) / (self.hi - self.lo), len(basis) - 1) @ basis
+
+    def means(self, at: np.ndarray) -> np.ndarray:
+        return self.predict(at)[0]
+
+    def predict(self, at: np.ndarray, which: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        amp, length, noise = self.amp[which], self.length[which], self.noise[which]
+        mean, var = np.empty((len(amp), len(at))), np.empty((len(amp), len(at)))
+        for x in np.unique(length):
+            basis, g, fz = self.axes[float(x)]
+            own = np.flatnonzero(length == x)
+            shrink = amp[own, None] / (amp[own, None] * g + noise[own, None])
+            for part, f in self._blocks(at, basis):
+                mean[own, part] = (shrink * fz) @ f.T
+                var[own, part] = (shrink * noise[own, None]) @ (f * f).T + WHITE
+        return self.mean + self.scale * mean, self.scale * np.sqrt(var)
+
+
+def solved(t: np.ndarray, y: np.ndarray, tried: list[tuple[float, float, float]], span: tuple[float, float]) -> Fits | LongFits:
+    """The candidates ``tried`` on all points; a long band's may be asked within ``span`` and from a day before to three days after it."""
+    columns = tuple(map(np.array, zip(*tried)))
+    return Fits(t, y, *columns, normalise=True) if len(t) <= DIRECT else LongFits(t, y, *columns, (span[0] - 1.0, span[1] + 3.0))
+
+
 def thin(n: int, over: int = 30, to: int = 25) -> np.ndarray:
-    """Ranks of the points that a fit uses."""
+    """Ranks of evenly spread points of a curve, for callers that want fewer; no fit here uses them."""
     return np.arange(n) if n <= over else np.unique(np.floor((np.arange(to) + 0.5) * n / to).astype(int))
 
 
@@ -115,17 +174,15 @@ def curve_features(grid: np.ndarray, pred: np.ndarray, std: np.ndarray, near: np
 def fit_band(t: np.ndarray, mag: np.ndarray, err: np.ndarray, span: tuple[float, float], backend: str = "B") -> dict[str, float] | None:
     """Feature row of one band (times sorted, 5 points or more), or None when no candidate can be solved.
 
-    ``span`` is the object's time range, which the grid covers. Back end A
+    ``span`` is the object's time range, which the grid covers. Every candidate is fitted to all points. Back end A
     searches lengths and noise with unit amplitude and keeps the least reduced chi2; back end
     B searches amplitudes too, keeps the least sum of residual and deviation, and
     falls back to one short length.
     """
     grid = np.linspace(span[0], span[1], GRID)
     duration = span[1] - span[0]
-    use = thin(len(t))
-    ts, ms, es = t[use], mag[use], err[use]
-    spread = float((es**2).mean())
-    step = np.sort(np.diff(ts))
+    spread = float((err**2).mean())
+    step = np.sort(np.diff(t))
     shortest = max(2 * (step[len(step) // 2] if len(step) else 1.0), 0.1)
     lengths = [x for x in (max(duration / d, 0.1) for d in LENGTH_DIVISORS) if x >= shortest]
     amps = AMPLITUDES if backend == "B" else (1.0,)
@@ -134,14 +191,14 @@ def fit_band(t: np.ndarray, mag: np.ndarray, err: np.ndarray, span: tuple[float,
     best, fits = None, None
     if tried:
         try:
-            fits = Fits(ts, ms, *map(np.array, zip(*tried)), normalise=True)
+            fits = solved(t, mag, tried, span)
         except np.linalg.LinAlgError:
             fits = None
     if fits is not None:
-        sane = np.abs(fits.means(grid).min(1) - ms.min()) <= MAX_JUMP
+        sane = np.abs(fits.means(grid).min(1) - mag.min()) <= MAX_JUMP
         if backend == "B":
-            at, dev = fits.predict(ts)
-            score = np.sqrt(((ms - at) ** 2).mean(1)) + STD_WEIGHT * dev.mean(1)
+            at, dev = fits.predict(t)
+            score = np.sqrt(((mag - at) ** 2).mean(1)) + STD_WEIGHT * dev.mean(1)
         else:
             score = ((mag - fits.means(t)) ** 2 / (err**2 + 1e-10)).mean(1)
         score = np.where(sane & np.isfinite(score), score, np.inf)
@@ -152,7 +209,7 @@ def fit_band(t: np.ndarray, mag: np.ndarray, err: np.ndarray, span: tuple[float,
             return None
         weighted = np.where(t <= t.min() + 0.2 * np.ptp(t), err * 0.7, err)
         tried, best = [(0.2, min(max(t.max() / 16, 0.3), 12.0), max(float((weighted**2).mean()), 1e-5))], 0
-        fits = Fits(t, mag, *map(np.array, zip(*tried)), normalise=True)
+        fits = solved(t, mag, tried, span)
     pick = lambda at: tuple(x[0] for x in fits.predict(at, slice(best, best + 1)))
     pred, std = pick(grid)
     at_obs, dev_obs = pick(t)
