@@ -9,6 +9,8 @@ round. All classes, and all leaves that may still be split, share one pass over
 rows. Splits are taken in order of gain until a tree has its leaves; passes go on
 until every split that this order takes has children whose gains are known, so
 the tree is the best-first tree, whatever the order in which gains arrived.
+Where all rows are no more than one task reads anyway, each class gets a task that has their gradients and grows its
+tree to the end by the same steps: a round is one job then, and its passes stay in the task.
 
 Rows keep a byte for each feature and a score for each class in a staged table,
 which is rewritten every few rounds; rounds since then are replayed by the tasks.
@@ -29,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ from ..sources.scratch import staged
 
 #: Quantile sketches of the bin borders err by one in so many ranks.
 ACCURACY = 10_000
-#: Rounds between two rewrites of the staged scores, bytes of staged rows that one task reads at most, and
+#: Rounds between two rewrites of the staged scores, bytes of staged rows that one task reads at most (where all are no more, classes are dealt), and
 #: those from which a task is worth its start: between the two, rows are dealt to as many tasks as run at once.
 REPLAY = 3
 TASK_BYTES = 32 << 20
@@ -197,6 +200,21 @@ class Boosted:
         return spark.createDataFrame([(self.features[i], int(used[i]), k + 1) for k, i in enumerate(order)], "feature string, splits long, rank int")
 
 
+def _add(sums: np.ndarray, by_feature: np.ndarray, tree: tuple, nodes: list[int], g: np.ndarray, h: np.ndarray, n_bins: int) -> None:
+    """Adds rows of (features, rows) bins to the (3, features, nodes and their bins) sums of gradients, second derivatives and rows."""
+    to_slot = np.full(len(tree[0]), -1)
+    to_slot[nodes] = np.arange(len(nodes))
+    slot = to_slot[descend(tree, by_feature.T)]
+    at = np.flatnonzero(slot >= 0)
+    first, width, g, h = slot[at] * n_bins, len(nodes) * n_bins, g[at], h[at]
+    # A feature at a time: its cells of all nodes stay in the processor's cache.
+    for f, mine in enumerate(by_feature[:, at]):
+        cell = first + mine
+        sums[0, f] += np.bincount(cell, g, width)
+        sums[1, f] += np.bincount(cell, h, width)
+        sums[2, f] += np.bincount(cell, minlength=width)
+
+
 def _histograms(state: DataFrame, rounds: list[list[tuple]], trees: list[tuple], wanted: list[list[int]], n_features: int, n_bins: int) -> DataFrame:
     """(tree, node, sums): gradients, second derivatives and rows of each feature and bin for the wanted nodes, packed, one row for each task."""
     n_classes = len(trees)
@@ -212,20 +230,8 @@ def _histograms(state: DataFrame, rounds: list[list[tuple]], trees: list[tuple],
             p = softmax(_replayed(_matrix(batch.column(2), np.float64, n_classes), bins, rounds))
             by_feature = np.ascontiguousarray(bins.T)
             for k, nodes in enumerate(wanted):
-                if not nodes:
-                    continue
-                to_slot = np.full(len(trees[k][0]), -1)
-                to_slot[nodes] = np.arange(len(nodes))
-                slot = to_slot[descend(trees[k], bins)]
-                at = np.flatnonzero(slot >= 0)
-                first, width = slot[at] * n_bins, len(nodes) * n_bins
-                g, h = p[at, k] - (y[at] == k), factor * p[at, k] * (1 - p[at, k])
-                # A feature at a time: its cells of all nodes stay in the processor's cache.
-                for f, mine in enumerate(by_feature[:, at]):
-                    cell = first + mine
-                    sums[k][0, f] += np.bincount(cell, g, width)
-                    sums[k][1, f] += np.bincount(cell, h, width)
-                    sums[k][2, f] += np.bincount(cell, minlength=width)
+                if nodes:
+                    _add(sums[k], by_feature, trees[k], nodes, p[:, k] - (y == k), factor * p[:, k] * (1 - p[:, k]), n_bins)
         of_node = lambda k, s: sums[k][:, :, s * n_bins : (s + 1) * n_bins]
         found = [(k, node, of_node(k, s).tobytes()) for k, nodes in enumerate(wanted) for s, node in enumerate(nodes) if of_node(k, s)[2].any()]
         if found:
@@ -287,21 +293,32 @@ def _taken(tree: Tree, leaves: int) -> list[int]:
     return out
 
 
-def _grow(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_features: int, s: Settings) -> list[tuple]:
-    """One tree for each class on the gradients at the replayed scores."""
+def _grow(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_features: int, s: Settings, by_class: bool = False) -> list[tuple]:
+    """One tree for each class on the gradients at the replayed scores, by passes over dealt rows or in a task for each class."""
+    if by_class:
+        return _grow_by_class(state, rounds, n_classes, n_features, s)
+    tasks = state.rdd.getNumPartitions()
+
+    def ask(trees: list[Tree], wanted: list[list[int]]) -> list[tuple]:
+        sums = _histograms(state, rounds, [t.arrays() for t in trees], wanted, n_features, s.bins + 1)
+        meet = 0 if tasks == 1 else min(tasks, math.ceil(sum(map(len, wanted)) / NODES))
+        return _best_splits(sums, n_features, s.bins + 1, s, meet).collect()
+
+    return _grown(n_classes, ask, s)
+
+
+def _grown(n_classes: int, ask, s: Settings) -> list[tuple]:
+    """Trees grown from the best splits of wanted nodes, which ``ask`` finds."""
     trees = [Tree() for _ in range(n_classes)]
     for t in trees:
         t.add((0.0, 0.0, 0))
     wanted = [[0] for _ in trees]
-    tasks = state.rdd.getNumPartitions()
     while any(wanted):
-        sums = _histograms(state, rounds, [t.arrays() for t in trees], wanted, n_features, s.bins + 1)
-        meet = 0 if tasks == 1 else min(tasks, math.ceil(sum(map(len, wanted)) / NODES))
-        for r in _best_splits(sums, n_features, s.bins + 1, s, meet).collect():
-            t = trees[r.tree]
-            t.sums[r.node] = (r.g, r.h, int(r.n))
-            if r.gain > 0:
-                t.best[r.node] = (r.gain, r.feature, r.bin, (r.gl, r.hl, int(r.nl)), (r.g - r.gl, r.h - r.hl, int(r.n - r.nl)))
+        for tree, node, gain, feature, cut, gl, hl, nl, g, h, n in ask(trees, wanted):
+            t = trees[tree]
+            t.sums[node] = (g, h, int(n))
+            if gain > 0:
+                t.best[node] = (gain, feature, cut, (gl, hl, int(nl)), (g - gl, h - hl, int(n - nl)))
         wanted = []
         for t in trees:
             fresh = []
@@ -316,6 +333,47 @@ def _grow(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_feature
     return [_pruned(t, set(_taken(t, s.leaves)), s.rate) for t in trees]
 
 
+def _grow_by_class(state: DataFrame, rounds: list[list[tuple]], n_classes: int, n_features: int, s: Settings) -> list[tuple]:
+    """``_grow`` in one job: tasks make the gradients of their rows, and each class's task, which gets them all, grows its tree."""
+    factor, n_bins = n_classes / max(n_classes - 1, 1), s.bins + 1
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(b for b in batches if b.num_rows):
+            y, bins = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint8, n_features)
+            p = softmax(_replayed(_matrix(batch.column(2), np.float64, n_classes), bins, rounds))
+            g, h = p - (y[:, None] == np.arange(n_classes)), factor * p * (1 - p)
+            packed = bins.T.tobytes()
+            for c in range(n_classes):
+                row = {"class": c, "part": part, "batch": k, "bins": packed, "g": g[:, c].tobytes(), "h": h[:, c].tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for row in (r for b in batches for r in b.to_pylist()):
+            held.setdefault(row["class"], []).append((row["part"], row["batch"], *(np.frombuffer(row[x], kind) for x, kind in (("bins", np.uint8), ("g", np.float64), ("h", np.float64)))))
+        for c, blocks in held.items():
+            # In one order, whatever the order of arrival.
+            blocks.sort(key=lambda b: b[:2])
+            by_feature = np.concatenate([b[2].reshape(n_features, -1) for b in blocks], axis=1)
+            g, h = (np.concatenate([b[k] for b in blocks]) for k in (3, 4))
+
+            def ask(trees: list[Tree], wanted: list[list[int]]) -> Iterator[tuple]:
+                sums = np.zeros((3, n_features, len(wanted[0]) * n_bins))
+                _add(sums, by_feature, trees[0].arrays(), wanted[0], g, h, n_bins)
+                for k, node in enumerate(wanted[0]):
+                    yield 0, node, *best_split(sums[:, :, k * n_bins : (k + 1) * n_bins], s)
+
+            feature, cut, left, value = (x.tolist() for x in _grown(1, ask, s)[0])
+            yield pa.RecordBatch.from_pylist([{"class": c, "feature": feature, "bin": cut, "left": left, "value": value}], made)
+
+    schema = pa.schema([("class", pa.int32()), ("part", pa.int32()), ("batch", pa.int32()), ("bins", pa.binary()), ("g", pa.binary()), ("h", pa.binary())])
+    made = pa.schema([("class", pa.int32()), *((x, pa.list_(pa.int32())) for x in ("feature", "bin", "left")), ("value", pa.list_(pa.float64()))])
+    blocks = state.select("y", "bins", "scores").mapInArrow(gradients, "class int, part int, batch int, bins binary, g binary, h binary")
+    trees = blocks.repartitionById(n_classes, "class").mapInArrow(grow, "class int, feature array<int>, bin array<int>, left array<int>, value array<double>").collect()
+    return [(*(np.array(r[x], np.int32) for x in ("feature", "bin", "left")), np.array(r["value"])) for r in sorted(trees, key=lambda r: r["class"])]
+
+
 def _pruned(tree: Tree, split: set[int], rate: float) -> tuple[np.ndarray, ...]:
     """The tree of the splits that were taken at last, its leaves with their values."""
     out, todo = Tree(), [(0, -1, 0)]
@@ -351,12 +409,13 @@ def fit(rows: DataFrame, features: list[str], label: str, settings: Settings = S
     model = Boosted(features, [sorted(set(quantiles[f] or [])) for f in features], [c for c, _ in counts], [float(np.log(n / total)) for _, n in counts])
     place = F.create_map(*[x for k, (c, _) in enumerate(counts) for x in (F.lit(c), F.lit(k))])
     first = F.lit(np.array(model.first).tobytes())
-    parts = _tasks(total * (len(features) + 8 * len(counts)), rows.sparkSession.sparkContext.defaultParallelism)
+    size = total * (len(features) + 8 * len(counts))
+    parts = _tasks(size, rows.sparkSession.sparkContext.defaultParallelism)
     state = staged(model.binned(known.withColumn("y", place[F.col("label")]), "y").withColumn("scores", first).repartition(parts), "boosting")
     if len(counts) == 1:
         return model
     for r in range(settings.rounds):
-        trees = _grow(state, model.rounds[r - r % REPLAY :], len(counts), len(features), settings)
+        trees = _grow(state, model.rounds[r - r % REPLAY :], len(counts), len(features), settings, size <= TASK_BYTES)
         if all(len(t[0]) == 1 for t in trees):
             # No class has a leaf that can still be split.
             break

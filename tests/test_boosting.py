@@ -133,3 +133,18 @@ def test_one_class_and_none(spark):
         with pytest.raises(ValueError):
             B.fit(spark.createDataFrame(rows, kind), ["x"], "label")
     assert B.fit(one, ["x"], "label").probabilities(one.where("id > 9"), "id").count() == 0
+
+
+def test_few_rows_are_dealt_by_class(spark, table, monkeypatch):
+    """A round over few rows takes no pass of its own for each depth, and its trees are those of passes over dealt rows."""
+    _, df = table
+    s = B.Settings(rounds=4, rate=0.3, leaves=6, min_rows=5, bins=8)
+    passes, best = [], B._best_splits
+    monkeypatch.setattr(B, "_best_splits", lambda *a: passes.append(1) or best(*a))
+    few = B.fit(df, FEATURES, "label", s)
+    assert not passes and len(few.rounds) == 4
+    monkeypatch.setattr(B, "TASK_BYTES", 1000)
+    many = B.fit(df, FEATURES, "label", s)
+    assert len(passes) > 4
+    for a, b in zip((t for trees in few.rounds for t in trees), (t for trees in many.rounds for t in trees)):
+        assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and a[3] == pytest.approx(b[3], abs=1e-12)
