@@ -11,7 +11,7 @@ AMPLITUDES = (0.05, 0.1, 0.2, 0.4)
 LENGTH_DIVISORS = (4.0, 6.0, 8.0, 12.0, 16.0, 24.0)
 NUGGETS = (1e-6, 1e-4)
 WHITE = 1e-10
-#: Points up to which candidates are solved as dense systems, and points whose features are held at once beyond that.
+#: Points up to which candidates are solved as dense systems in any case, and points whose features are held at once beyond that.
 DIRECT, BLOCK = 64, 16384
 #: Magnitudes that a predicted peak may differ from the brightest point.
 MAX_JUMP = 6.0
@@ -52,6 +52,11 @@ class Fits:
         return self.mean + self.scale * (k @ self.weights[which, :, None])[..., 0], self.scale * np.sqrt(var)
 
 
+def nodes_of(width: float, length: float) -> int:
+    """Chebyshev nodes that a kernel of a length needs over a range."""
+    return math.ceil(4.5 * width / length) + 32
+
+
 class LongFits:
     """``Fits`` of a long band, without a matrix of points by points.
 
@@ -75,7 +80,7 @@ class LongFits:
 
     def _basis(self, length: float) -> np.ndarray:
         """From Chebyshev polynomials to features whose products are the kernel of unit amplitude."""
-        m = math.ceil(4.5 * (self.hi - self.lo) / length) + 32
+        m = nodes_of(self.hi - self.lo, length)
         nodes = np.cos(np.pi * (np.arange(m) + 0.5) / m)
         back = np.polynomial.chebyshev.chebvander(nodes, m - 1).T * (2 / m)
         back[0] /= 2
@@ -106,7 +111,9 @@ class LongFits:
 def solved(t: np.ndarray, y: np.ndarray, tried: list[tuple[float, float, float]], span: tuple[float, float]) -> Fits | LongFits:
     """The candidates ``tried`` on all points; a long band's may be asked within ``span`` and from a day before to three days after it."""
     columns = tuple(map(np.array, zip(*tried)))
-    return Fits(t, y, *columns, normalise=True) if len(t) <= DIRECT else LongFits(t, y, *columns, (span[0] - 1.0, span[1] + 3.0))
+    reach = span[0] - 1.0, span[1] + 3.0
+    few = len(t) <= max(DIRECT, nodes_of(max(reach[1], t.max()) - min(reach[0], t.min()), columns[1].min()))
+    return Fits(t, y, *columns, normalise=True) if few else LongFits(t, y, *columns, reach)
 
 
 def thin(n: int, over: int = 30, to: int = 25) -> np.ndarray:

@@ -48,3 +48,10 @@ def test_blocks_change_nothing(monkeypatch):
     monkeypatch.setattr(gp, "BLOCK", 64)
     have = gp.fit_band(t, mag, err, (0.0, 20.0), "B")
     assert all(np.isclose(have[k], want[k], rtol=1e-6, atol=1e-9, equal_nan=True) for k in want)
+
+
+def test_features_are_never_more_than_points():
+    """Lengths that are short for the range need many features; then points are fewer and are solved as they are."""
+    t = np.linspace(0, 5000, 200)
+    assert isinstance(gp.solved(t, np.sin(t), [(0.2, 12.0, 1e-3)], (0.0, 5000.0)), gp.Fits)
+    assert isinstance(gp.solved(t, np.sin(t), [(0.2, 400.0, 1e-3)], (0.0, 5000.0)), gp.LongFits)
